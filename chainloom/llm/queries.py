@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, matroska, mixing, sstable, urls
+from . import bpe, jaccard, langid, matroska, mixing, pii, sstable, urls, vectors
 from .common import stored, table
 
+#: The pseudonyms of the registered query; a production run passes a secret of its own.
+PII_KEY = "registered-query-key"
+
 
 def _tokenizer(name: str) -> str:
     import public_tokenizers
@@ -21,6 +24,14 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), _pattern())
 
@@ -29,6 +40,10 @@ def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_back(stored(matroska.media(table(spark, sf_dir, "documents")), "media"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join("pii", ",").alias("kinds"))
+
+
 def op6_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.shard_round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _pattern())
 
@@ -41,9 +56,15 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = langid.train(docs, ~langid.held_out())
+    return langid.identify(docs.select("doc_id", "text"), network).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe, op4_matroska, op6_sstable, op7_mixing, op8_urls)}
+    return {f.__name__: f for f in (op1_jaccard, op2_vectors, op3_bpe, op4_matroska, op5_pii, op6_sstable, op7_mixing, op8_urls, op9_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_urls": urls.oracle()}
+    return {"op1_jaccard": jaccard.oracle(), "op2_vectors": vectors.oracle(), "op8_urls": urls.oracle()}
