@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import modest_batches, whole
-from .pieces import ChunkTable, Remembered
+from .pieces import ChunkTable, Words
 
 
 class Merges:
@@ -127,15 +127,8 @@ class Codec:
     """Encodes texts through a table of chunks; what is new in a batch goes through one replay."""
 
     def __init__(self, path: str, pattern: str):
-        self.merges, find = Merges(path), regex.compile(pattern).findall
-        words = Remembered(lambda new: self.merges.replay([w.encode("utf-8", "surrogatepass") for w in new]))
-
-        def encode(texts: list[str]) -> list[list[int]]:
-            split = [find(t) for t in texts]
-            ids = iter(words([w for ws in split for w in ws]))
-            return [[i for _ in ws for i in next(ids)] for ws in split]
-
-        self.encode = ChunkTable(encode)
+        self.merges = Merges(path)
+        self.encode = ChunkTable(Words(regex.compile(pattern).findall, lambda new: self.merges.replay([w.encode("utf-8", "surrogatepass") for w in new])))
 
 
 @lru_cache(maxsize=2)

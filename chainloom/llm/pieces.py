@@ -8,7 +8,9 @@ then on. Texts with other white space beside a space are encoded whole.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -40,7 +42,7 @@ class ChunkTable:
         self.flat = np.zeros(1 << 18, np.uint32)
 
     def _learn(self) -> None:
-        safe = [bool(k) and not k[0].isspace() and not k[-1].isspace() if lead else not k or not k[-1].isspace() for lead, k in self.new]
+        safe = [(k[:1] > " " and not k[0].isspace() and not k[-1].isspace()) if lead else not k or not k[-1].isspace() for lead, k in self.new]
         found = self.encode_new([lead + k for (lead, k), ok in zip(self.new, safe, strict=True) if ok])
         lengths = np.full(len(self.new), -1, np.int64)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -53,7 +55,7 @@ class ChunkTable:
         own = np.maximum(lengths, 0)
         self.length[self.size : end] = lengths
         self.start[self.size : end] = self.used + np.cumsum(own) - own
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.used += total
         self.chars += sum(len(k) for _, k in self.new)
         self.size, self.new = end, []
@@ -62,19 +64,23 @@ class ChunkTable:
         """The ids of each text, as 32-bit unsigned integers."""
         if self.size > self.most or self.chars > self.most_chars:
             self.reset()
+        gc.disable()  # the table's many small objects form no cycles
+        try:
+            return self._ids(texts)
+        finally:
+            gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         rows = []
         for text in texts:
             first, *rest = text.split(" ")
-            row = list(map(self.spaced.__getitem__, rest))
-            row.append(self.first[first])
-            rows.append(np.array(row, np.int64))
+            rows.append(np.array([self.first[first], *map(self.spaced.__getitem__, rest)], np.int64))
         if self.new:
             self._learn()
         out = []
         for text, row in zip(texts, rows, strict=True):
-            row = np.roll(row, 1) if len(row) > 1 else row
             sizes = self.length[row]
-            if len(sizes) and sizes.min() < 0:
+            if sizes.min() < 0:
                 out.append(np.array(self.encode_new([text])[0], np.uint32))
                 continue
             ends = np.cumsum(sizes)
@@ -83,17 +89,32 @@ class ChunkTable:
         return out
 
 
-class Remembered:
-    """Keeps the ids of strings that ``encode`` has seen, up to ``most`` of them."""
+class Words:
+    """Splits chunks into matches of the pattern and keeps the ids of matches that ``encode``
+    has seen, up to ``most`` of them. Chunks of letters, and those with one mark at the end,
+    are split without the pattern."""
+
+    def __init__(self, find: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], most: int = 600_000, longest: int = 64):
+        self.find, self.encode, self.most, self.longest, self.known = find, encode, most, longest, {}
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 500_000, longest: int = 64):
-        self.encode, self.most, self.longest, self.known = encode, most, longest, {}
+    def split(self, text: str) -> list[str]:
+        body = text[1:] if text[:1] == " " else text
+        if body.isalpha():
+            return [text]
+        last = body[-1:]
+        if body[:-1].isalpha() and not last.isalnum() and not last.isspace():
+            return [text[:-1], last]
+        return self.find(text)
 
-    def __call__(self, keys: list[str]) -> list[list[int]]:
-        new = list({k for k in keys if k not in self.known})
-        found = dict(zip(new, self.encode(new), strict=True)) if new else {}
-        out = [found[k] if k in found else self.known[k] for k in keys]
-        if len(self.known) + len(new) > self.most:
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        if len(self.known) > self.most:
             self.known = {}
-        self.known.update((k, v) for k, v in found.items() if len(k) <= self.longest)
+        known, split = self.known, list(map(self.split, texts))
+        new = list({w for ws in split for w in ws if w not in known})
+        if new:
+            known.update(zip(new, self.encode(new), strict=True))
+        out = [known[ws[0]] if len(ws) == 1 else [i for w in ws for i in known[w]] for ws in split]
+        for w in new:
+            if len(w) > self.longest:
+                del known[w]
         return out

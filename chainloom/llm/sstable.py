@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import modest_batches, partitions, scratch, whole
-from .pieces import ChunkTable, Remembered
+from .pieces import ChunkTable, Words
 
 MAGIC = b"CLSSTAB1"
 FOOTER = struct.Struct("<QQQQQQ8s")
@@ -193,15 +193,15 @@ def _encoder(path: str, pattern: str) -> ChunkTable:
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
     batch = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-    words, find = Remembered(batch), regex.compile(pattern).findall
+    words = Words(regex.compile(pattern).findall, batch)
 
     def encode(texts: list[str]) -> list[list[int]]:
-        # Letters below U+0250 split alike for both pattern engines; other texts go whole.
-        plain = [max(s, default="") < "ɐ" and s.isprintable() for s in (t.replace("\n", "") for t in texts)]
-        rest = iter(batch([t for t, ok in zip(texts, plain, strict=True) if not ok]))
-        split = [find(t) if ok else None for t, ok in zip(texts, plain, strict=True)]
-        ids = iter(words([w for ws in split if ws for w in ws]))
-        return [next(rest) if ws is None else [i for _ in ws for i in next(ids)] for ws in split]
+        # Characters below U+0250 split alike for both pattern engines; other texts go whole.
+        if all(s.isascii() or max(s) < "ɐ" for s in texts):
+            return words(texts)
+        plain = [s.isascii() or max(s) < "ɐ" for s in texts]
+        near, far = iter(words([s for s, ok in zip(texts, plain, strict=True) if ok])), iter(batch([s for s, ok in zip(texts, plain, strict=True) if not ok]))
+        return [next(near if ok else far) for ok in plain]
 
     return ChunkTable(encode)
 
