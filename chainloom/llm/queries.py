@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, matroska, mixing, pii, sstable, urls, vectors
+from . import bpe, jaccard, langid, lm, matroska, mixing, pii, sstable, urls, vectors
 from .common import stored, table
 
 #: The pseudonyms of the registered query; a production run passes a secret of its own.
@@ -62,8 +62,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), network).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), langid.held_out(parts=5, part=1))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard, op2_vectors, op3_bpe, op4_matroska, op5_pii, op6_sstable, op7_mixing, op8_urls, op9_langid)}
+    return {f.__name__: f for f in (op1_jaccard, op2_vectors, op3_bpe, op4_matroska, op5_pii, op6_sstable, op7_mixing, op8_urls, op9_langid, op10_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
