@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +26,29 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(at)
         _shipped.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a session without one gets a temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that its lineage ends there for all executors."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(at)
+    atexit.register(_remove, spark, at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _remove(spark: SparkSession, at: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session may be gone by now
+        return
