@@ -27,7 +27,7 @@ def roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray | None = None)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node that each node of an edge reaches.
+    """node, root: the smallest node that each node of an edge reaches; roots have no row of their own.
 
     Alternating large-star and small-star steps: in turn, larger and smaller neighbours of a
     node are hung on its smallest one, until nothing changes. A step sends each edge once;
