@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-IN_METHOD = Window.partitionBy("method").orderBy("pos")
+
+def in_method() -> WindowSpec:
+    return Window.partitionBy("method").orderBy("pos")
 
 
 def normal_edges(insns: DataFrame, target: Column) -> DataFrame:
     """(method, src, dst, label): none after a return; a jump goes to its target and falls through."""
-    after = F.lead("pos").over(IN_METHOD)
+    after = F.lead("pos").over(in_method())
     step = insns.withColumn("after", after).withColumn("to", target)
     seq = F.struct(F.col("after").alias("dst"), F.when(F.col("op") == "JUMP", "FALSE").otherwise("SEQ").alias("label"))
     jump = F.struct(F.col("to").alias("dst"), F.lit("JUMP").alias("label"))
@@ -27,20 +31,20 @@ def exception_edges(insns: DataFrame, handlers: DataFrame, throws: Column) -> Da
 
 def constants_before(insns: DataFrame, op: str, rows: int) -> DataFrame:
     """The constants loaded in the ``rows`` instructions before each ``op``, in order."""
-    window = IN_METHOD.rowsBetween(-rows, -1)
+    window = in_method().rowsBetween(-rows, -1)
     seen = F.collect_list(F.when(F.col("op") == "CONST", F.col("const"))).over(window)
     return insns.withColumn("constants", F.concat_ws(",", seen)).where(F.col("op") == op).select("method", "pos", "constants")
 
 
 def last_constant(insns: DataFrame, op: str, rows: int) -> DataFrame:
     """The constant nearest before each ``op``, within ``rows`` instructions: an as-of lookup."""
-    window = IN_METHOD.rowsBetween(-rows, -1)
+    window = in_method().rowsBetween(-rows, -1)
     return insns.withColumn("pushed", F.last(F.when(F.col("op") == "CONST", F.col("const")), ignorenulls=True).over(window)).where(F.col("op") == op).select("method", "pos", "pushed")
 
 
 def array_writers(insns: DataFrame, store: str = "PUTFIELD", read: str = "GETFIELD", back: int = 3) -> DataFrame:
     """Stores whose instruction ``back`` earlier reads a field: they write that field's array."""
-    return insns.withColumn("before", F.lag("op", back).over(IN_METHOD)).where((F.col("op") == store) & (F.col("before") == read)).select("method", "pos")
+    return insns.withColumn("before", F.lag("op", back).over(in_method())).where((F.col("op") == store) & (F.col("before") == read)).select("method", "pos")
 
 
 def field_writers(fields: DataFrame) -> DataFrame:
@@ -49,42 +53,61 @@ def field_writers(fields: DataFrame) -> DataFrame:
 
 def dominators(edges: DataFrame, most: int = 4096) -> DataFrame:
     """(method, pos, dominator) for what is reachable from position 0 of each method; methods with more
-    than ``most`` positions have one row with nulls, which says that they were not analysed."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        method = pdf["method"].iloc[0]
-        nodes = sorted({*pdf["src"], *pdf["dst"]})
-        if len(nodes) > most:
-            return pd.DataFrame({"method": [method], "pos": [None], "dominator": [None]})
-        into: dict[int, list[int]] = {}
-        out: dict[int, list[int]] = {}
-        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
-            into.setdefault(b, []).append(a)
-            out.setdefault(a, []).append(b)
-        live, todo = {0}, [0]
-        while todo:
-            for b in out.get(todo.pop(), ()):
-                if b not in live:
-                    live.add(b)
-                    todo.append(b)
-        every = sum(1 << i for i, n in enumerate(nodes) if n in live)
-        bit = {n: 1 << i for i, n in enumerate(nodes)}
-        bit.setdefault(0, 1 << len(nodes))
-        dom = {n: every | bit[0] for n in live} | {0: bit[0]}
-        changed = True
-        while changed:
-            changed = False
-            for n in sorted(live - {0}):
-                now = every | bit[0]
-                for p in into.get(n, ()):
-                    if p in live:
-                        now &= dom[p]
-                now |= bit[n]
-                if now != dom[n]:
-                    dom[n], changed = now, True
-        rows = [(method, n, d) for n in sorted(live) for d in sorted(live) if dom[n] & bit[d]]
-        return pd.DataFrame(rows, columns=["method", "pos", "dominator"])
-
-    return edges.select("method", "src", "dst").groupBy("method").applyInPandas(run, "method string, pos int, dominator int")
-
-
+    than ``most`` positions have one row with nulls, which says that they were not analysed.
+
+    Methods lie together in sorted partitions and are taken from the batches one by one, as
+    there are far too many small ones to start a function for each.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for method, a, b in zip(batch["method"], batch["src"], batch["dst"], strict=True):
+                if method != now:
+                    if held:
+                        out += _dominators(now, held, most)
+                    now, held = method, []
+                held.append((a, b))
+            yield _frame(out)
+        if held:
+            yield _frame(_dominators(now, held, most))
+
+    dealt = edges.select("method", "src", "dst").repartition("method").sortWithinPartitions("method")
+    return dealt.mapInPandas(run, "method string, pos int, dominator int")
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["method", "pos", "dominator"]).astype({"pos": "Int32", "dominator": "Int32"})
+
+
+def _dominators(method: str, edges: list[tuple[int, int]], most: int) -> list[tuple]:
+    nodes = sorted({0, *(n for e in edges for n in e)})
+    if len(nodes) > most:
+        return [(method, None, None)]
+    into: dict[int, list[int]] = {}
+    out: dict[int, list[int]] = {}
+    for a, b in edges:
+        into.setdefault(b, []).append(a)
+        out.setdefault(a, []).append(b)
+    live, todo = {0}, [0]
+    while todo:
+        for b in out.get(todo.pop(), ()):
+            if b not in live:
+                live.add(b)
+                todo.append(b)
+    bit = {n: 1 << i for i, n in enumerate(nodes)}
+    every = sum(bit[n] for n in live)
+    dom = dict.fromkeys(live, every) | {0: bit[0]}
+    changed = True
+    while changed:
+        changed = False
+        for n in sorted(live - {0}):
+            now = every
+            for p in into.get(n, ()):
+                if p in live:
+                    now &= dom[p]
+            now |= bit[n]
+            if now != dom[n]:
+                dom[n], changed = now, True
+    return [(method, n, d) for n in sorted(live) for d in sorted(live) if dom[n] & bit[d]]

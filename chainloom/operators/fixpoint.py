@@ -11,11 +11,11 @@ from ..session import cut
 def least_depth(seeds: DataFrame, edges: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
     """(node, depth) of all nodes within ``rounds`` edges of a seed, and whether nothing lies beyond.
 
-    ``seeds`` has node, ``edges`` has src and dst. Each round sends the frontier alone; the
-    first round that meets a node gives its least depth.
+    ``seeds`` has node, ``edges`` has src and dst. The edges are worked out once; each round
+    sends the frontier alone, and the first round that meets a node gives its least depth.
     """
     seen = frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    hops = edges.select("src", "dst").distinct()
+    hops = cut(edges.select("src", "dst").distinct())
     for depth in range(1, rounds + 1):
         met = frontier.join(hops, frontier.node == hops.src).select(F.col("dst").alias("node")).distinct()
         frontier = cut(met.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
@@ -27,8 +27,8 @@ def least_depth(seeds: DataFrame, edges: DataFrame, rounds: int) -> tuple[DataFr
 
 def closure(edges: DataFrame, rounds: int = 64) -> tuple[DataFrame, bool]:
     """(ancestor, descendant, depth) over (parent, child) edges, at least depth, and whether it ended."""
-    pairs = frontier = cut(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct().withColumn("depth", F.lit(1)))
-    below = edges.select("parent", "child").distinct()
+    below = cut(edges.select("parent", "child").distinct())
+    pairs = frontier = below.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).withColumn("depth", F.lit(1))
     for depth in range(2, rounds + 1):
         met = frontier.join(below, frontier.descendant == below.parent).select("ancestor", F.col("child").alias("descendant")).where("ancestor <> descendant").distinct()
         frontier = cut(met.join(pairs, ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(depth)))
@@ -67,7 +67,7 @@ def k_paths(seeds: DataFrame, edges: DataFrame, rounds: int, k: int) -> DataFram
     that others beat.
     """
     kept = frontier = cut(seeds.select(F.col("node"), F.lit(0).alias("hops"), F.col("node").alias("path")).distinct())
-    hops = edges.select("src", "dst").distinct()
+    hops = cut(edges.select("src", "dst").distinct())
     for _ in range(rounds):
         met = frontier.join(hops, frontier.node == hops.src).where(~F.array_contains(F.split("path", ">"), F.col("dst")))
         grown = met.select(F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops"), F.concat_ws(">", "path", "dst").alias("path"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import calibrate, callgraph, cfg, chains, compose, fixpoint, hierarchy, report, rules
 from ..session import ship
+from ..sources import catalogue
+from ..streaming import samples
 from .views import Program, duck
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -541,3 +543,63 @@ def top_sinks_per_entry(p):
     top = p.chains.withColumn("position", F.row_number().over(order)).where("position <= 4")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "sink_method"))), lambda x: x["sink_method"])
     return top.groupBy("entry_method").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", listed).alias("sinks"))
+
+
+# Streams and sources -----------------------------------------------------------------------
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type AS phase, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS wall_ms, max(value) AS worst FROM {events} GROUP BY ALL""")
+def windowed_samples(p):
+    return samples.windowed(p.events)
+
+
+_KEYED = "(SELECT m.name, m.owner, m.access, CASE WHEN (m.access & 16) <> 0 THEN 'final' WHEN (m.access & 8) <> 0 THEN 'static' ELSE 'plain' END AS shape FROM {methods} m)"
+
+
+@query(f"SELECT shape, count(*) AS n, min(name) AS first, max(owner) AS last FROM {_KEYED} x GROUP BY shape")
+def method_shapes(p):
+    return p.sql("SELECT * FROM " + _KEYED).groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"), F.max("owner").alias("last"))
+
+
+@query("SELECT sha256(concat_ws(chr(10), r_name, CAST(r_regionkey AS STRING), '<null>')) AS identity, r_regionkey FROM {region}")
+def scan_identity(p):
+    return p.region.select(catalogue.scan_identity(F.col("r_name"), F.col("r_regionkey"), F.lit(None)).alias("identity"), "r_regionkey")
+
+
+@query("""SELECT c.host, CAST(floor(count(DISTINCT c.callee) / 2.0) AS BIGINT) AS half, bool_or(c.kind = 'DYNAMIC') AS dynamic, bool_and(c.quantity > 5) AS bulky FROM {calls} c GROUP BY c.host""")
+def host_summaries(p):
+    return p.calls.groupBy("host").agg(F.floor(F.countDistinct("callee") / 2).alias("half"), F.bool_or(F.col("kind") == "DYNAMIC").alias("dynamic"), F.bool_and(F.col("quantity") > 5).alias("bulky"))
+
+
+@query("SELECT DISTINCT c.callee AS method FROM {calls} c WHERE NOT EXISTS (SELECT 1 FROM {calls} d WHERE d.callee = c.callee AND d.kind = 'STATIC')")
+def never_static(p):
+    return p.calls.select(F.col("callee").alias("method")).distinct().join(p.calls.where("kind = 'STATIC'").select(F.col("callee").alias("method")), "method", "left_anti")
+
+
+@query("SELECT chain_key FROM {run_old} EXCEPT ALL SELECT chain_key FROM {run_new}")
+def removed_chains(p):
+    return p.run_old.select("chain_key").exceptAll(p.run_new.select("chain_key"))
+
+
+@query("""SELECT m.name AS method, coalesce(k.n, 0) AS callers, coalesce(k.first_caller, '<null>') AS first_caller FROM {methods} m LEFT JOIN (SELECT dst, count(*) AS n, min(src) AS first_caller FROM {edges} WHERE type = 'INVOKES' GROUP BY dst) k ON k.dst = m.name""")
+def canonical_callers(p):
+    callers = p.edges.where("type = 'INVOKES'").groupBy(F.col("dst").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("first_caller"))
+    return p.methods.join(callers, "name", "left").select(F.col("name").alias("method"), F.coalesce("n", F.lit(0)).alias("callers"), F.coalesce("first_caller", F.lit("<null>")).alias("first_caller"))
+
+
+@query("""WITH p1 AS (SELECT chain_key, string_agg(from_name, '>' ORDER BY ord DESC) || '>' || max(CASE WHEN ord = 0 THEN to_name END) AS trace FROM {hops} GROUP BY chain_key) SELECT chain_key, trace, len(string_split(trace, '>')) AS n FROM p1""")
+def application_trace(p):
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("ord")).alias("o"), "from_name")))
+    out = p.hops.groupBy("chain_key").agg(F.concat_ws(">", F.concat(F.transform(listed, lambda x: x["from_name"]), F.array(F.max(F.when(F.col("ord") == 0, F.col("to_name")))))).alias("trace"))
+    return out.withColumn("n", F.size(F.split("trace", ">")).cast("long"))
+
+
+@query("""SELECT chain_key, hop, unbroken FROM (SELECT chain_key, ord AS hop, coalesce(to_name = lag(from_name) OVER (PARTITION BY chain_key ORDER BY ord), true) AS unbroken FROM {hops}) x""")
+def hop_connectivity(p):
+    w = Window.partitionBy("chain_key").orderBy("ord")
+    return p.hops.select("chain_key", F.col("ord").alias("hop"), F.coalesce(F.col("to_name") == F.lag("from_name").over(w), F.lit(True)).alias("unbroken"))
+
+
+@query("""SELECT sink_method, CAST(count(*) AS BIGINT) AS chains, CAST(sum(unresolved) AS BIGINT) AS unresolved, max(n_hops) AS longest, string_agg(DISTINCT severity, ',' ORDER BY severity) AS severities FROM {chains} GROUP BY sink_method""")
+def sink_outcomes(p):
+    return p.chains.groupBy("sink_method").agg(F.count(F.lit(1)).alias("chains"), F.sum("unresolved").cast("long").alias("unresolved"), F.max("n_hops").alias("longest"), F.concat_ws(",", F.array_sort(F.collect_set("severity"))).alias("severities"))
