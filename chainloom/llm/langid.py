@@ -162,9 +162,13 @@ def train(docs: DataFrame, may_learn: Column, sample: int = 6000, crops: int = 2
     """Fits the network on ``crops`` windows of each of the ``sample`` labelled documents with the lowest hashes."""
     spot = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.greatest(F.length(text_col) - WINDOW, F.lit(0)) + 1)
     again = F.pmod(F.xxhash64(F.lit(4), F.col(id_col)), F.greatest(F.length(text_col) - WINDOW, F.lit(0)) + 1)
-    own = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    labelled = docs.where(may_learn & F.col(lang_col).isNotNull())
+    lot = F.xxhash64(F.lit(1), F.col(id_col))
+    # Only hashes that a sample of this size can need are sorted, so tasks send their share and no more.
+    share = min(1.0, 3 * sample / max(1, labelled.count()))
+    own = labelled.where((lot <= int(-(2**63) + share * (2**64 - 1024))) & F.col(text_col).rlike(r"\p{L}"))
     cut = [F.substring(F.col(text_col), (s + 1).cast("int"), F.lit(WINDOW)).alias(f"crop{i}") for i, s in enumerate((spot, again)[:crops])]
-    rows = own.select(F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("lot"), F.col(lang_col).alias("lang"), *cut).orderBy("lot", "lang").limit(sample).collect()
+    rows = own.select(lot.alias("lot"), F.col(lang_col).alias("lang"), *cut).orderBy("lot", "lang", "crop0").limit(sample).collect()
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
