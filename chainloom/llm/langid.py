@@ -166,7 +166,7 @@ def train(docs: DataFrame, may_learn: Column, sample: int = 6000, crops: int = 2
     lot = F.xxhash64(F.lit(1), F.col(id_col))
     # Only hashes that a sample of this size can need are sorted, so tasks send their share and no more.
     share = min(1.0, 3 * sample / max(1, labelled.count()))
-    own = labelled.where((lot <= int(-(2**63) + share * (2**64 - 1024))) & F.col(text_col).rlike(r"\p{L}"))
+    own = labelled.where((lot <= min(2**63 - 1, int(share * 2**64) - 2**63)) & F.col(text_col).rlike(r"\p{L}"))
     cut = [F.substring(F.col(text_col), (s + 1).cast("int"), F.lit(WINDOW)).alias(f"crop{i}") for i, s in enumerate((spot, again)[:crops])]
     rows = own.select(lot.alias("lot"), F.col(lang_col).alias("lang"), *cut).orderBy("lot", "lang", "crop0").limit(sample).collect()
     languages = sorted({r["lang"] for r in rows})
