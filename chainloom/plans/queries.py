@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import calibrate, callgraph, cfg, chains, compose, fixpoint, hierarchy, report, rules
 from ..session import ship
 from ..sources import catalogue
@@ -603,3 +604,24 @@ def hop_connectivity(p):
 @query("""SELECT sink_method, CAST(count(*) AS BIGINT) AS chains, CAST(sum(unresolved) AS BIGINT) AS unresolved, max(n_hops) AS longest, string_agg(DISTINCT severity, ',' ORDER BY severity) AS severities FROM {chains} GROUP BY sink_method""")
 def sink_outcomes(p):
     return p.chains.groupBy("sink_method").agg(F.count(F.lit(1)).alias("chains"), F.sum("unresolved").cast("long").alias("unresolved"), F.max("n_hops").alias("longest"), F.concat_ws(",", F.array_sort(F.collect_set("severity"))).alias("severities"))
+
+
+_DESC = "(SELECT call_id, CASE quantity % 5 WHEN 0 THEN '(IJLjava/lang/String;)V' WHEN 1 THEN '()Ljava/util/List;' WHEN 2 THEN '([[D[Lcom/acme/Box;Z)I' WHEN 3 THEN '(DJ)J' ELSE '(Lorg/x/Y;)[B' END AS descriptor, CASE line WHEN 1 THEN 'com.acme.app.Main' WHEN 2 THEN 'Lorg/x/y/z/Deep;' WHEN 3 THEN 'Plain' ELSE 'java/util/Map' END AS type_name FROM {calls})"
+
+
+@query(f"""SELECT call_id, array_to_string(regexp_extract_all(regexp_extract(descriptor, '^\\(([^)]*)\\)', 1), '\\[*(?:[BCDFIJSZ]|L[^;]+;)'), ',') AS kinds, regexp_extract(descriptor, '\\)(.+)$', 1) AS result,
+CAST(len(regexp_extract_all(regexp_extract(descriptor, '^\\(([^)]*)\\)', 1), '\\[*(?:[BCDFIJSZ]|L[^;]+;)')) + len(list_filter(regexp_extract_all(regexp_extract(descriptor, '^\\(([^)]*)\\)', 1), '\\[*(?:[BCDFIJSZ]|L[^;]+;)'), lambda t: t IN ('J', 'D'))) AS INT) AS slots FROM {_DESC} x""")
+def descriptor_parse(p):
+    d = F.col("descriptor")
+    return p.sql("SELECT * FROM " + _DESC).select("call_id", F.concat_ws(",", names.parameter_types(d)).alias("kinds"), names.return_type(d).alias("result"), names.slots(d).alias("slots"))
+
+
+@query(f"""WITH t AS (SELECT call_id, replace(regexp_replace(type_name, '^L(.*);$', '\\1'), '.', '/') AS id FROM {_DESC} x) SELECT call_id, id, regexp_extract(id, '^(.*)/[^/]*$', 1) AS package, array_to_string(string_split(regexp_extract(id, '^(.*)/[^/]*$', 1), '/')[1:3], '/') AS prefix FROM t""")
+def type_names(p):
+    t = p.sql("SELECT * FROM " + _DESC).withColumn("id", names.type_id(F.col("type_name")))
+    return t.select("call_id", "id", names.package_of(F.col("id")).alias("package"), names.package_prefix(F.col("id"), 3).alias("prefix"))
+
+
+@query("SELECT 'x' || p_partkey AS id, substr(sha1(p_name || '|' || p_brand), 1, 8) AS short_id FROM {part}")
+def short_ids(p):
+    return p.part.select(F.concat(F.lit("x"), F.col("p_partkey")).alias("id"), names.short_id(F.concat_ws("|", "p_name", "p_brand")).alias("short_id"))
