@@ -178,8 +178,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees:
     # The balls' members with their signatures; those without a likely partner leave.
     members = belongs.join(balls, "rep").join(reps.drop("labels", "print"), "rep")
     likely = stored(_meet(members, part, 64, _likely(threshold, trees * length), "rep long, ball long"), "likely").distinct()
-    texts = signed.where("doc_id is not null").join(reps.select("print", "rep"), "print").where("doc_id = rep").select("rep")
-    asked = likely.select("rep").distinct().join(texts.distinct(), "rep", "left_semi")
+    asked = likely.select("rep").distinct()
     chosen = given.join(asked.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
