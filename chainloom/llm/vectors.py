@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import modest_batches, partitions, stored
 from .graph import components, roots
 
-AXES, BLOCK, LEAF = 6, 512, 64
+AXES, BLOCK, LEAF = 6, 2048, 64
 SLACK = 1e-9
 
 
