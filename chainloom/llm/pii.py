@@ -6,7 +6,8 @@ their own size. That is a permutation for any key, so equal values get equal pse
 all documents and different ones stay different.
 
 kind      valid if                                   kept of it
-card      13 to 19 digits, Luhn sum right            first digit, grouping, a right check digit
+card      13 to 19 digits at once or as printed,     first digit, grouping, a right check digit
+          Luhn sum right
 ssn       area, group and serial in use              dashes; the result is valid too
 date      a day of 1890-01-01 and 76,799 days on     order and separators
 phone     ten digits, with or without country code   country code, punctuation
@@ -34,10 +35,10 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A
 KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_?key) ?[=:] ?[\"']?[0-9a-fA-F]{12,128}+(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![0-9]|\.[0-9])"
-DATE = r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9]|[./-][0-9])"
+DATE = r"(?<![0-9./-])(?:[0-9]{4}(?<a>[-/.])[0-9]{2}\k<a>[0-9]{2}|[0-9]{2}(?<b>[-/.])[0-9]{2}\k<b>[0-9]{4})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = r"(?<![0-9+])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9]|[.-][0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9]|[-][0-9])"
+CARD = r"(?<![0-9])(?:[0-9]{13,19}+|[0-9]{4}(?<c>[ -])[0-9]{4}\k<c>[0-9]{4}\k<c>[0-9]{4}|[0-9]{4}(?<d>[ -])[0-9]{6}\k<d>[0-9]{5})(?![0-9]|-[0-9])"
 KINDS = ("email", "key", "secret", "ip", "date", "ssn", "card", "phone")
 ANY = "|".join((EMAIL, KEY, SECRET, IP, DATE, SSN, CARD, PHONE))
 

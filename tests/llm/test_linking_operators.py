@@ -125,7 +125,7 @@ def luhn(digits):
 
 CARDS = ["4041894974608795", "4337166598464399"]
 PII = {
-    "card": [c for c in CARDS if luhn(c)] + ["4111 1111 1111 1111", "5500-0000-0000-0004"],
+    "card": [c for c in CARDS if luhn(c)] + ["4111 1111 1111 1111", "5500-0000-0000-0004", "3782 822463 10005"],
     "ssn": ["123-45-6789", "899-99-9999", "001-01-0001", "667-02-0003"],
     "date": ["1999-12-31", "31.12.1999", "29/02/2000", "2024/02/29", "1890-01-01"],
     "phone": ["+1 (988) 555-2485", "(456) 555-2186", "415-555-0132", "+44 415 555 0132"],
@@ -153,6 +153,11 @@ def test_pseudonyms(spark):
     assert sum(a.text == b.text for a, b in zip(got, other, strict=True)) <= 1
 
 
+def test_numbers_beside_numbers(spark):
+    rows = [("12 4111111111111111 34 +1 (988) 555-2485 4111111111111111 42.144.35.254 123-45-6789", ["card", "phone", "card", "ip", "ssn"])]
+    assert [x.pii for x in pii.pseudonymize(spark.createDataFrame(rows, "text string, want array<string>"), "k").collect()] == [w for _, w in rows]
+
+
 def test_clean_texts_stay(spark):
     rows = [(t,) for t in CLEAN] + [(f"so {t} it is",) for t in CLEAN] + [("word " * 30000,), ("9" * 50000,), ("a.b" * 20000,), (None,)]
     got = pii.pseudonymize(spark.createDataFrame(rows, "text string").withColumn("keep", F.monotonically_increasing_id()).orderBy("keep"), "k").collect()
