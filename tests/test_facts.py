@@ -3,7 +3,8 @@
 from test_operators import rows, small_classes
 from test_valueflow import insn
 
-from chainloom.operators import entries, feasibility, protocols, valueflow
+from chainloom.operators import entries, feasibility, fixpoint, protocols, valueflow
+from chainloom.sources import classfile
 from chainloom.sources.classfile import Method, parse
 
 
@@ -64,3 +65,17 @@ def test_public_methods_are_never_broken_by_proofs():
     assert sum(done for _, done in found) > 0.8 * len(found)
     proofs = [feasibility.path_proof(m, i) for m in methods[:300] for i, x in enumerate(m.instructions) if x.kind == "RETURN"]
     assert set(proofs) <= {"PROVEN_RETAINED", "UNKNOWN", "BUDGET_EXCEEDED", "PROVABLY_UNREACHABLE"} and proofs.count("PROVABLY_UNREACHABLE") < 0.02 * len(proofs)
+
+
+def test_tables_for_hierarchy_and_entries(spark):
+    found = small_classes()
+    files = spark.createDataFrame([(f"s{i}", bytearray(b)) for i, b in enumerate(found)] + [("bad", bytearray(b"junk"))], "sha256 string, content binary")
+    parsed = [parse(b) for b in found]
+    assert classfile.methods(files).count() == sum(len(c.methods) for c in parsed)
+    edges = rows(classfile.type_edges(files).select("parent", "child"))
+    assert edges == sorted((p, c.name) for c in parsed for p in [c.parent, *c.interfaces] if p)
+    defined = {c.name for c in parsed}
+    missing = {r.name for r in classfile.missing_types(files).collect()}
+    assert not missing & defined and not any(n.startswith("java/") for n in missing)
+    pairs = fixpoint.closure(classfile.type_edges(files))[0]
+    assert entries.entries(classfile.methods(files), pairs).count() >= 0
