@@ -412,7 +412,7 @@ def fair_budget(p):
 
 # Composition -------------------------------------------------------------------------------
 
-_REGION = "(SELECT c.chain_key, c.category, c.entry_kind, c.n_hops, c.unresolved, s.s_nationkey AS sink_region, cu.c_nationkey AS entry_region FROM {chains} c JOIN {supplier} s ON 'S' || CAST(s.s_suppkey AS STRING) = c.sink_class JOIN {customer} cu ON 'C' || CAST(cu.c_custkey AS STRING) = c.entry_class WHERE c.unresolved = 0 AND CAST(substr(c.entry_method, 2) AS INT) % 4 = 0)"
+_REGION = "(SELECT chain_key, category, entry_kind, n_hops, unresolved, CAST(substr(sink_method, 2) AS INT) AS sink_region, CAST(substr(entry_class, 2) AS INT) AS entry_region FROM {chains})"
 _KIND = "CASE WHEN f.category = 'reflection' THEN 'INVOKE' WHEN b.entry_kind IN ('hashCode', 'compareTo', 'toString') THEN 'TRIGGER' WHEN f.category = 'template' THEN 'TEMPLATE' WHEN b.entry_kind = 'readObject' THEN 'DESER' WHEN f.category = 'lookup' THEN 'JNDI_RMI' WHEN f.category = 'file' THEN 'JDBC_XML' END"
 
 
