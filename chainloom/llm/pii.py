@@ -33,7 +33,7 @@ LETTERS, BASE_26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 #: Fixed patterns, tried in this order at each place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_?key) ?[=:] ?[\"']?[0-9a-fA-F]{12,128}+(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api_?key) ?[=:] ?[\"']?[0-9a-fA-F]{12,128}+(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}(?<a>[-/.])[0-9]{2}\k<a>[0-9]{2}|[0-9]{2}(?<b>[-/.])[0-9]{2}\k<b>[0-9]{4})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
