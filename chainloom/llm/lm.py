@@ -9,8 +9,8 @@ ever in one place, and what is sent are distinct n-grams per chunk, not tokens.
 
 A trie level is a sequence of contexts, pointers to their ranges of successors, and the
 successors. All three are monotone and Elias-Fano coded: high parts in unary, low parts as
-they are. Successors hold their context's place times the size of the word list, plus their
-word's place, so a lookup is a successor search relative to its context. Each n-gram has a
+they are. Successors hold their context's place and the hash of their word, so a lookup is a
+successor search within its context's range. Each n-gram has a
 smoothed probability and each context a weight for the shorter context, both quantised to
 16 bits on a logarithmic scale.
 
@@ -22,7 +22,6 @@ N and V are 0 and every token has probability 1, for want of anything else to ex
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import modest_batches, partitions, scratch, whole
 
-DISCOUNT, CHUNK_CHARS, SCALE = 0.75, 8_000_000, 9.0
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
+DISCOUNT, CHUNK_CHARS, SCALE = 0.75, 16_000_000, 9.0
 BEGIN, END = np.uint64(1), np.uint64(2)
 
 
@@ -46,8 +44,11 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.clip(code, 1, 65535), 0).astype(np.uint16)
 
 
+_CODES = np.where(np.arange(65536) > 0, 10.0 ** ((np.arange(65536) - 65535) * (SCALE / 65534)), 0.0)
+
+
 def restore(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10.0 ** ((code.astype(float) - 65535) * (SCALE / 65534)), 0.0)
+    return _CODES[code]
 
 
 class EliasFano:
@@ -89,16 +90,18 @@ class EliasFano:
     def successor(self, x: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """The place of the first value not below x, within [start, end) of each, if given."""
         x = x.astype(np.uint64)
-        top = (x >> np.uint64(self.bits)).astype(np.int64)
-        lo, hi = np.searchsorted(self.tops, top, "left"), np.searchsorted(self.tops, top, "right")
-        if start is not None:
-            lo, hi = np.clip(lo, start, end), np.clip(hi, start, end)
-        low = (x & np.uint64((1 << self.bits) - 1)).astype(self.low.dtype)
-        while len(open_ := np.flatnonzero(lo < hi)):
+        if start is None:
+            top = (x >> np.uint64(self.bits)).astype(np.int64)
+            lo, hi = np.searchsorted(self.tops, top, "left"), np.searchsorted(self.tops, top, "right")
+        else:
+            lo, hi = start.copy(), end.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
-            less = self.low[mid] < low[open_]
+            less = self[mid] < x[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
+            open_ = open_[lo[open_] < hi[open_]]
         return lo
 
     def find(self, x: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
@@ -114,108 +117,153 @@ class EliasFano:
 
 
 class Level:
-    """One trie level: successors of contexts with quantised probabilities and weights."""
+    """One trie level: successors of contexts with quantised probabilities and weights.
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, words: EliasFano, successors: EliasFano, chance: np.ndarray, weight: np.ndarray):
-        self.contexts, self.pointers, self.words, self.successors, self.chance, self.weight = contexts, pointers, words, successors, chance, weight
+    A successor is its context's place followed by as many leading bits of its word's hash
+    as 64 bits leave room for.
+    """
+
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, chance: np.ndarray, weight: np.ndarray):
+        self.contexts, self.pointers, self.successors, self.chance, self.weight = contexts, pointers, successors, chance, weight
+        self.room = np.uint64(64 - max(1, int(contexts.n).bit_length()))
 
     @classmethod
-    def of(cls, context: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> Level:
-        """From n-grams, in any order and several times each, with their counts; those of count 0 are left out."""
+    def of(cls, context: np.ndarray, sizes: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> Level:
+        """From contexts, each followed by so many words with counts, in any order and several times each; what has count 0 is left out."""
+        every, place = np.unique(context, return_inverse=True)
         seen = count > 0
-        contexts, c = np.unique(context[seen], return_inverse=True)
-        words, w = np.unique(word[seen], return_inverse=True)
-        keys, k = np.unique(c.astype(np.uint64) * np.uint64(len(words)) + w.astype(np.uint64), return_inverse=True)
-        total = np.bincount(k, count[seen], len(keys))
-        owner = (keys // np.uint64(max(1, len(words)))).astype(np.int64)
+        owner = np.repeat(place, sizes)[seen]
+        used = np.bincount(owner, minlength=len(every)) > 0
+        contexts, owner = every[used], (np.cumsum(used) - 1)[owner]
+        room = np.uint64(64 - max(1, len(contexts).bit_length()))
+        keys = owner.astype(np.uint64) << room | word[seen] >> np.uint64(64) - room
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        total = np.add.reduceat(count[seen][order].astype(np.int64), first) if len(keys) else np.zeros(0, np.int64)
+        keys = keys[first]
+        owner = (keys >> room).astype(np.int64)
         n, kinds = np.bincount(owner, total, len(contexts)), np.bincount(owner, minlength=len(contexts))
         ends = np.concatenate([[0], np.cumsum(kinds)])
-        return cls(EliasFano.of(contexts), EliasFano.of(ends), EliasFano.of(words), EliasFano.of(keys), quantise((total - discount) / n[owner]), quantise(discount * kinds / np.maximum(n, 1)))
+        return cls(EliasFano.of(contexts), EliasFano.of(ends), EliasFano.of(keys), quantise((total - discount) / n[owner]), quantise(discount * kinds / np.maximum(n, 1)))
 
     def bytes(self) -> bytes:
-        return b"".join(x.bytes() for x in (self.contexts, self.pointers, self.words, self.successors)) + self.chance.astype("<u2").tobytes() + self.weight.astype("<u2").tobytes()
+        return b"".join(x.bytes() for x in (self.contexts, self.pointers, self.successors)) + self.chance.astype("<u2").tobytes() + self.weight.astype("<u2").tobytes()
 
     @classmethod
     def read(cls, data, at: int = 0) -> Level:
         parts = []
-        for _ in range(4):
+        for _ in range(3):
             part, at = EliasFano.read(data, at)
             parts.append(part)
-        chance = np.frombuffer(data, "<u2", parts[3].n, at)
+        chance = np.frombuffer(data, "<u2", parts[2].n, at)
         return cls(*parts, chance, np.frombuffer(data, "<u2", parts[0].n, at + chance.nbytes))
 
-    def ask(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the n-gram's probability (0: not there) and of its context's weight (0: no such context)."""
-        c, w = self.contexts.find(context), self.words.find(word)
-        weight = np.where(c >= 0, self.weight[np.maximum(c, 0)], 0) if self.contexts.n else np.zeros(len(c), np.uint16)
-        ok = np.flatnonzero((c >= 0) & (w >= 0))
-        chance = np.zeros(len(c), np.uint16)
-        if len(ok):
-            start, end = self.pointers[c[ok]].astype(np.int64), self.pointers[c[ok] + 1].astype(np.int64)
-            at = self.successors.find(c[ok].astype(np.uint64) * np.uint64(self.words.n) + w[ok].astype(np.uint64), start, end)
-            chance[ok] = np.where(at >= 0, self.chance[np.maximum(at, 0)], 0)
-        return chance, weight.astype(np.uint16)
+    def ask(self, context: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of each word's probability after its context (0: not there) and of each context's weight (0: no such context)."""
+        if not self.contexts.n:
+            return np.zeros(len(word), np.uint16), np.zeros(len(context), np.uint16)
+        c = self.contexts.find(context)
+        near = np.maximum(c, 0)
+        weight = np.where(c >= 0, self.weight[near], 0).astype(np.uint16)
+        begin, end = self.pointers[near].astype(np.int64), self.pointers[near + 1].astype(np.int64)
+        end = np.where(c >= 0, end, begin)
+        at = self.successors.find(np.repeat(near.astype(np.uint64) << self.room, sizes) | word >> np.uint64(64) - self.room, np.repeat(begin, sizes), np.repeat(end, sizes))
+        return np.where(at >= 0, self.chance[np.maximum(at, 0)], 0).astype(np.uint16), weight
+
+
+class _Numbers(dict):
+    """Numbers words in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
 _hashes = _Hashes()
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-cased words; the end token isn't among them."""
-    return [w for w in text.translate(_UPPER).split(" ") if w] if _ODD.search(text) else text.translate(_UPPER).split(" ")
+def tokens(text: str) -> list[bytes]:
+    """Words as UTF-8, A-Z in lower case; the end token isn't among them."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
-_ODD = re.compile(r"[ \t-\r]{2}|^[ \t-\r]|[ \t-\r]$|^$")
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """Ascending in the hash."""
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 class Chunk:
-    """Some documents as words' hashes, and their distinct n-grams in the order of their shards."""
+    """Some documents as numbers of words, and for each length their distinct n-grams, by the hashes of context and word."""
 
-    def __init__(self, texts: list[str], learn: list[bool], order: int, shards: int):
-        if len(_hashes) > 1_000_000:
+    def __init__(self, texts: list[str], learn: list[bool], order: int):
+        if len(_hashes) > 500_000:
             _hashes.clear()
-        rows = [np.array([*map(_hashes.__getitem__, tokens(t)), END], np.uint64) for t in texts]
+        number, rows = _Numbers({None: 0, b" ": 1}), []
+        for text in texts:
+            row = list(map(number.__getitem__, tokens(text)))
+            row.append(0)
+            rows.append(np.array(row, np.int32))
         self.sizes = np.array([len(r) for r in rows], np.int64)
-        word = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-        train = np.repeat(np.array(learn, np.int64), self.sizes)
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        del rows
+        words = list(number)
+        h = np.fromiter(map(_hashes.__getitem__, words[2:]), np.uint64, len(words) - 2)
+        h = np.concatenate([[END, BEGIN], h]).astype(np.uint64)
+        turn = np.argsort(h)
+        rank = np.empty(len(h), np.int64)
+        rank[turn] = np.arange(len(h))
+        self.words, ids = h[turn], rank[flat]
+        train = np.repeat(np.array(learn, np.uint8), self.sizes)
+        self.counts = [np.bincount(ids, train, len(h)).astype(np.uint32)]
+        self.place, self.lower, self.contexts, self.spans, self.word = ids, [], [], [], []
         start = np.cumsum(self.sizes) - self.sizes
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.places: list[np.ndarray] = []
-        self.shard: list[np.ndarray] = []
-        before, context = word, np.zeros(len(word), np.uint64)
-        for level in range(order):
-            if level:
-                before = np.concatenate([[BEGIN], before[:-1]]).astype(np.uint64)
-                before[start] = BEGIN  # what lies before a text
-                if level > 1:
-                    before[np.minimum(start + level - 1, len(word) - 1)[self.sizes >= level]] = BEGIN
-                context = _mix(context, before)
-            key = _mix(context, word) if level else word
-            _, first, place = np.unique(key, return_index=True, return_inverse=True)
-            count = np.bincount(place, train, len(first)).astype(np.uint32)
-            own, by = context[first], word[first]
-            shard = ((own if level else by) >> np.uint64(7)) % np.uint64(shards)
-            turn = np.argsort(shard, kind="stable")
-            back = np.empty_like(turn)
-            back[turn] = np.arange(len(turn))
-            self.levels.append((own[turn], by[turn], count[turn]))
-            self.places.append(back[place])
-            self.shard.append(shard[turn].astype(np.int64))
+        context, before, place = self.words, int(rank[1]), ids
+        for level in range(1, order):
+            if level > 1:  # the contexts are the grams of the level before, and what lies before a text
+                g = np.append(_mix(context[owner], self.words[word]), _mix(context[before : before + 1], np.array([BEGIN], np.uint64)))
+                turn = np.argsort(g)
+                rank = np.empty(len(g), np.int64)
+                rank[turn] = np.arange(len(g))
+                context, before, place = g[turn], int(rank[-1]), rank[place]
+            ahead = np.concatenate([[before], place[:-1]]) if len(place) else place
+            ahead[start] = before
+            key = ahead * len(self.words) + ids
+            turn = np.argsort(key)
+            key = key[turn]
+            fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+            place = np.empty(len(key), np.int64)
+            place[turn] = np.cumsum(fresh) - 1
+            grams, first = key[fresh], turn[fresh]
+            owner, word = grams // len(self.words), grams % len(self.words)
+            self.lower.append(self.place[first])
+            self.place = place
+            self.counts.append(np.bincount(place, train, len(grams)).astype(np.uint32))
+            span = np.bincount(owner, minlength=len(context))
+            held = np.flatnonzero(span)
+            self.contexts.append(context[held])
+            self.spans.append(span[held].astype(np.uint32))
+            self.word.append(self.words[word])
 
     def parts(self, shards: int) -> Iterator[tuple[int, bytes]]:
-        """What each shard gets: for every level the number of n-grams, then contexts (but for words), words, counts."""
-        cuts = [np.searchsorted(s, np.arange(shards + 1)) for s in self.shard]
+        """What each shard gets: words and counts; then for every level contexts, their numbers of words, the words and counts."""
+        edges = np.arange(shards + 1)
+        cuts = [np.searchsorted(shard_of(x, shards), edges) for x in (self.words, *self.contexts)]
+        ends = [np.concatenate([[0], np.cumsum(s)]).astype(np.int64) for s in self.spans]
         for k in range(shards):
-            out = []
-            for level, ((own, by, count), cut) in enumerate(zip(self.levels, cuts, strict=True)):
+            a, b = cuts[0][k], cuts[0][k + 1]
+            out = [np.array([b - a], "<u8").tobytes(), self.words[a:b].tobytes(), self.counts[0][a:b].tobytes()]
+            for cut, end, context, span, word, count in zip(cuts[1:], ends, self.contexts, self.spans, self.word, self.counts[1:], strict=True):
                 a, b = cut[k], cut[k + 1]
-                out += [np.array([b - a], "<u8").tobytes(), own[a:b].tobytes() if level else b"", by[a:b].tobytes(), count[a:b].tobytes()]
+                c, d = end[a], end[b]
+                out += [np.array([b - a, d - c], "<u8").tobytes(), context[a:b].tobytes(), span[a:b].tobytes(), word[c:d].tobytes(), count[c:d].tobytes()]
             yield k, b"".join(out)
 
 
@@ -227,15 +275,15 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return h ^ h >> np.uint64(32)
 
 
-def unpack(data: bytes, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    out, at = [], 0
-    for level in range(order):
-        n = int(np.frombuffer(data, "<u8", 1, at)[0])
-        at += 8
-        own = np.frombuffer(data, np.uint64, n, at) if level else np.zeros(n, np.uint64)
-        at += 8 * n * bool(level)
-        out.append((own, np.frombuffer(data, np.uint64, n, at), np.frombuffer(data, np.uint32, n, at + 8 * n)))
-        at += 12 * n
+def unpack(data: bytes, order: int) -> list[tuple[np.ndarray, ...]]:
+    """(words, counts), then (contexts, spans, words, counts) for each further level."""
+    n = int(np.frombuffer(data, "<u8", 1)[0])
+    out, at = [(np.frombuffer(data, np.uint64, n, 8), np.frombuffer(data, np.uint32, n, 8 + 8 * n))], 8 + 12 * n
+    for _ in range(1, order):
+        n, m = (int(x) for x in np.frombuffer(data, "<u8", 2, at))
+        at += 16
+        out.append((np.frombuffer(data, np.uint64, n, at), np.frombuffer(data, np.uint32, n, at + 8 * n), np.frombuffer(data, np.uint64, m, at + 12 * n), np.frombuffer(data, np.uint32, m, at + 12 * n + 8 * m)))
+        at += 12 * (n + m)
     return out
 
 
@@ -284,7 +332,7 @@ def score(docs: DataFrame, held_out: Column, order: int = 2, chunk: int = CHUNK_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in _chunks(batches, chunk):
-            parts = list(Chunk([r[1] for r in rows], [r[2] for r in rows], order, shards).parts(shards))
+            parts = list(Chunk([r[1] for r in rows], [r[2] for r in rows], order).parts(shards))
             yield pa.RecordBatch.from_arrays([pa.array([name] * shards), pa.array([k for k, _ in parts], pa.int64()), pa.array([p for _, p in parts], pa.binary())], ["chunk", "shard", "part"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,17 +374,19 @@ def score(docs: DataFrame, held_out: Column, order: int = 2, chunk: int = CHUNK_
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in _chunks(batches, chunk):
-            c = Chunk([r[1] for r in rows], [r[2] for r in rows], order, shards)
-            got = read_answers(_mapped(f"{at}/chunks/{name}"), order)
-            first = np.cumsum(c.sizes) - c.sizes
-            counts = got[0][0][c.places[0]].astype(float)
+            c = Chunk([r[1] for r in rows], [r[2] for r in rows], order)
+            (counts,), *more = read_answers(_mapped(f"{at}/chunks/{name}"), order)
+            # By distinct n-grams, shorter ones first; the last ones' values go to the tokens.
             chance = base = (counts + 0.5) / (n + 0.5 * (v + 1))
-            for (p, w), place in zip(got[1:], c.places[1:], strict=True):
-                weight = restore(w)[place]
-                chance = np.where(weight > 0, restore(p)[place] + weight * chance, chance)
-            total = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
+            known, below = counts > 0, np.log10(base)
+            for (p, w), lower, span in zip(more, c.lower, c.spans, strict=True):
+                weight = np.repeat(restore(w), span)
+                chance = np.where(weight > 0, restore(p) + weight * chance[lower], chance[lower])
+                known, below = known[lower], below[lower]
+            first = np.cumsum(c.sizes) - c.sizes
+            total = lambda x: np.add.reduceat(x[c.place], first)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], ids), pa.array([not r[2] for r in rows]), pa.array(c.sizes), pa.array(total((counts > 0).astype(np.int64))), pa.array(np.full(len(rows), n, np.int64)), pa.array(total(np.log10(base))), pa.array(total(np.log10(np.minimum(chance, 1.0))))],
+                [pa.array([r[0] for r in rows], ids), pa.array([not r[2] for r in rows]), pa.array(c.sizes), pa.array(total(known.astype(np.int64))), pa.array(np.full(len(rows), n, np.int64)), pa.array(total(below)), pa.array(total(np.log10(np.minimum(chance, 1.0))))],
                 [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
@@ -347,11 +397,12 @@ def score(docs: DataFrame, held_out: Column, order: int = 2, chunk: int = CHUNK_
 def _answers(held: list[tuple[str, bytes]], shard: int, order: int, at: str) -> Iterator[pa.RecordBatch]:
     """Builds and stores a shard's trie and answers the chunks from its file."""
     asked = [unpack(part, order) for _, part in held]
-    levels = [[np.concatenate([a[k][i] for a in asked]) for i in range(3)] for k in range(order)]
-    words, place = np.unique(levels[0][1], return_inverse=True)
-    counts = np.bincount(place, levels[0][2], len(words)).astype(np.uint32)
+    levels = [[np.concatenate([a[k][i] for a in asked]) for i in range(4 if k else 2)] for k in range(order)]
+    words, place = np.unique(levels[0][0], return_inverse=True)
+    counts = np.bincount(place, levels[0][1], len(words)).astype(np.uint32)
     own, seen = words[counts > 0], counts[counts > 0]
     data = [EliasFano.of(own).bytes() + seen.astype("<u4").tobytes(), *(Level.of(*x).bytes() for x in levels[1:])]
+    del levels, words, place, counts
     head = np.cumsum([0, *(len(d) for d in data)]).astype("<u8")
     _store(f"{at}/trie/{shard:06d}", head.tobytes() + b"".join(data))
     mapped = _mapped(f"{at}/trie/{shard:06d}")
@@ -360,23 +411,24 @@ def _answers(held: list[tuple[str, bytes]], shard: int, order: int, at: str) ->
     tries = [Level.read(mapped, 8 * (order + 1) + int(head[k])) for k in range(1, order)]
     tokens, kinds = int(seen.sum()), len(own)
     for (name, _), a in zip(held, asked, strict=True):
-        found = index.find(a[0][1])
-        out = [np.array([len(x[1]) for x in a], "<u8").tobytes(), (np.where(found >= 0, stored[np.maximum(found, 0)], 0) if index.n else np.zeros(len(found))).astype("<u4").tobytes()]
-        for k, trie in enumerate(tries, 1):
-            p, w = trie.ask(a[k][0], a[k][1])
+        found = index.find(a[0][0])
+        sizes = [len(a[0][0]), *(x for own, _, word, _ in a[1:] for x in (len(own), len(word)))]
+        out = [np.array(sizes, "<u8").tobytes(), (np.where(found >= 0, stored[np.maximum(found, 0)], 0) if index.n else np.zeros(len(found))).astype("<u4").tobytes()]
+        for trie, (context, span, word, _) in zip(tries, a[1:], strict=True):
+            p, w = trie.ask(context, span, word)
             out += [p.astype("<u2").tobytes(), w.astype("<u2").tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([shard], pa.int64()), pa.array([tokens], pa.int64()), pa.array([kinds], pa.int64()), pa.array([b"".join(out)], pa.binary())], ["chunk", "shard", "tokens", "kinds", "answer"])
         tokens = kinds = 0
 
 
 def _split(data, at: int, order: int) -> tuple[list, int]:
-    sizes = [int(x) for x in np.frombuffer(data, "<u8", order, at)]
-    at += 8 * order
+    sizes = [int(x) for x in np.frombuffer(data, "<u8", 2 * order - 1, at)]
+    at += 8 * len(sizes)
     out = [(np.frombuffer(data, "<u4", sizes[0], at),)]
     at += 4 * sizes[0]
-    for n in sizes[1:]:
-        out.append((np.frombuffer(data, "<u2", n, at), np.frombuffer(data, "<u2", n, at + 2 * n)))
-        at += 4 * n
+    for n, m in zip(sizes[1::2], sizes[2::2], strict=True):
+        out.append((np.frombuffer(data, "<u2", m, at), np.frombuffer(data, "<u2", n, at + 2 * m)))
+        at += 2 * (n + m)
     return out, at
 
 
