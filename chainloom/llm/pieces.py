@@ -32,7 +32,7 @@ class _Numbered(dict):
 class ChunkTable:
     """``encode`` maps a list of strings to a list of id lists. ``most`` and ``most_chars`` bound the table, which starts anew beyond them."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 700_000, most_chars: int = 24_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000, most_chars: int = 16_000_000):
         self.encode_new, self.most, self.most_chars = encode, most, most_chars
         self.reset()
 
@@ -94,7 +94,7 @@ class Words:
     has seen, up to ``most`` of them. Chunks of letters, and those with one mark at the end,
     are split without the pattern."""
 
-    def __init__(self, find: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], most: int = 600_000, longest: int = 64):
+    def __init__(self, find: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], most: int = 400_000, longest: int = 64):
         self.find, self.encode, self.most, self.longest, self.known = find, encode, most, longest, {}
 
     def split(self, text: str) -> list[str]:
