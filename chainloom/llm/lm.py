@@ -319,7 +319,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str,
         yield name.hexdigest(), held
 
 
-def score(docs: DataFrame, held_out: Column, order: int = 2, chunk: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = 3, chunk: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows where ``held_out`` is false. ``chunk`` bounds what a scan task holds;
