@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -78,8 +78,60 @@ def k_paths(seeds: DataFrame, edges: DataFrame, rounds: int, k: int) -> DataFram
     return best(kept, k)
 
 
-def best(paths: DataFrame, k: int) -> DataFrame:
-    from pyspark.sql import Window
+def k_simple_paths(seeds: DataFrame, edges: DataFrame, rounds: int, k: int) -> tuple[DataFrame, bool]:
+    """(node, rank, hops, path) as ``k_paths`` gives, exact with cycles too, and whether more hops would change nothing.
 
+    A path may only be dropped for k better ones that can go on wherever it can. What goes on
+    from a node meets a path again only at nodes of a cycle, so the k best are kept for each
+    node and each set of such nodes on the way.
+    """
+    hops = cut(edges.select("src", "dst").distinct())
+    rings = cut(_looping(hops))
+    hops = cut(hops.join(rings.select(F.col("node").alias("dst"), F.lit(True).alias("loops")), "dst", "left").select("src", "dst", F.coalesce("loops", F.lit(False)).alias("loops")))
+    start = seeds.select("node").distinct().join(rings.withColumn("loops", F.lit(True)), "node", "left")
+    none = F.array().cast("array<string>")
+    kept = frontier = cut(start.select("node", F.lit(0).alias("hops"), F.col("node").cast("string").alias("path"), F.when(F.col("loops"), F.array(F.col("node").cast("string"))).otherwise(none).alias("met")))
+    order = Window.partitionBy("node", "met").orderBy("path")
+    for n in range(1, rounds + 2):
+        grown = frontier.join(hops, frontier.node == hops.src).where(~F.array_contains(F.split("path", ">"), F.col("dst").cast("string")))
+        met = F.when(F.col("loops"), F.array_sort(F.concat("met", F.array(F.col("dst").cast("string"))))).otherwise(none)
+        grown = grown.select(F.col("dst").alias("node"), F.lit(n).alias("hops"), F.concat_ws(">", "path", "dst").alias("path"), met.alias("met"))
+        taken = kept.groupBy("node", "met").agg(F.count(F.lit(1)).alias("taken"))
+        fresh = grown.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(taken, ["node", "met"], "left").where(F.col("rank") + F.coalesce("taken", F.lit(0)) <= k)
+        frontier = cut(fresh.select("node", "hops", "path", "met"))
+        if frontier.isEmpty():
+            return best(kept.drop("met"), k), True
+        if n <= rounds:
+            kept = kept.unionByName(frontier)
+    found = cut(best(kept.drop("met"), k))
+    full = found.where(F.col("rank") == k).select("node")
+    # The last round went one hop further: it tells whether some node would get another path.
+    return found, not _more(frontier, full, hops)
+
+
+def _more(frontier: DataFrame, full: DataFrame, hops: DataFrame) -> bool:
+    """Whether paths beyond the bound could be among the best: at their node or, further on, at one that isn't full."""
+    ahead, seen = frontier.select("node").distinct(), None
+    while not ahead.isEmpty():
+        if not ahead.join(full, "node", "left_anti").isEmpty():
+            return True
+        seen = ahead if seen is None else seen.unionByName(ahead)
+        ahead = cut(ahead.join(hops, ahead.node == hops.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
+    return False
+
+
+def _looping(hops: DataFrame, rounds: int = 64) -> DataFrame:
+    """(node) of all nodes on a cycle and, if ``rounds`` don't suffice to trim what only leads there, of some more."""
+    left = hops.select("src", "dst")
+    n = left.count()
+    for _ in range(rounds):
+        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, n = n, left.count()
+        if n in (0, before):
+            break
+    return left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+
+
+def best(paths: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("node").orderBy("hops", "path")
     return paths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -17,6 +17,8 @@ from .views import Program, duck
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 ROUNDS = 6
+#: The reference's bounds on hops: forward and backward.
+FORWARD, BACKWARD = 20, 40
 
 
 def query(oracle: str | None = None):
@@ -102,6 +104,62 @@ def bounded_call_path(p):
     return _paths(p, 1).join(p.sinks, F.col("node") == F.col("method")).select(F.col("node").alias("sink"), "path")
 
 
+# The same to the reference's bounds. DuckDB would list all walks of that length, so these have
+# no SQL; the tests compare them with brute force. ``complete`` says whether nothing lies beyond.
+
+
+def _reach_full(p: Program, rounds: int = FORWARD) -> DataFrame:
+    return _bounded(p.sources, p.edges.where("type <> 'LAMBDA'"), rounds)
+
+
+def _distance_full(p: Program, rounds: int = BACKWARD) -> DataFrame:
+    return _bounded(p.sinks, p.edges.where("type <> 'LAMBDA'").select(F.col("dst").alias("src"), F.col("src").alias("dst")), rounds)
+
+
+def _bounded(seeds: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+    """One round more than asked for tells whether anything lies beyond."""
+    seen, complete = fixpoint.least_depth(seeds.select(F.col("method").alias("node")), edges, rounds + 1)
+    return seen.where(F.col("depth") <= rounds).withColumn("complete", F.lit(complete))
+
+
+def _paths_full(p: Program, k: int) -> DataFrame:
+    paths, complete = fixpoint.k_simple_paths(p.sources.select(F.col("method").alias("node")), p.edges.where("type <> 'LAMBDA'"), FORWARD, k)
+    return paths.withColumn("complete", F.lit(complete))
+
+
+@query()
+def reach_min_depth_full(p):
+    return _reach_full(p)
+
+
+@query()
+def sink_distance_full(p):
+    return _distance_full(p)
+
+
+@query()
+def entry_sink_intersection_full(p):
+    """Nodes on a way of at most as many hops as a forward path may have; what lies beyond those bounds isn't on one."""
+    ahead, back = _reach_full(p), _distance_full(p, FORWARD)
+    met = ahead.select("node", F.col("depth").alias("entry_depth"), "complete").join(back.select("node", F.col("depth").alias("distance"), F.col("complete").alias("ended")), "node")
+    return met.where(F.col("entry_depth") + F.col("distance") <= FORWARD).select("node", "entry_depth", "distance", (F.col("complete") & F.col("ended")).alias("complete"))
+
+
+@query()
+def taint_forward_best_full(p):
+    return _paths_full(p, 1).select("node", "hops", "path", "complete")
+
+
+@query()
+def taint_forward_k8_full(p):
+    return _paths_full(p, 8).select("node", "rank", "hops", "path", "complete")
+
+
+@query()
+def bounded_call_path_full(p):
+    return _paths_full(p, 1).join(p.sinks, F.col("node") == F.col("method")).select(F.col("node").alias("sink"), "path", "complete")
+
+
 # Hierarchy and dispatch ------------------------------------------------------------------
 
 _CLOSURE = """WITH c AS (SELECT super AS ancestor, name AS descendant, 1 AS depth FROM {types} WHERE super IS NOT NULL UNION SELECT c.ancestor, t.name, c.depth + 1 FROM c JOIN {types} t ON t.super = c.descendant),
