@@ -72,12 +72,18 @@ def _seeded(seed: int, *cols: Column) -> Column:
 
 
 def source_plan(words: list[tuple[str | None, int]], weights=WEIGHTS, share: float = 1.5, epochs: int = 2, block: int = 1000) -> list[tuple]:
-    """(source, its number, words, target, quota of blocks), sources by code point and null last."""
+    """(source, its number, words, target, quota of blocks, words of a block), sources by code point and null last.
+
+    Words are apportioned, and each source's are cut into blocks of its own length: ``block``,
+    or less for a source whose target is not many of them.
+    """
     names = sorted(words, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
     sizes = [n for _, n in names]
     want = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share, epochs)
-    quotas = sainte_lague(want, round(sum(want) / block), [math.ceil(epochs * n / block) for n in sizes])
-    return [(s, i, n, t, q) for i, ((s, n), t, q) in enumerate(zip(names, want, quotas, strict=True))]
+    own = sainte_lague(want, round(sum(want)), [epochs * n for n in sizes])
+    steps = [max(1, min(block, int(t) // 200)) if t else block for t in want]
+    quotas = [min(round(w / step), math.ceil(epochs * n / step)) for w, step, n in zip(own, steps, sizes, strict=True)]
+    return [(s, i, n, t, q, step) for i, ((s, n), t, q, step) in enumerate(zip(names, want, quotas, steps, strict=True))]
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int = 2, seed: int = 7, block: int = 1000, shard_words: int = 500_000) -> DataFrame:
@@ -87,20 +93,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int = 2, s
     driver sees one sum per source; a source's shards, of ``shard_words`` words on average,
     are planned in one task per source and applied by equi-joins, so no window holds more
     than a shard, whatever a source's part of the rows. ``block`` is lowered for small inputs
-    to a ten-thousandth of all words.
+    to a ten-thousandth of all words, and for a small source to a two-hundredth of its target.
     """
     spark = docs.sparkSession
     sized = stored(docs.select("doc_id", "source", F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("print")), "sizes")
     sums = [(r["source"], r["words"]) for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()]
-    step = max(1, min(block, sum(n for _, n in sums) // 10_000))
-    rows = [(s, i, n, t, q, max(1, -(-n // shard_words))) for s, i, n, t, q in source_plan(sums, weights, share, epochs, step)]
-    sources = spark.createDataFrame(rows, "of string, src long, source_size long, target double, quota long, shards long")
+    most = max(1, min(block, sum(n for _, n in sums) // 10_000))
+    rows = [(s, i, n, t, q, b, max(1, -(-n // shard_words))) for s, i, n, t, q, b in source_plan(sums, weights, share, epochs, most)]
+    sources = spark.createDataFrame(rows, "of string, src long, source_size long, target double, quota long, step long, shards long")
     dealt = sized.join(sources.drop("quota"), F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", F.pmod(_seeded(seed, F.col("doc_id"), F.col("print")), F.col("shards"))).drop("of", "shards")
-    by_shard = dealt.groupBy("src", "shard").agg(F.sum("size").alias("words")).join(sources.select("src", "quota"), "src")
+    by_shard = dealt.groupBy("src", "shard").agg(F.sum("size").alias("words")).join(sources.select("src", "quota", "step"), "src")
 
     def quotas(cells):
         cells = cells.sort_values("shard", ignore_index=True)
-        cells["blocks"] = -(-epochs * cells["words"] // step)
+        cells["blocks"] = -(-epochs * cells["words"] // cells["step"])
         cells["quota"] = sainte_lague(cells["words"].tolist(), int(cells["quota"].iloc[0]), cells["blocks"].tolist())
         return cells[["src", "shard", "blocks", "quota"]]
 
@@ -109,6 +115,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int = 2, s
     lot = Window.partitionBy("src", "shard").orderBy(_seeded(seed + 1, F.col("src"), F.col("shard"), F.col("block")), "block")
     chosen = each.withColumn("place", F.row_number().over(lot)).where("place <= quota").select("src", "shard", "block", F.lit(True).alias("chosen"))
 
+    step = F.col("step")
     order = Window.partitionBy("src", "shard").orderBy(_seeded(seed + 2, F.col("doc_id"), F.col("print")), "doc_id", "print", "size")
     placed = dealt.withColumn("row", F.row_number().over(order)).withColumn("stop", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.withColumn("words", F.sum("size").over(Window.partitionBy("src", "shard")))

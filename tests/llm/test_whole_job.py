@@ -5,7 +5,7 @@ import zlib
 
 from test_text_operators import plain_scores
 
-from chainloom.llm import queries
+from chainloom.llm import mixing, queries
 
 
 def test_registered_language_model_counts_three_words(spark, tmp_path):
@@ -17,3 +17,13 @@ def test_registered_language_model_counts_three_words(spark, tmp_path):
     three, two = ({i: s for i, *_, s in plain_scores(rows, n, held)} for n in (3, 2))
     assert all(abs(got[i] - three[i]) < 3e-4 * 31 for i in three)
     assert max(abs(got[i] - two[i]) for i in two) > 0.1
+
+
+def test_small_sources_come_near_their_targets(spark):
+    rows = [(i, "w " * 20_000, "many") for i in range(600)] + [(1000, "w " * 200, "small"), (1001, "w " * 700, "some")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert sum(x.size for x in got) > 10_000_000
+    for name in ("many", "small", "some"):
+        own = [x for x in got if x.source == name]
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 2 + 0.01 * own[0].target, name
+        assert all(0 <= x.taken <= 2 * x.size for x in own)
