@@ -3,6 +3,8 @@
 import random
 import zlib
 
+import corpus_pipeline
+import pytest
 from test_text_operators import plain_scores
 
 from chainloom.llm import mixing, queries
@@ -27,3 +29,24 @@ def test_small_sources_come_near_their_targets(spark):
         own = [x for x in got if x.source == name]
         assert abs(sum(x.taken for x in own) - own[0].target) <= 2 + 0.01 * own[0].target, name
         assert all(0 <= x.taken <= 2 * x.size for x in own)
+
+
+WORDS = {
+    "en": "the of and to in that was his with for had not but from they this have she which you were all been when there would their what who will more could time than other into then some these two may only over such our man made like even after most also did many before must through years where much way well down should because each just those people how too little state good very make world still own see work long here get both between life being under".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei prozent hatte kann gegen vom können schon wenn habe seine mark ihre dann unter wir soll ich eines jahr zwei jahren diese dieser wieder keine uhr seiner worden will zwischen immer".split(),
+}
+FINNISH = "hän oli kuin mutta niin että sitä mitä minun sinun tämä kaikki jotka vielä nyt kun hyvin olen olisi voidaan myös koska sekä ihmisten työssä kysymys yhteiskunnan päivää kirjoittaa ymmärtää löytyy"
+
+
+@pytest.mark.parametrize("labels", [["en"], ["en", "de"]])
+def test_language_stage_rejects_unknown_languages_and_gibberish(spark, labels):
+    r = random.Random(5)
+    say = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, say(WORDS[x], r.randint(5, 120)), x) for i in range(400) for x in [r.choice(labels)]]
+    short = [(1000 + i, say(WORDS[labels[i % len(labels)]], 5), None) for i in range(60)]
+    other = [(2000 + i, say(FINNISH.split(), 40), None) for i in range(30)] + [(2100 + i, "быть или не быть вот в чём вопрос " * 3, None) for i in range(3)]
+    noise = [(3000 + i, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(30)), None) for i in range(30)]
+    docs = spark.createDataFrame([(*x, "s", 1) for x in rows + short + other + noise], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in corpus_pipeline.language(spark, docs, "").collect()}
+    assert not kept & {i for i, *_ in other + noise}
+    assert len(kept & {i for i, *_ in short}) >= 0.95 * len(short) and len(kept & {i for i, *_ in rows}) >= 0.97 * len(rows)
