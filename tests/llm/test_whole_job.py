@@ -50,3 +50,14 @@ def test_language_stage_rejects_unknown_languages_and_gibberish(spark, labels):
     kept = {x.doc_id for x in corpus_pipeline.language(spark, docs, "").collect()}
     assert not kept & {i for i, *_ in other + noise}
     assert len(kept & {i for i, *_ in short}) >= 0.95 * len(short) and len(kept & {i for i, *_ in rows}) >= 0.97 * len(rows)
+
+
+def test_repeated_rows_are_taken_twice_at_most(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(WORDS["en"]) for _ in range(60)), "en", "s", 300) for i in range(40)]
+    rows += [rows[3]] * 4 + [(None, *rows[5][1:4], 1), (3, "another text of the same id and of some words", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    one = corpus_pipeline.near_duplicates(spark, docs, "").persist()
+    assert [x.text for x in one.collect()].count(rows[3][1]) == 1 and {x.doc_id for x in one.collect()} >= set(range(40))
+    mixed = [x.text for x in corpus_pipeline.mixture(spark, one, "").collect()]
+    assert all(mixed.count(x[1]) <= 2 for x in rows if x is not rows[5] and x[0] is not None and x[1] != rows[5][1])
