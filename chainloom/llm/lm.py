@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -305,18 +306,20 @@ def _store(at: str, data: bytes) -> None:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list]]:
-    """Runs of rows (id, text, learn) of about ``most`` characters, and a name made of what is in them."""
-    held, chars, name = [], 0, xxhash.xxh3_128()
+    """Runs of rows (id, text, learn) of about ``most`` characters, and a name made of the scan task, the run's place in it and what is in it."""
+    task = TaskContext.get()
+    at = f"{task.partitionId() if task else 0}-"
+    held, chars, name, k = [], 0, xxhash.xxh3_128(), 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held.append(row)
             chars += len(row[1])
-            name.update(f"{row[0]}:{len(row[1])}:{row[1][:32]};".encode("utf-8", "surrogatepass"))
+            name.update(f"{row[0]}:{len(row[1])}:{row[1]};".encode("utf-8", "surrogatepass"))
             if chars >= most:
-                yield name.hexdigest(), held
-                held, chars, name = [], 0, xxhash.xxh3_128()
+                yield f"{at}{k}-{name.hexdigest()}", held
+                held, chars, name, k = [], 0, xxhash.xxh3_128(), k + 1
     if held:
-        yield name.hexdigest(), held
+        yield f"{at}{k}-{name.hexdigest()}", held
 
 
 def score(docs: DataFrame, held_out: Column, order: int = 3, chunk: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 from test_text_operators import plain_scores
 
-from chainloom.llm import mixing, queries
+from chainloom.llm import langid, lm, mixing, queries
 
 
 def test_registered_language_model_counts_three_words(spark, tmp_path):
@@ -61,3 +61,10 @@ def test_repeated_rows_are_taken_twice_at_most(spark):
     assert [x.text for x in one.collect()].count(rows[3][1]) == 1 and {x.doc_id for x in one.collect()} >= set(range(40))
     mixed = [x.text for x in corpus_pipeline.mixture(spark, one, "").collect()]
     assert all(mixed.count(x[1]) <= 2 for x in rows if x is not rows[5] and x[0] is not None and x[1] != rows[5][1])
+
+
+def test_repeated_rows_in_several_partitions_are_scored_each(spark):
+    docs = spark.createDataFrame([(i, f"the cat sat on mat {i % 3}") for i in range(12)], "doc_id long, text string").coalesce(1)
+    got = lm.score(docs.union(docs), langid.held_out(parts=5, part=1), chunk=60).collect()
+    assert sorted(x.doc_id for x in got) == sorted([*range(12)] * 2)
+    assert len({(x.doc_id, x.score) for x in got}) == 12
