@@ -15,9 +15,11 @@ Keys are the identifier as eight big-endian bytes with the sign bit flipped, so
 order is number order; a null identifier has the empty key, which comes first. A lookup asks
 the filter, finds the block by binary search in the index and reads that block alone.
 
-Null and empty texts are documents with the end id only. Rows with one identifier stay next
-to each other, ordered by text. A run of a task that is repeated writes the same bytes to a
-name of its own and then renames the file, so a lost executor leaves no half shard.
+Null and empty texts are documents with the end id only. Rows with one identifier, or with
+none, follow each other in the order of a hash of their texts; repeated rows are documents
+each. Very long texts are encoded whole. Columns other than identifier and text aren't read.
+Empty input gives no shards. A task that runs again writes a file of another name, and only
+those in the manifest count, so a lost executor leaves no half shard behind.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -40,11 +43,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import modest_batches, partitions, scratch, whole
-from .pieces import ChunkTable, Words
+from .pieces import Codes, compose, split
 
+#: Letters below U+0250, with a space before them or not.
+LETTERS = "^ ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+$"
 MAGIC = b"CLSSTAB1"
 FOOTER = struct.Struct("<QQQQQQ8s")
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 1 << 18, 10, 7
+#: Bytes of text that a task encodes at once.
+GATHER = 12_000_000
 
 
 def varint(value: int) -> bytes:
@@ -185,56 +192,105 @@ class Reader:
         return out
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> ChunkTable:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Encoder:
+    """The tokenizers library over whole texts, by way of their distinct pieces.
+
+    Pieces of characters below U+0250 are split alike by both pattern engines. A chunk with
+    other characters, or with the string of a special token, is one piece here and goes to
+    the library as it is, which then treats it as it would within the text.
+    """
+
+    JOINED = 100
+
+    def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        find = regex.compile(pattern).findall
+        special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
+        own = lambda s: any(x in s for x in special) or not (s.isascii() or max(s) < "ɐ")
+        self.cut = lambda s: [s] if s and own(s) else find(s)
+        self.newline = self.library.encode("\n", add_special_tokens=False).ids
+        self.codes = Codes(self._encode)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of Latin letters are encoded many at a time, with line feeds between them, the rest one by one."""
+        strings = pa.array(words, pa.string())
+        many = pc.match_substring_regex(strings, LETTERS)
+        joined = strings.filter(many).to_pylist()
+        lines = ["\n".join(joined[i : i + self.JOINED]) + "\n" for i in range(0, len(joined), self.JOINED)]
+        found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        end = ids == self.newline[0]
+        single = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(strings.filter(pc.invert(many)).to_pylist(), add_special_tokens=False)]
+        own = np.concatenate([np.diff(np.flatnonzero(end), prepend=-1) - 1, np.fromiter(map(len, single), np.int64, len(single))])
+        many = many.to_numpy(zero_copy_only=False)
+        place = np.concatenate([np.flatnonzero(many), np.flatnonzero(~many)])
+        starts, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[place], sizes[place] = np.cumsum(own) - own, own
+        return starts, sizes, np.concatenate([ids[~end], *single])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = split(texts, self.cut)
+        return compose(found, *self.codes(found.words.to_pylist()))
+
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    batch = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-    words = Words(regex.compile(pattern).findall, batch)
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        # Characters below U+0250 split alike for both pattern engines; other texts go whole.
-        if all(s.isascii() or max(s) < "ɐ" for s in texts):
-            return words(texts)
-        plain = [s.isascii() or max(s) < "ɐ" for s in texts]
-        near, far = iter(words([s for s, ok in zip(texts, plain, strict=True) if ok])), iter(batch([s for s, ok in zip(texts, plain, strict=True) if not ok]))
-        return [next(near if ok else far) for ok in plain]
 
-    return ChunkTable(encode)
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = GATHER) -> Iterator[pa.Table]:
+    """Batches joined to tables of about ``most`` bytes; a text is never cut."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def write_shards(docs: DataFrame, at: str, tokenizer: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Writes shards below ``at`` in key order and returns their manifest, already stored:
-    shard, path, n_docs, n_ids. ``shards`` is the number of key ranges."""
+    shard, path, n_docs, n_ids. ``shards`` is the number of key ranges.
+
+    Rows of one identifier, or without any, are spread over ranges by their text, so a
+    frequent identifier may go on in the next shard. Each attempt of a task writes a file of
+    its own name; the manifest lists those of the attempts that Spark committed.
+    """
     spark = docs.sparkSession
     modest_batches(spark)
     n = shards or partitions(spark)
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    ranged = given.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("print", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("print").asc()]
+    ranged = given.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").drop("print")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode, store, writer = _encoder(tokenizer, pattern), None, None
+        encode, writer = encoder(tokenizer, pattern), None
         end = np.array([end_id], np.uint32)
-        for batch in batches:
-            if writer is None and batch.num_rows:
+        for rows in _gathered(batches):
+            if not rows.num_rows:
+                continue
+            if writer is None:
                 store, root = fs.FileSystem.from_uri(at)
                 store.create_dir(root)
-                path, draft = f"{root}/shard-{shard:06d}.sst", f"{root}/.draft-{uuid.uuid4().hex}"
-                out = store.open_output_stream(draft)
+                name = f"shard-{shard:06d}-{uuid.uuid4().hex}.sst"
+                out = store.open_output_stream(f"{root}/{name}")
                 writer = Writer(out)
-            for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                writer.add(key_of(i), np.concatenate([ids, end]))
+            ids, offsets = encode(rows.column(1).combine_chunks())
+            for k, i in enumerate(rows.column(0).to_pylist()):
+                writer.add(key_of(i), np.concatenate([ids[offsets[k] : offsets[k + 1]], end]))
         if writer:
             writer.close()
             out.close()
-            store.move(draft, path)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([f"{at}/shard-{shard:06d}.sst"]), pa.array([len(writer.keys)], pa.int64()), pa.array([writer.n_ids], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([f"{at}/{name}"]), pa.array([len(writer.keys)], pa.int64()), pa.array([writer.n_ids], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
 
     manifest = ranged.mapInArrow(run, "shard long, path string, n_docs long, n_ids long")
     manifest.write.parquet(f"{at}/manifest")
