@@ -25,12 +25,11 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import modest_batches, scratch, whole
-from .exchange import answers, ask, chunks, rescannable, string_bytes
+from .exchange import answers, ask, by_shard, chunks, rescannable, string_bytes
 from .pieces import Pieces, compose, ranges, split
 
 #: Bytes of text in a chunk, and of words in one list.
@@ -140,20 +139,12 @@ def _pieces(rows: pa.Table, pattern: str) -> Pieces:
     return split(rows.columns[-1].chunk(0), regex.compile(pattern).findall)
 
 
-def _places(words: pa.StringArray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words' order by shard, and where each shard's begin in it."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
-    shard = ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
-
-
 def _parts(pattern: str):
     """For each shard: the number of words, their sizes and their bytes."""
 
     def parts(_: str, rows: pa.Table, shards: int) -> Iterator[tuple[int, bytes]]:
         words = _pieces(rows, pattern).words
-        order, cuts = _places(words, shards)
+        order, cuts = by_shard(words, shards)
         data, offsets = string_bytes(words.take(pa.array(order)))
         sizes = np.diff(offsets).astype("<u4")
         for k in range(shards):
@@ -198,7 +189,7 @@ def _answer(path: str):
 def _answered(rows: pa.Table, pattern: str, got: list[memoryview]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all rows one after another, where each row's begin and end)."""
     found = _pieces(rows, pattern)
-    order, cuts = _places(found.words, len(got))
+    order, cuts = by_shard(found.words, len(got))
     sizes, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     for k, part in enumerate(got):
         n = int(cuts[k + 1] - cuts[k])

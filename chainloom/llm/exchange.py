@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -66,6 +67,36 @@ def string_bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at.astype(np.int64) - at[0]
 
 
+def by_shard(words: pa.StringArray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words by shard, and where in it each shard's begin."""
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+    return in_order(shard_of(h, shards), shards)
+
+
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def in_order(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers, as planes of their bytes, compressed."""
+    width = next(w for w in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << 8 * w)
+    planes = np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    data = zstandard.compress(planes, 1)
+    return bytes([width]) + len(values).to_bytes(8, "little") + len(data).to_bytes(8, "little") + data
+
+
+def unpack(data: bytes | memoryview, at: int = 0) -> tuple[np.ndarray, int]:
+    """The numbers, and where in the data they end."""
+    width, n, size = data[at], int.from_bytes(data[at + 1 : at + 9], "little"), int.from_bytes(data[at + 9 : at + 17], "little")
+    planes = np.frombuffer(zstandard.decompress(data[at + 17 : at + 17 + size], max(1, n * width)), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(f"<u{width}").ravel(), at + 17 + size
+
+
 def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, pa.Table]]:
     """Runs of rows of about ``most`` bytes, with their names; the last column is the text, without nulls."""
     task = TaskContext.get()

@@ -1,23 +1,28 @@
-"""Language-model scores from an n-gram trie of Elias-Fano levels.
-
-Counting and scoring share one exchange. A scan task cuts its rows into chunks, reduces each
-chunk to its distinct n-grams with their training counts, and sends every n-gram to the shard
-of its context. A shard adds the counts, builds its trie, stores it in the shared folder and
-answers each chunk from the memory-mapped file; a second scan forms the same chunks and
-scores its documents with the answers. So neither the corpus' n-grams nor its vocabulary is
-ever in one place, and what is sent are distinct n-grams per chunk, not tokens.
-
-A trie level is a sequence of contexts, pointers to their ranges of successors, and the
-successors. All three are monotone and Elias-Fano coded: high parts in unary, low parts as
-they are. Successors hold their context's place and the hash of their word, so a lookup is a
-successor search within its context's range. Each n-gram has a
-smoothed probability and each context a weight for the shorter context, both quantised to
-16 bits on a logarithmic scale.
+"""Language-model scores from n-gram tries of Elias-Fano levels.
+
+Two exchanges (see ``exchange``) learn the model and answer every document. In the first, a
+chunk sends its distinct words to shards by hash; a shard adds their training counts and
+numbers its words, frequent ones first, so that the numbers of a corpus' words are small
+and unique without a list of them in one place. In the second, a chunk sends its distinct
+n-grams, as numbers, to the shard of their context; a shard adds the counts, builds a trie
+for each length, stores it in the shared folder and answers from the memory-mapped file. A
+last scan scores the documents. What is sent are distinct n-grams per chunk, sorted, as
+differences and compressed, not tokens.
+
+A trie goes from an n-gram's first word to its last. A level is a sorted sequence of
+(place of the parent, number of the word); pointers lead from each place to its children in
+the next level. Both are monotone and Elias-Fano coded: high parts in unary, with a
+directory of ones and zeros, low parts bit by bit. A lookup walks from level to level: a
+successor search for the next word within the range of the context found so far, on the
+mapped bytes. The last level has a probability for each n-gram and a weight for each
+context, quantised to 16 bits on a logarithmic scale; no hash stands for an n-gram.
 
 The unigram is (c + 0.5) / (N + 0.5 (V + 1)); longer contexts interpolate with absolute
-discounting. Null and empty texts hold the end token only. Equal texts get equal scores,
-repeated rows are scored each, very long texts are cut at no place. Without training rows,
-N and V are 0 and every token has probability 1, for want of anything else to expect.
+discounting. Null and empty texts hold the end token only. Equal texts get equal scores;
+repeated rows are scored each, with null ids too; ties don't arise; very long texts are cut
+at no place. Only id, text and what ``held_out`` reads matter, whatever other columns there
+are. Without training rows, N and V are 0 and every token has probability 1, for want of
+anything else to expect. Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -26,16 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyarrow import fs
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import modest_batches, partitions, scratch, whole
+from .common import modest_batches, scratch, whole
+from .exchange import answers, ask, by_shard, chunks, in_order, mapped, pack, put, rescannable, shard_of, string_bytes, unpack
+from .pieces import ranges
 
-DISCOUNT, CHUNK_CHARS, SCALE = 0.75, 16_000_000, 9.0
-BEGIN, END = np.uint64(1), np.uint64(2)
+DISCOUNT, CHUNK, SCALE = 0.75, 12_000_000, 9.0
+#: Words that no text has: the end of a text, and what stands before it.
+END, BEGIN = " ", "  "
+BLOCK, ASKED = 8, 1 << 16
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -53,53 +60,94 @@ def restore(code: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A sorted sequence of 64-bit unsigned integers as a low array and a unary bit vector."""
+    """A sorted sequence of unsigned 64-bit integers: ``low`` holds the low bits of each, one
+    after another, ``high`` their high parts in unary: for each high part a one per value,
+    then a zero. Both are 64-bit words and stay as they are; lookups touch only what they need."""
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.bits, self.low, self.high = n, bits, low, high
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little")) if n else np.zeros(0, np.int64)
-        self.tops = ones - np.arange(n)  # the high part of each value
-        self._values: np.ndarray | None = None
+        ones = np.bitwise_count(high).astype(np.int64).reshape(-1, BLOCK).sum(1)
+        self.ones = np.cumsum(ones) - ones  # before each block of words
+        self.zeros = np.arange(len(ones)) * (64 * BLOCK) - self.ones
+        self.tops = len(high) * 64 - int(ones.sum())
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         v = values.astype(np.uint64)
         n = len(v)
         bits = max(0, int(int(v[-1]) // n).bit_length() - 1) if n else 0
-        low = v & np.uint64((1 << bits) - 1)
-        width = next(w for w in (1, 2, 4, 8) if bits <= 8 * w)
-        marks = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        unary = np.zeros(int(marks[-1]) + 1 if n else 0, np.uint8)
-        unary[marks] = 1
-        return cls(n, bits, low.astype(f"<u{width}"), np.packbits(unary, bitorder="little"))
+        low = np.zeros((n * bits + 63) // 64 + 1, np.uint64)
+        part, at = v & np.uint64((1 << bits) - 1), np.arange(n, dtype=np.int64) * bits
+        if bits:
+            word, shift = at >> 6, (at & 63).astype(np.uint64)
+            np.bitwise_or.at(low, word, part << shift)
+            over = (at & 63) + bits > 64
+            np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
+        top = (v >> np.uint64(bits)).astype(np.int64)
+        size = (int(top[-1]) + 1 if n else 0) + n
+        unary = np.zeros(-(-size // (64 * BLOCK)) * 64 * BLOCK, np.uint8)
+        unary[top + np.arange(n)] = 1
+        return cls(n, bits, low, np.packbits(unary, bitorder="little").view("<u8"))
 
     def bytes(self) -> bytes:
-        head = np.array([self.n, self.bits, self.low.itemsize, len(self.high)], "<u8").tobytes()
-        return head + self.low.tobytes() + self.high.tobytes()
+        return np.array([self.n, self.bits, len(self.low), len(self.high)], "<u8").tobytes() + self.low.astype("<u8").tobytes() + self.high.astype("<u8").tobytes()
 
     @classmethod
     def read(cls, data, at: int) -> tuple[EliasFano, int]:
-        n, bits, width, size = (int(x) for x in np.frombuffer(data, "<u8", 4, at))
+        n, bits, a, b = (int(x) for x in np.frombuffer(data, "<u8", 4, at))
         at += 32
-        low = np.frombuffer(data, f"<u{width}", n, at)
-        high = np.frombuffer(data, np.uint8, size, at + n * width)
-        return cls(n, bits, low, high), at + n * width + size
+        return cls(n, bits, np.frombuffer(data, "<u8", a, at), np.frombuffer(data, "<u8", b, at + 8 * a)), at + 8 * (a + b)
+
+    def _select(self, i: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
+        """The place of the i-th one, or of the i-th zero if ``flip``."""
+        block = np.searchsorted(before, i, "right") - 1
+        left = i - before[block]
+        words = self.high[block[:, None] * BLOCK + np.arange(BLOCK)]
+        if flip:
+            words = ~words
+        sums = np.bitwise_count(words).astype(np.int64).cumsum(1)
+        word = (sums <= left[:, None]).sum(1)
+        rows = np.arange(len(i))
+        left = left - np.where(word > 0, sums[rows, np.maximum(word - 1, 0)], 0)
+        x, place = words[rows, word], np.zeros(len(i), np.int64)
+        for half in (32, 16, 8, 4, 2, 1):
+            count = np.bitwise_count(x & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = left >= count
+            left, place = left - np.where(up, count, 0), place + np.where(up, half, 0)
+            x = np.where(up, x >> np.uint64(half), x)
+        return (block * BLOCK + word) * 64 + place
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.bits:
+            return np.zeros(len(i), np.uint64)
+        at = i.astype(np.int64) * self.bits
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        part = self.low[word] >> shift
+        over = (np.uint64(64) - shift) % np.uint64(64)
+        part |= np.where(shift > 0, self.low[np.minimum(word + 1, len(self.low) - 1)] << over, np.uint64(0))
+        return part & np.uint64((1 << self.bits) - 1)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return self.tops[i].astype(np.uint64) << np.uint64(self.bits) | self.low[i].astype(np.uint64)
+        i = np.asarray(i)
+        return (self._select(i, self.ones, False) - i).astype(np.uint64) << np.uint64(self.bits) | self._low(i)
 
     def successor(self, x: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """The place of the first value not below x, within [start, end) of each, if given."""
         x = x.astype(np.uint64)
-        if start is None:
-            top = (x >> np.uint64(self.bits)).astype(np.int64)
-            lo, hi = np.searchsorted(self.tops, top, "left"), np.searchsorted(self.tops, top, "right")
-        else:
-            lo, hi = start.copy(), end.copy()
+        top = (x >> np.uint64(self.bits)).astype(np.int64)
+        # Values with this high part stand between two zeros; of them only low parts are compared.
+        inside = top < self.tops
+        near = np.where(inside, top, 0)
+        hi = np.where(inside, self._select(near, self.zeros, True) - near, self.n)
+        lo = np.where(inside & (near > 0), self._select(np.maximum(near - 1, 0), self.zeros, True) - np.maximum(near - 1, 0), np.where(inside, 0, self.n))
+        if start is not None:
+            lo, hi = np.maximum(lo, start), np.minimum(hi, end)
+            lo, hi = np.minimum(lo, end), np.maximum(hi, np.minimum(lo, end))
+        low = x & np.uint64((1 << self.bits) - 1)
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
-            less = self[mid] < x[open_]
+            less = self._low(mid) < low[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
             open_ = open_[lo[open_] < hi[open_]]
@@ -107,344 +155,321 @@ class EliasFano:
 
     def find(self, x: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """The place of x, or -1."""
-        at = self.successor(x, start, end)
         if not self.n:
             return np.full(len(x), -1)
-        near = np.minimum(at, self.n - 1)
-        hit = (at < self.n) & (self[near] == x.astype(np.uint64))
-        if end is not None:
-            hit &= at < end
+        at = self.successor(x, start, end)
+        hit = at < (self.n if end is None else end)
+        hit[hit] = self[at[hit]] == x[hit].astype(np.uint64)
         return np.where(hit, at, -1)
 
 
-class Level:
-    """One trie level: successors of contexts with quantised probabilities and weights.
+class Trie:
+    """The n-grams of one length. ``levels`` are their words from the first to the last,
+    ``pointers`` lead from each level to the next."""
 
-    A successor is its context's place followed by as many leading bits of its word's hash
-    as 64 bits leave room for.
-    """
-
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, chance: np.ndarray, weight: np.ndarray):
-        self.contexts, self.pointers, self.successors, self.chance, self.weight = contexts, pointers, successors, chance, weight
-        self.room = np.uint64(64 - max(1, int(contexts.n).bit_length()))
+    def __init__(self, width: int, levels: list[EliasFano], pointers: list[EliasFano], chance: np.ndarray, weight: np.ndarray):
+        self.width, self.levels, self.pointers, self.chance, self.weight = width, levels, pointers, chance, weight
 
     @classmethod
-    def of(cls, context: np.ndarray, sizes: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> Level:
-        """From contexts, each followed by so many words with counts, in any order and several times each; what has count 0 is left out."""
-        every, place = np.unique(context, return_inverse=True)
+    def of(cls, contexts: list[np.ndarray], sizes: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> Trie:
+        """From contexts (a column for each of their words), each followed by so many words with
+        counts, in any order and several times each; what has count 0 in all is left out."""
         seen = count > 0
-        owner = np.repeat(place, sizes)[seen]
-        used = np.bincount(owner, minlength=len(every)) > 0
-        contexts, owner = every[used], (np.cumsum(used) - 1)[owner]
-        room = np.uint64(64 - max(1, len(contexts).bit_length()))
-        keys = owner.astype(np.uint64) << room | word[seen] >> np.uint64(64) - room
+        used = np.zeros(len(sizes), bool)
+        used[np.repeat(np.arange(len(sizes)), sizes)[seen]] = True
+        columns = [c[used].astype(np.uint64) for c in contexts]
+        kept = np.repeat(used, sizes)
+        sizes, word, count, seen = sizes[used], word[kept].astype(np.uint64), count[kept], seen[kept]
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        top = max([int(word.max()) if len(word) else 0, *(int(c.max()) if len(c) else 0 for c in columns)])
+        width = max(1, top.bit_length())
+        new, levels, pointers, owner = np.zeros(len(order), bool), [], [], np.zeros(len(order), np.uint64)
+        new[:1] = True
+        for c in columns:  # a place for each distinct beginning
+            new[1:] |= c[1:] != c[:-1]
+            at = np.flatnonzero(new)
+            levels.append(EliasFano.of(owner[at] << np.uint64(width) | c[at]))
+            if len(levels) > 1:
+                pointers.append(EliasFano.of(np.append(np.searchsorted(at, last), len(at))))
+            last, owner = at, (np.cumsum(new) - 1).astype(np.uint64)
+        place = np.empty(len(order), np.uint64)
+        place[order] = owner
+        keys = (np.repeat(place, sizes) << np.uint64(width) | word)[seen]
         order = np.argsort(keys)
         keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         total = np.add.reduceat(count[seen][order].astype(np.int64), first) if len(keys) else np.zeros(0, np.int64)
         keys = keys[first]
-        owner = (keys >> room).astype(np.int64)
-        n, kinds = np.bincount(owner, total, len(contexts)), np.bincount(owner, minlength=len(contexts))
-        ends = np.concatenate([[0], np.cumsum(kinds)])
-        return cls(EliasFano.of(contexts), EliasFano.of(ends), EliasFano.of(keys), quantise((total - discount) / n[owner]), quantise(discount * kinds / np.maximum(n, 1)))
+        owner = (keys >> np.uint64(width)).astype(np.int64)
+        n, kinds = np.bincount(owner, total), np.bincount(owner)
+        levels.append(EliasFano.of(keys))
+        pointers.append(EliasFano.of(np.append(0, np.cumsum(kinds))))
+        return cls(width, levels, pointers, quantise((total - discount) / n[owner]), quantise(discount * kinds / np.maximum(n, 1)))
 
     def bytes(self) -> bytes:
-        return b"".join(x.bytes() for x in (self.contexts, self.pointers, self.successors)) + self.chance.astype("<u2").tobytes() + self.weight.astype("<u2").tobytes()
+        head = np.array([self.width, len(self.levels), len(self.chance), len(self.weight)], "<u8").tobytes()
+        codes = self.chance.astype("<u2").tobytes() + self.weight.astype("<u2").tobytes()
+        return head + b"".join(x.bytes() for x in (*self.levels, *self.pointers)) + codes + bytes(-len(codes) % 8)
 
     @classmethod
-    def read(cls, data, at: int = 0) -> Level:
-        parts = []
-        for _ in range(3):
+    def read(cls, data, at: int = 0) -> tuple[Trie, int]:
+        width, depth, n, m = (int(x) for x in np.frombuffer(data, "<u8", 4, at))
+        at, parts = at + 32, []
+        for _ in range(2 * depth - 1):
             part, at = EliasFano.read(data, at)
             parts.append(part)
-        chance = np.frombuffer(data, "<u2", parts[2].n, at)
-        return cls(*parts, chance, np.frombuffer(data, "<u2", parts[0].n, at + chance.nbytes))
+        codes = np.frombuffer(data, "<u2", n + m, at)
+        return cls(width, parts[:depth], parts[depth:], codes[:n], codes[n:]), at + -(-2 * (n + m) // 8) * 8
 
-    def ask(self, context: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ask(self, contexts: list[np.ndarray], sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of each word's probability after its context (0: not there) and of each context's weight (0: no such context)."""
-        if not self.contexts.n:
-            return np.zeros(len(word), np.uint16), np.zeros(len(context), np.uint16)
-        c = self.contexts.find(context)
-        near = np.maximum(c, 0)
-        weight = np.where(c >= 0, self.weight[near], 0).astype(np.uint16)
-        begin, end = self.pointers[near].astype(np.int64), self.pointers[near + 1].astype(np.int64)
-        end = np.where(c >= 0, end, begin)
-        at = self.successors.find(np.repeat(near.astype(np.uint64) << self.room, sizes) | word >> np.uint64(64) - self.room, np.repeat(begin, sizes), np.repeat(end, sizes))
-        return np.where(at >= 0, self.chance[np.maximum(at, 0)], 0).astype(np.uint16), weight
-
-
-class _Numbers(dict):
-    """Numbers words in the order of their first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-def tokens(text: str) -> list[bytes]:
-    """Words as UTF-8, A-Z in lower case; the end token isn't among them."""
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-
-
-def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    """Ascending in the hash."""
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
-class Chunk:
-    """Some documents as numbers of words, and for each length their distinct n-grams, by the hashes of context and word."""
-
-    def __init__(self, texts: list[str], learn: list[bool], order: int):
-        if len(_hashes) > 500_000:
-            _hashes.clear()
-        number, rows = _Numbers({None: 0, b" ": 1}), []
-        for text in texts:
-            row = list(map(number.__getitem__, tokens(text)))
-            row.append(0)
-            rows.append(np.array(row, np.int32))
-        self.sizes = np.array([len(r) for r in rows], np.int64)
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        del rows
-        words = list(number)
-        h = np.fromiter(map(_hashes.__getitem__, words[2:]), np.uint64, len(words) - 2)
-        h = np.concatenate([[END, BEGIN], h]).astype(np.uint64)
-        turn = np.argsort(h)
-        rank = np.empty(len(h), np.int64)
-        rank[turn] = np.arange(len(h))
-        self.words, ids = h[turn], rank[flat]
-        train = np.repeat(np.array(learn, np.uint8), self.sizes)
-        self.counts = [np.bincount(ids, train, len(h)).astype(np.uint32)]
-        self.place, self.lower, self.contexts, self.spans, self.word = ids, [], [], [], []
+        m = len(sizes)
+        place, start, end = np.zeros(m, np.int64), np.zeros(m, np.int64), np.full(m, self.levels[0].n)
+        for level, pointer, column in zip(self.levels[:-1], self.pointers, contexts, strict=True):
+            found = self._walk(level, place, start, end, column)
+            place = np.maximum(found, 0)
+            start, end = np.zeros(m, np.int64), np.zeros(m, np.int64)
+            hit = np.flatnonzero(found >= 0)
+            for s in range(0, len(hit), ASKED):
+                own = hit[s : s + ASKED]
+                start[own], end[own] = pointer[place[own]], pointer[place[own] + 1]
+        weight = np.where(end > start, self.weight[place] if len(self.weight) else 0, 0).astype(np.uint16)
+        at = self._walk(self.levels[-1], *(np.repeat(x, sizes) for x in (place, start, end)), word)
+        return np.where(at >= 0, self.chance[np.maximum(at, 0)] if len(self.chance) else 0, 0).astype(np.uint16), weight
+
+    def _walk(self, level: EliasFano, place: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The place of each word among its context's successors, or -1."""
+        out = np.full(len(word), -1)
+        fits = np.flatnonzero((start < end) & (word >> np.uint64(self.width) == 0))
+        for s in range(0, len(fits), ASKED):
+            own = fits[s : s + ASKED]
+            out[own] = level.find(place[own].astype(np.uint64) << np.uint64(self.width) | word[own].astype(np.uint64), start[own], end[own])
+        return out
+
+
+def tokens(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """(distinct words, then END and BEGIN; the words of all texts by their places there, an END
+    behind each text; how many each text has). Words are what ASCII white space separates, A-Z in lower case."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    flat, offsets = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, bool)
+    before = np.append(0, np.cumsum(full))
+    sizes = np.diff(before[offsets - offsets[0]])
+    coded = flat.filter(pa.array(full, pa.bool_())).dictionary_encode()
+    words = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([END, BEGIN])])
+    out = np.empty(len(coded) + len(sizes), np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    inner = np.ones(len(out), bool)
+    inner[ends] = False
+    out[inner], out[ends] = coded.indices.to_numpy(), len(words) - 2
+    return words, out, sizes + 1
+
+
+def _learned(rows: pa.Table, sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(rows.column("learn").to_numpy().astype(np.uint8), sizes)
+
+
+def send_words(_: str, rows: pa.Table, shards: int) -> Iterator[tuple[int, bytes]]:
+    """For each shard: sizes of its words, their training counts, and their bytes."""
+    words, at, sizes = tokens(rows.columns[-1].chunk(0))
+    counts = np.bincount(at, _learned(rows, sizes), len(words)).astype(np.uint64)
+    order, cuts = by_shard(words, shards)
+    data, offsets = string_bytes(words.take(pa.array(order)))
+    for k in range(shards):
+        a, b = cuts[k], cuts[k + 1]
+        yield k, pack(np.diff(offsets[a : b + 1]).astype(np.uint64)) + pack(counts[order[a:b]]) + data[offsets[a] : offsets[b]].tobytes()
+
+
+def number_words(shards: int):
+    def answer(shard: int, parts: list[bytes]) -> Iterator[tuple[bytes, int, int]]:
+        """Numbers and counts of each chunk's words: the shard's words by falling counts, in steps of ``shards``."""
+        asked, counted = [], []
+        for part in parts:
+            sizes, at = unpack(part)
+            counts, at = unpack(part, at)
+            counted.append(counts.astype(np.int64))
+            asked.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes.astype(np.int64)))), pa.py_buffer(part[at:])]))
+        coded = pa.concat_arrays(asked).dictionary_encode()
+        at = coded.indices.to_numpy()
+        total = np.bincount(at, np.concatenate(counted), len(coded.dictionary)).astype(np.int64)
+        order = pc.array_sort_indices(coded.dictionary).to_numpy()  # equal counts in the order of words
+        order = order[np.argsort(-total[order], kind="stable")]
+        number = np.empty(len(total), np.uint64)
+        number[order] = np.arange(len(total), dtype=np.uint64) * np.uint64(shards) + np.uint64(shard)
+        n, v, a = int(total.sum()), int((total > 0).sum()), 0
+        for words in asked:
+            own = at[a : a + len(words)]
+            a += len(words)
+            yield pack(number[own]) + pack(total[own].astype(np.uint64)), n, v
+            n = v = 0  # a shard gives its sums once
+
+    return answer
+
+
+class Grams:
+    """A chunk's documents as distinct n-grams of numbered words, for each length from 1 on."""
+
+    def __init__(self, rows: pa.Table, got: list[memoryview], order: int):
+        words, at, self.sizes = tokens(rows.columns[-1].chunk(0))
+        place, _ = by_shard(words, len(got))
+        numbers, counts = [], []
+        for part in got:
+            x, i = unpack(part)
+            numbers.append(x.astype(np.uint64))
+            counts.append(unpack(part, i)[0].astype(np.int64))
+        number, count = np.empty(len(words), np.uint64), np.empty(len(words), np.int64)
+        number[place], count[place] = np.concatenate(numbers), np.concatenate(counts)
+        turn = np.argsort(number)
+        rank = np.empty(len(words), np.int64)
+        rank[turn] = np.arange(len(words))
+        self.numbers, self.known = number[turn], count[turn]
+        now, begin, n = rank[at], int(rank[len(words) - 1]), len(words)
         start = np.cumsum(self.sizes) - self.sizes
-        context, before, place = self.words, int(rank[1]), ids
-        for level in range(1, order):
-            if level > 1:  # the contexts are the grams of the level before, and what lies before a text
-                g = np.append(_mix(context[owner], self.words[word]), _mix(context[before : before + 1], np.array([BEGIN], np.uint64)))
-                turn = np.argsort(g)
-                rank = np.empty(len(g), np.int64)
-                rank[turn] = np.arange(len(g))
-                context, before, place = g[turn], int(rank[-1]), rank[place]
-            ahead = np.concatenate([[before], place[:-1]]) if len(place) else place
-            ahead[start] = before
-            key = ahead * len(self.words) + ids
-            turn = np.argsort(key)
-            key = key[turn]
-            fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-            place = np.empty(len(key), np.int64)
-            place[turn] = np.cumsum(fresh) - 1
-            grams, first = key[fresh], turn[fresh]
-            owner, word = grams // len(self.words), grams % len(self.words)
+        step = np.arange(len(now)) - np.repeat(start, self.sizes)  # how far into its text each token is
+        back = lambda k: np.where(step >= k, np.roll(now, k), begin)
+        self.place = now
+        learn = _learned(rows, self.sizes)
+        self.contexts, self.spans, self.words, self.counts, self.lower = [], [], [], [], []
+        context, columns = np.zeros(len(now), np.int64), []
+        size = 1
+        for k in range(1, order):  # contexts grow to the left, so that they stay sorted by their words
+            keys, context = np.unique(back(k) * size + context, return_inverse=True)
+            columns = [keys // size, *(c[keys % size] for c in columns)]
+            size = len(keys)
+            grams, first, place = np.unique(context * n + now, return_index=True, return_inverse=True)
+            self.contexts.append([self.numbers[c] for c in columns])
+            self.spans.append(np.bincount(grams // n, minlength=size))
+            self.words.append(self.numbers[grams % n])
+            self.counts.append(np.bincount(place, learn, len(grams)).astype(np.uint64))
             self.lower.append(self.place[first])
             self.place = place
-            self.counts.append(np.bincount(place, train, len(grams)).astype(np.uint32))
-            span = np.bincount(owner, minlength=len(context))
-            held = np.flatnonzero(span)
-            self.contexts.append(context[held])
-            self.spans.append(span[held].astype(np.uint32))
-            self.word.append(self.words[word])
+
+    def orders(self, shards: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length from 2 on, the order of contexts by shard and where each shard's begin."""
+        for columns in self.contexts:
+            h = np.full(len(columns[0]), 0x9E3779B97F4A7C15, np.uint64)
+            for c in columns:
+                h = (h ^ c) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(32)
+            yield in_order(shard_of(h, shards), shards)
 
     def parts(self, shards: int) -> Iterator[tuple[int, bytes]]:
-        """What each shard gets: words and counts; then for every level contexts, their numbers of words, the words and counts."""
-        edges = np.arange(shards + 1)
-        cuts = [np.searchsorted(shard_of(x, shards), edges) for x in (self.words, *self.contexts)]
-        ends = [np.concatenate([[0], np.cumsum(s)]).astype(np.int64) for s in self.spans]
-        for k in range(shards):
-            a, b = cuts[0][k], cuts[0][k + 1]
-            out = [np.array([b - a], "<u8").tobytes(), self.words[a:b].tobytes(), self.counts[0][a:b].tobytes()]
-            for cut, end, context, span, word, count in zip(cuts[1:], ends, self.contexts, self.spans, self.word, self.counts[1:], strict=True):
-                a, b = cut[k], cut[k + 1]
-                c, d = end[a], end[b]
-                out += [np.array([b - a, d - c], "<u8").tobytes(), context[a:b].tobytes(), span[a:b].tobytes(), word[c:d].tobytes(), count[c:d].tobytes()]
-            yield k, b"".join(out)
-
-
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ h >> np.uint64(32)
-
-
-def unpack(data: bytes, order: int) -> list[tuple[np.ndarray, ...]]:
-    """(words, counts), then (contexts, spans, words, counts) for each further level."""
-    n = int(np.frombuffer(data, "<u8", 1)[0])
-    out, at = [(np.frombuffer(data, np.uint64, n, 8), np.frombuffer(data, np.uint32, n, 8 + 8 * n))], 8 + 12 * n
-    for _ in range(1, order):
-        n, m = (int(x) for x in np.frombuffer(data, "<u8", 2, at))
-        at += 16
-        out.append((np.frombuffer(data, np.uint64, n, at), np.frombuffer(data, np.uint32, n, at + 8 * n), np.frombuffer(data, np.uint64, m, at + 12 * n), np.frombuffer(data, np.uint32, m, at + 12 * n + 8 * m)))
-        at += 12 * (n + m)
+        """What each shard gets: for each length its contexts, sorted, their numbers of words, the words, and training counts."""
+        found: list[list[bytes]] = [[] for _ in range(shards)]
+        for (order, cuts), columns, spans, words, counts in zip(self.orders(shards), self.contexts, self.spans, self.words, self.counts, strict=True):
+            begin = np.cumsum(spans) - spans
+            for k in range(shards):
+                own = order[cuts[k] : cuts[k + 1]]
+                span, grams = spans[own], ranges(begin[own], spans[own])
+                new = np.zeros(len(own), bool)
+                new[:1] = True
+                for c in columns:  # differences to the context before, as long as it begins alike
+                    c = c[own]
+                    step = np.where(new, c, c - np.append(c[:1], c[:-1]))
+                    found[k].append(pack(step))
+                    new[1:] |= c[1:] != c[:-1]
+                w = words[grams]
+                head = np.zeros(len(w), bool)
+                head[np.cumsum(span) - span] = True
+                found[k] += [pack(span.astype(np.uint64)), pack(np.where(head, w, w - np.append(w[:1], w[:-1]))), pack(counts[grams])]
+        for k, x in enumerate(found):
+            yield k, b"".join(x)
+
+
+def _sums(steps: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Running sums that begin anew where ``new`` holds."""
+    total = np.cumsum(steps, dtype=np.uint64)
+    at = np.flatnonzero(new)
+    return total - np.repeat(total[at] - steps[at], np.diff(np.append(at, len(steps)))) if len(steps) else total
+
+
+def unpack_grams(data: bytes, order: int) -> list[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """(columns of contexts, numbers of words, words, counts) for each length from 2 on."""
+    out, at = [], 0
+    for k in range(1, order):
+        columns, new = [], None
+        for _ in range(k):
+            steps, at = unpack(data, at)
+            if new is None:
+                new = np.zeros(len(steps), bool)
+                new[:1] = True
+            columns.append(_sums(steps.astype(np.uint64), new))
+            new[1:] |= columns[-1][1:] != columns[-1][:-1]
+        span, at = unpack(data, at)
+        steps, at = unpack(data, at)
+        counts, at = unpack(data, at)
+        span = span.astype(np.int64)
+        head = np.zeros(len(steps), bool)
+        head[np.cumsum(span) - span] = True
+        out.append((columns, span, _sums(steps.astype(np.uint64), head), counts))
     return out
 
 
-def _mapped(at: str):
-    store, path = fs.FileSystem.from_uri(at)
-    if isinstance(store, fs.LocalFileSystem):
-        return pa.memory_map(path).read_buffer()
-    with store.open_input_file(path) as file:
-        return file.read_buffer()
-
-
-def _store(at: str, data: bytes) -> None:
-    store, path = fs.FileSystem.from_uri(at)
-    store.create_dir(path.rpartition("/")[0])
-    draft = f"{path}.{xxhash.xxh3_64_hexdigest(data)}-{np.random.default_rng().integers(2**62)}"
-    with store.open_output_stream(draft) as out:
-        out.write(data)
-    store.move(draft, path)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list]]:
-    """Runs of rows (id, text, learn) of about ``most`` characters, and a name made of the scan task, the run's place in it and what is in it."""
-    task = TaskContext.get()
-    at = f"{task.partitionId() if task else 0}-"
-    held, chars, name, k = [], 0, xxhash.xxh3_128(), 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            held.append(row)
-            chars += len(row[1])
-            name.update(f"{row[0]}:{len(row[1])}:{row[1]};".encode("utf-8", "surrogatepass"))
-            if chars >= most:
-                yield f"{at}{k}-{name.hexdigest()}", held
-                held, chars, name, k = [], 0, xxhash.xxh3_128(), k + 1
-    if held:
-        yield f"{at}{k}-{name.hexdigest()}", held
-
-
-def score(docs: DataFrame, held_out: Column, order: int = 3, chunk: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def answer_grams(at: str, order: int):
+    def answer(shard: int, parts: list[bytes]) -> Iterator[tuple[bytes, int, int]]:
+        """Builds and stores a shard's tries and answers the chunks from their file."""
+        data = []
+        for k in range(order - 1):
+            every = [unpack_grams(part, order)[k] for part in parts]
+            columns = [np.concatenate([e[0][i] for e in every]) for i in range(k + 1)]
+            data.append(Trie.of(columns, *(np.concatenate([e[i] for e in every]) for i in (1, 2, 3))).bytes())
+            del every, columns
+        put(f"{at}/{shard:06d}", data)
+        file, i, tries = mapped(f"{at}/{shard:06d}"), 0, []
+        for _ in range(order - 1):
+            trie, i = Trie.read(file, i)
+            tries.append(trie)
+        for part in parts:
+            yield b"".join(pack(x) for trie, (columns, span, word, _) in zip(tries, unpack_grams(part, order), strict=True) for x in trie.ask(columns, span, word)), 0, 0
+
+    return answer
+
+
+def score(docs: DataFrame, held_out: Column, order: int = 3, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", from_files: bool = False) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Learns from the rows where ``held_out`` is false. ``chunk`` bounds what a scan task holds;
-    the number of shards is that of shuffle partitions.
+    Learns from the rows where ``held_out`` is false. ``chunk`` bounds the bytes of text that
+    a scan task holds; the number of shards is that of shuffle partitions. ``from_files``:
+    ``docs`` is read from files as it is.
     """
     spark = docs.sparkSession
     modest_batches(spark, 500)
-    shards, at = partitions(spark), scratch(spark, "lm")
-    given = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("learn"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, rows in _chunks(batches, chunk):
-            parts = list(Chunk([r[1] for r in rows], [r[2] for r in rows], order).parts(shards))
-            yield pa.RecordBatch.from_arrays([pa.array([name] * shards), pa.array([k for k, _ in parts], pa.int64()), pa.array([p for _, p in parts], pa.binary())], ["chunk", "shard", "part"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, bytes]] = []
-        now = None
-        for batch in batches:
-            for name, shard, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now is not None and shard != now:
-                    yield from _answers(held, now, order, at)
-                    held = []
-                now = shard
-                held.append((name, part))
-        if held:
-            yield from _answers(held, now, order, at)
-
-    sent = given.mapInArrow(count, "chunk string, shard long, part binary").repartition(shards, "shard").sortWithinPartitions("shard", "chunk")
-    answers = sent.mapInArrow(answer, "chunk string, shard long, tokens long, kinds long, answer binary")
-    answers.write.option("compression", "zstd").parquet(f"{at}/answers")
-    answers = spark.read.schema(answers.schema).parquet(f"{at}/answers")
-    # Sums over shards; a shard gives its own only once.
-    sums = answers.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
+    at = scratch(spark, "lm")
+    given = rescannable(docs.select(F.col(id_col).alias("id"), (~F.coalesce(held_out, F.lit(False))).alias("learn"), whole(text_col).alias("text")), from_files)
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = ask(given, send_words, number_words(shards), f"{at}/words", chunk)
+    sums = words.agg(F.sum("a").alias("n"), F.sum("b").alias("v")).first()
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
-
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        for batch in batches:
-            for name, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now is not None and name != now:
-                    yield _filed(at, now, held, order)
-                    held = []
-                now = name
-                held.append(part)
-        if held:
-            yield _filed(at, now, held, order)
-
-    filed = answers.repartition(shards, "chunk").sortWithinPartitions("chunk", "shard").select("chunk", "answer").mapInArrow(file, "chunk string")
-    filed.write.parquet(f"{at}/filed")
+    grams = lambda name, rows: Grams(rows, answers(f"{at}/words", name), order)
+    ask(given, lambda name, rows, shards: grams(name, rows).parts(shards), answer_grams(f"{at}/tries", order), f"{at}/grams", chunk)
     kind = given.schema["id"].dataType.simpleString()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, rows in _chunks(batches, chunk):
-            c = Chunk([r[1] for r in rows], [r[2] for r in rows], order)
-            (counts,), *more = read_answers(_mapped(f"{at}/chunks/{name}"), order)
+        for name, rows in chunks(batches, chunk):
+            g, got = grams(name, rows), answers(f"{at}/grams", name)
+            where = [0] * len(got)
             # By distinct n-grams, shorter ones first; the last ones' values go to the tokens.
-            chance = base = (counts + 0.5) / (n + 0.5 * (v + 1))
-            known, below = counts > 0, np.log10(base)
-            for (p, w), lower, span in zip(more, c.lower, c.spans, strict=True):
-                weight = np.repeat(restore(w), span)
-                chance = np.where(weight > 0, restore(p) + weight * chance[lower], chance[lower])
+            chance = base = (g.known + 0.5) / (n + 0.5 * (v + 1))
+            known, below = g.known > 0, np.log10(base)
+            for (turn, _), lower, span in zip(g.orders(len(got)), g.lower, g.spans, strict=True):
+                p, w = [], []
+                for k, part in enumerate(got):
+                    x, where[k] = unpack(part, where[k])
+                    p.append(x)
+                    x, where[k] = unpack(part, where[k])
+                    w.append(x)
+                weight, own = np.empty(len(span)), np.empty(len(lower))
+                weight[turn] = restore(np.concatenate(w))
+                own[ranges((np.cumsum(span) - span)[turn], span[turn])] = restore(np.concatenate(p))
+                weight = np.repeat(weight, span)
+                chance = np.where(weight > 0, own + weight * chance[lower], chance[lower])
                 known, below = known[lower], below[lower]
-            first = np.cumsum(c.sizes) - c.sizes
-            total = lambda x: np.add.reduceat(x[c.place], first)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], ids), pa.array([not r[2] for r in rows]), pa.array(c.sizes), pa.array(total(known.astype(np.int64))), pa.array(np.full(len(rows), n, np.int64)), pa.array(total(below)), pa.array(total(np.log10(np.minimum(chance, 1.0))))],
+            first = np.cumsum(g.sizes) - g.sizes
+            total = lambda x: np.add.reduceat(x[g.place], first)  # noqa: B023, E731
+            yield from pa.Table.from_arrays(
+                [rows.column("id"), pc.invert(rows.column("learn")), pa.array(g.sizes), pa.array(total(known.astype(np.int64))), pa.array(np.full(rows.num_rows, n, np.int64)), pa.array(total(below)), pa.array(total(np.log10(np.minimum(chance, 1.0))))],
                 [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    ids = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    return given.mapInArrow(finish, f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _answers(held: list[tuple[str, bytes]], shard: int, order: int, at: str) -> Iterator[pa.RecordBatch]:
-    """Builds and stores a shard's trie and answers the chunks from its file."""
-    asked = [unpack(part, order) for _, part in held]
-    levels = [[np.concatenate([a[k][i] for a in asked]) for i in range(4 if k else 2)] for k in range(order)]
-    words, place = np.unique(levels[0][0], return_inverse=True)
-    counts = np.bincount(place, levels[0][1], len(words)).astype(np.uint32)
-    own, seen = words[counts > 0], counts[counts > 0]
-    data = [EliasFano.of(own).bytes() + seen.astype("<u4").tobytes(), *(Level.of(*x).bytes() for x in levels[1:])]
-    del levels, words, place, counts
-    head = np.cumsum([0, *(len(d) for d in data)]).astype("<u8")
-    _store(f"{at}/trie/{shard:06d}", head.tobytes() + b"".join(data))
-    mapped = _mapped(f"{at}/trie/{shard:06d}")
-    index, after = EliasFano.read(mapped, 8 * (order + 1))
-    stored = np.frombuffer(mapped, "<u4", index.n, after)
-    tries = [Level.read(mapped, 8 * (order + 1) + int(head[k])) for k in range(1, order)]
-    tokens, kinds = int(seen.sum()), len(own)
-    for (name, _), a in zip(held, asked, strict=True):
-        found = index.find(a[0][0])
-        sizes = [len(a[0][0]), *(x for own, _, word, _ in a[1:] for x in (len(own), len(word)))]
-        out = [np.array(sizes, "<u8").tobytes(), (np.where(found >= 0, stored[np.maximum(found, 0)], 0) if index.n else np.zeros(len(found))).astype("<u4").tobytes()]
-        for trie, (context, span, word, _) in zip(tries, a[1:], strict=True):
-            p, w = trie.ask(context, span, word)
-            out += [p.astype("<u2").tobytes(), w.astype("<u2").tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([shard], pa.int64()), pa.array([tokens], pa.int64()), pa.array([kinds], pa.int64()), pa.array([b"".join(out)], pa.binary())], ["chunk", "shard", "tokens", "kinds", "answer"])
-        tokens = kinds = 0
-
-
-def _split(data, at: int, order: int) -> tuple[list, int]:
-    sizes = [int(x) for x in np.frombuffer(data, "<u8", 2 * order - 1, at)]
-    at += 8 * len(sizes)
-    out = [(np.frombuffer(data, "<u4", sizes[0], at),)]
-    at += 4 * sizes[0]
-    for n, m in zip(sizes[1::2], sizes[2::2], strict=True):
-        out.append((np.frombuffer(data, "<u2", m, at), np.frombuffer(data, "<u2", n, at + 2 * m)))
-        at += 2 * (n + m)
-    return out, at
-
-
-def _filed(at: str, name: str, parts: list[bytes], order: int) -> pa.RecordBatch:
-    """One file for a chunk: its shards' answers one after another, in order of shards."""
-    _store(f"{at}/chunks/{name}", b"".join(parts))
-    return pa.RecordBatch.from_arrays([pa.array([name])], ["chunk"])
-
-
-def read_answers(data, order: int) -> list[tuple[np.ndarray, ...]]:
-    """For each level, the answers of all shards joined."""
-    got, at = [], 0
-    while at < len(data):
-        part, at = _split(data, at, order)
-        got.append(part)
-    return [tuple(np.concatenate([g[k][i] for g in got]) for i in range(2 if k else 1)) for k in range(order)]
+            ).to_batches(10_000)
+
+    return given.mapInArrow(finish, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

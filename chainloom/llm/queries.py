@@ -63,7 +63,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"), langid.held_out(parts=5, part=1), order=3)
+    return lm.score(table(spark, sf_dir, "documents"), langid.held_out(parts=5, part=1), order=3, from_files=True)
 
 
 def queries() -> dict:
