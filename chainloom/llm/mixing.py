@@ -2,13 +2,19 @@
 
 Every source gets a target of words. Its documents lie in shards by a hash of their row; in
 a shard they follow each other in seeded order, ``epochs`` times over, and are cut into
-blocks of equal length. Two apportionments by highest quotients, of the whole mix among
-sources and of a source's blocks among its shards, give each shard an integer quota, and
-that many of its blocks are taken, again in seeded order. What a document gives to the mix
-is what the taken blocks cover of its places, so at most ``epochs`` times its size.
-
-A null text has size 0 and gives nothing. A null source is a source of its own, after all
-others. Equal rows take different places in a shard's order. Empty input gives no rows.
+blocks of equal length. Apportionments by highest quotients, of the whole mix among sources,
+of a source's blocks among groups of shards and of a group's among its shards, give each
+shard an integer quota. Of a shard's blocks that many are taken, as evenly spaced as whole
+numbers allow, from a seeded place on (what is left behind the last full block is taken if
+all blocks are); so what the mix takes of the first x words of a shard
+is a formula, and a document's part is its value at the document's end less that at its
+start, at most ``epochs`` times its size. Nothing is expanded by block or sent to all tasks.
+
+A null or empty text has size 0 and gives nothing; a very long one spans many blocks. A null
+source is a source of its own, after all others. Equal rows take different places in a
+shard's order, so repeated rows may differ in what is taken of them; which of them gets
+which part is not fixed, but the parts are. Other columns aren't read. Empty input gives no
+rows.
 """
 
 from __future__ import annotations
@@ -86,44 +92,57 @@ def source_plan(words: list[tuple[str | None, int]], weights=WEIGHTS, share: flo
     return [(s, i, n, t, q, step) for i, ((s, n), t, q, step) in enumerate(zip(names, want, quotas, steps, strict=True))]
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int = 2, seed: int = 7, block: int = 1000, shard_words: int = 500_000) -> DataFrame:
+def _taken(x: Column, step: Column, full: Column, quota: Column, begin: Column) -> Column:
+    """How many of the first x words lie in taken blocks. Of the ``full`` blocks, block j is taken
+    if the count up to j + 1 exceeds that up to j; a shorter last one only if all others are."""
+    some, among = F.least(quota, full), F.greatest(full, F.lit(1))
+    count = lambda j: F.call_function("div", j * some + begin, among)
+    block = F.call_function("div", x, step)
+    within = F.when(block < full, (count(block + 1) - count(block)) * (x - block * step)).when(quota > full, x - full * step).otherwise(0)
+    return step * count(F.least(block, full)) + within
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int = 2, seed: int = 7, block: int = 1000, shard_words: int = 500_000, group: int = 4096) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies, print.
 
-    ``taken`` counts words, ``copies`` how often the document's first word is taken. The
-    driver sees one sum per source; a source's shards, of ``shard_words`` words on average,
-    are planned in one task per source and applied by equi-joins, so no window holds more
-    than a shard, whatever a source's part of the rows. ``block`` is lowered for small inputs
-    to a ten-thousandth of all words, and for a small source to a two-hundredth of its target.
+    ``taken`` counts words, ``copies`` how often the document's first word is taken. A
+    source's blocks are a two-hundredth of its target, ``block`` words at most. The driver
+    sees one sum per source; a source's shards, of ``shard_words`` words on average, are
+    planned in groups of ``group``, so a task plans ``group`` shards or the groups of a
+    source, and no window holds more than a shard, whatever a source's part of the rows.
     """
     spark = docs.sparkSession
     sized = stored(docs.select("doc_id", "source", F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("print")), "sizes")
     sums = [(r["source"], r["words"]) for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()]
-    most = max(1, min(block, sum(n for _, n in sums) // 10_000))
-    rows = [(s, i, n, t, q, b, max(1, -(-n // shard_words))) for s, i, n, t, q, b in source_plan(sums, weights, share, epochs, most)]
+    rows = [(s, i, n, t, q, b, max(1, -(-n // shard_words))) for s, i, n, t, q, b in source_plan(sums, weights, share, epochs, block)]
     sources = spark.createDataFrame(rows, "of string, src long, source_size long, target double, quota long, step long, shards long")
-    dealt = sized.join(sources.drop("quota"), F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", F.pmod(_seeded(seed, F.col("doc_id"), F.col("print")), F.col("shards"))).drop("of", "shards")
-    by_shard = dealt.groupBy("src", "shard").agg(F.sum("size").alias("words")).join(sources.select("src", "quota", "step"), "src")
+    known = F.col("source").eqNullSafe(F.col("of"))
+    dealt = sized.join(sources.drop("quota"), known).withColumn("shard", F.pmod(_seeded(seed, F.col("doc_id"), F.col("print")), F.col("shards"))).drop("of", "shards")
+    shards = dealt.groupBy("src", "shard").agg(F.sum("size").alias("words")).withColumn("part", F.floor(F.col("shard") / group)).join(sources.select("src", "step"), "src")
+    shards = stored(shards.withColumn("blocks", F.ceil(epochs * F.col("words") / F.col("step")).cast("long")), "shards")
 
     def quotas(cells):
-        cells = cells.sort_values("shard", ignore_index=True)
-        cells["blocks"] = -(-epochs * cells["words"] // cells["step"])
-        cells["quota"] = sainte_lague(cells["words"].tolist(), int(cells["quota"].iloc[0]), cells["blocks"].tolist())
-        return cells[["src", "shard", "blocks", "quota"]]
-
-    cells = by_shard.groupBy("src").applyInPandas(quotas, "src long, shard long, blocks long, quota long")
-    each = cells.where("quota > 0").select("src", "shard", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    lot = Window.partitionBy("src", "shard").orderBy(_seeded(seed + 1, F.col("src"), F.col("shard"), F.col("block")), "block")
-    chosen = each.withColumn("place", F.row_number().over(lot)).where("place <= quota").select("src", "shard", "block", F.lit(True).alias("chosen"))
+        """Gives the seats of a source, or of a group of its shards, to its parts by their words."""
+        cells = cells.sort_values("part", ignore_index=True)
+        cells["quota"] = sainte_lague(cells["words"].tolist(), int(cells["seats"].iloc[0]), cells["blocks"].tolist())
+        return cells[["src", "of", "part", "quota"]]
+
+    plan = "src long, of long, part long, quota long"
+    groups = shards.groupBy("src", "part").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks")).join(sources.select("src", F.col("quota").alias("seats")), "src")
+    groups = groups.select("src", F.lit(0).cast("long").alias("of"), "part", "words", "blocks", "seats").groupBy("src").applyInPandas(quotas, plan)
+    seats = groups.select("src", F.col("part").alias("of"), F.col("quota").alias("seats"))
+    cells = shards.select("src", F.col("part").alias("of"), F.col("shard").alias("part"), "words", "blocks").join(seats, ["src", "of"]).groupBy("src", "of").applyInPandas(quotas, plan)
+    quota = shards.drop("part", "step").join(cells.select("src", F.col("part").alias("shard"), "quota"), ["src", "shard"])
 
-    step = F.col("step")
     order = Window.partitionBy("src", "shard").orderBy(_seeded(seed + 2, F.col("doc_id"), F.col("print")), "doc_id", "print", "size")
-    placed = dealt.withColumn("row", F.row_number().over(order)).withColumn("stop", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.withColumn("words", F.sum("size").over(Window.partitionBy("src", "shard")))
-    start = lambda epoch: F.col("stop") - F.col("size") + epoch * F.col("words")
-    spans = F.array(*(F.struct(start(e).alias("a"), (start(e) + F.col("size")).alias("b")) for e in range(epochs)))
-    parts = placed.withColumn("span", F.explode(spans)).withColumn("block", F.explode(F.sequence(F.floor(F.col("span.a") / step), F.greatest(F.floor(F.col("span.a") / step), F.floor((F.col("span.b") - 1) / step)))))
-    met = parts.join(chosen, ["src", "shard", "block"], "left")
-    here = F.least("span.b", (F.col("block") + 1) * step) - F.greatest("span.a", F.col("block") * step)
-    got = F.when(F.col("chosen") & (F.col("size") > 0), here).otherwise(0)
-    begun = (F.col("chosen") & (F.col("size") > 0) & (F.col("block") == F.floor(F.col("span.a") / step))).cast("long")
-    return met.groupBy("src", "shard", "row").agg(*(F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target", "print")), F.sum(got).cast("long").alias("taken"), F.coalesce(F.sum(begun), F.lit(0)).cast("long").alias("copies")).drop("src", "shard", "row")
+    placed = dealt.withColumn("stop", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).join(quota, ["src", "shard"])
+    step, seats = F.col("step"), F.col("quota")
+    full = F.call_function("div", epochs * F.col("words"), step)
+    begin = F.pmod(_seeded(seed + 1, F.col("src"), F.col("shard")), F.greatest(full, F.lit(1)))  # a seeded place to begin at
+    taken, copies = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for epoch in range(epochs):
+        start = F.col("stop") - F.col("size") + epoch * F.col("words")
+        at = lambda x: _taken(x, step, full, seats, begin)
+        taken = taken + at(start + F.col("size")) - at(start)
+        copies = copies + F.when(F.col("size") > 0, at(start + 1) - at(start)).otherwise(0)
+    return placed.select("doc_id", "source", "size", "source_size", "target", "print", taken.cast("long").alias("taken"), copies.cast("long").alias("copies"))
