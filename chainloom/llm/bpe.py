@@ -33,7 +33,7 @@ from .exchange import answers, ask, by_shard, chunks, rescannable, string_bytes
 from .pieces import Pieces, compose, ranges, split
 
 #: Bytes of text in a chunk, and of words in one list.
-CHUNK, LIST = 24_000_000, 4_000_000
+CHUNK, LIST = 16_000_000, 4_000_000
 
 
 class Merges:
