@@ -36,6 +36,8 @@ from .graph import components, roots
 
 TREES, DEPTH, RECALL = 16, 8, 0.9995
 PART_SHINGLES = 1_000_000
+#: A part of a ball has about so many members at most; rows of a ball of several parts are dealt over so many salts.
+MEMBERS, SALTS = 1000, 64
 
 
 def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -95,14 +97,24 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(flat)))
     out = np.zeros((n, n), np.float32)
-    frequent = max(16, n // 16)
+    frequent, held, pending = max(16, n // 16), [], 0
+
+    def count() -> None:
+        if held:
+            out[...] += np.bincount(np.concatenate(held), minlength=n * n).reshape(n, n).astype(np.float32)
+            held.clear()
+
     for k in range(2, min(frequent, n) + 1):
         at = first[size == k]
-        if len(at):
-            rows = owner[at[:, None] + np.arange(k)]
-            i, j = np.triu_indices(k, 1)
-            pair = (rows[:, i] * n + rows[:, j]).ravel()
-            out += np.bincount(pair, minlength=n * n).reshape(n, n).astype(np.float32)
+        i, j = np.triu_indices(k, 1)
+        for s in range(0, len(at), max(1, 4_000_000 // len(i))):
+            rows = owner[at[s : s + max(1, 4_000_000 // len(i)), None] + np.arange(k)]
+            held.append((rows[:, i] * n + rows[:, j]).ravel())
+            pending += held[-1].size
+            if pending > 8_000_000:
+                count()
+                pending = 0
+    count()
     out += out.T
     often = np.flatnonzero(size > frequent)
     for s in range(0, len(often), 4096):
@@ -209,12 +221,16 @@ _BLANK = {i: " " for i in (9, 10, 11, 12, 13)}
 
 
 def _meet(rows: DataFrame, part: int, cheaper: int, f, schema: str) -> DataFrame:
-    """Brings the members of each ball together, in parts of about ``part`` shingles times
-    ``cheaper`` that meet two by two, and applies f to (rows, own part or not) of each meeting."""
+    """Brings the members of each ball together, in parts of about ``part`` shingles and
+    ``MEMBERS`` members, or of 2,500 if only signatures meet, that meet two by two, and applies f to (rows, own part or not) of each meeting."""
     spark = rows.sparkSession
-    cost = F.col("size") if cheaper == 1 else F.lit(400)
-    sizes = rows.groupBy("ball").agg(F.ceil(F.sum(cost) / F.lit(part)).cast("int").alias("parts"))
-    dealt = rows.join(sizes, "ball").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    cost = F.greatest(F.col("size"), F.lit(part // MEMBERS)) if cheaper == 1 else F.lit(400)
+    # Only balls of several parts are looked up, by ball and salt, so that a large one's rows go to many tasks.
+    sizes = rows.groupBy("ball").agg(F.ceil(F.sum(cost) / F.lit(part)).cast("int").alias("parts")).where("parts > 1")
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")
+    large = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met_ = rows.withColumn("salt", salt).join(large, ["ball", "salt"], "left").drop("salt").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = met_.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     met = dealt.withColumn("other", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("parts", "other")
     keys = ["ball", "low", "high"]
