@@ -26,6 +26,12 @@ def roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray | None = None)
         a, b = a2, b2
 
 
+def _met(edges: DataFrame, low: DataFrame, salts: int = 8) -> DataFrame:
+    """``edges`` with the row of ``low`` of their node; a node of very many edges is dealt over salts."""
+    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """node, root: the smallest node that each node of an edge reaches; roots have no row of their own.
 
@@ -43,9 +49,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         before = state
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        now = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        now = _met(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = now.groupBy("u").agg(F.min("v").alias("m"))
-        met = now.join(low, "u")
+        met = _met(now, low)
         now = met.select("u", F.col("m").alias("v")).union(met.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -2,8 +2,9 @@
 
 Vectors of one label and length are scaled to length one, where a cosine of c is a distance
 of sqrt(2 - 2 c), the epsilon. They are sorted by their cells, of that width, on leading
-principal dimensions; cut into blocks of consecutive rows; and blocks whose boxes lie
-further apart than epsilon never meet. Two blocks that meet are joined recursively: each
+principal dimensions; cut into blocks of consecutive rows within one cell of the first
+three; and a block meets those of the 27 cells around it whose boxes lie no further apart
+than epsilon. Two blocks that meet are joined recursively: each
 interval of the sequence is halved, and pairs of intervals whose boxes lie too far apart are
 skipped. What is left is compared by cosine in double precision.
 
@@ -29,6 +30,8 @@ from .common import modest_batches, partitions, stored
 from .graph import components, roots
 
 AXES, BLOCK, LEAF = 6, 2048, 64
+#: Blocks end where the cell on so many leading dimensions does.
+NEAR = 3
 SLACK = 1e-9
 
 
@@ -130,28 +133,29 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 4096
             grid = np.stack([np.frombuffer(r["grid"]) for r in rows])
             low, high = box(grid)
             number += 1
-            return pa.RecordBatch.from_pylist([{"block": number, "label": rows[0]["label"], "dims": rows[0]["dims"], "low": low.tolist(), "high": high.tolist(), "reps": [r["rep"] for r in rows], "copies": [r["copies"] for r in rows], "vectors": b"".join(r["vector"] for r in rows), "grid": grid.tobytes()}], schema=blocks_arrow)
+            return pa.RecordBatch.from_pylist([{"block": number, "label": rows[0]["label"], "dims": rows[0]["dims"], "low": low.tolist(), "high": high.tolist(), "cell": rows[0]["cell"][:NEAR], "reps": [r["rep"] for r in rows], "copies": [r["copies"] for r in rows], "vectors": b"".join(r["vector"] for r in rows), "grid": grid.tobytes()}], schema=blocks_arrow)
 
         kind = None
         for batch in batches:
             if kind is None:
                 kind = batch.schema.field("label").type
-                blocks_arrow = pa.schema([("block", pa.int64()), ("label", kind), ("dims", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("reps", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("vectors", pa.binary()), ("grid", pa.binary())])
+                blocks_arrow = pa.schema([("block", pa.int64()), ("label", kind), ("dims", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("cell", pa.list_(pa.int32())), ("reps", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("vectors", pa.binary()), ("grid", pa.binary())])
             for row in batch.to_pylist():
-                if held and (len(held) >= block or (held[-1]["label"], held[-1]["dims"]) != (row["label"], row["dims"])):
+                if held and (len(held) >= block or (held[-1]["label"], held[-1]["dims"], held[-1]["cell"][:NEAR]) != (row["label"], row["dims"], row["cell"][:NEAR])):
                     yield made(held)
                     held = []
                 held.append(row)
         if held:
             yield made(held)
 
-    blocks = stored(ranged.mapInArrow(cut, f"block long, label {label}, dims int, low array<double>, high array<double>, reps array<long>, copies array<long>, vectors binary, grid binary"), "blocks")
-    cells = lambda more: F.explode(F.sequence(F.floor(F.col("low")[0] / epsilon) - more, F.floor(F.col("high")[0] / epsilon) + more))
-    outline = blocks.select("block", "label", "dims", "low", "high")
-    left = outline.select("label", "dims", F.col("block").alias("a"), F.col("low").alias("al"), F.col("high").alias("ah"), cells(1).alias("cell"))
-    right = outline.select("label", "dims", F.col("block").alias("b"), F.col("low").alias("bl"), F.col("high").alias("bh"), cells(0).alias("cell"))
+    blocks = stored(ranged.mapInArrow(cut, f"block long, label {label}, dims int, low array<double>, high array<double>, cell array<int>, reps array<long>, copies array<long>, vectors binary, grid binary"), "blocks")
+    # A block lies in one cell of the first dimensions, so it meets those of the cells around only.
+    steps = F.array(*(F.array(*(F.lit(x - 1) for x in near)) for near in np.ndindex(*[3] * NEAR)))
+    outline = blocks.select("block", "label", "dims", "low", "high", "cell")
+    left = outline.select("label", "dims", F.col("block").alias("a"), F.col("low").alias("al"), F.col("high").alias("ah"), "cell", F.explode(steps).alias("near")).withColumn("cell", F.zip_with("cell", "near", lambda x, y: x + y)).drop("near")
+    right = outline.select("label", "dims", F.col("block").alias("b"), F.col("low").alias("bl"), F.col("high").alias("bh"), "cell")
     gap = F.aggregate(F.sequence(F.lit(0), F.lit(AXES - 1)), F.lit(0.0), lambda s, i: s + F.pow(F.greatest(F.lit(0.0), F.col("al")[i] - F.col("bh")[i], F.col("bl")[i] - F.col("ah")[i]), F.lit(2.0)))
-    pairs = left.join(right, ["label", "dims", "cell"]).where("a <= b").where(gap <= epsilon * epsilon + SLACK).select("a", "b").distinct()
+    pairs = left.join(right, ["label", "dims", "cell"]).where("a <= b").where(gap <= epsilon * epsilon + SLACK).select("a", "b")
     side = lambda p: blocks.select(F.col("block").alias(p), F.col("dims").alias(f"dims_{p}"), F.col("reps").alias(f"reps_{p}"), F.col("copies").alias(f"copies_{p}"), F.col("vectors").alias(f"vectors_{p}"), F.col("grid").alias(f"grid_{p}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
 
