@@ -194,6 +194,15 @@ def test_urls(spark):
     assert {rows[r.page_id]: (r.host, r.path, r.rule, r.verdict) for r in got} == cases
 
 
+def test_urls_with_other_vocabularies_and_tables(spark):
+    rows = [(1, "http://a.net/Foo-bar"), (1, "http://a.net/Foo-bar"), (2, "http://a.net/foo"), (None, "http://a.net/baz"), (3, "http://a.net/" + "x/" * 50_000 + "bar/foo"), (4, None)]
+    pages = spark.createDataFrame(rows, "page_id short, url string").selectExpr("*", "'own' AS host", "7 AS soft_hits", "1 AS verdict")
+    terms = urls.vocabulary_of(spark.createDataFrame([("FOO", 2), ("foo", 1), ("bar", 2), ("baz", 9), (None, 3), ("", 9)], "term string, weight int"))
+    got = sorted(((r.page_id or 0, r.verdict, r.strict_hits, r.soft_hits, r.soft_weight) for r in urls.judge_urls(pages, terms=terms).collect()))
+    assert got == [(0, "block", 1, 0, 0), (1, "block", 0, 2, 4), (1, "block", 0, 2, 4), (2, "allow", 0, 1, 2), (3, "block", 0, 2, 4), (4, "allow", 0, 0, 0)]
+    assert urls.judge_urls(pages.limit(0)).count() == 0
+
+
 def naive_seats(votes, seats, caps):
     got = [0] * len(votes)
     for _ in range(min(seats, sum(c for v, c in zip(votes, caps, strict=True) if v > 0))):
