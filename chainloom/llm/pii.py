@@ -2,8 +2,11 @@
 
 A pattern finds candidates, each is validated, and valid ones are permuted within their
 format by a keyed Feistel network: two halves in turn add a keyed hash of the other, modulo
-their own size. That is a permutation for any key, so equal values get equal pseudonyms in
-all documents and different ones stay different.
+their own size. That is a permutation for any key, so equal values get equal pseudonyms in all
+documents and different ones stay different. Mail names and secrets are permuted without
+regard to case and get their capitals back (a secret all or none), so that spellings of one
+value stay linked; dates in the order of month and day are permuted as days, so one that is
+written day first may share its pseudonym's day, not its order.
 
 kind      valid if                                   kept of it
 card      13 to 19 digits at once or as printed,     first digit, grouping, a right check digit
@@ -16,8 +19,9 @@ email     name, @, domain                            letters as letters and digi
 key       AKIA and 16 capitals or digits             AKIA
 secret    password, token, secret or key = hex       the name, quotes, length
 
-A null text stays null, an empty one empty; texts without a match come back unchanged. Each
-row is handled by itself, so repeated rows and ties give equal rows; other columns pass.
+A null text stays null, an empty one empty; texts without a match come back unchanged, very
+long ones are read whole. Each row is handled by itself, so repeated rows and ties give
+equal rows; other columns pass. Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -132,7 +136,13 @@ def _day(m: Column) -> Column:
     """Days since the epoch of a date in either order, null if there is no such day."""
     plain = F.regexp_replace(m, "[/.]", "-")
     of = lambda form: F.datediff(F.to_date(F.try_to_timestamp(plain, F.lit(form))), F.lit(EPOCH).cast("date"))
-    return F.when(m.rlike(r"^[0-9]{4}\D"), of("yyyy-MM-dd")).when(m.rlike(r"^[0-9]{2}\D[0-9]{2}\D"), of("dd-MM-yyyy"))
+    day_first, month_first = of("dd-MM-yyyy"), of("MM-dd-yyyy")
+    return F.when(m.rlike(r"^[0-9]{4}\D"), of("yyyy-MM-dd")).when(m.rlike(r"^[0-9]{2}\D[0-9]{2}\D"), F.coalesce(day_first, month_first))
+
+
+def _month_first(m: Column) -> Column:
+    """Whether a date with the year last names a day only if its month comes first."""
+    return F.substring(m, 4, 2).cast("int") > 12
 
 
 def is_date(m: Column) -> Column:
@@ -142,7 +152,7 @@ def is_date(m: Column) -> Column:
 def _date(m: Column, key: str) -> Column:
     got = _let(_day(m), lambda d: feistel(F.floor(d / 300), d % 300, F.lit(256), F.lit(300), key, F.lit("date")))
     day = F.date_add(F.lit(EPOCH).cast("date"), (got["l"] * 300 + got["r"]).cast("int"))
-    digits = F.when(m.rlike(r"^[0-9]{4}\D"), F.date_format(day, "yyyyMMdd")).otherwise(F.date_format(day, "ddMMyyyy"))
+    digits = F.when(m.rlike(r"^[0-9]{4}\D"), F.date_format(day, "yyyyMMdd")).when(_month_first(m), F.date_format(day, "MMddyyyy")).otherwise(F.date_format(day, "ddMMyyyy"))
     return refill(m, "[0-9]", digits)
 
 
@@ -158,11 +168,17 @@ def _ip(m: Column, key: str) -> Column:
     return _let(got, lambda g: F.concat_ws(".", F.floor(g["l"] / 256).cast("string"), (g["l"] % 256).cast("string"), F.floor(g["r"] / 256).cast("string"), (g["r"] % 256).cast("string")))
 
 
+def _cased(new: Column, like: Column) -> Column:
+    """``new`` with a capital wherever ``like``, of the same length, has one."""
+    return F.array_join(F.zip_with(F.split(new, ""), F.split(like, ""), lambda n, o: F.when(o.rlike("[A-Z]"), F.upper(n)).otherwise(n)), "")
+
+
 def _email(m: Column, key: str) -> Column:
-    name = F.lower(F.substring_index(m, "@", 1))
+    written = F.substring_index(m, "@", 1)
+    name = F.lower(written)
     letters = F.translate(symbols(F.translate(_only(name, "a-z"), LETTERS, BASE_26), 26, key, "email"), BASE_26.upper(), LETTERS)
     named = refill(refill(name, "[0-9]", symbols(_only(name, "0-9"), 10, key, "email")), "[a-z]", letters)
-    return F.concat(named, F.lit("@"), F.substring_index(m, "@", -1))
+    return F.concat(_cased(named, written), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _key(m: Column, key: str) -> Column:
@@ -171,7 +187,9 @@ def _key(m: Column, key: str) -> Column:
 
 def _secret(m: Column, key: str) -> Column:
     body = F.regexp_extract(m, "([0-9a-fA-F]{12,})$", 1)
-    return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(body)), F.lower(symbols(F.lower(body), 16, key, "secret")))
+    new = F.lower(symbols(F.lower(body), 16, key, "secret"))
+    capital = body.rlike("[A-F]") & ~body.rlike("[a-f]")  # digits may become letters: one case for all
+    return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(body)), F.when(capital, F.upper(new)).otherwise(new))
 
 
 def kind_of(m: Column) -> Column:
@@ -191,11 +209,15 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the text replaced, and ``pii``: an array of the kinds replaced, in the order of their places."""
+    """``docs`` with the text replaced, and ``pii``: an array of the kinds replaced, in the order of their places.
+
+    A column ``pii`` of the input is replaced; all others pass, whatever their names.
+    """
     text = F.col(text_col)
+    new = "new" + "_" * max(map(len, docs.columns))  # no column has this name
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     judged = F.transform(found, lambda m: _let(kind_of(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("new"))))
-    parts = docs.withColumn("__new", judged)
-    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col("__new"), lambda gap, p: F.concat(gap, F.coalesce(p["new"], F.lit("")))), "")
-    any_ = F.size("__new") > 0
-    return parts.withColumns({text_col: F.when(any_, joined).otherwise(text), "pii": F.coalesce(F.filter(F.transform("__new", lambda p: p["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))}).drop("__new")
+    parts = docs.withColumn(new, judged)
+    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col(new), lambda gap, p: F.concat(gap, F.coalesce(p["new"], F.lit("")))), "")
+    any_ = F.size(new) > 0
+    return parts.withColumns({text_col: F.when(any_, joined).otherwise(text), "pii": F.coalesce(F.filter(F.transform(new, lambda p: p["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))}).drop(new)
