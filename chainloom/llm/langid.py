@@ -259,7 +259,8 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
         return kept.withColumns({"lang_pred": F.lit(NONE), "score": F.lit(0.0)})
     modest_batches(docs.sparkSession, 500)
     names = kept.columns
-    shown = kept.select(*names, F.when(F.col(text_col).rlike(r"\p{L}"), whole(text_col)).otherwise("").alias("__seen"))
+    seen = "seen" + "_" * max(map(len, names))  # no column has this name
+    shown = kept.select("*", F.when(F.col(text_col).rlike(r"\p{L}"), whole(text_col)).otherwise("").alias(seen))
     schema = kept.schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
