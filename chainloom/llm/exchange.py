@@ -86,7 +86,7 @@ def pack(values: np.ndarray) -> bytes:
     """Unsigned numbers, as planes of their bytes, compressed."""
     width = next(w for w in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << 8 * w)
     planes = np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
-    data = zstandard.compress(planes, 1)
+    data = zstandard.compress(planes, 3)
     return bytes([width]) + len(values).to_bytes(8, "little") + len(data).to_bytes(8, "little") + data
 
 
@@ -97,6 +97,21 @@ def unpack(data: bytes | memoryview, at: int = 0) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(planes.reshape(width, n).T).view(f"<u{width}").ravel(), at + 17 + size
 
 
+def pack_codes(codes: np.ndarray) -> bytes:
+    """16-bit codes of which few are frequent: their list by falling frequency, and the place of each in it."""
+    often = np.bincount(codes, minlength=1 << 16)
+    listed = np.argsort(-often, kind="stable")[: int((often > 0).sum())]
+    place = np.empty(1 << 16, np.uint16)
+    place[listed] = np.arange(len(listed))
+    return pack(listed.astype(np.uint16)) + pack(place[codes])
+
+
+def unpack_codes(data: bytes | memoryview, at: int = 0) -> tuple[np.ndarray, int]:
+    listed, at = unpack(data, at)
+    place, at = unpack(data, at)
+    return listed.astype(np.uint16)[place], at
+
+
 def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, pa.Table]]:
     """Runs of rows of about ``most`` bytes, with their names; the last column is the text, without nulls."""
     task = TaskContext.get()

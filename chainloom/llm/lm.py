@@ -32,17 +32,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import modest_batches, scratch, whole
-from .exchange import answers, ask, by_shard, chunks, in_order, mapped, pack, put, rescannable, shard_of, string_bytes, unpack
+from .exchange import answers, ask, by_shard, chunks, in_order, mapped, pack, pack_codes, put, rescannable, shard_of, string_bytes, unpack, unpack_codes
 from .pieces import ranges
 
 DISCOUNT, CHUNK, SCALE = 0.75, 12_000_000, 9.0
 #: Words that no text has: the end of a text, and what stands before it.
 END, BEGIN = " ", "  "
-BLOCK, ASKED = 8, 1 << 16
+ASKED = 1 << 16
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -66,9 +67,9 @@ class EliasFano:
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.bits, self.low, self.high = n, bits, low, high
-        ones = np.bitwise_count(high).astype(np.int64).reshape(-1, BLOCK).sum(1)
-        self.ones = np.cumsum(ones) - ones  # before each block of words
-        self.zeros = np.arange(len(ones)) * (64 * BLOCK) - self.ones
+        ones = np.bitwise_count(high).astype(np.int64)
+        self.ones = np.cumsum(ones) - ones  # before each 64 bits
+        self.zeros = np.arange(len(ones)) * 64 - self.ones
         self.tops = len(high) * 64 - int(ones.sum())
 
     @classmethod
@@ -85,7 +86,7 @@ class EliasFano:
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
         top = (v >> np.uint64(bits)).astype(np.int64)
         size = (int(top[-1]) + 1 if n else 0) + n
-        unary = np.zeros(-(-size // (64 * BLOCK)) * 64 * BLOCK, np.uint8)
+        unary = np.zeros(-(-size // 64) * 64, np.uint8)
         unary[top + np.arange(n)] = 1
         return cls(n, bits, low, np.packbits(unary, bitorder="little").view("<u8"))
 
@@ -100,22 +101,25 @@ class EliasFano:
 
     def _select(self, i: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
         """The place of the i-th one, or of the i-th zero if ``flip``."""
-        block = np.searchsorted(before, i, "right") - 1
-        left = i - before[block]
-        words = self.high[block[:, None] * BLOCK + np.arange(BLOCK)]
+        word = np.searchsorted(before, i, "right") - 1
+        left, x, place = (i - before[word]).astype(np.uint8), self.high[word], np.zeros(len(i), np.uint8)
         if flip:
-            words = ~words
-        sums = np.bitwise_count(words).astype(np.int64).cumsum(1)
-        word = (sums <= left[:, None]).sum(1)
-        rows = np.arange(len(i))
-        left = left - np.where(word > 0, sums[rows, np.maximum(word - 1, 0)], 0)
-        x, place = words[rows, word], np.zeros(len(i), np.int64)
+            x = ~x
         for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(x & np.uint64((1 << half) - 1)).astype(np.int64)
+            count = np.bitwise_count(x & np.uint64((1 << half) - 1))
             up = left >= count
-            left, place = left - np.where(up, count, 0), place + np.where(up, half, 0)
-            x = np.where(up, x >> np.uint64(half), x)
-        return (block * BLOCK + word) * 64 + place
+            left -= count * up
+            place += up.view(np.uint8) * np.uint8(half)
+            x = x >> (up * np.uint64(half))
+        return word * 64 + place
+
+    def _run(self, at: np.ndarray) -> np.ndarray:
+        """How many ones stand in a row from each place on, 64 at most."""
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        x = self.high[np.minimum(word, len(self.high) - 1)] >> shift
+        x |= np.where(shift > 0, self.high[np.minimum(word + 1, len(self.high) - 1)] << (np.uint64(64) - shift) % np.uint64(64), np.uint64(0))
+        end = ~x & (x + np.uint64(1))  # the lowest zero
+        return np.where(end > 0, np.bitwise_count(end - np.uint64(1)), 64).astype(np.int64)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -131,19 +135,23 @@ class EliasFano:
         i = np.asarray(i)
         return (self._select(i, self.ones, False) - i).astype(np.uint64) << np.uint64(self.bits) | self._low(i)
 
-    def successor(self, x: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
-        """The place of the first value not below x, within [start, end) of each, if given."""
-        x = x.astype(np.uint64)
+    def _within(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of the values that share each x's high part: they stand between two zeros."""
         top = (x >> np.uint64(self.bits)).astype(np.int64)
-        # Values with this high part stand between two zeros; of them only low parts are compared.
         inside = top < self.tops
         near = np.where(inside, top, 0)
-        hi = np.where(inside, self._select(near, self.zeros, True) - near, self.n)
-        lo = np.where(inside & (near > 0), self._select(np.maximum(near - 1, 0), self.zeros, True) - np.maximum(near - 1, 0), np.where(inside, 0, self.n))
-        if start is not None:
-            lo, hi = np.maximum(lo, start), np.minimum(hi, end)
-            lo, hi = np.minimum(lo, end), np.maximum(hi, np.minimum(lo, end))
+        zero = np.where(near > 0, self._select(np.maximum(near - 1, 0), self.zeros, True), -1)
+        lo = np.where(inside, zero + 1 - near, self.n)
+        size = self._run(zero + 1)
+        long = np.flatnonzero(inside & (size > 32))  # a run may go on in the next word
+        if len(long):
+            size[long] = self._select(near[long], self.zeros, True) - near[long] - lo[long]
+        return lo, np.where(inside, lo + size, self.n)
+
+    def _first(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The first place in [lo, hi), where all share x's high part, whose low part isn't below that of x."""
         low = x & np.uint64((1 << self.bits) - 1)
+        lo, hi = lo.copy(), hi.copy()
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
@@ -153,21 +161,70 @@ class EliasFano:
             open_ = open_[lo[open_] < hi[open_]]
         return lo
 
+    def successor(self, x: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """The place of the first value not below x, within [start, end) of each, if given."""
+        x = x.astype(np.uint64)
+        lo, hi = self._within(x) if self.n else (np.zeros(len(x), np.int64),) * 2
+        if start is not None:
+            lo, hi = np.clip(lo, start, end), np.clip(hi, start, end)
+        return self._first(x, lo, hi)
+
     def find(self, x: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """The place of x, or -1."""
         if not self.n:
             return np.full(len(x), -1)
-        at = self.successor(x, start, end)
-        hit = at < (self.n if end is None else end)
-        hit[hit] = self[at[hit]] == x[hit].astype(np.uint64)
+        x = x.astype(np.uint64)
+        lo, hi = self._within(x)
+        if start is not None:
+            lo, hi = np.maximum(lo, start), np.minimum(hi, end)
+        at = self._first(x, lo, hi)
+        hit = (at < hi) & (self._low(np.minimum(at, self.n - 1)) == x & np.uint64((1 << self.bits) - 1))
         return np.where(hit, at, -1)
 
 
+class Codes:
+    """16-bit codes of which few are frequent: a byte each, the place in a list of the 255 most
+    frequent ones; the codes of the other places are kept by place."""
+
+    def __init__(self, listed: np.ndarray, byte: np.ndarray, places: EliasFano, others: np.ndarray):
+        self.listed, self.byte, self.places, self.others = listed, byte, places, others
+
+    @classmethod
+    def of(cls, codes: np.ndarray) -> Codes:
+        listed = np.argsort(-np.bincount(codes, minlength=1 << 16), kind="stable")[:255].astype(np.uint16)
+        place = np.full(1 << 16, 255, np.uint8)
+        place[listed] = np.arange(255)
+        byte = place[codes]
+        rare = np.flatnonzero(byte == 255)
+        return cls(listed, byte, EliasFano.of(rare), codes[rare])
+
+    def bytes(self) -> bytes:
+        tail = self.byte.tobytes() + self.others.astype("<u2").tobytes() + self.listed.astype("<u2").tobytes()
+        return np.array([len(self.byte)], "<u8").tobytes() + self.places.bytes() + tail + bytes(-len(tail) % 8)
+
+    @classmethod
+    def read(cls, data, at: int) -> tuple[Codes, int]:
+        n = int(np.frombuffer(data, "<u8", 1, at)[0])
+        places, at = EliasFano.read(data, at + 8)
+        byte = np.frombuffer(data, np.uint8, n, at)
+        others = np.frombuffer(data[at + n : at + n + 2 * places.n], "<u2")
+        listed = np.frombuffer(data[at + n + 2 * places.n : at + n + 2 * places.n + 510], "<u2")
+        return cls(listed, byte, places, others), at + -(-(n + 2 * places.n + 510) // 8) * 8
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        byte = self.byte[at]
+        rare = np.flatnonzero(byte == 255)
+        out = self.listed[np.where(byte == 255, 0, byte)]
+        if len(rare):
+            out[rare] = self.others[self.places.find(at[rare].astype(np.uint64))]
+        return out
+
+
 class Trie:
     """The n-grams of one length. ``levels`` are their words from the first to the last,
     ``pointers`` lead from each level to the next."""
 
-    def __init__(self, width: int, levels: list[EliasFano], pointers: list[EliasFano], chance: np.ndarray, weight: np.ndarray):
+    def __init__(self, width: int, levels: list[EliasFano], pointers: list[EliasFano], chance: Codes, weight: Codes):
         self.width, self.levels, self.pointers, self.chance, self.weight = width, levels, pointers, chance, weight
 
     @classmethod
@@ -205,38 +262,45 @@ class Trie:
         n, kinds = np.bincount(owner, total), np.bincount(owner)
         levels.append(EliasFano.of(keys))
         pointers.append(EliasFano.of(np.append(0, np.cumsum(kinds))))
-        return cls(width, levels, pointers, quantise((total - discount) / n[owner]), quantise(discount * kinds / np.maximum(n, 1)))
+        return cls(width, levels, pointers, Codes.of(quantise((total - discount) / n[owner])), Codes.of(quantise(discount * kinds / np.maximum(n, 1))))
 
     def bytes(self) -> bytes:
-        head = np.array([self.width, len(self.levels), len(self.chance), len(self.weight)], "<u8").tobytes()
-        codes = self.chance.astype("<u2").tobytes() + self.weight.astype("<u2").tobytes()
-        return head + b"".join(x.bytes() for x in (*self.levels, *self.pointers)) + codes + bytes(-len(codes) % 8)
+        return np.array([self.width, len(self.levels)], "<u8").tobytes() + b"".join(x.bytes() for x in (*self.levels, *self.pointers, self.chance, self.weight))
 
     @classmethod
     def read(cls, data, at: int = 0) -> tuple[Trie, int]:
-        width, depth, n, m = (int(x) for x in np.frombuffer(data, "<u8", 4, at))
-        at, parts = at + 32, []
+        width, depth = (int(x) for x in np.frombuffer(data, "<u8", 2, at))
+        at, parts = at + 16, []
         for _ in range(2 * depth - 1):
             part, at = EliasFano.read(data, at)
             parts.append(part)
-        codes = np.frombuffer(data, "<u2", n + m, at)
-        return cls(width, parts[:depth], parts[depth:], codes[:n], codes[n:]), at + -(-2 * (n + m) // 8) * 8
+        chance, at = Codes.read(data, at)
+        weight, at = Codes.read(data, at)
+        return cls(width, parts[:depth], parts[depth:], chance, weight), at
 
     def ask(self, contexts: list[np.ndarray], sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of each word's probability after its context (0: not there) and of each context's weight (0: no such context)."""
+        """Codes of each word's probability after its context (0: not there) and of each context's weight
+        (0: no such context), for sorted contexts: contexts that begin alike walk together."""
         m = len(sizes)
-        place, start, end = np.zeros(m, np.int64), np.zeros(m, np.int64), np.full(m, self.levels[0].n)
+        if not m or not self.levels[0].n:
+            return np.zeros(len(word), np.uint16), np.zeros(m, np.uint16)
+        owner, new, first = np.zeros(m, np.int64), np.zeros(m, bool), np.zeros(1, np.int64)
+        new[0] = True
+        place, start, end = first, np.zeros(1, np.int64), np.full(1, self.levels[0].n)
         for level, pointer, column in zip(self.levels[:-1], self.pointers, contexts, strict=True):
-            found = self._walk(level, place, start, end, column)
-            place = np.maximum(found, 0)
-            start, end = np.zeros(m, np.int64), np.zeros(m, np.int64)
-            hit = np.flatnonzero(found >= 0)
-            for s in range(0, len(hit), ASKED):
-                own = hit[s : s + ASKED]
+            new[1:] |= column[1:] != column[:-1]
+            at = np.flatnonzero(new)
+            found = self._walk(level, place[owner[at]], start[owner[at]], end[owner[at]], column[at])
+            hit = found >= 0
+            place, start, end = np.where(hit, found, 0), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            for s in range(0, len(at), ASKED):
+                own = np.flatnonzero(hit[s : s + ASKED]) + s
                 start[own], end[own] = pointer[place[own]], pointer[place[own] + 1]
-        weight = np.where(end > start, self.weight[place] if len(self.weight) else 0, 0).astype(np.uint16)
+            owner = np.cumsum(new) - 1
+        place, start, end = place[owner], start[owner], end[owner]
+        weight = np.where(end > start, self.weight[place], 0).astype(np.uint16)
         at = self._walk(self.levels[-1], *(np.repeat(x, sizes) for x in (place, start, end)), word)
-        return np.where(at >= 0, self.chance[np.maximum(at, 0)] if len(self.chance) else 0, 0).astype(np.uint16), weight
+        return np.where(at >= 0, self.chance[np.maximum(at, 0)], 0).astype(np.uint16), weight
 
     def _walk(self, level: EliasFano, place: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The place of each word among its context's successors, or -1."""
@@ -270,38 +334,49 @@ def _learned(rows: pa.Table, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(rows.column("learn").to_numpy().astype(np.uint8), sizes)
 
 
+def _sorted_by_shard(words: pa.StringArray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words by shard and alphabet, and where in it each shard's begin."""
+    order = pc.array_sort_indices(words).to_numpy().astype(np.int64)
+    turn, cuts = by_shard(words.take(pa.array(order)), shards)
+    return order[turn], cuts
+
+
 def send_words(_: str, rows: pa.Table, shards: int) -> Iterator[tuple[int, bytes]]:
-    """For each shard: sizes of its words, their training counts, and their bytes."""
+    """For each shard: its words' training counts, and the words, each with a line feed, compressed."""
     words, at, sizes = tokens(rows.columns[-1].chunk(0))
     counts = np.bincount(at, _learned(rows, sizes), len(words)).astype(np.uint64)
-    order, cuts = by_shard(words, shards)
-    data, offsets = string_bytes(words.take(pa.array(order)))
+    order, cuts = _sorted_by_shard(words, shards)
+    data, offsets = string_bytes(pc.binary_join_element_wise(words.take(pa.array(order)), "\n", "").cast(pa.string()))
     for k in range(shards):
         a, b = cuts[k], cuts[k + 1]
-        yield k, pack(np.diff(offsets[a : b + 1]).astype(np.uint64)) + pack(counts[order[a:b]]) + data[offsets[a] : offsets[b]].tobytes()
+        yield k, pack(counts[order[a:b]]) + zstandard.compress(data[offsets[a] : offsets[b]], 3)
 
 
 def number_words(shards: int):
     def answer(shard: int, parts: list[bytes]) -> Iterator[tuple[bytes, int, int]]:
-        """Numbers and counts of each chunk's words: the shard's words by falling counts, in steps of ``shards``."""
+        """Ranks of each chunk's words among the shard's, by falling counts, and where in the ranks counts fall."""
         asked, counted = [], []
         for part in parts:
-            sizes, at = unpack(part)
-            counts, at = unpack(part, at)
+            counts, at = unpack(part)
             counted.append(counts.astype(np.int64))
-            asked.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes.astype(np.int64)))), pa.py_buffer(part[at:])]))
+            data = np.frombuffer(zstandard.decompress(part[at:]) if len(counts) else b"", np.uint8)
+            ends = np.flatnonzero(data == 10)
+            inner = np.append(0, ends - np.arange(len(ends)))
+            asked.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(inner), pa.py_buffer(data[data != 10])]))
         coded = pa.concat_arrays(asked).dictionary_encode()
         at = coded.indices.to_numpy()
         total = np.bincount(at, np.concatenate(counted), len(coded.dictionary)).astype(np.int64)
         order = pc.array_sort_indices(coded.dictionary).to_numpy()  # equal counts in the order of words
         order = order[np.argsort(-total[order], kind="stable")]
-        number = np.empty(len(total), np.uint64)
-        number[order] = np.arange(len(total), dtype=np.uint64) * np.uint64(shards) + np.uint64(shard)
+        rank = np.empty(len(total), np.uint64)
+        rank[order] = np.arange(len(total), dtype=np.uint64)
+        falls = np.flatnonzero(np.diff(total[order], prepend=-1))
+        steps = pack(falls.astype(np.uint64)) + pack(total[order][falls].astype(np.uint64))
         n, v, a = int(total.sum()), int((total > 0).sum()), 0
         for words in asked:
             own = at[a : a + len(words)]
             a += len(words)
-            yield pack(number[own]) + pack(total[own].astype(np.uint64)), n, v
+            yield pack(rank[own]) + steps, n, v
             n = v = 0  # a shard gives its sums once
 
     return answer
@@ -312,12 +387,14 @@ class Grams:
 
     def __init__(self, rows: pa.Table, got: list[memoryview], order: int):
         words, at, self.sizes = tokens(rows.columns[-1].chunk(0))
-        place, _ = by_shard(words, len(got))
+        place, _ = _sorted_by_shard(words, len(got))
         numbers, counts = [], []
-        for part in got:
-            x, i = unpack(part)
-            numbers.append(x.astype(np.uint64))
-            counts.append(unpack(part, i)[0].astype(np.int64))
+        for shard, part in enumerate(got):
+            rank, i = unpack(part)
+            falls, i = unpack(part, i)
+            steps, _ = unpack(part, i)
+            counts.append(steps.astype(np.int64)[np.searchsorted(falls, rank, "right") - 1] if len(rank) else np.zeros(0, np.int64))
+            numbers.append(rank.astype(np.uint64) * np.uint64(len(got)) + np.uint64(shard))  # frequent words have small numbers
         number, count = np.empty(len(words), np.uint64), np.empty(len(words), np.int64)
         number[place], count[place] = np.concatenate(numbers), np.concatenate(counts)
         turn = np.argsort(number)
@@ -421,7 +498,7 @@ def answer_grams(at: str, order: int):
             trie, i = Trie.read(file, i)
             tries.append(trie)
         for part in parts:
-            yield b"".join(pack(x) for trie, (columns, span, word, _) in zip(tries, unpack_grams(part, order), strict=True) for x in trie.ask(columns, span, word)), 0, 0
+            yield b"".join(pack_codes(x) for trie, (columns, span, word, _) in zip(tries, unpack_grams(part, order), strict=True) for x in trie.ask(columns, span, word)), 0, 0
 
     return answer
 
@@ -455,9 +532,9 @@ def score(docs: DataFrame, held_out: Column, order: int = 3, chunk: int = CHUNK,
             for (turn, _), lower, span in zip(g.orders(len(got)), g.lower, g.spans, strict=True):
                 p, w = [], []
                 for k, part in enumerate(got):
-                    x, where[k] = unpack(part, where[k])
+                    x, where[k] = unpack_codes(part, where[k])
                     p.append(x)
-                    x, where[k] = unpack(part, where[k])
+                    x, where[k] = unpack_codes(part, where[k])
                     w.append(x)
                 weight, own = np.empty(len(span)), np.empty(len(lower))
                 weight[turn] = restore(np.concatenate(w))
