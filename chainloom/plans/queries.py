@@ -683,3 +683,5 @@ def type_names(p):
 @query("SELECT 'x' || p_partkey AS id, substr(sha1(p_name || '|' || p_brand), 1, 8) AS short_id FROM {part}")
 def short_ids(p):
     return p.part.select(F.concat(F.lit("x"), F.col("p_partkey")).alias("id"), names.short_id(F.concat_ws("|", "p_name", "p_brand")).alias("short_id"))
+
+from . import program_queries  # noqa: E402, F401  registers its queries here
