@@ -1,8 +1,9 @@
 """Asking all shards of a corpus about what a chunk of rows holds, and filing the answers.
 
-A scan task cuts its rows into chunks of a bounded size, sends one part of each chunk to
-every shard, and the shards' answers come back as one file per chunk. A second scan forms
-the same chunks and reads the files. Only Spark's shuffles move data; the driver sees none.
+A scan task cuts its rows into chunks of a bounded size and sends one part of each chunk to
+every shard. A shard writes its answers to one file in the shared folder; their places are
+sent back, one small file for each chunk. A second scan forms the same chunks and reads
+their ranges of the shards' files. The driver sees none of it.
 
 Both scans must see the same rows in the same order, as scans of files do. ``rescannable``
 writes any other input to the shared folder first. A chunk's name holds the scan task, its
@@ -13,7 +14,7 @@ and never a wrong answer; and equal rows of several tasks have chunks of their o
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +41,21 @@ def mapped(at: str) -> pa.Buffer:
         return file.read_buffer()
 
 
-def put(at: str, data: list[bytes]) -> None:
+def _range(at: str, start: int, size: int) -> memoryview:
+    store, path = fs.FileSystem.from_uri(at)
+    if isinstance(store, fs.LocalFileSystem):
+        return memoryview(pa.memory_map(path).read_buffer())[start : start + size]
+    with store.open_input_file(path) as file:
+        return memoryview(file.read_at(size, start))
+
+
+def put(at: str, data: Iterable[bytes]) -> None:
     """Writes a file whose bytes follow from its name: a later attempt finds an earlier one's file and leaves it."""
     store, path = fs.FileSystem.from_uri(at)
     there = lambda: store.get_file_info(path).type == fs.FileType.File
     if there():
+        for _ in data:
+            pass
         return
     store.create_dir(path.rpartition("/")[0])
     draft = f"{path}.{uuid.uuid4().hex}"
@@ -67,10 +78,25 @@ def string_bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at.astype(np.int64) - at[0]
 
 
+def hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each string, given as bytes and offsets."""
+    sizes, out = np.diff(offsets), np.zeros(len(offsets) - 1, np.uint64)
+    full = np.flatnonzero(sizes)
+    with np.errstate(over="ignore"):
+        if len(full):
+            power = np.multiply.accumulate(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+            step = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
+            out[full] = np.add.reduceat((data + np.uint64(1)) * power[step], offsets[:-1][full])
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ out >> np.uint64(32)
+
+
 def by_shard(words: pa.StringArray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of words by shard, and where in it each shard's begin."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
-    return in_order(shard_of(h, shards), shards)
+    return in_order(shard_of(hashes(*string_bytes(words)), shards), shards)
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -97,6 +123,11 @@ def unpack(data: bytes | memoryview, at: int = 0) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(planes.reshape(width, n).T).view(f"<u{width}").ravel(), at + 17 + size
 
 
+def skip(data: bytes | memoryview, at: int) -> int:
+    """Where the numbers that begin at ``at`` end."""
+    return at + 17 + int.from_bytes(data[at + 9 : at + 17], "little")
+
+
 def pack_codes(codes: np.ndarray) -> bytes:
     """16-bit codes of which few are frequent: their list by falling frequency, and the place of each in it."""
     often = np.bincount(codes, minlength=1 << 16)
@@ -166,17 +197,28 @@ def ask(rows: DataFrame, parts: Callable[[str, pa.Table, int], Iterator[tuple[in
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 1):
-            shard = group[0][1]
-            for (chunk, _, _), (got, a, b) in zip(group, answer(shard, [part for _, _, part in group]), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([shard], pa.int64()), pa.array([a], pa.int64()), pa.array([b], pa.int64()), pa.array([got], pa.binary())], ["chunk", "shard", "a", "b", "answer"])
+            shard, found, end = group[0][1], [], 0
+
+            def given(group=group, found=found) -> Iterator[bytes]:
+                for (chunk, shard, _), (got, a, b) in zip(group, answer(group[0][1], [part for _, _, part in group]), strict=True):
+                    found.append((chunk, shard, a, b, len(got)))
+                    yield got
+
+            put(f"{at}/shards/{shard:06d}", given())
+            for i in range(0, len(found), 10_000):
+                own = found[i : i + 10_000]
+                sizes = [x[4] for x in own]
+                starts = (end + np.cumsum([0, *sizes[:-1]])).tolist()
+                end += sum(sizes)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own]), *(pa.array([x[k] for x in own], pa.int64()) for k in (1, 2, 3)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], ["chunk", "shard", "a", "b", "start", "size"])
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 0):
-            put(f"{at}/{group[0][0]}", [x for *_, got in group for x in (len(got).to_bytes(8, "little"), got)])
+            put(f"{at}/chunks/{group[0][0]}", [np.array([g[4:6] for g in group], "<u8").tobytes()])
             yield pa.RecordBatch.from_arrays([pa.array([group[0][0]]), pa.array([sum(g[2] for g in group)], pa.int64()), pa.array([sum(g[3] for g in group)], pa.int64())], ["chunk", "a", "b"])
 
     sent = rows.mapInArrow(send, "chunk string, shard long, part binary").repartition(shards, "shard").sortWithinPartitions("shard", "chunk")
-    replies = sent.mapInArrow(reply, "chunk string, shard long, a long, b long, answer binary").repartition(shards, "chunk").sortWithinPartitions("chunk", "shard")
+    replies = sent.mapInArrow(reply, "chunk string, shard long, a long, b long, start long, size long").repartition(shards, "chunk").sortWithinPartitions("chunk", "shard")
     filed = replies.mapInArrow(file, "chunk string, a long, b long")
     filed.write.parquet(f"{at}/filed")
     return spark.read.schema(filed.schema).parquet(f"{at}/filed")
@@ -184,9 +226,5 @@ def ask(rows: DataFrame, parts: Callable[[str, pa.Table, int], Iterator[tuple[in
 
 def answers(at: str, chunk: str) -> list[memoryview]:
     """The answers to a chunk, in the order of shards."""
-    data, out, i = memoryview(mapped(f"{at}/{chunk}")), [], 0
-    while i < len(data):
-        n = int.from_bytes(data[i : i + 8], "little")
-        out.append(data[i + 8 : i + 8 + n])
-        i += 8 + n
-    return out
+    places = np.frombuffer(mapped(f"{at}/chunks/{chunk}"), "<u8").reshape(-1, 2).tolist()
+    return [_range(f"{at}/shards/{shard:06d}", start, size) for shard, (start, size) in enumerate(places)]

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import modest_batches, scratch, whole
-from .exchange import answers, ask, by_shard, chunks, in_order, mapped, pack, pack_codes, put, rescannable, shard_of, string_bytes, unpack, unpack_codes
+from .exchange import answers, ask, by_shard, chunks, in_order, mapped, pack, pack_codes, put, rescannable, shard_of, skip, string_bytes, unpack, unpack_codes
 from .pieces import ranges
 
 DISCOUNT, CHUNK, SCALE = 0.75, 12_000_000, 9.0
@@ -177,9 +177,12 @@ class EliasFano:
         lo, hi = self._within(x)
         if start is not None:
             lo, hi = np.maximum(lo, start), np.minimum(hi, end)
-        at = self._first(x, lo, hi)
-        hit = (at < hi) & (self._low(np.minimum(at, self.n - 1)) == x & np.uint64((1 << self.bits) - 1))
-        return np.where(hit, at, -1)
+        low = x & np.uint64((1 << self.bits) - 1)
+        at, own = lo.copy(), self._low(np.clip(lo, 0, self.n - 1))
+        more = np.flatnonzero((hi - lo > 1) & (own < low))  # most high parts have one value
+        at[more] = self._first(x[more], lo[more] + 1, hi[more])
+        own[more] = self._low(np.minimum(at[more], self.n - 1))
+        return np.where((at < hi) & (own == low), at, -1)
 
 
 class Codes:
@@ -226,6 +229,17 @@ class Trie:
 
     def __init__(self, width: int, levels: list[EliasFano], pointers: list[EliasFano], chance: Codes, weight: Codes):
         self.width, self.levels, self.pointers, self.chance, self.weight = width, levels, pointers, chance, weight
+        self._least: np.ndarray | None = None
+
+    def least(self) -> np.ndarray:
+        """For each context the least code of its successors."""
+        if self._least is None:
+            parts, n = [], len(self.weight.byte)
+            for s in range(0, n, ASKED):
+                at = self.pointers[-1][np.arange(s, min(s + ASKED, n) + 1)]
+                parts.append(np.minimum.reduceat(self.chance[np.arange(int(at[0]), int(at[-1]))], (at[:-1] - at[0]).astype(np.int64)))
+            self._least = np.concatenate([np.zeros(0, np.uint16), *parts])
+        return self._least
 
     @classmethod
     def of(cls, contexts: list[np.ndarray], sizes: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> Trie:
@@ -278,12 +292,12 @@ class Trie:
         weight, at = Codes.read(data, at)
         return cls(width, parts[:depth], parts[depth:], chance, weight), at
 
-    def ask(self, contexts: list[np.ndarray], sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of each word's probability after its context (0: not there) and of each context's weight
-        (0: no such context), for sorted contexts: contexts that begin alike walk together."""
+    def ask(self, contexts: list[np.ndarray], sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of each word's probability after its context (0: not there), of each context's weight (0: no such
+        context) and of its least probability, for sorted contexts: contexts that begin alike walk together."""
         m = len(sizes)
         if not m or not self.levels[0].n:
-            return np.zeros(len(word), np.uint16), np.zeros(m, np.uint16)
+            return np.zeros(len(word), np.uint16), np.zeros(m, np.uint16), np.zeros(m, np.uint16)
         owner, new, first = np.zeros(m, np.int64), np.zeros(m, bool), np.zeros(1, np.int64)
         new[0] = True
         place, start, end = first, np.zeros(1, np.int64), np.full(1, self.levels[0].n)
@@ -299,8 +313,9 @@ class Trie:
             owner = np.cumsum(new) - 1
         place, start, end = place[owner], start[owner], end[owner]
         weight = np.where(end > start, self.weight[place], 0).astype(np.uint16)
+        least = np.where(end > start, self.least()[place], 0).astype(np.uint16)
         at = self._walk(self.levels[-1], *(np.repeat(x, sizes) for x in (place, start, end)), word)
-        return np.where(at >= 0, self.chance[np.maximum(at, 0)], 0).astype(np.uint16), weight
+        return np.where(at >= 0, self.chance[np.maximum(at, 0)], 0).astype(np.uint16), weight, least
 
     def _walk(self, level: EliasFano, place: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The place of each word among its context's successors, or -1."""
@@ -382,6 +397,16 @@ def number_words(shards: int):
     return answer
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, a place of each, the number of each key among them)."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = np.append(True, own[1:] != own[:-1])[: len(own)]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return own[new], order[new], place
+
+
 class Grams:
     """A chunk's documents as distinct n-grams of numbered words, for each length from 1 on."""
 
@@ -404,22 +429,25 @@ class Grams:
         now, begin, n = rank[at], int(rank[len(words) - 1]), len(words)
         start = np.cumsum(self.sizes) - self.sizes
         step = np.arange(len(now)) - np.repeat(start, self.sizes)  # how far into its text each token is
-        back = lambda k: np.where(step >= k, np.roll(now, k), begin)
         self.place = now
         learn = _learned(rows, self.sizes)
         self.contexts, self.spans, self.words, self.counts, self.lower = [], [], [], [], []
-        context, columns = np.zeros(len(now), np.int64), []
-        size = 1
-        for k in range(1, order):  # contexts grow to the left, so that they stay sorted by their words
-            keys, context = np.unique(back(k) * size + context, return_inverse=True)
-            columns = [keys // size, *(c[keys % size] for c in columns)]
-            size = len(keys)
-            grams, first, place = np.unique(context * n + now, return_index=True, return_inverse=True)
+        ahead = np.where(step > 0, np.roll(now, 1), begin)
+        used = np.bincount(ahead, minlength=n) > 0
+        columns, context, first = [np.flatnonzero(used)], (np.cumsum(used) - 1)[ahead], int(used[:begin].sum())
+        for k in range(1, order):
+            if k > 1:  # the contexts are the grams of the length before, and what stands before a text
+                spot = int(np.searchsorted(grams, first * n + begin))
+                columns = [np.insert(c, spot, begin) for c in (*(c[grams // n] for c in columns), grams % n)]
+                context = np.where(step > 0, np.roll(self.place + (self.place >= spot), 1), spot)
+                used = np.bincount(context, minlength=len(columns[0])) > 0  # an end has nothing behind it
+                columns, context, first = [c[used] for c in columns], (np.cumsum(used) - 1)[context], int(used[:spot].sum())
+            grams, some, place = _distinct(context * n + now)
             self.contexts.append([self.numbers[c] for c in columns])
-            self.spans.append(np.bincount(grams // n, minlength=size))
+            self.spans.append(np.bincount(grams // n, minlength=len(columns[0])))
             self.words.append(self.numbers[grams % n])
             self.counts.append(np.bincount(place, learn, len(grams)).astype(np.uint64))
-            self.lower.append(self.place[first])
+            self.lower.append(self.place[some])
             self.place = place
 
     def orders(self, shards: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -461,44 +489,58 @@ def _sums(steps: np.ndarray, new: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[at] - steps[at], np.diff(np.append(at, len(steps)))) if len(steps) else total
 
 
-def unpack_grams(data: bytes, order: int) -> list[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
-    """(columns of contexts, numbers of words, words, counts) for each length from 2 on."""
-    out, at = [], 0
-    for k in range(1, order):
-        columns, new = [], None
-        for _ in range(k):
-            steps, at = unpack(data, at)
-            if new is None:
-                new = np.zeros(len(steps), bool)
-                new[:1] = True
-            columns.append(_sums(steps.astype(np.uint64), new))
-            new[1:] |= columns[-1][1:] != columns[-1][:-1]
-        span, at = unpack(data, at)
+def unpack_grams(data: bytes, length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(columns of contexts, numbers of words, words, counts) of the n-grams of this length."""
+    at = 0
+    for k in range(1, length - 1):
+        for _ in range(k + 3):
+            at = skip(data, at)
+    columns, new = [], None
+    for _ in range(length - 1):
         steps, at = unpack(data, at)
-        counts, at = unpack(data, at)
-        span = span.astype(np.int64)
-        head = np.zeros(len(steps), bool)
-        head[np.cumsum(span) - span] = True
-        out.append((columns, span, _sums(steps.astype(np.uint64), head), counts))
-    return out
+        if new is None:
+            new = np.zeros(len(steps), bool)
+            new[:1] = True
+        columns.append(_small(_sums(steps.astype(np.uint64), new)))
+        new[1:] |= columns[-1][1:] != columns[-1][:-1]
+    span, at = unpack(data, at)
+    steps, at = unpack(data, at)
+    span = span.astype(np.int64)
+    head = np.zeros(len(steps), bool)
+    head[np.cumsum(span) - span] = True
+    return columns, span, _small(_sums(steps.astype(np.uint64), head)), unpack(data, at)[0]
+
+
+def _small(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint32) if not len(values) or int(values.max()) < 1 << 32 else values
 
 
 def answer_grams(at: str, order: int):
     def answer(shard: int, parts: list[bytes]) -> Iterator[tuple[bytes, int, int]]:
         """Builds and stores a shard's tries and answers the chunks from their file."""
         data = []
-        for k in range(order - 1):
-            every = [unpack_grams(part, order)[k] for part in parts]
-            columns = [np.concatenate([e[0][i] for e in every]) for i in range(k + 1)]
-            data.append(Trie.of(columns, *(np.concatenate([e[i] for e in every]) for i in (1, 2, 3))).bytes())
-            del every, columns
+        for n in range(2, order + 1):
+            every = [unpack_grams(part, n) for part in parts]
+            columns = [np.concatenate([e[0][i] for e in every]) for i in range(n - 1)]
+            sizes, word, count = (np.concatenate([e[i] for e in every]) for i in (1, 2, 3))
+            del every
+            data.append(Trie.of(columns, sizes, word, count).bytes())
+            del columns, sizes, word, count
         put(f"{at}/{shard:06d}", data)
+        del data
         file, i, tries = mapped(f"{at}/{shard:06d}"), 0, []
         for _ in range(order - 1):
             trie, i = Trie.read(file, i)
             tries.append(trie)
         for part in parts:
-            yield b"".join(pack_codes(x) for trie, (columns, span, word, _) in zip(tries, unpack_grams(part, order), strict=True) for x in trie.ask(columns, span, word)), 0, 0
+            out = []
+            for n, trie in enumerate(tries, 2):
+                columns, span, word, _ = unpack_grams(part, n)
+                p, w, least = trie.ask(columns, span, word)
+                # Probabilities as what they are above the least of their context: few values, most of them one.
+                above = np.where(p > 0, p.astype(np.int64) - np.repeat(least, span) + 1, 0)
+                out += [pack_codes(least), pack_codes(w), pack_codes(above)]
+            yield b"".join(out), 0, 0
 
     return answer
 
@@ -530,12 +572,15 @@ def score(docs: DataFrame, held_out: Column, order: int = 3, chunk: int = CHUNK,
             chance = base = (g.known + 0.5) / (n + 0.5 * (v + 1))
             known, below = g.known > 0, np.log10(base)
             for (turn, _), lower, span in zip(g.orders(len(got)), g.lower, g.spans, strict=True):
-                p, w = [], []
+                p, w, a = [], [], 0
                 for k, part in enumerate(got):
-                    x, where[k] = unpack_codes(part, where[k])
-                    p.append(x)
-                    x, where[k] = unpack_codes(part, where[k])
-                    w.append(x)
+                    least, where[k] = unpack_codes(part, where[k])
+                    weight, where[k] = unpack_codes(part, where[k])
+                    above, where[k] = unpack_codes(part, where[k])
+                    own = span[turn[a : a + len(least)]]
+                    a += len(least)
+                    p.append(np.where(above > 0, above + np.repeat(least, own) - 1, 0).astype(np.uint16))
+                    w.append(weight)
                 weight, own = np.empty(len(span)), np.empty(len(lower))
                 weight[turn] = restore(np.concatenate(w))
                 own[ranges((np.cumsum(span) - span)[turn], span[turn])] = restore(np.concatenate(p))
