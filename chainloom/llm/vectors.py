@@ -32,6 +32,8 @@ from .graph import components, roots
 AXES, BLOCK, LEAF = 6, 2048, 64
 #: Blocks end where the cell on so many leading dimensions does.
 NEAR = 3
+#: Bytes of vectors in a block.
+BLOCK_BYTES = 1 << 20
 SLACK = 1e-9
 
 
@@ -86,7 +88,7 @@ def join_intervals(x: np.ndarray, gx: np.ndarray, y: np.ndarray, gy: np.ndarray,
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 4096, block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    modest_batches(spark, 4096)
+    modest_batches(spark, 256)
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0)
@@ -141,7 +143,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 4096
                 kind = batch.schema.field("label").type
                 blocks_arrow = pa.schema([("block", pa.int64()), ("label", kind), ("dims", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("cell", pa.list_(pa.int32())), ("reps", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("vectors", pa.binary()), ("grid", pa.binary())])
             for row in batch.to_pylist():
-                if held and (len(held) >= block or (held[-1]["label"], held[-1]["dims"], held[-1]["cell"][:NEAR]) != (row["label"], row["dims"], row["cell"][:NEAR])):
+                if held and (len(held) >= max(LEAF, min(block, BLOCK_BYTES // (8 * row["dims"]))) or (held[-1]["label"], held[-1]["dims"], held[-1]["cell"][:NEAR]) != (row["label"], row["dims"], row["cell"][:NEAR])):
                     yield made(held)
                     held = []
                 held.append(row)
@@ -156,18 +158,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 4096
     right = outline.select("label", "dims", F.col("block").alias("b"), F.col("low").alias("bl"), F.col("high").alias("bh"), "cell")
     gap = F.aggregate(F.sequence(F.lit(0), F.lit(AXES - 1)), F.lit(0.0), lambda s, i: s + F.pow(F.greatest(F.lit(0.0), F.col("al")[i] - F.col("bh")[i], F.col("bl")[i] - F.col("ah")[i]), F.lit(2.0)))
     pairs = left.join(right, ["label", "dims", "cell"]).where("a <= b").where(gap <= epsilon * epsilon + SLACK).select("a", "b")
-    side = lambda p: blocks.select(F.col("block").alias(p), F.col("dims").alias(f"dims_{p}"), F.col("reps").alias(f"reps_{p}"), F.col("copies").alias(f"copies_{p}"), F.col("vectors").alias(f"vectors_{p}"), F.col("grid").alias(f"grid_{p}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    # A block goes to its own task once, and to those of the blocks before it that it meets.
+    sent = blocks.select(F.col("block").alias("a"), F.lit(0).alias("turn"), "block").unionByName(pairs.where("a < b").select("a", F.lit(1).alias("turn"), F.col("b").alias("block")))
+    met = sent.join(blocks.select("block", "dims", "reps", "copies", "vectors", "grid"), "block").repartition(partitions(spark), "a").sortWithinPartitions("a", "turn", "block")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                x, y = (unit(np.frombuffer(r[f"vectors_{p}"]).reshape(-1, r["dims_a"])) for p in "ab")
-                gx, gy = (np.frombuffer(r[f"grid_{p}"]).reshape(-1, AXES) for p in "ab")
-                same = r["a"] == r["b"]
+                now = unit(np.frombuffer(r["vectors"]).reshape(-1, r["dims"])), np.frombuffer(r["grid"]).reshape(-1, AXES), np.array(r["reps"], np.int64), np.array(r["copies"], np.int64)
+                if r["turn"] == 0:
+                    own = now
+                (x, gx, ra, ca), (y, gy, rb, cb), same = own, now, r["turn"] == 0
                 linked = join_intervals(x, gx, y, gy, cosine, same)
-                ra, rb, ca, cb = (np.array(r[k], np.int64) for k in ("reps_a", "reps_b", "copies_a", "copies_b"))
                 found = [(ra, linked @ cb, roots(linked, ra, None if same else rb)[0])]
                 if not same:
                     found.append((rb, ca @ linked, roots(linked, ra, rb)[1]))
@@ -176,8 +180,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 4096
                     if hit.any():
                         yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(root[hit])], ["rep", "links", "root"])
 
-    batch_rows = met.repartition(partitions(spark), "a", "b")
-    found = stored(batch_rows.mapInArrow(compare, "rep long, links long, root long"), "vector-links")
+    found = stored(met.mapInArrow(compare, "rep long, links long, root long"), "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     per_rep = distinct.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("label", "embedding", "rep", "copies", "links", "root")
