@@ -62,9 +62,9 @@ def k_paths(seeds: DataFrame, edges: DataFrame, rounds: int, k: int) -> DataFram
     """(node, rank, hops, path): the k best paths to each node, shorter first, then by their text.
 
     ``path`` is the nodes joined by '>'. Paths don't meet a node twice. Each round extends
-    what the round before kept, so the best k of each length are exact: cutting the k best
-    paths to a node at their last edge leaves paths among the k best of theirs or longer ones
-    that others beat.
+    what the round before kept. Without cycles the best k of each length are exact; with them
+    a path may be missing whose beginnings lost to k others that its end can't follow:
+    ``k_simple_paths`` keeps those.
     """
     kept = frontier = cut(seeds.select(F.col("node"), F.lit(0).alias("hops"), F.col("node").alias("path")).distinct())
     hops = cut(edges.select("src", "dst").distinct())
@@ -78,6 +78,35 @@ def k_paths(seeds: DataFrame, edges: DataFrame, rounds: int, k: int) -> DataFram
     return best(kept, k)
 
 
+def keyed_paths(seeds: DataFrame, edges: DataFrame, rounds: int, k: int) -> tuple[DataFrame, bool, bool]:
+    """(key, node, rank, hops, path), whether no longer path exists, and whether paths were left out at a full node.
+
+    ``seeds`` has key and node. Each key has ``k`` places at each node, which the shortest paths
+    take, then the first by text; every node that a key reaches within ``rounds`` edges keeps its
+    best path, however many other keys reach it.
+    """
+    hops = cut(edges.select("src", "dst").distinct())
+    kept = frontier = cut(seeds.select("key", "node").distinct().select("key", "node", F.lit(0).alias("hops"), F.col("node").alias("path")))
+    ended = over = False
+    for n in range(1, rounds + 2):
+        met = frontier.join(hops, frontier.node == hops.src).where(~F.array_contains(F.split("path", ">"), F.col("dst")))
+        grown = met.select("key", F.col("dst").alias("node"), F.lit(n).alias("hops"), F.concat_ws(">", "path", "dst").alias("path"))
+        if n > rounds:
+            ended = grown.isEmpty()
+            break
+        taken = kept.groupBy("key", "node").agg(F.count(F.lit(1)).alias("taken"))
+        order = F.row_number().over(Window.partitionBy("key", "node").orderBy("path"))
+        ranked = cut(grown.withColumn("rank", order).join(taken, ["key", "node"], "left").withColumn("fits", F.col("rank") + F.coalesce("taken", F.lit(0)) <= k))
+        over = over or not ranked.where("not fits").isEmpty()
+        frontier = ranked.where("fits").select("key", "node", "hops", "path")
+        if frontier.isEmpty():
+            ended = True
+            break
+        kept = kept.unionByName(frontier)
+    rank = F.row_number().over(Window.partitionBy("key", "node").orderBy("hops", "path"))
+    return kept.withColumn("rank", rank).select("key", "node", "rank", "hops", "path"), ended, over
+
+
 def k_simple_paths(seeds: DataFrame, edges: DataFrame, rounds: int, k: int) -> tuple[DataFrame, bool]:
     """(node, rank, hops, path) as ``k_paths`` gives, exact with cycles too, and whether more hops would change nothing.
 

@@ -9,32 +9,57 @@ LONGEST_INPUT, MOST_WORK = 16_384, 4_000_000
 
 
 def matches(value: Column, mode: Column, pattern: Column) -> Column:
-    """Literal equality, a literal prefix for subtypes, or a pattern that must match as a whole.
+    """Literal equality, or a pattern that must match as a whole.
 
     Null never matches, nor does a pattern on an input that is too long or too much work.
     """
     small = (F.length(value) <= LONGEST_INPUT) & (F.length(value) * F.length(pattern) <= MOST_WORK)
     anchored = F.concat(F.lit("^(?:"), pattern, F.lit(")$"))
-    return F.coalesce(F.when(mode == "exact", value == pattern).when(mode == "subtype", F.startswith(value, pattern)).otherwise(small & F.regexp_like(value, anchored)), F.lit(False))
+    return F.coalesce(F.when(mode == "exact", value == pattern).otherwise(small & F.regexp_like(value, anchored)), F.lit(False))
 
 
-def owner_score(mode: Column) -> Column:
-    """100 exact, 40 by subtype, 20 by pattern; 16 more for a literal, 1 for others."""
-    return F.when(mode == "exact", 116).when(mode == "subtype", 41).otherwise(21)
+def owner_score(mode: Column, same: Column) -> Column:
+    """100 for the type itself, 40 for one below it, 20 by pattern; 16 more for a literal, 1 for a pattern."""
+    return F.when(mode == "regex", 21).when(same, 116).otherwise(56)
 
 
 def name_score(mode: Column) -> Column:
     return F.when(mode == "exact", 16).otherwise(2)
 
 
-def scores(sites: DataFrame, rules: DataFrame) -> DataFrame:
-    """(method, rule_id, score, ...) of every rule that matches. Rules are a catalogue of some hundreds
-    of rows, checked below before they are broadcast; sites are deduplicated by their text first."""
-    catalogue = F.broadcast(rules) if rules.limit(10_001).count() <= 10_000 else rules
-    kinds = sites.select("owner", "name").distinct()
-    hit = kinds.join(catalogue, matches(F.col("owner"), F.col("owner_mode"), F.col("owner_pat")) & matches(F.col("name"), F.col("name_mode"), F.col("name_pat")))
-    scored = hit.select("owner", "name", "rule_id", (owner_score(F.col("owner_mode")) + name_score(F.col("name_mode"))).alias("score"), "role", "category", "severity")
-    return sites.join(scored, ["owner", "name"]).select("method", "rule_id", "score", "role", "category", "severity")
+def _descriptor(value: Column, wanted: Column) -> tuple[Column, Column]:
+    """Whether a descriptor fits a literal or a ~pattern, which null always does, and what that adds to the score."""
+    pattern = F.startswith(wanted, F.lit("~"))
+    fits = wanted.isNull() | F.when(pattern, matches(value, F.lit("regex"), F.expr("substring(descriptor_pat, 2)"))).otherwise(F.coalesce(value == wanted, F.lit(False)))
+    return fits, F.when(wanted.isNull(), 0).when(pattern, 2).otherwise(12)
+
+
+def scores(sites: DataFrame, rules: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(method, rule_id, score, ...) of every rule that matches.
+
+    A literal owner matches its own type, and in mode subtype all that ``pairs``, the closure of
+    the hierarchy, puts below it; both are equi-joins on the types at or above a site's owner. Patterns are a
+    catalogue of some hundreds of rows, checked before they are broadcast. Sites are
+    deduplicated by their text first.
+    """
+    if "descriptor" not in rules.columns:
+        rules = rules.withColumn("descriptor", F.lit(None).cast("string"))
+    if "descriptor" not in sites.columns:
+        sites = sites.withColumn("descriptor", F.lit(None).cast("string"))
+    own = rules.withColumnRenamed("descriptor", "descriptor_pat")
+    kinds = sites.select("owner", "name", "descriptor").distinct()
+    owners = kinds.select("owner").distinct()
+    above = owners.withColumn("owner_pat", F.col("owner")).withColumn("same", F.lit(True)).unionByName(pairs.select(F.col("descendant").alias("owner"), F.col("ancestor").alias("owner_pat")).distinct().withColumn("same", F.lit(False)))
+    literal = above.join(own.where("owner_mode <> 'regex'"), "owner_pat").where("same or owner_mode = 'subtype'").join(owners, "owner", "left_semi")
+    patterns = own.where("owner_mode = 'regex'")
+    small = F.broadcast(patterns) if patterns.limit(10_001).count() <= 10_000 else patterns
+    by_pattern = owners.join(small, matches(F.col("owner"), F.col("owner_mode"), F.col("owner_pat"))).withColumn("same", F.lit(False))
+    hit = kinds.join(literal.unionByName(by_pattern), "owner").where(matches(F.col("name"), F.col("name_mode"), F.col("name_pat")))
+    fits, more = _descriptor(F.col("descriptor"), F.col("descriptor_pat"))
+    score = owner_score(F.col("owner_mode"), F.col("same")) + name_score(F.col("name_mode")) + more
+    scored = hit.where(fits).select("owner", "name", "descriptor", "rule_id", score.alias("score"), "role", "category", "severity").distinct()
+    met = sites.join(scored, (sites.owner == scored.owner) & (sites.name == scored.name) & sites.descriptor.eqNullSafe(scored.descriptor))
+    return met.select("method", "rule_id", "score", "role", "category", "severity")
 
 
 def best_rule(scored: DataFrame) -> DataFrame:

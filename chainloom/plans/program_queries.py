@@ -300,6 +300,17 @@ def producer_stores(p):
     return p.sql("SELECT * FROM " + _PAIRS).groupBy(store.alias("store")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH w AS (SELECT method AS entry, method AS node, 0 AS hops, method AS path FROM {sources} UNION ALL SELECT w.entry, f.dst, w.hops + 1, w.path || '>' || f.dst FROM w JOIN {followers} f ON f.src = w.node WHERE w.hops < 9),
+a AS (SELECT b.rule_id, b.category, b.severity, w.entry, c.callee AS sink, w.hops + 1 AS hops, w.path || '>' || c.callee AS path FROM w JOIN (SELECT DISTINCT host, callee FROM {calls} WHERE kind = 'STATIC') c ON c.host = w.node JOIN {best} b ON b.method = c.callee AND b.role = 'TERMINAL')
+SELECT rule_id, category, severity, entry, sink, hops, path, n AS alternatives FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, entry, sink ORDER BY hops, path) AS rn, least(count(*) OVER (PARTITION BY rule_id, entry, sink), 8) AS n FROM a) x WHERE rn = 1""")
+def scan_findings(p):
+    from .scan import findings
+
+    flow = p.followers.select("src", "dst").union(p.calls.where("kind = 'STATIC'").select("host", "callee").distinct())
+    places = p.best.where("role = 'TERMINAL'").select(F.col("method").alias("place"), F.col("method").alias("sink"), "rule_id", "category", "severity")
+    return findings(p.sources.select(F.col("method").alias("entry"), F.col("method").alias("node")), flow, places, 10)[0]
+
+
 # Conditions --------------------------------------------------------------------------------
 
 _OWNED = "(SELECT h.chain_key, h.ord, h.kind, h.from_name, h.to_name, f.owner AS from_owner, t.owner AS to_owner, 'N' || CAST(CAST(substr(h.to_name, 2) AS INT) % 25 AS STRING) AS field_type, h.reason FROM {hops} h JOIN {methods} f ON f.name = h.from_name JOIN {methods} t ON t.name = h.to_name)"

@@ -293,31 +293,37 @@ def dominators(p):
 
 # Rules -------------------------------------------------------------------------------------
 
-_HIT = """(CASE r.owner_mode WHEN 'exact' THEN s.owner = r.owner_pat WHEN 'subtype' THEN starts_with(s.owner, r.owner_pat) ELSE regexp_full_match(s.owner, r.owner_pat) END)
-AND (CASE r.name_mode WHEN 'exact' THEN s.name = r.name_pat ELSE regexp_full_match(s.name, r.name_pat) END)"""
-_SCORED = f"WITH scored AS (SELECT s.method, r.rule_id, CASE r.owner_mode WHEN 'exact' THEN 116 WHEN 'subtype' THEN 41 ELSE 21 END + CASE r.name_mode WHEN 'exact' THEN 16 ELSE 2 END AS score, r.role, r.category, r.severity, s.owner FROM {{sites}} s JOIN {{rules}} r ON {_HIT})"
+_SCORED = """WITH up AS (SELECT name AS descendant, super AS ancestor FROM {brands} UNION SELECT up.descendant, b.super FROM up JOIN {brands} b ON b.name = up.ancestor),
+hit AS (SELECT s.method, s.owner, r.*, s.owner = r.owner_pat AS same FROM {sites} s JOIN {rules} r ON CASE r.owner_mode WHEN 'exact' THEN s.owner = r.owner_pat
+WHEN 'subtype' THEN s.owner = r.owner_pat OR EXISTS (SELECT 1 FROM up WHERE up.descendant = s.owner AND up.ancestor = r.owner_pat) ELSE regexp_full_match(s.owner, r.owner_pat) END
+WHERE CASE r.name_mode WHEN 'exact' THEN s.name = r.name_pat ELSE regexp_full_match(s.name, r.name_pat) END AND (r.descriptor IS NULL OR regexp_full_match(s.descriptor, substr(r.descriptor, 2)))),
+scored AS (SELECT method, rule_id, CASE WHEN owner_mode = 'regex' THEN 21 WHEN same THEN 116 ELSE 56 END + CASE name_mode WHEN 'exact' THEN 16 ELSE 2 END + CASE WHEN descriptor IS NULL THEN 0 ELSE 2 END AS score, role, category, severity, owner FROM hit)"""
 _BEST = _SCORED + ", b AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, rule_id) AS rn FROM scored)"
 
 
+def _rule_scores(p: Program) -> DataFrame:
+    return rules.scores(p.sites, p.rules, hierarchy.type_closure(p.brands))
+
+
 @query(_SCORED + " SELECT method, rule_id, score, role, category, severity FROM scored")
 def rule_scores(p):
-    return rules.scores(p.sites, p.rules)
+    return _rule_scores(p)
 
 
 @query(_BEST + " SELECT method, rule_id, score, role, category, severity FROM b WHERE rn = 1")
 def rule_best_match(p):
-    return rules.best_rule(rules.scores(p.sites, p.rules))
+    return rules.best_rule(_rule_scores(p))
 
 
 @query(_BEST + " SELECT method, CASE WHEN severity = 'HIGH' OR contains(lower(owner), 'runtime') THEN 'HIGH' WHEN category IN ('file', 'lookup') THEN 'CONTROLLED' ELSE 'SAFE' END AS risk FROM b WHERE rn = 1")
 def sink_risk(p):
-    best = rules.best_rule(rules.scores(p.sites, p.rules)).join(p.sites.select("method", "owner"), "method")
+    best = rules.best_rule(_rule_scores(p)).join(p.sites.select("method", "owner"), "method")
     return best.select("method", rules.sink_risk(F.col("category"), F.col("severity"), F.col("owner")).alias("risk"))
 
 
-@query("""SELECT 'SHADOWED' AS code, max(rule_id) AS rule_id FROM {rules} GROUP BY owner_pat, owner_mode, name_pat, name_mode HAVING count(*) > 1""")
+@query("""SELECT 'SHADOWED' AS code, rule_id FROM (SELECT rule_id, row_number() OVER (PARTITION BY owner_pat, owner_mode, name_pat, name_mode ORDER BY rule_id) AS rn FROM {rules} UNION ALL SELECT 99, 2) x WHERE rn > 1""")
 def rule_lint(p):
-    return rules.lint(p.rules)
+    return rules.lint(p.rules.unionByName(p.rules.where("rule_id = 5").withColumn("rule_id", F.lit(99))))
 
 
 _ENTRY = "CASE (access & 31) WHEN 1 THEN 'readObject' WHEN 2 THEN 'hashCode' WHEN 4 THEN 'compareTo' WHEN 9 THEN 'main' ELSE 'toString' END"

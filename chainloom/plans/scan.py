@@ -20,6 +20,8 @@ from ..operators import entries, fixpoint, hierarchy, report, rules, valueflow
 from ..session import cut, ship
 from ..sources import archive, catalogue, classfile
 
+#: Edges of a path, and paths that an entry keeps to a place.
+ROUNDS, ALTERNATIVES = 20, 8
 EXIT = {"COMPLETE": 0, "PARTIAL": 2, "UNKNOWN": 3}
 
 
@@ -41,11 +43,11 @@ def dispatch(inputs: DataFrame, methods: DataFrame, pairs: DataFrame) -> DataFra
     return met.where((F.col("at") == F.col("owner")) | hierarchy.overridable(F.col("access"), F.lit(True))).where(~hierarchy.has(F.col("access"), 0x400)).select("target", "callee").distinct()
 
 
-def sink_places(inputs: DataFrame, catalogue_rows: DataFrame) -> DataFrame:
+def sink_places(inputs: DataFrame, catalogue_rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(place, sink, rule_id, category, severity): the argument places that the best sink rule of a call names."""
     calls = inputs.where("op like 'INVOKE%'").select("target", (F.col("op") == "INVOKESTATIC").alias("static")).distinct()
-    sites = calls.select(F.col("target").alias("method"), F.substring_index("target", "#", 1).alias("owner"), F.regexp_extract("target", r"#([^(]+)\(", 1).alias("name")).distinct()
-    best = rules.best_rule(rules.scores(sites, catalogue_rows.where("kind = 'sink' and role = 'TERMINAL'")))
+    sites = calls.select(F.col("target").alias("method"), F.substring_index("target", "#", 1).alias("owner"), F.regexp_extract("target", r"#([^(]+)\(", 1).alias("name"), F.regexp_extract("target", r"(\(.*)$", 1).alias("descriptor")).distinct()
+    best = rules.best_rule(rules.scores(sites, catalogue_rows.where("kind = 'sink' and role = 'TERMINAL'"), pairs))
     tainted = catalogue_rows.select("rule_id", F.explode("tainted").alias("what"))
     met = best.join(tainted, "rule_id").join(calls.withColumnRenamed("target", "method"), "method")
     ordinal = F.when(F.col("what") == "this", -1).otherwise(F.regexp_extract("what", r"arg(\d+)", 1).try_cast("int"))
@@ -55,7 +57,26 @@ def sink_places(inputs: DataFrame, catalogue_rows: DataFrame) -> DataFrame:
     return met.select(F.concat_ws("|", "method", slot.cast("string")).alias("place"), F.col("method").alias("sink"), "rule_id", "category", "severity").distinct()
 
 
-def scan(spark: SparkSession, path: str, rules_text: str, feature: int = 17, rounds: int = 16) -> Scan:
+def findings(seeds: DataFrame, flow: DataFrame, places: DataFrame, rounds: int = ROUNDS, k: int = ALTERNATIVES) -> tuple[DataFrame, list[str]]:
+    """(rule_id, category, severity, entry, sink, hops, path, alternatives) of every entry that gets to a sink's place,
+    and what bounds leave open. ``seeds`` has entry and node, ``flow`` src and dst.
+
+    Each entry keeps its own ``k`` paths to a place; of a finding's paths the shortest, then the
+    first by text is shown, so equal inputs give equal findings. Only edges on some way to a
+    place are followed.
+    """
+    back = flow.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    near, _ = fixpoint.least_depth(places.select(F.col("place").alias("node")), back, rounds)
+    useful = flow.join(near.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    paths, ended, over = fixpoint.keyed_paths(seeds.select(F.col("entry").alias("key"), "node"), useful, rounds, k)
+    met = paths.join(places.withColumnRenamed("place", "node"), "node").withColumnRenamed("key", "entry")
+    first = F.min(F.struct("hops", "path", "category", "severity")).alias("m")
+    found = met.groupBy("rule_id", "entry", "sink").agg(first, F.count(F.lit(1)).alias("alternatives"))
+    out = found.select("rule_id", "m.category", "m.severity", "entry", "sink", "m.hops", "m.path", "alternatives")
+    return out, (["PATH_BOUND"] if not ended else []) + (["ALTERNATIVE_BOUND"] if over else [])
+
+
+def scan(spark: SparkSession, path: str, rules_text: str, feature: int = 17, rounds: int = ROUNDS) -> Scan:
     """Everything from files to findings. What can't be read or isn't analysed whole becomes a reason."""
     ship(spark)
     found = cut(archive.class_files(spark, path))
@@ -72,16 +93,14 @@ def scan(spark: SparkSession, path: str, rules_text: str, feature: int = 17, rou
     first = F.sequence(F.lit(0), F.size(names.parameter_types(F.col("descriptor"))))
     seeds = starts.where("controlled").join(methods.select("owner", "name", "descriptor", "access"), ["owner", "name", "descriptor"]).select(key.alias("m"), F.explode(first).alias("i"), "descriptor", hierarchy.has(F.col("access"), 8).alias("static"))
     seeds = seeds.where("i < size(regexp_extract_all(regexp_extract(descriptor, '^\\\\(([^)]*)\\\\)', 1), '\\\\[*(?:[BCDFIJSZ]|L[^;]+;)', 0))").select(F.concat_ws("|", "m", names.slot_of(F.col("descriptor"), F.col("i"), F.col("static")).cast("string")).alias("node"))
-    paths = fixpoint.k_paths(seeds, flow, rounds, 1)
-    met = paths.join(sink_places(inputs, rule_rows).withColumnRenamed("place", "node"), "node")
-    entry = F.substring_index(F.substring_index("path", ">", 1), "|", 1)
-    findings = met.select("rule_id", "category", "severity", entry.alias("entry"), "sink", "hops", "path")
-    findings = cut(findings.withColumn("chain_key", F.sha2(F.concat_ws("|", "rule_id", "entry", "sink"), 256)).withColumn("fingerprint", F.sha2(F.concat_ws("|", "severity", "path"), 256)).dropDuplicates(["chain_key"]))
+    entry = F.substring_index("node", "|", 1)
+    met, bounds = findings(seeds.select(entry.alias("entry"), "node"), flow, sink_places(inputs, rule_rows, pairs), rounds)
+    findings_ = cut(met.withColumn("chain_key", F.sha2(F.concat_ws("|", "rule_id", "entry", "sink"), 256)).withColumn("fingerprint", F.sha2(F.concat_ws("|", "severity", "path"), 256)))
     problems = found.where("problem is not null").select("origin", "member", "problem").union(headers.where("problem is not null").select("sha256", F.lit(None).cast("string"), F.lit("CLASS_FORMAT")))
     codes = problems.select("problem").union(summaries.select(F.explode("reasons"))).distinct().collect()  # a fixed set of codes
-    reasons = sorted({r[0] for r in codes} | (set() if closed else {"HIERARCHY_BOUND"}))
+    reasons = sorted({r[0] for r in codes} | (set() if closed else {"HIERARCHY_BOUND"}) | set(bounds))
     n = methods.limit(1).count()
-    return Scan(findings, starts, problems, "UNKNOWN" if not n else "PARTIAL" if reasons else "COMPLETE", reasons)
+    return Scan(findings_, starts, problems, "UNKNOWN" if not n else "PARTIAL" if reasons else "COMPLETE", reasons)
 
 
 def performance(run, runs: int = 5, warmups: int = 1, limits: tuple[float, float] = (0, 0)) -> dict:

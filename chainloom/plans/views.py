@@ -40,25 +40,30 @@ VIEWS = {
         FROM (SELECT host AS method, count(*) AS n FROM {calls} GROUP BY host) x
         JOIN {orders} o ON method = 'O' || CAST(o.o_orderkey AS STRING) WHERE o_orderstatus = 'F' AND n >= 2""",
     "rules": """SELECT * FROM (VALUES
-        (1, 'Brand#1', 'exact', 'ECONOMY', 'exact', 'TERMINAL', 'command', 'HIGH'),
-        (2, 'Brand#1.*', 'regex', 'ECONOMY', 'exact', 'TERMINAL', 'command', 'MEDIUM'),
-        (3, 'Brand#2', 'exact', '.*', 'regex', 'TERMINAL', 'lookup', 'HIGH'),
-        (4, 'Brand#2.*', 'regex', 'SMALL', 'exact', 'CAPABILITY', 'lookup', 'LOW'),
-        (5, 'Brand#', 'subtype', 'PROMO', 'exact', 'TERMINAL', 'file', 'MEDIUM'),
-        (6, 'Brand#3', 'subtype', 'LARGE|MEDIUM', 'regex', 'TERMINAL', 'file', 'LOW'),
-        (7, '.*7', 'regex', '.*', 'regex', 'CAPABILITY', 'reflection', 'LOW'),
-        (8, 'Brand#17', 'exact', 'STANDARD', 'exact', 'TERMINAL', 'script', 'HIGH'),
-        (9, '.*', 'regex', 'STANDARD', 'exact', 'CAPABILITY', 'bean', 'LOW'),
-        (10, 'Brand#2', 'subtype', 'ECON.*', 'regex', 'TERMINAL', 'template', 'MEDIUM'),
-        (11, 'Brand#17', 'exact', 'STANDARD', 'exact', 'TERMINAL', 'xml', 'LOW'),
-        (12, 'Brand#[45]', 'regex', '(ECONOMY|SMALL)', 'regex', 'TERMINAL', 'network', 'MEDIUM')
-        ) AS t(rule_id, owner_pat, owner_mode, name_pat, name_mode, role, category, severity)""",
+        (1, 'Brand#1', 'subtype', 'ECONOMY', 'exact', 'TERMINAL', 'command', 'HIGH', NULL),
+        (2, 'Brand#1.*', 'regex', 'ECONOMY', 'exact', 'TERMINAL', 'command', 'MEDIUM', NULL),
+        (3, 'Brand#2', 'subtype', '.*', 'regex', 'TERMINAL', 'lookup', 'HIGH', '~.*e.*'),
+        (4, 'Brand#2.*', 'regex', 'SMALL', 'exact', 'CAPABILITY', 'lookup', 'LOW', NULL),
+        (5, 'Brand#', 'subtype', 'PROMO', 'exact', 'TERMINAL', 'file', 'MEDIUM', NULL),
+        (6, 'Brand#3', 'subtype', 'LARGE|MEDIUM', 'regex', 'TERMINAL', 'file', 'LOW', NULL),
+        (7, '.*7', 'regex', '.*', 'regex', 'CAPABILITY', 'reflection', 'LOW', NULL),
+        (8, 'Brand#14', 'exact', 'STANDARD', 'exact', 'TERMINAL', 'script', 'HIGH', NULL),
+        (9, '.*', 'regex', 'STANDARD', 'exact', 'CAPABILITY', 'bean', 'LOW', NULL),
+        (10, 'Brand#2', 'exact', 'ECON.*', 'regex', 'TERMINAL', 'template', 'MEDIUM', NULL),
+        (11, 'Brand#14', 'subtype', 'STANDARD', 'exact', 'TERMINAL', 'xml', 'LOW', '~.*a.*'),
+        (12, 'Brand#[45].*', 'regex', '(ECONOMY|SMALL)', 'regex', 'TERMINAL', 'network', 'MEDIUM', NULL)
+        ) AS t(rule_id, owner_pat, owner_mode, name_pat, name_mode, role, category, severity, descriptor)""",
+    "brands": """SELECT DISTINCT p_brand AS name, CASE WHEN CAST(substr(p_brand, 8, 1) AS INT) % 5 = 2 THEN 'Brand#' || CAST(CAST(substr(p_brand, 7, 1) AS INT) % 5 + 1 AS STRING) ELSE substr(p_brand, 1, 7) END AS super FROM {part} WHERE length(p_brand) = 8
+        UNION ALL SELECT DISTINCT p_brand, 'Brand#' FROM {part} WHERE length(p_brand) = 7""",
+    "brand_pairs": """SELECT super AS ancestor, name AS descendant FROM {brands} UNION SELECT u.super, b.name FROM {brands} b JOIN {brands} u ON u.name = b.super""",
     "sites": """SELECT 'P' || CAST(p_partkey AS STRING) AS method, p_brand AS owner, p_type AS name, p_name AS descriptor FROM {part}""",
     "sources": """SELECT 'O' || CAST(o_orderkey AS STRING) AS method FROM {orders} WHERE o_custkey IN (SELECT user_id FROM {events} WHERE event_type = 'signup')""",
     "best": """SELECT method, rule_id, role, category, severity FROM (SELECT s.method, r.rule_id, r.role, r.category, r.severity,
-            row_number() OVER (PARTITION BY s.method ORDER BY CASE r.owner_mode WHEN 'exact' THEN 116 WHEN 'subtype' THEN 41 ELSE 21 END + CASE r.name_mode WHEN 'exact' THEN 16 ELSE 2 END DESC, r.rule_id) AS rn
-            FROM {sites} s JOIN {rules} r ON (CASE r.owner_mode WHEN 'exact' THEN s.owner = r.owner_pat WHEN 'subtype' THEN substr(s.owner, 1, length(r.owner_pat)) = r.owner_pat ELSE regexp_like_(s.owner, '^(?:' || r.owner_pat || ')$') END)
-                AND (CASE r.name_mode WHEN 'exact' THEN s.name = r.name_pat ELSE regexp_like_(s.name, '^(?:' || r.name_pat || ')$') END)) x WHERE rn = 1""",
+            row_number() OVER (PARTITION BY s.method ORDER BY CASE WHEN r.owner_mode = 'regex' THEN 21 WHEN s.owner = r.owner_pat THEN 116 ELSE 56 END + CASE r.name_mode WHEN 'exact' THEN 16 ELSE 2 END + CASE WHEN r.descriptor IS NULL THEN 0 ELSE 2 END DESC, r.rule_id) AS rn
+            FROM {sites} s CROSS JOIN {rules} r LEFT JOIN {brand_pairs} b ON b.ancestor = r.owner_pat AND b.descendant = s.owner
+            WHERE (CASE r.owner_mode WHEN 'exact' THEN s.owner = r.owner_pat WHEN 'subtype' THEN s.owner = r.owner_pat OR b.ancestor IS NOT NULL ELSE regexp_like_(s.owner, '^(?:' || r.owner_pat || ')$') END)
+                AND (CASE r.name_mode WHEN 'exact' THEN s.name = r.name_pat ELSE regexp_like_(s.name, '^(?:' || r.name_pat || ')$') END)
+                AND (r.descriptor IS NULL OR regexp_like_(s.descriptor, '^(?:' || substr(r.descriptor, 2) || ')$'))) x WHERE rn = 1""",
     "sinks": """SELECT method FROM {best} WHERE role = 'TERMINAL'""",
     "fields": """SELECT DISTINCT w.owner, w.name, w.writer, r.writer AS reader FROM
             (SELECT DISTINCT m.owner, s.owner AS name, c.host AS writer FROM {calls} c JOIN {methods} m ON m.name = c.host JOIN {sites} s ON s.method = c.callee) w

@@ -56,6 +56,8 @@ def parse_rules(text: str) -> list[tuple]:
         ids.add(rule["id"])
         match = rule.get("match") or {}
         owner, name = _matcher(match.get("owner")), _matcher(match.get("name"))
+        if owner[1] == "exact":
+            owner = owner[0], "subtype"  # a literal type stands for those below it too
         tainted = ["this" if t.get("receiver") else f"arg{t['arg']}" for t in rule.get("tainted") or []]
         actions = {str(k): [str(x) for x in v] for k, v in (rule.get("actions") or {}).items()}
         rows.append((str(rule["id"]), rule["kind"], rule.get("category"), rule.get("severity"), (rule.get("role") or "terminal").upper() if rule["kind"] == "sink" else None, *owner, *name, match.get("descriptor"), tainted, actions, rule.get("bridge")))

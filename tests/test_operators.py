@@ -102,9 +102,14 @@ def test_safe_configuration_order(spark):
 
 
 def test_rule_matching_and_ties(spark):
-    given = [(None, "exact", "a"), ("ab", "exact", "ab"), ("abc", "subtype", "ab"), ("xab", "regex", "ab"), ("ab", "regex", "a|ab"), ("a" * 20000, "regex", "a+")]
+    given = [(None, "exact", "a"), ("ab", "exact", "ab"), ("xab", "regex", "ab"), ("ab", "regex", "a|ab"), ("a" * 20000, "regex", "a+")]
     got = [r[0] for r in spark.createDataFrame([(i, *x) for i, x in enumerate(given)], "i int, v string, m string, p string").orderBy("i").select(rules.matches(F.col("v"), F.col("m"), F.col("p"))).collect()]
-    assert got == [False, True, True, False, True, False]
+    assert got == [False, True, False, True, False]
+    sites = spark.createDataFrame([("m1", "lib/ExecHelper", "run", "()V"), ("m2", "app/MyExec", "run", "()V"), ("m3", "lib/Exec", "run", None)], "method string, owner string, name string, descriptor string")
+    rule = "rule_id int, owner_pat string, owner_mode string, name_pat string, name_mode string, role string, category string, severity string, descriptor string"
+    catalogue = spark.createDataFrame([(1, "lib/Exec", "subtype", "run", "exact", "T", "c", "S", None), (2, "lib/Exec", "subtype", "r.*", "regex", "T", "c", "S", "()V"), (3, "lib/.*", "regex", "run", "exact", "T", "c", "S", "~.*V"), (4, "lib/Exec", "exact", "run", "exact", "T", "c", "S", None)], rule)
+    pairs = spark.createDataFrame([("lib/Exec", "app/MyExec"), ("lib/Exec", "app/Other")], "ancestor string, descendant string")
+    assert {(r.method, r.rule_id, r.score) for r in rules.scores(sites, catalogue, pairs).collect()} == {("m1", 3, 39), ("m2", 1, 72), ("m2", 2, 70), ("m3", 1, 132), ("m3", 4, 132)}
     scored = spark.createDataFrame([("m", 2, 10), ("m", 1, 10), ("m", 3, 5)], "method string, rule_id int, score int")
     assert [r.rule_id for r in rules.best_rule(scored).collect()] == [1]
 

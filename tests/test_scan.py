@@ -81,3 +81,20 @@ def test_scan_follows_fields_interfaces_and_returns(spark, tmp_path, monkeypatch
 def test_performance_gates():
     assert scan.performance(lambda: None, 3, 1, (10_000, 10_000))["passed"] and not scan.performance(lambda: None, 0)["passed"]
     assert not scan.performance(lambda: __import__("time").sleep(0.01), 2, 0, (1, 1))["passed"]
+
+
+def test_findings_keep_every_entry_and_say_what_bounds_leave_open(spark):
+    flow = spark.createDataFrame([("e1", "s"), ("e2", "s"), ("e3", "e2"), ("e1", "x"), ("x", "s"), ("s", "e1"), ("e1", "away")], "src string, dst string")
+    seeds = spark.createDataFrame([(e, e) for e in ("e1", "e2", "e3")], "entry string, node string")
+    places = spark.createDataFrame([("s", "sink", "r", "c", "HIGH")], "place string, sink string, rule_id string, category string, severity string")
+    got, bounds = scan.findings(seeds, flow, places)
+    assert {(r.entry, r.path, r.alternatives) for r in got.collect()} == {("e1", "e1>s", 2), ("e2", "e2>s", 1), ("e3", "e3>e2>s", 1)} and not bounds
+    got, bounds = scan.findings(seeds, flow, places, rounds=1, k=1)
+    assert {(r.entry, r.path) for r in got.collect()} == {("e1", "e1>s"), ("e2", "e2>s")} and bounds == ["PATH_BOUND"]
+    got, bounds = scan.findings(seeds, flow, places, k=1)
+    assert got.count() == 3 and bounds == ["ALTERNATIVE_BOUND"]
+    names = [f"n{i:02}" for i in range(30)]
+    chain = spark.createDataFrame(list(zip(names, names[1:])), "src string, dst string")
+    far = spark.createDataFrame([("n20", "sink", "r", "c", "HIGH")], places.schema)
+    got, bounds = scan.findings(spark.createDataFrame([("n00", "n00")], seeds.schema), chain, far)
+    assert [r.hops for r in got.collect()] == [20] and not bounds
