@@ -13,6 +13,7 @@ and never a wrong answer; and equal rows of several tasks have chunks of their o
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -70,6 +71,15 @@ def put(at: str, data: Iterable[bytes]) -> None:
         store.delete_file(draft)
 
 
+def trim() -> None:
+    """Gives memory that is free but held back to the system, between pieces of work in a worker that lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        return
+
+
 def string_bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an array of strings without nulls."""
     _, offsets, data = texts.buffers()
@@ -192,8 +202,11 @@ def ask(rows: DataFrame, parts: Callable[[str, pa.Table, int], Iterator[tuple[in
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, table in chunks(batches, most):
-            for shard, part in parts(chunk, table, shards):
+            found = parts(chunk, table, shards)
+            del table
+            for shard, part in found:
                 yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([shard], pa.int64()), pa.array([part], pa.binary())], ["chunk", "shard", "part"])
+            trim()
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 1):

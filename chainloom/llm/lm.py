@@ -37,10 +37,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import modest_batches, scratch, whole
-from .exchange import answers, ask, by_shard, chunks, in_order, mapped, pack, pack_codes, put, rescannable, shard_of, skip, string_bytes, unpack, unpack_codes
+from .exchange import answers, ask, by_shard, chunks, in_order, mapped, pack, pack_codes, put, rescannable, shard_of, skip, string_bytes, trim, unpack, unpack_codes
 from .pieces import ranges
 
-DISCOUNT, CHUNK, SCALE = 0.75, 12_000_000, 9.0
+DISCOUNT, CHUNK, SCALE = 0.75, 10_000_000, 9.0
 #: Words that no text has: the end of a text, and what stands before it.
 END, BEGIN = " ", "  "
 ASKED = 1 << 16
@@ -242,41 +242,27 @@ class Trie:
         return self._least
 
     @classmethod
-    def of(cls, contexts: list[np.ndarray], sizes: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> Trie:
-        """From contexts (a column for each of their words), each followed by so many words with
-        counts, in any order and several times each; what has count 0 in all is left out."""
+    def of(cls, contexts: list[np.ndarray], owner: np.ndarray, word: np.ndarray, count: np.ndarray, width: int, discount: float = DISCOUNT) -> Trie:
+        """From distinct contexts in order (a column for each of their words) and distinct n-grams in order: the
+        place of their context, their last word, and counts; what has count 0 is left out."""
         seen = count > 0
-        used = np.zeros(len(sizes), bool)
-        used[np.repeat(np.arange(len(sizes)), sizes)[seen]] = True
+        owner, word, count = owner[seen], word[seen].astype(np.uint64), count[seen]
+        used = np.bincount(owner, minlength=len(contexts[0])) > 0
+        owner = (np.cumsum(used) - 1)[owner]
         columns = [c[used].astype(np.uint64) for c in contexts]
-        kept = np.repeat(used, sizes)
-        sizes, word, count, seen = sizes[used], word[kept].astype(np.uint64), count[kept], seen[kept]
-        order = np.lexsort(columns[::-1])
-        columns = [c[order] for c in columns]
-        top = max([int(word.max()) if len(word) else 0, *(int(c.max()) if len(c) else 0 for c in columns)])
-        width = max(1, top.bit_length())
-        new, levels, pointers, owner = np.zeros(len(order), bool), [], [], np.zeros(len(order), np.uint64)
+        new, levels, pointers, above = np.zeros(len(columns[0]), bool), [], [], np.zeros(len(columns[0]), np.uint64)
         new[:1] = True
         for c in columns:  # a place for each distinct beginning
             new[1:] |= c[1:] != c[:-1]
             at = np.flatnonzero(new)
-            levels.append(EliasFano.of(owner[at] << np.uint64(width) | c[at]))
+            levels.append(EliasFano.of(above[at] << np.uint64(width) | c[at]))
             if len(levels) > 1:
                 pointers.append(EliasFano.of(np.append(np.searchsorted(at, last), len(at))))
-            last, owner = at, (np.cumsum(new) - 1).astype(np.uint64)
-        place = np.empty(len(order), np.uint64)
-        place[order] = owner
-        keys = (np.repeat(place, sizes) << np.uint64(width) | word)[seen]
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        total = np.add.reduceat(count[seen][order].astype(np.int64), first) if len(keys) else np.zeros(0, np.int64)
-        keys = keys[first]
-        owner = (keys >> np.uint64(width)).astype(np.int64)
-        n, kinds = np.bincount(owner, total), np.bincount(owner)
-        levels.append(EliasFano.of(keys))
+            last, above = at, (np.cumsum(new) - 1).astype(np.uint64)
+        n, kinds = np.bincount(owner, count), np.bincount(owner)
+        levels.append(EliasFano.of(owner.astype(np.uint64) << np.uint64(width) | word))
         pointers.append(EliasFano.of(np.append(0, np.cumsum(kinds))))
-        return cls(width, levels, pointers, Codes.of(quantise((total - discount) / n[owner])), Codes.of(quantise(discount * kinds / np.maximum(n, 1))))
+        return cls(width, levels, pointers, Codes.of(quantise((count - discount) / n[owner])), Codes.of(quantise(discount * kinds / np.maximum(n, 1))))
 
     def bytes(self) -> bytes:
         return np.array([self.width, len(self.levels)], "<u8").tobytes() + b"".join(x.bytes() for x in (*self.levels, *self.pointers, self.chance, self.weight))
@@ -515,32 +501,68 @@ def _small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint32) if not len(values) or int(values.max()) < 1 << 32 else values
 
 
+class Merged:
+    """The n-grams of one length of all chunks, each once: contexts and n-grams in order, training
+    counts, and for each chunk where its own are among them."""
+
+    def __init__(self, parts: list[bytes], length: int):
+        every = [unpack_grams(part, length) for part in parts]
+        columns = [np.concatenate([e[0][i] for e in every]) for i in range(length - 1)]
+        sizes, word, count = (np.concatenate([e[i] for e in every]) for i in (1, 2, 3))
+        self.rows, self.grams = np.cumsum([0, *(len(e[1]) for e in every)]), np.cumsum([0, *(len(e[2]) for e in every)])
+        del every
+        top = max([int(x.max()) for x in (word, *columns) if len(x)], default=0)
+        self.width = max(1, top.bit_length())
+        if len(columns) == 1:
+            order = np.argsort(columns[0])
+        elif len(columns) == 2 and self.width <= 32:
+            order = np.argsort(columns[0].astype(np.uint64) << np.uint64(32) | columns[1])
+        else:
+            order = np.lexsort(columns[::-1])
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for c in columns:
+            c = c[order]
+            new[1:] |= c[1:] != c[:-1]
+        self.contexts = [c[order][new] for c in columns]
+        self.of_row = np.empty(len(order), np.int32)
+        self.of_row[order] = np.cumsum(new) - 1
+        del columns, order, new
+        keys, _, place = _distinct(np.repeat(self.of_row, sizes).astype(np.uint64) << np.uint64(self.width) | word)
+        self.of_gram = place.astype(np.int32)
+        self.count = np.bincount(place, count, len(keys))
+        self.owner, self.word = (keys >> np.uint64(self.width)).astype(np.int64), _small(keys & np.uint64((1 << self.width) - 1))
+
+    def trie(self) -> Trie:
+        return Trie.of(self.contexts, self.owner, self.word, self.count, self.width)
+
+    def answers(self, trie: Trie) -> Iterator[bytes]:
+        """What the trie has of each chunk's n-grams; each is looked up once for all chunks."""
+        p, w, least = trie.ask(self.contexts, np.bincount(self.owner, minlength=len(self.contexts[0])), self.word)
+        # Probabilities as what they are above the least of their context: few values, most of them one.
+        above = np.where(p > 0, p.astype(np.int64) - least[self.owner] + 1, 0).astype(np.uint16)
+        for k in range(len(self.rows) - 1):
+            row, gram = self.of_row[self.rows[k] : self.rows[k + 1]], self.of_gram[self.grams[k] : self.grams[k + 1]]
+            yield pack_codes(least[row]) + pack_codes(w[row]) + pack_codes(above[gram])
+
+
 def answer_grams(at: str, order: int):
     def answer(shard: int, parts: list[bytes]) -> Iterator[tuple[bytes, int, int]]:
         """Builds and stores a shard's tries and answers the chunks from their file."""
-        data = []
+        levels, data = [], []
         for n in range(2, order + 1):
-            every = [unpack_grams(part, n) for part in parts]
-            columns = [np.concatenate([e[0][i] for e in every]) for i in range(n - 1)]
-            sizes, word, count = (np.concatenate([e[i] for e in every]) for i in (1, 2, 3))
-            del every
-            data.append(Trie.of(columns, sizes, word, count).bytes())
-            del columns, sizes, word, count
+            levels.append(Merged(parts, n))
+            data.append(levels[-1].trie().bytes())
         put(f"{at}/{shard:06d}", data)
         del data
-        file, i, tries = mapped(f"{at}/{shard:06d}"), 0, []
-        for _ in range(order - 1):
+        file, i, found = mapped(f"{at}/{shard:06d}"), 0, []
+        for level in levels:
             trie, i = Trie.read(file, i)
-            tries.append(trie)
-        for part in parts:
-            out = []
-            for n, trie in enumerate(tries, 2):
-                columns, span, word, _ = unpack_grams(part, n)
-                p, w, least = trie.ask(columns, span, word)
-                # Probabilities as what they are above the least of their context: few values, most of them one.
-                above = np.where(p > 0, p.astype(np.int64) - np.repeat(least, span) + 1, 0)
-                out += [pack_codes(least), pack_codes(w), pack_codes(above)]
-            yield b"".join(out), 0, 0
+            found.append(level.answers(trie))
+        for own in zip(*found, strict=True):
+            yield b"".join(own), 0, 0
+        del levels, found
+        trim()
 
     return answer
 
@@ -593,5 +615,7 @@ def score(docs: DataFrame, held_out: Column, order: int = 3, chunk: int = CHUNK,
                 [rows.column("id"), pc.invert(rows.column("learn")), pa.array(g.sizes), pa.array(total(known.astype(np.int64))), pa.array(np.full(rows.num_rows, n, np.int64)), pa.array(total(below)), pa.array(total(np.log10(np.minimum(chance, 1.0))))],
                 [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             ).to_batches(10_000)
+            del g, got, chance, base, known, below
+            trim()
 
     return given.mapInArrow(finish, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
