@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -51,27 +51,44 @@ def field_writers(fields: DataFrame) -> DataFrame:
     return fields.select("owner", "name", "writer").distinct().groupBy("owner", "name").agg(F.concat_ws(",", F.array_sort(F.collect_list("writer"))).alias("writers"), F.count(F.lit(1)).alias("n"))
 
 
-def dominators(edges: DataFrame, most: int = 4096) -> DataFrame:
-    """(method, pos, dominator) for what is reachable from position 0 of each method; methods with more
-    than ``most`` positions have one row with nulls, which says that they were not analysed.
+def immediate_dominators(edges: DataFrame) -> DataFrame:
+    """(method, pos, dominator): the last position that every way from position 0 to ``pos`` passes before
+    it, for what is reachable; position 0 has none.
 
     Methods lie together in sorted partitions and are taken from the batches one by one, as
     there are far too many small ones to start a function for each.
     """
+    return _by_method(edges, lambda own: [(n, d) for n, d in sorted(_immediate(own).items()) if d is not None])
 
+
+def dominators(edges: DataFrame) -> DataFrame:
+    """(method, pos, dominator) of all dominators, a position itself included: the ways up the immediate ones."""
+
+    def every(own: list[tuple[int, int]]) -> list[tuple]:
+        above, out = _immediate(own), []
+        for n in sorted(above):
+            d: int | None = n
+            while d is not None:
+                out.append((n, d))
+                d = above[d]
+        return out
+
+    return _by_method(edges, every)
+
+
+def _by_method(edges: DataFrame, f: Callable[[list[tuple[int, int]]], list[tuple]], most: int = 100_000) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, []
+        now, held, out = None, [], []
         for batch in batches:
-            out: list[tuple] = []
             for method, a, b in zip(batch["method"], batch["src"], batch["dst"], strict=True):
                 if method != now:
-                    if held:
-                        out += _dominators(now, held, most)
+                    out += [(now, *r) for r in f(held)] if held else []
                     now, held = method, []
+                    if len(out) > most:
+                        yield _frame(out)
+                        out = []
                 held.append((a, b))
-            yield _frame(out)
-        if held:
-            yield _frame(_dominators(now, held, most))
+        yield _frame(out + ([(now, *r) for r in f(held)] if held else []))
 
     dealt = edges.select("method", "src", "dst").repartition("method").sortWithinPartitions("method")
     return dealt.mapInPandas(run, "method string, pos int, dominator int")
@@ -81,33 +98,51 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["method", "pos", "dominator"]).astype({"pos": "Int32", "dominator": "Int32"})
 
 
-def _dominators(method: str, edges: list[tuple[int, int]], most: int) -> list[tuple]:
-    nodes = sorted({0, *(n for e in edges for n in e)})
-    if len(nodes) > most:
-        return [(method, None, None)]
-    into: dict[int, list[int]] = {}
+def _immediate(edges: list[tuple[int, int]]) -> dict[int, int | None]:
+    """The immediate dominator of each position that 0 reaches; None for 0."""
     out: dict[int, list[int]] = {}
     for a, b in edges:
-        into.setdefault(b, []).append(a)
         out.setdefault(a, []).append(b)
-    live, todo = {0}, [0]
-    while todo:
-        for b in out.get(todo.pop(), ()):
-            if b not in live:
-                live.add(b)
-                todo.append(b)
-    bit = {n: 1 << i for i, n in enumerate(nodes)}
-    every = sum(bit[n] for n in live)
-    dom = dict.fromkeys(live, every) | {0: bit[0]}
+    # Positions in the order in which a walk leaves them, last first.
+    left, seen, stack = [], {0}, [(0, iter(out.get(0, ())))]
+    while stack:
+        node, ahead = stack[-1]
+        for b in ahead:
+            if b not in seen:
+                seen.add(b)
+                stack.append((b, iter(out.get(b, ()))))
+                break
+        else:
+            left.append(node)
+            stack.pop()
+    order = left[::-1]
+    at = {n: i for i, n in enumerate(order)}
+    into: list[list[int]] = [[] for _ in order]
+    for a, b in edges:
+        if a in at:
+            into[at[b]].append(at[a])
+    above = [0] + [-1] * (len(order) - 1)
     changed = True
     while changed:
         changed = False
-        for n in sorted(live - {0}):
-            now = every
-            for p in into.get(n, ()):
-                if p in live:
-                    now &= dom[p]
-            now |= bit[n]
-            if now != dom[n]:
-                dom[n], changed = now, True
-    return [(method, n, d) for n in sorted(live) for d in sorted(live) if dom[n] & bit[d]]
+        for n in range(1, len(order)):
+            best = -1
+            for p in into[n]:
+                if above[p] < 0:
+                    continue
+                q = p if best < 0 else best
+                while best >= 0 and p != q:  # where the ways up meet
+                    if p > q:
+                        p = above[p]
+                    else:
+                        q = above[q]
+                best = q
+            if best != above[n]:
+                above[n], changed = best, True
+    return {n: None if i == 0 else order[above[i]] for i, n in enumerate(order)}
+
+
+def dominates(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(method, a, b, dominates): whether every way to b passes a; ``found`` has all dominators."""
+    known = found.select("method", F.col("dominator").alias("a"), F.col("pos").alias("b"), F.lit(True).alias("yes"))
+    return pairs.select("method", "a", "b").distinct().join(known, ["method", "a", "b"], "left").select("method", "a", "b", F.coalesce("yes", F.lit(False)).alias("dominates"))

@@ -22,9 +22,13 @@ def bridged(fronts: DataFrame, backs: DataFrame, most_hops: int = MOST_HOPS, per
 
     Both have chain_key, region, n_hops; the join is on the region, and a front keeps its
     ``per_front`` best backs: shortest, then by key. The bridge replaces the back's last hop.
+    All fronts order backs alike, so of a region's backs only the first few of each kind of
+    entry, one more than a front keeps, meet the fronts.
     """
     f = fronts.select(F.col("chain_key").alias("front"), "region", F.col("n_hops").alias("fn"), F.col("category").alias("fc"), F.col("unresolved").alias("fu"))
     b = backs.select(F.col("chain_key").alias("back"), "region", F.col("n_hops").alias("bn"), F.col("entry_kind").alias("bk"), F.col("unresolved").alias("bu"))
+    first = F.row_number().over(Window.partitionBy("region", "bk").orderBy("bn", "back"))
+    b = b.withColumn("at", first).where(F.col("at") <= per_front + 1).drop("at")
     met = f.join(b, "region").where("front <> back").withColumn("bridge", bridge_kind(F.col("fc"), F.col("bk"))).where("bridge is not null")
     met = met.withColumn("n_hops", F.col("fn") + F.col("bn")).where(F.col("n_hops") <= most_hops)
     order = Window.partitionBy("front").orderBy("n_hops", "back")
@@ -32,10 +36,15 @@ def bridged(fronts: DataFrame, backs: DataFrame, most_hops: int = MOST_HOPS, per
 
 
 def overlaps(hops: DataFrame, per_chain: int = 2) -> DataFrame:
-    """Pairs of chains of which one's entry side meets the other's sink side in the same method."""
+    """Pairs of chains of which one's entry side meets the other's sink side in the same method.
+
+    A chain meets a method once, so of a method's backs the first of each chain, one more than a front keeps, are enough.
+    """
     a = hops.where("ord = 0").select(F.col("chain_key").alias("front"), F.col("from_name").alias("spot"))
     b = hops.where("ord >= 1").select(F.col("chain_key").alias("back"), F.col("to_name").alias("spot"), F.col("ord").alias("cut"))
-    met = a.join(b, "spot").where("front <> back")
+    once = b.groupBy("spot", "back").agg(F.min("cut").alias("cut"))
+    first = F.row_number().over(Window.partitionBy("spot").orderBy("cut", "back"))
+    met = a.join(once.withColumn("at", first).where(F.col("at") <= per_chain + 1).drop("at"), "spot").where("front <> back")
     order = Window.partitionBy("front").orderBy("cut", "back")
     return met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_chain).select("front", "back", "spot", "cut")
 

@@ -97,14 +97,3 @@ def run(operators: list[Operator], given: dict[str, Any]) -> Outcome:
 def discover(group: str = "chainloom.operators") -> list[Operator]:
     """Operators that installed packages offer, by id."""
     return sorted((e.load() for e in entry_points(group=group)), key=lambda o: o.id)
-
-
-def workers(tasks: int, most: int, processors: int, cpu_load: float, heap: float) -> int:
-    """How many threads a driver-side step takes: some processors stay free, and fewer are taken under load."""
-    free = 0 if processors <= 1 else processors // 8 if processors >= 8 else 1
-    n = max(1, min(tasks, most, processors - free))
-    if cpu_load >= 0.90 or heap >= 0.90:
-        return max(1, n // 2)
-    if cpu_load >= 0.75 or heap >= 0.80:
-        return max(1, n * 3 // 4)
-    return n

@@ -63,6 +63,25 @@ def same_region(p):
     return lookups.same_component(asked, fixpoint.components(edges))
 
 
+_DOMINATORS = """WITH e AS (SELECT method, src, dst FROM (SELECT method, pos AS src, lead(pos) OVER (PARTITION BY method ORDER BY pos) AS dst, op FROM {insns}) x WHERE op <> 'RETURN' AND dst IS NOT NULL
+UNION SELECT method, pos, CAST(floor(pos / 2.0) AS INT) FROM {insns} WHERE op = 'JUMP'),
+n AS (SELECT method, 0 AS node FROM e UNION SELECT n.method, e.dst FROM n JOIN e ON e.method = n.method AND e.src = n.node),
+w AS (SELECT DISTINCT method, node AS cut, 0 AS node FROM n WHERE node <> 0 UNION SELECT w.method, w.cut, e.dst FROM w JOIN e ON e.method = w.method AND e.src = w.node AND e.dst <> w.cut),
+d AS (SELECT n.method, n.node AS pos, d.node AS dominator FROM n JOIN n d ON d.method = n.method WHERE d.node <> n.node AND (d.node = 0 OR NOT EXISTS (SELECT 1 FROM w WHERE w.method = n.method AND w.cut = d.node AND w.node = n.node)))"""
+
+
+@query(_DOMINATORS + """, k AS (SELECT method, pos, count(*) AS above FROM d GROUP BY method, pos)
+SELECT method, pos, dominator FROM (SELECT d.*, row_number() OVER (PARTITION BY d.method, d.pos ORDER BY coalesce(k.above, 0) DESC) AS rn FROM d LEFT JOIN k ON k.method = d.method AND k.pos = d.dominator) x WHERE rn = 1""")
+def immediate_dominators(p):
+    return cfg.immediate_dominators(cfg.normal_edges(p.insns, F.floor(F.col("pos") / 2).cast("int")))
+
+
+@query(_DOMINATORS + """SELECT q.method, q.a, q.b, d.pos IS NOT NULL AS dominates FROM (SELECT DISTINCT method, start_at + 1 AS a, handler AS b FROM {handlers} WHERE start_at + 1 <> handler) q LEFT JOIN d ON d.method = q.method AND d.dominator = q.a AND d.pos = q.b""".replace("SELECT q", " SELECT q", 1))
+def dominates(p):
+    asked = p.handlers.select("method", (F.col("start_at") + 1).alias("a"), F.col("handler").alias("b")).where("a <> b")
+    return cfg.dominates(asked, cfg.dominators(cfg.normal_edges(p.insns, F.floor(F.col("pos") / 2).cast("int"))))
+
+
 _UP = "c AS (SELECT super AS ancestor, name AS descendant, 1 AS depth FROM {types} WHERE super IS NOT NULL UNION SELECT c.ancestor, t.name, c.depth + 1 FROM c JOIN {types} t ON t.super = c.descendant)"
 
 

@@ -286,7 +286,11 @@ def field_writers(p):
     return cfg.field_writers(p.fields)
 
 
-@query()
+@query("""WITH e AS (SELECT method, src, dst FROM (SELECT method, pos AS src, lead(pos) OVER (PARTITION BY method ORDER BY pos) AS dst, op FROM {insns}) x WHERE op <> 'RETURN' AND dst IS NOT NULL
+UNION SELECT method, pos, CAST(floor(pos / 2.0) AS INT) FROM {insns} WHERE op = 'JUMP'),
+n AS (SELECT method, 0 AS node FROM e UNION SELECT n.method, e.dst FROM n JOIN e ON e.method = n.method AND e.src = n.node),
+w AS (SELECT DISTINCT method, node AS cut, 0 AS node FROM n WHERE node <> 0 UNION SELECT w.method, w.cut, e.dst FROM w JOIN e ON e.method = w.method AND e.src = w.node AND e.dst <> w.cut)
+SELECT n.method, n.node AS pos, d.node AS dominator FROM n JOIN n d ON d.method = n.method WHERE d.node IN (0, n.node) OR NOT EXISTS (SELECT 1 FROM w WHERE w.method = n.method AND w.cut = d.node AND w.node = n.node)""")
 def dominators(p):
     return cfg.dominators(cfg.normal_edges(p.insns, F.floor(F.col("pos") / 2).cast("int")))
 
@@ -413,13 +417,13 @@ def dynamic_hop_limit(p):
 
 # Calibration -------------------------------------------------------------------------------
 
-_TRIGGER = "trig AS (SELECT c.chain_key, 'no-trigger' AS reason FROM {chains} c WHERE entry_kind IN ('hashCode', 'equals', 'compareTo', 'compare', 'toString') AND entry_class NOT IN (SELECT DISTINCT m.owner FROM {fields} f JOIN {methods} m ON m.name = f.reader))"
+_TRIGGER = "trig AS (SELECT c.chain_key, 'no-trigger' AS reason FROM {chains} c WHERE entry_kind IN ('hashCode', 'equals', 'compareTo', 'compare', 'toString') AND entry_class NOT IN (SELECT DISTINCT m.owner FROM {fields} f JOIN {methods} m ON m.name = f.reader WHERE CAST(substr(f.reader, 2) AS INT) % 4 = 0))"
 _DUP = f"{_SCORE}, dup AS (SELECT chain_key, 'mechanism-duplicate' AS reason FROM (SELECT chain_key, row_number() OVER (PARTITION BY entry_class, category, call_kind ORDER BY unresolved, n_hops, score DESC, chain_key) AS rn FROM score) x WHERE rn > 1)"
 _DEEP = "deep AS (SELECT c.chain_key, 'deep-incoherent' AS reason FROM {chains} c JOIN (SELECT chain_key, sum(CASE WHEN kind = 'FIELD_FLOW' THEN 1 ELSE 0 END) AS f FROM {hops} GROUP BY chain_key) h ON h.chain_key = c.chain_key WHERE n_hops > 1 AND f * 6 < n_hops)"
 
 
 def _trigger(p: Program) -> DataFrame:
-    readers = p.fields.select(F.col("reader").alias("name")).distinct()
+    readers = p.fields.where("CAST(substr(reader, 2) AS INT) % 4 = 0").select(F.col("reader").alias("name")).distinct()
     return calibrate.without_trigger(p.chains, p.methods.join(readers, "name", "left_semi").select("owner"))
 
 
@@ -636,9 +640,9 @@ def host_summaries(p):
     return p.calls.groupBy("host").agg(F.floor(F.countDistinct("callee") / 2).alias("half"), F.bool_or(F.col("kind") == "DYNAMIC").alias("dynamic"), F.bool_and(F.col("quantity") > 5).alias("bulky"))
 
 
-@query("SELECT DISTINCT c.callee AS method FROM {calls} c WHERE NOT EXISTS (SELECT 1 FROM {calls} d WHERE d.callee = c.callee AND d.kind = 'STATIC')")
+@query("SELECT DISTINCT c.callee AS method FROM {calls} c WHERE NOT EXISTS (SELECT 1 FROM {calls} d WHERE d.callee = c.callee AND d.kind = 'STATIC' AND d.quantity < 4)")
 def never_static(p):
-    return p.calls.select(F.col("callee").alias("method")).distinct().join(p.calls.where("kind = 'STATIC'").select(F.col("callee").alias("method")), "method", "left_anti")
+    return p.calls.select(F.col("callee").alias("method")).distinct().join(p.calls.where("kind = 'STATIC' and quantity < 4").select(F.col("callee").alias("method")), "method", "left_anti")
 
 
 @query("SELECT chain_key FROM {run_old} EXCEPT ALL SELECT chain_key FROM {run_new}")

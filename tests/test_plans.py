@@ -42,8 +42,3 @@ def test_failures_are_reasons():
 
     out = phases.run([phases.Operator("f", "ANALYSIS", fail, (), ("x",)), op("g", needs=("x",), gives=("y",)), phases.Operator("w", "ANALYSIS", lambda _: {}, (), ("q",)), op("h", gives=("z",))], {})
     assert out.reasons == {"SOURCE_FAILED:f:RuntimeError", "SKIPPED:g", "WRONG_PRODUCTS:w"} and out.order == ["h"]
-
-
-@pytest.mark.parametrize(("args", "want"), [((100, 16, 1, 0, 0), 1), ((100, 16, 4, 0, 0), 3), ((100, 16, 16, 0, 0), 14), ((100, 16, 16, 0.95, 0), 7), ((100, 16, 16, 0.8, 0), 10), ((2, 16, 16, 0, 0.85), 1), ((0, 16, 16, 0, 0), 1)])
-def test_workers(args, want):
-    assert phases.workers(*args) == want
