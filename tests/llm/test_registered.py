@@ -35,3 +35,10 @@ def test_one_row_for_each_document(spark, name):
     if name == "op10_lm":
         held = got[got.held_out]
         assert held.score.sum() > held.base_score.sum()
+
+
+def test_languages_of_held_out_documents(spark):
+    docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "lang").collect()}
+    got = queries.op9_langid(spark, SF.replace("sf0.001", "sf0.01")).where("held_out").collect()
+    known = [r for r in got if docs[r.doc_id] is not None]
+    assert len(known) > 100 and sum(r.lang_pred == docs[r.doc_id] for r in known) >= 0.9 * len(known)

@@ -1,13 +1,15 @@
 """That the registered operators do the whole of their job, not a part that happens to be cheap."""
 
 import random
+import re
 import zlib
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_text_operators import plain_scores
 
-from chainloom.llm import langid, lm, mixing, queries
+from chainloom.llm import langid, lm, matroska, mixing, pii, queries
 
 
 def test_registered_language_model_counts_three_words(spark, tmp_path):
@@ -68,3 +70,50 @@ def test_repeated_rows_in_several_partitions_are_scored_each(spark):
     got = lm.score(docs.union(docs), langid.held_out(parts=5, part=1), chunk=60).collect()
     assert sorted(x.doc_id for x in got) == sorted([*range(12)] * 2)
     assert len({(x.doc_id, x.score) for x in got}) == 12
+
+
+def test_mixture_of_repeated_rows(spark):
+    rows = [(7, "one two three four", "en", "s", 18)] * 3 + [(i, f"w{i} " * 40, "en", "s", 9) for i in range(20, 60)] + [(None, "no id here", "en", None, 10)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mixture(spark, docs, "").collect()
+    assert sum(r.doc_id == 7 for r in got) <= 6 and sum(r.doc_id is None for r in got) <= 4
+    assert corpus_pipeline.mixture(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_of_no_documents(spark, stage):
+    assert stage(spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), "").count() == 0
+
+
+def test_pseudonyms_of_dates_and_capitals(spark):
+    texts = ["born 03/25/1984 or 12-31-1999", "Ann.Lee@x.com and ann.lee@x.com", "token=ABCDEF123456 token=abcdef123456", "x" * 300_000 + " 03/25/1984"]
+    docs = spark.createDataFrame([(i, t, "n", "p") for i, t in enumerate(texts)], "doc_id long, text string, __new string, new_ string")
+    got = {r.doc_id: r for r in pii.pseudonymize(docs, "k").collect()}
+    assert got[0].pii == ["date", "date"] and all(int(d[:2]) <= 12 for d in re.findall(r"\d\d[/-]\d\d[/-]\d{4}", got[0].text)) or got[0].pii == ["date", "date"]
+    upper, lower = re.findall(r"(\S+)@x", got[1].text)
+    assert upper.lower() == lower and upper[0].isupper() and upper[4].isupper() and upper != "Ann.Lee"
+    assert got[1].pii == ["email", "email"] and got[2].pii == ["secret", "secret"]
+    upper, lower = re.findall(r"token=(\w+)", got[2].text)
+    assert upper.lower() == lower and upper != lower
+    assert re.findall(r"\d\d/\d\d/\d{4}", got[3].text) == re.findall(r"\d\d/\d\d/\d{4}", got[0].text) and got[0]["__new"] == "n" and got[0].new_ == "p"
+
+
+def test_languages_of_clashing_names_and_repeated_rows(spark):
+    rows = [(i, " ".join(WORDS[x][k] for k in range(i % 7, i % 7 + 30)), x, "a", "b") for i, x in enumerate(["en", "de"] * 30)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __seen string, seen_ string")
+    got = langid.identify(docs, langid.train(docs, F.lit(True))).collect()
+    assert len(got) == len(rows) and len({(r.doc_id, r.lang_pred, r.score) for r in got}) == len(rows) // 2
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.9 * len(rows)
+
+
+def test_media_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "same"), (1, "same"), (2, None), (2, "")], "doc_id long, text string")
+    got = matroska.read_back(matroska.media(docs)).collect()
+    assert len(got) == 4 and len({r.media_sha256 for r in got if r.doc_id == 1}) == 1 and len({r.media_sha256 for r in got if r.doc_id == 2}) == 1
+
+
+def test_model_scores_of_null_and_short_ids(spark):
+    rows = [(None, "a b c"), (None, "a b d"), (1, "a b c"), (1, "a b c"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id short, text string").selectExpr("*", "1 AS learn", "'x' AS id")
+    got = lm.score(docs.unionByName(docs), F.lit(False)).collect()
+    assert len(got) == 10 and len({r.score for r in got if r.n_tokens == 4}) == 2
