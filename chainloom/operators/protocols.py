@@ -26,6 +26,10 @@ CALLS = (
     ("connection", "java/sql/DriverManager", "getConnection", 0),
     ("connection", "java/sql/Driver", "connect", 0),
     ("login", "javax/security/auth/login/LoginContext", "<init>", 0),
+    ("naming-search", "javax/naming/directory/DirContext", "search", 0),
+    ("naming-next", "javax/naming/NamingEnumeration", "next", -1),
+    ("remote-proxy", "com/caucho/hessian/client/HessianProxyFactory", "create", 1),
+    ("http-context", "com/sun/net/httpserver/HttpServer", "createContext", 1),
 )
 
 

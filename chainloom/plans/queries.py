@@ -695,3 +695,4 @@ def short_ids(p):
     return p.part.select(F.concat(F.lit("x"), F.col("p_partkey")).alias("id"), names.short_id(F.concat_ws("|", "p_name", "p_brand")).alias("short_id"))
 
 from . import program_queries  # noqa: E402, F401  registers its queries here
+from . import typed_queries  # noqa: E402, F401
