@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import hierarchy, rules, typed
+from ..operators import forward, hierarchy, rules, typed
 from ..sources import programs
 from .program_queries import _UP
 from .queries import query
@@ -181,3 +181,48 @@ def web_routes(p):
     line = lambda route: F.format_string("<servlet-mapping><servlet-name>n</servlet-name><url-pattern> %s </url-pattern></servlet-mapping>", route)
     text = F.concat(F.lit("<web-app><servlet><servlet-name>n</servlet-name><servlet-class>"), F.format_string("app.web.S%d", k), F.lit("</servlet-class></servlet>"), F.when(k % 3 != 0, line(F.format_string("/r%d/*", F.col("s_nationkey")))).otherwise(""), F.when(k % 3 == 1, line(F.lit("/more"))).otherwise(""), F.lit("</web-app>"))
     return programs.web_routes(p.supplier.select(k.alias("origin"), F.when(k % 30 == 3, "no xml <").otherwise(text).alias("text")))
+
+
+# Forward propagation -----------------------------------------------------------------------
+
+_MAGIC = """(SELECT 'S' || CAST(s_suppkey AS STRING) AS owner, CASE s_suppkey % 4 WHEN 0 THEN 'readObject' WHEN 1 THEN 'readResolve' WHEN 2 THEN 'readExternal' ELSE 'run' END AS name,
+CASE WHEN s_suppkey % 5 = 0 THEN '()V' WHEN s_suppkey % 4 = 0 THEN '(Ljava/io/ObjectInputStream;)V' WHEN s_suppkey % 4 = 1 THEN '()Ljava/lang/Object;' ELSE '(Ljava/io/ObjectInput;)V' END AS descriptor FROM {supplier})"""
+
+
+@query(f"WITH {_UP} SELECT owner, name FROM {_MAGIC} m WHERE name <> 'run' AND descriptor <> '()V' AND owner IN (SELECT descendant FROM c WHERE ancestor IN ('R1', 'R3'))")
+def magic_entries(p):
+    below = hierarchy.type_closure(p.types).where("ancestor in ('R1', 'R3')").select(F.col("descendant").alias("name"))
+    return forward.magic_entries(p.sql("SELECT * FROM " + _MAGIC), below)
+
+
+_STEPS = """(SELECT DISTINCT 'p|' || host AS src, 'p|' || callee AS dst, 'argument' AS kind FROM {calls} WHERE quantity % 3 = 0 UNION ALL SELECT DISTINCT 'p|' || host, 'f|' || supplier, 'write' FROM {calls} WHERE quantity % 5 = 0
+UNION ALL SELECT DISTINCT 'f|' || supplier, 'p|' || host, 'read' FROM {calls} WHERE quantity % 11 = 0 UNION ALL SELECT DISTINCT 'p|' || callee, 'r|' || callee, 'return' FROM {calls} UNION ALL SELECT DISTINCT 'r|' || callee, 'p|' || host, 'model' FROM {calls} WHERE quantity % 13 = 0)"""
+
+
+@query(f"""WITH e AS (SELECT * FROM {_STEPS} s), w AS (SELECT 'p|' || method AS node, 0 AS depth FROM {{sources}} WHERE CAST(substr(method, 2) AS INT) % 3 = 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 6),
+m AS (SELECT node, min(depth) AS depth FROM w GROUP BY node)
+SELECT m.node, m.depth, coalesce(min(e.kind), 'seed') AS kind FROM m LEFT JOIN e ON e.dst = m.node AND m.depth > 0 AND EXISTS (SELECT 1 FROM m q WHERE q.node = e.src AND q.depth = m.depth - 1) GROUP BY m.node, m.depth""")
+def forward_effects(p):
+    c = p.calls
+    rows = lambda a, b, where: c.where(where).select(F.concat(*a).alias("src"), F.concat(*b).alias("dst"))
+    at = lambda k, n: (F.lit(f"{k}|"), F.col(n))
+    steps = forward.effects(rows(at("p", "host"), at("p", "callee"), "quantity % 3 = 0"), rows(at("p", "host"), at("f", "supplier"), "quantity % 5 = 0"), rows(at("f", "supplier"), at("p", "host"), "quantity % 11 = 0"), rows(at("p", "callee"), at("r", "callee"), "true"), rows(at("r", "callee"), at("p", "host"), "quantity % 13 = 0"))
+    seeds = p.sources.where("CAST(substr(method, 2) AS INT) % 3 = 0").select(F.concat(F.lit("p|"), F.col("method")).alias("node"))
+    return forward.propagate(seeds, steps, 6)[0]
+
+
+@query("""WITH e AS (SELECT src, dst FROM {followers} UNION SELECT DISTINCT host, callee FROM {calls} WHERE quantity > 30), w AS (SELECT dst AS node, 0 AS len FROM e WHERE dst NOT IN (SELECT src FROM e) UNION SELECT e.src, w.len + 1 FROM w JOIN e ON e.dst = w.node)
+SELECT node, max(len) AS level FROM w GROUP BY node""")
+def work_levels(p):
+    return forward.levels(p.followers.select("src", "dst").union(p.calls.where("quantity > 30").select("host", "callee")))[0]
+
+
+_MODELLED = "(SELECT call_id AS call, kind AS model, 'arg0' AS slot_in, 'p|' || host AS place_in, 'return' AS slot_out, 'p|' || CASE WHEN quantity % 2 = 0 THEN callee ELSE 'O' || CAST(quantity AS STRING) END AS place_out FROM {calls})"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT place_in AS src, place_out AS dst FROM {_MODELLED} c WHERE model IN ('STATIC', 'VIRTUAL')), w AS (SELECT 'p|' || method AS node, 0 AS depth FROM {{sources}} UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 8)
+SELECT node, min(depth) AS depth FROM w GROUP BY node""")
+def model_summaries(p):
+    models = p.spark.createDataFrame([("STATIC", "arg0", "return"), ("VIRTUAL", "arg0", "return"), ("INTERFACE", "this", "return")], "model string, source string, target string")
+    facts = p.sources.select(F.concat(F.lit("p|"), F.col("method")).alias("node"))
+    return forward.summarised(facts, p.sql("SELECT * FROM " + _MODELLED), models, 8)[0].select("node", "depth")
