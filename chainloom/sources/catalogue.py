@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .reports import unsafe_pattern
+
 #: Limits of a catalogue's text: bytes, nesting, nodes.
 MOST_BYTES, MOST_DEPTH, MOST_NODES = 4 << 20, 32, 200_000
 RULES = "rule_id string, kind string, category string, severity string, role string, owner_pat string, owner_mode string, name_pat string, name_mode string, descriptor string, tainted array<string>, actions map<string,array<string>>, bridge string"
@@ -58,6 +60,9 @@ def parse_rules(text: str) -> list[tuple]:
         owner, name = _matcher(match.get("owner")), _matcher(match.get("name"))
         if owner[1] == "exact":
             owner = owner[0], "subtype"  # a literal type stands for those below it too
+        for pattern, mode in (owner, name):
+            if mode == "regex" and (why := unsafe_pattern(pattern)):
+                raise CatalogueError(f"{rule['id']}: {why} in {pattern[:80]}")
         tainted = ["this" if t.get("receiver") else f"arg{t['arg']}" for t in rule.get("tainted") or []]
         actions = {str(k): [str(x) for x in v] for k, v in (rule.get("actions") or {}).items()}
         rows.append((str(rule["id"]), rule["kind"], rule.get("category"), rule.get("severity"), (rule.get("role") or "terminal").upper() if rule["kind"] == "sink" else None, *owner, *name, match.get("descriptor"), tainted, actions, rule.get("bridge")))
