@@ -1,10 +1,12 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join by prefixes of MinHash signatures.
 
 A document's shingles are its runs of ``n`` words (all its words, if it has fewer). Each of
-``trees`` prefix tries sorts documents by a signature of ``depth`` minimum hashes. A match of
-prefixes is shortened, from the whole signature on, until the share of pairs at the
-threshold that meet in some tree reaches the target recall: ``prefix_length``. The tries'
-nodes at that length are the groups below.
+``trees`` prefix tries holds documents by a signature of minimum hashes. In a forest, a
+query shortens the matched prefix from ``depth`` hashes on until the target recall. Here
+every link must be found, also a document's weakest one, so no document may stop at the
+first partners it meets: all shorten to the one length at which the share of pairs at the
+threshold that meet in some tree reaches the target, ``prefix_length``, and no longer
+prefix is computed. What is left of the tries is their nodes at that length, the groups below.
 
 Groups are not expanded into pairs. Every group is led by its member of lowest rank, the
 same one in nearly all trees for copies of one text, and all members go to that leader's
