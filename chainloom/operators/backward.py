@@ -13,9 +13,9 @@ MOST_CALLERS, MOST_WRITERS, MOST_TARGETS, MOST_DEPTH, MOST_DYNAMIC, MOST_CHAINS
 
 def first_of(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
     """The first ``most`` rows of each key, and whether that was all: ``whole``."""
-    own = Window.partitionBy(*by)
-    ranked = rows.withColumn("_rank", F.row_number().over(own.orderBy(*order))).withColumn("_total", F.count(F.lit(1)).over(own))
-    return ranked.where(F.col("_rank") <= most).withColumn("whole", F.col("_total") <= most).drop("_rank", "_total")
+    first = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= most)
+    total = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
+    return first.join(total, by).withColumn("whole", F.col("_total") <= most).drop("_rank", "_total")
 
 
 def steps_back(args: DataFrame, writes: DataFrame, returns: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chains import TRIGGERS, missing_evidence
+from .fixpoint import positions
 
 DEEP, MOST_DYNAMIC = 14, 40
 DYNAMIC = ("VIRTUAL_DISPATCH", "FIELD_FLOW", "NATIVE_CALLBACK")
@@ -63,17 +64,15 @@ def verdict(found: Column, truncated: Column, too_long: Column, unresolved: Colu
 def fair_budget(sinks: DataFrame, total: int, least: int = 2048, most: int = 200_000) -> DataFrame:
     """(sink, budget): the least for everyone, the rest spread evenly in order of depth and name.
 
-    The position comes from counts per depth and a window within each depth, so no window
-    holds all sinks.
+    The position comes from counts per depth and beginning of the name and a window within
+    each of these, so no window holds all sinks of a depth.
     """
-    by_depth = sinks.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
-    ahead = by_depth.withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n = F.lit(int(sinks.count() or 1))
-    at = F.row_number().over(Window.partitionBy("depth").orderBy("sink")) - 1 + F.col("ahead")
+    placed = positions(sinks.withColumn("_start", F.substring("sink", 1, 4)), [], ["depth", "_start"], ["sink"], "at").withColumn("at", F.col("at") - 1)
     first = F.least(F.lit(least), F.floor(F.lit(total) / n))
     extra = F.lit(total) - first * n
     share = F.floor(extra / n) + F.when(F.col("at") < F.pmod(extra, n), 1).otherwise(0)
-    return sinks.join(ahead.select("depth", "ahead"), "depth").withColumn("at", at).select("sink", F.least(F.lit(most), first + share).cast("long").alias("budget"))
+    return placed.select("sink", F.least(F.lit(most), first + share).cast("long").alias("budget"))
 
 
 def missing(hops: DataFrame) -> DataFrame:

@@ -48,7 +48,9 @@ def array_writers(insns: DataFrame, store: str = "PUTFIELD", read: str = "GETFIE
 
 
 def field_writers(fields: DataFrame) -> DataFrame:
-    return fields.select("owner", "name", "writer").distinct().groupBy("owner", "name").agg(F.concat_ws(",", F.array_sort(F.collect_list("writer"))).alias("writers"), F.count(F.lit(1)).alias("n"))
+    """(owner, name, writer, n): a row for each writer of a field, with how many it has."""
+    each = fields.select("owner", "name", "writer").distinct()
+    return each.join(each.groupBy("owner", "name").agg(F.count(F.lit(1)).alias("n")), ["owner", "name"])
 
 
 def immediate_dominators(edges: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fixpoint import positions
+
 PATTERN_BONUS = 2
 KEY = ("rule_id", "category", "severity", "entry_kind", "entry_class", "entry_method", "sink_class", "sink_method", "sink_role", "sink_risk")
 MERGE = ("rule_id", "category", "severity", "entry_class", "entry_method", "entry_kind", "sink_class", "sink_method", "sink_role")
@@ -87,7 +89,7 @@ def ranked(chains: DataFrame, scored: DataFrame, precise: DataFrame, preference:
     """Position of each chain within its category. After role, unresolved hops and path preference the
     order is precision, length, score where the preference is 0 or 2, else score, precision, length."""
     near = F.col("preference").isin(0, 2)
-    tail = [F.when(near, F.col("precision")).otherwise(-F.col("score")), F.when(near, F.col("n_hops")).otherwise(F.col("precision")), F.when(near, -F.col("score")).otherwise(F.col("n_hops")), F.col("chain_key")]
+    tail = [F.when(near, F.col("n_hops")).otherwise(F.col("precision")), F.when(near, -F.col("score")).otherwise(F.col("n_hops")), F.col("chain_key")]
     met = chains.join(scored.select("chain_key", "score"), "chain_key").join(precise.select("chain_key", "precision"), "chain_key").withColumn("preference", preference)
-    order = Window.partitionBy("category").orderBy(F.when(F.col("sink_role") == "TERMINAL", 0).otherwise(1), "unresolved", "preference", *tail)
-    return met.select("category", "chain_key", F.row_number().over(order).alias("position"))
+    met = met.withColumn("role", F.when(F.col("sink_role") == "TERMINAL", 0).otherwise(1)).withColumn("first", F.when(near, F.col("precision")).otherwise(-F.col("score")))
+    return positions(met, ["category"], ["role", "unresolved", "preference", "first"], tail, "position").select("category", "chain_key", "position")

@@ -164,3 +164,16 @@ def _looping(hops: DataFrame, rounds: int = 64) -> DataFrame:
 def best(paths: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("node").orderBy("hops", "path")
     return paths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def positions(rows: DataFrame, by: list[str], leading: list[str], rest: list, name: str) -> DataFrame:
+    """``rows`` with ``name``: the position of each, from 1, within ``by`` in the order of ``leading`` and then ``rest``.
+
+    ``leading`` are columns of few values. Their counts, one row for each combination, give
+    where each begins, so that a window holds the rows of one combination and never all of a key.
+    """
+    counts = rows.groupBy(*by, *leading).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*by).orderBy(*leading).rowsBetween(Window.unboundedPreceding, -1)
+    begun = counts.withColumn("_begin", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*by, *leading).orderBy(*rest))
+    return rows.withColumn("_at", within).join(begun, [*by, *leading]).withColumn(name, (F.col("_at") + F.col("_begin")).cast("int")).drop("_at", "_begin")

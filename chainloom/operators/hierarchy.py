@@ -16,7 +16,9 @@ def parent_edges(types: DataFrame) -> DataFrame:
 
 
 def direct_subtypes(types: DataFrame) -> DataFrame:
-    return parent_edges(types).groupBy("parent").agg(F.array_sort(F.collect_set("child")).alias("children"))
+    """(parent, child, n): a row for each child, with how many its parent has."""
+    edges = parent_edges(types).distinct()
+    return edges.join(edges.groupBy("parent").agg(F.count(F.lit(1)).alias("n")), "parent")
 
 
 def type_closure(types: DataFrame) -> DataFrame:
@@ -26,8 +28,9 @@ def type_closure(types: DataFrame) -> DataFrame:
 def capped(pairs: DataFrame, cap: int) -> DataFrame:
     """The first ``cap`` descendants of each ancestor by depth and name; ``complete`` tells whether that is all."""
     order = Window.partitionBy("ancestor").orderBy("depth", "descendant")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("ancestor")))
-    return ranked.where(F.col("rank") <= cap).select("ancestor", "descendant", "depth", (F.col("total") <= cap).alias("complete"))
+    total = pairs.groupBy("ancestor").agg(F.count(F.lit(1)).alias("total"))
+    ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)  # cut before the exchange, too
+    return ranked.join(total, "ancestor").select("ancestor", "descendant", "depth", (F.col("total") <= cap).alias("complete"))
 
 
 def is_subtype(names: DataFrame, pairs: DataFrame, of: str) -> DataFrame:

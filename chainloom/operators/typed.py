@@ -67,9 +67,8 @@ def raw_candidates(asked: DataFrame, pairs: DataFrame, most: int = MOST_CANDIDAT
     own = asked.select("owner").distinct()
     below = own.join(pairs.select(F.col("ancestor").alias("owner"), F.col("descendant").alias("candidate"), "depth"), "owner")
     every = own.select("owner", F.col("owner").alias("candidate"), F.lit(0).alias("depth")).unionByName(below)
-    by = Window.partitionBy("owner")
-    ranked = every.withColumn("at", F.row_number().over(by.orderBy("depth", "candidate"))).withColumn("n", F.count(F.lit(1)).over(by))
-    return ranked.where(F.col("at") <= most).select("owner", "candidate", (F.col("n") <= most).alias("complete"))
+    first = every.withColumn("at", F.row_number().over(Window.partitionBy("owner").orderBy("depth", "candidate"))).where(F.col("at") <= most)
+    return first.join(every.groupBy("owner").agg(F.count(F.lit(1)).alias("n")), "owner").select("owner", "candidate", (F.col("n") <= most).alias("complete"))
 
 
 def declared_targets(calls: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -166,9 +166,9 @@ _CLOSURE = """WITH c AS (SELECT super AS ancestor, name AS descendant, 1 AS dept
 pairs AS (SELECT ancestor, descendant, min(depth) AS depth FROM c GROUP BY ancestor, descendant)"""
 
 
-@query("SELECT super AS parent, string_agg(name, ',' ORDER BY name) AS children FROM (SELECT DISTINCT super, name FROM {types}) t WHERE super IS NOT NULL GROUP BY super")
+@query("SELECT super AS parent, name AS child, count(*) OVER (PARTITION BY super) AS n FROM (SELECT DISTINCT super, name FROM {types} WHERE super IS NOT NULL) x")
 def direct_subtypes(p):
-    return hierarchy.direct_subtypes(p.types).select("parent", F.concat_ws(",", "children").alias("children"))
+    return hierarchy.direct_subtypes(p.types)
 
 
 @query(_CLOSURE + " SELECT ancestor, descendant, depth FROM pairs")
@@ -281,7 +281,7 @@ def asof_pushed_bool(p):
     return cfg.last_constant(p.insns, "RETURN", 6)
 
 
-@query("SELECT owner, name, string_agg(writer, ',' ORDER BY writer) AS writers, count(*) AS n FROM (SELECT DISTINCT owner, name, writer FROM {fields}) x GROUP BY owner, name")
+@query("SELECT owner, name, writer, count(*) OVER (PARTITION BY owner, name) AS n FROM (SELECT DISTINCT owner, name, writer FROM {fields}) x")
 def field_writers(p):
     return cfg.field_writers(p.fields)
 

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
@@ -101,6 +103,11 @@ def _spark_text(sql: str) -> str:
     return sql.replace("regexp_like_(", "regexp_like(")
 
 
+#: Views that many queries join several times: stored once for each application and folder.
+STORED = ("best", "chains", "hops")
+_stored: dict[tuple, DataFrame] = {}
+
+
 class Program:
     """The views as DataFrames of one session and folder; each is built when it is asked for."""
 
@@ -111,9 +118,15 @@ class Program:
         if name.startswith("_") or name not in TABLES and name not in VIEWS:
             raise AttributeError(name)
         if name not in self._known:
-            self._known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet") if name in TABLES else self.sql(VIEWS[name])
+            self._known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet") if name in TABLES else self._stored(name) if name in STORED else self.sql(VIEWS[name])
         return self._known[name]
 
+    def _stored(self, name: str) -> DataFrame:
+        key = self.spark.sparkContext.applicationId, self.sf_dir, name
+        if key not in _stored:
+            _stored[key] = cut(self.sql(VIEWS[name]))
+        return _stored[key]
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(_spark_text(text), **{n: getattr(self, n) for n in set(_NAME.findall(text))})
 
