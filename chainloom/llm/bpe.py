@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import modest_batches, scratch, whole
-from .exchange import answers, ask, by_shard, chunks, rescannable, string_bytes
+from .exchange import answers, ask, by_shard, chunks, rescannable, string_bytes, trim
 from .pieces import Pieces, compose, ranges, split
 
 #: Bytes of text in a chunk, and of words in one list.
-CHUNK, LIST = 16_000_000, 4_000_000
+CHUNK, LIST = 8_000_000, 2_000_000
 
 
 class Merges:
@@ -213,6 +213,8 @@ def _run(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str, c
         for name, rows in chunks(batches, chunk):
             ids, offsets = _answered(rows, pattern, answers(at, name))
             yield from pa.Table.from_arrays([rows.column(0), *f(merges(path), ids, offsets)], [id_col, *names]).to_batches(1000)
+            del rows, ids, offsets
+            trim()
 
     return given.mapInArrow(finish, f"`{id_col}` {kind}, {schema}")
 

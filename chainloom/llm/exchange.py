@@ -218,6 +218,8 @@ def ask(rows: DataFrame, parts: Callable[[str, pa.Table, int], Iterator[tuple[in
                     yield got
 
             put(f"{at}/shards/{shard:06d}", given())
+            group.clear()
+            trim()
             for i in range(0, len(found), 10_000):
                 own = found[i : i + 10_000]
                 sizes = [x[4] for x in own]

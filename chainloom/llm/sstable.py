@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import modest_batches, partitions, scratch, whole
+from .exchange import trim
 from .pieces import Codes, compose, split
 
 #: Letters below U+0250, with a space before them or not.
@@ -287,6 +288,8 @@ def write_shards(docs: DataFrame, at: str, tokenizer: str, pattern: str, end_id:
             ids, offsets = encode(rows.column(1).combine_chunks())
             for k, i in enumerate(rows.column(0).to_pylist()):
                 writer.add(key_of(i), np.concatenate([ids[offsets[k] : offsets[k + 1]], end]))
+            del rows, ids, offsets
+        trim()
         if writer:
             writer.close()
             out.close()
