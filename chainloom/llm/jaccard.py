@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, modest_batches, partitions, stored, whole
+from .exchange import trim
 from .graph import components, roots
 
 TREES, DEPTH, RECALL = 16, 8, 0.9995
@@ -244,6 +245,7 @@ def _meet(rows: DataFrame, part: int, cheaper: int, f, schema: str) -> DataFrame
                 out = f(group)
                 if out is not None and out.num_rows:
                     yield out
+        trim()
 
     return ranged.mapInArrow(run, schema)
 

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import modest_batches, whole
+from .exchange import trim
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 NONE = "und"
@@ -271,6 +272,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
                 known = [familiar.knows(t) for t in texts]
                 found, scores = [x if k else NONE for x, k in zip(found, known, strict=True)], [x if k else 0.0 for x, k in zip(scores, known, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+        trim()
 
     return shown.mapInArrow(run, schema)
 
