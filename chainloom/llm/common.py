@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from ..session import ship
 #: A word is a run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
+_WHITE_BYTE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,3 +74,15 @@ def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
 def whole(text: str | Column = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def runs(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The runs between ASCII white space, in order, by lists that take about ``size`` bytes of ``data`` each."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        if end < len(data):
+            cut = _WHITE_BYTE.search(data, end)
+            end = cut.start() if cut else len(data)
+        yield data[at:end].split()
+        at = end

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, lm, matroska, mixing, pii, sstable, urls, vectors
+from . import bpe, filters, jaccard, langid, lm, matroska, mixing, pii, sstable, urls, vectors
 from .common import stored, table
 
 #: The pseudonyms of the registered query; a production run passes a secret of its own.
@@ -66,9 +66,13 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), langid.held_out(parts=5, part=1), order=3, from_files=True)
 
 
+def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard, op2_vectors, op3_bpe, op4_matroska, op5_pii, op6_sstable, op7_mixing, op8_urls, op9_langid, op10_lm)}
+    return {f.__name__: f for f in (op1_jaccard, op2_vectors, op3_bpe, op4_matroska, op5_pii, op6_sstable, op7_mixing, op8_urls, op9_langid, op10_lm, op13_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard": jaccard.oracle(), "op2_vectors": vectors.oracle(), "op8_urls": urls.oracle()}
+    return {"op1_jaccard": jaccard.oracle(), "op2_vectors": vectors.oracle(), "op8_urls": urls.oracle(), "op13_filters": filters.oracle()}

@@ -1,0 +1,76 @@
+"""The audits of filters and sources and the secret scan against plain versions."""
+
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from chainloom.llm import filters
+
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+def plain_audit(rows, labels):
+    """Each order applied to the documents one by one."""
+    words = lambda t: [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in t).split(" ") if w]
+    first = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            first[t or ""] = min(i, first.get(t or "", i))
+    fails = []
+    for i, t, _, s in rows:
+        t, w = t or "", words(t or "")
+        so = {"A": len(w) < 50, "B": 100 * len(set(w)) < 65 * len(w), "C": 100 * sum("A" <= c <= "Z" for c in t) > 5 * len(t), "D": any(c in "#$%&*|" for c in t), "E": i is not None and first[t] < i}
+        fails.append((s or "", {k for k, v in so.items() if v}, *(i is not None and any(x[0] == i and x[k] == 1 for x in labels) for k in (1, 2))))
+    out = {(part, o, s): Counter() for part in {f[0] for f in fails} for o in filters.ORDERS for s in range(1, 6)}
+    for part, failed, good, toxic in fails:
+        for o in filters.ORDERS:
+            gone = False
+            for s, f in enumerate(o, 1):
+                c = out[part, o, s]
+                hit = f in failed and not gone
+                c["redundant"] += f in failed and gone
+                gone |= hit
+                c["kept"] += not gone
+                c["removed"] += hit
+                c["unique_fails"] += failed == {f}
+                c["good_lost"] += hit and good
+                c["toxic_lost"] += hit and toxic
+    shapley = Counter()
+    for (part, o, s), c in out.items():
+        shapley[part, o[s - 1]] += c["removed"]
+    return {k: tuple([*(c[x] for x in filters.COUNTS[:-1]), shapley[k[0], k[1][k[2] - 1]]]) for k, c in out.items()}
+
+
+def some_documents():
+    r = random.Random(3)
+    texts = [None, "", " ", "Some SHOUT", "a#b", "w " * 80, " ".join(f"w{i}" for i in range(60)), " ".join(f"W{i}" for i in range(60)), "x\x0by\x85z q " * 20, "same"]
+    rows = [(i, r.choice(texts) if i % 3 else " ".join(f"{r.choice('abcXYZ$')}{r.randint(0, 60)}" for _ in range(r.randint(1, 90))), "en", r.choice(["s", "t", None, ""])) for i in range(150)]
+    return rows + [rows[6]] * 2 + [(None, "same", "en", "s"), (None, None, "en", None), (3, "same", "de", "t"), (7, "y " * 300_000 + "z", "en", "u")]
+
+
+def test_filter_audit_is_that_of_documents_one_by_one(spark):
+    rows = some_documents()
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in range(0, 150, 3)] + [(6, None, 1), (6, 0, None), (None, 1, 1), (999, 1, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).select("*", F.lit("x").alias("mask"), F.lit("y").alias("part"), F.lit(1).alias("id")).repartition(5)
+    got = filters.audit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    want = plain_audit(rows, labels)
+    assert len(got) == len(want) == 600 * 4
+    assert {(x.part, x.filter_order, x.step): tuple(x[c] for c in filters.COUNTS) for x in got} == want
+
+
+def test_filter_audit_of_nothing_and_without_labels(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert filters.audit(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+    rows = some_documents()[:20]
+    got = filters.audit(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(x.part, x.filter_order, x.step): tuple(x[c] for c in filters.COUNTS) for x in got} == plain_audit(rows, [])
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_runs_by_pieces_are_those_of_the_whole(size):
+    from chainloom.llm.common import runs
+
+    data = b"  one two\nthree \x0b" + b"long" * 50 + b"\r\nend\x85\xa0 "
+    assert [w for part in runs(data, size) for w in part] == data.split()
