@@ -1,12 +1,14 @@
 """The audits of filters and sources and the secret scan against plain versions."""
 
 import random
+import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chainloom.llm import filters
+from chainloom.llm import divergence, filters
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -74,3 +76,59 @@ def test_runs_by_pieces_are_those_of_the_whole(size):
 
     data = b"  one two\nthree \x0b" + b"long" * 50 + b"\r\nend\x85\xa0 "
     assert [w for part in runs(data, size) for w in part] == data.split()
+
+
+def plain_divergence(rows, least, top):
+    groups, occurs = {}, {}
+    for _, t, lang, source in rows:
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        groups.setdefault(lang or "", {}).setdefault(source or "", Counter()).update(terms)
+        occurs.setdefault(lang or "", Counter()).update(set(terms))
+    out = []
+    for lang, sources in groups.items():
+        kept = [t for t, n in occurs[lang].items() if n >= least]
+        share = lambda c: {t: 1 + 10**9 * (c[t] + 5) // (sum(c[k] for k in kept) + 5 * len(kept)) for t in kept}  # noqa: E731, B023
+        q, p = share(sum(sources.values(), Counter())), {s: share(c) for s, c in sources.items()}
+        for s, c in sources.items():
+            apart = [(-sum(abs(p[s][t] - p[o][t]) for t in kept), o) for o in sources if o != s]
+            more = [(q[t] - p[s][t], t) for t in kept if c[t] and p[s][t] > q[t]]
+            for part, found, most in (("pair", apart, None), ("term", more, top)):
+                ranked = sorted(found, key=lambda x: (x[0], x[1].encode()))[:most]
+                out += [(lang, s, part, o, -v, i + 1) for i, (v, o) in enumerate(ranked)]
+    return sorted(out)
+
+
+def worded(seed, sources, docs, words):
+    """Documents of many sources, some terms common and most of them rare; a third of the rows in one source."""
+    r = random.Random(seed)
+    vocabulary = [f"{a}{b}" for a in ("the", "Été", "日", "x", "q") for b in ("", "z", "yy", "ß", "ab")] + ["".join(chr(97 + int(d)) for d in str(k)) for k in range(words)]
+    weights = [1 / (k + 1) for k in range(len(vocabulary))]
+    return [(i, " ".join(r.choices(vocabulary, weights, k=r.randint(0, 40))) + r.choice(["", " ", "1", "!"]), r.choice(["en", "de", None]), r.choice(["hot", *(f"s{k}" for k in range(sources))]) if i % 3 else "hot") for i in range(docs)]
+
+
+@pytest.mark.parametrize(("sources", "block", "part"), [(3, 256, 1 << 15), (30, 4, 10), (30, 256, 50)])
+def test_divergence_is_that_of_whole_tables(spark, sources, block, part):
+    rows = worded(sources + block, sources, 500, 300)
+    rows += [(None, None, "en", None), (7, "", None, "zz"), (8, "1 2 3", "xx", "a"), (9, "lone", "xx", "b"), (9, "lone", "xx", "b"), (10, "Only the", "fr", None), (11, "the " * 400_000, "en", "s1")] + rows[:3] * 2
+    docs = spark.createDataFrame(rows, SCHEMA).select("*", *(F.lit(1).alias(c) for c in ("term", "n", "rank", "at"))).repartition(5)
+    got = divergence.audit(docs, least=3, top=20, block=block, part=part).collect()
+    assert sorted((x.lang, x.source, x.part, x.item, x.value, x["rank"]) for x in got) == plain_divergence(rows, 3, 20)
+
+
+def test_divergence_of_nothing(spark):
+    assert divergence.audit(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_heavy_and_light_parts_add_up(seed):
+    r = np.random.default_rng(seed)
+    for same in (True, False):
+        a, b, n = int(r.integers(1, 9)), int(r.integers(1, 9)), 40
+        z = r.integers(1, 10**9, a + (0 if same else b))
+        full = np.where(r.random((n, len(z))) < r.random((n, 1)), r.integers(1, 10**9, (n, len(z))), z)
+        t, s = np.nonzero(full != z)
+        second = (s >= a) if not same else np.zeros(len(s), bool)
+        got = divergence.differences(z[:a], None if same else z[a:], t, np.where(second, s - a, s), full[t, s], second, (t % 2).astype(bool))
+        x, y = full[:, :a], full if same else full[:, a:]
+        want = np.abs(x[:, :, None] - y[:, None, :]).sum(0) - n * np.abs(z[:a, None] - (z if same else z[a:])[None])
+        assert (got == want)[~np.eye(*got.shape, dtype=bool) if same else ...].all()
