@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, filters, jaccard, langid, lm, matroska, mixing, pii, sstable, urls, vectors
+from . import bpe, divergence, filters, jaccard, langid, lm, matroska, mixing, pii, secretscan, sstable, urls, vectors
 from .common import stored, table
 
 #: The pseudonyms of the registered query; a production run passes a secret of its own.
@@ -66,6 +66,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), langid.held_out(parts=5, part=1), order=3, from_files=True)
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digests(secretscan.scan(table(spark, sf_dir, "documents")))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -75,7 +79,7 @@ def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard, op2_vectors, op3_bpe, op4_matroska, op5_pii, op6_sstable, op7_mixing, op8_urls, op9_langid, op10_lm, op12_divergence, op13_filters)}
+    return {f.__name__: f for f in (op1_jaccard, op2_vectors, op3_bpe, op4_matroska, op5_pii, op6_sstable, op7_mixing, op8_urls, op9_langid, op10_lm, op11_secrets, op12_divergence, op13_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
