@@ -56,3 +56,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+
+
+def least_values(comps: DataFrame, values: DataFrame) -> DataFrame:
+    """node, least: the smallest ``value`` in the component of each node of ``comps`` (node, root), its roots included.
+
+    ``values`` has node and value. A component of very many nodes is dealt over salts.
+    """
+    nodes = comps.select("node", "root").union(comps.select("root", "root").distinct())
+    least = nodes.join(values, "node").groupBy("root").agg(F.min("value").alias("m"))
+    return _met(nodes.select(F.col("root").alias("u"), F.col("node").alias("v")), least.withColumnRenamed("root", "u")).select(F.col("v").alias("node"), F.col("m").alias("least"))

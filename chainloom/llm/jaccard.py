@@ -19,8 +19,9 @@ leaves a task is one row per document: its number of links and the smallest docu
 reaches, so the output stays in proportion to the input.
 
 Null and empty texts, and texts without words, link with nothing; a null id links with
-nothing and has a null class. Texts of equal words are joined once, with their number as
-weight. Repeated rows with one id are copies of each other. Empty input gives no rows.
+nothing and has a null class. Texts of equal words are joined once, under a number of their
+own, with their number of rows as weight. An id may have several texts: each links for
+itself, and rows of one id and equal words are copies of each other. Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, modest_batches, partitions, stored, whole
 from .exchange import trim
-from .graph import components, roots
+from .graph import components, least_values, roots
 
 TREES, DEPTH, RECALL = 16, 8, 0.9995
 PART_SHINGLES = 1_000_000
@@ -158,12 +159,13 @@ def _in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, part: int = PART_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest document it reaches), n_links, copies."""
+    """One row per document: doc_id, class_id (the smallest document it reaches), n_links, copies,
+    kept (of a class the rows of its smallest id, and if that has several texts of one of them) and mark, the text's xxhash64."""
     spark = docs.sparkSession
     modest_batches(spark, 500)
     length = prefix_length(threshold, trees, depth, recall)
     a, b = permutations(trees * length)
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,39 +182,43 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees:
                 else:
                     marks.append(None)
                     labels.append([])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], ["doc_id", "print", "size", "marks", "labels"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], ["doc_id", "mark", "print", "size", "marks", "labels"])
 
-    signed = stored(given.mapInArrow(sign, "doc_id long, print binary, size long, marks binary, labels array<long>"), "signed")
-    reps = signed.where("doc_id is not null and size > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("marks").alias("marks"), F.first("labels").alias("labels"))
-    reps = stored(reps, "reps")
+    signed = stored(given.mapInArrow(sign, "doc_id long, mark long, print binary, size long, marks binary, labels array<long>"), "signed")
+    reps = signed.where("doc_id is not null and size > 0").groupBy("print").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("marks").alias("marks"), F.first("labels").alias("labels"))
+    reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
     # Groups of two and more, their leaders, and the balls that these lead.
-    nodes = reps.select("rep", F.explode("labels").alias("label")).withColumn("rank", F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("leader")))
+    nodes = reps.select("rep", F.explode("labels").alias("label"), F.struct(F.xxhash64("print").alias("h"), F.col("rep").alias("leader")).alias("rank"))
     groups = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.min("rank").alias("first")).where("members > 1").select("label", F.col("first.leader").alias("ball"))
     belongs = stored(nodes.select("rep", "label").join(groups, "label").select("rep", "ball").distinct(), "belongs")
     balls = belongs.groupBy("rep").agg(F.array_sort(F.collect_set("ball")).alias("balls"))
     # The balls' members with their signatures; those without a likely partner leave.
-    members = belongs.join(balls, "rep").join(reps.drop("labels", "print"), "rep")
+    members = belongs.join(balls, "rep").join(reps.drop("labels", "print", "low"), "rep")
     likely = stored(_meet(members, part, 64, _likely(threshold, trees * length), "rep long, ball long"), "likely").distinct()
-    asked = likely.select("rep").distinct()
-    chosen = given.join(asked.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    asked = reps.select("rep", "low", "print", "copies", "size").join(likely.select("rep"), "rep", "left_semi")
+    chosen = given.join(asked.select(F.col("low").alias("doc_id")), "doc_id", "left_semi")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             split = [_words(t) for t in batch.column(1).to_pylist()]
             prints = [xxhash.xxh3_128_digest("\0".join(w).encode("utf-8", "surrogatepass")) for w in split]
             sets = [shingles(w, n).tobytes() for w in split]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())], ["rep", "print", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())], ["low", "print", "shingles"])
 
-    sets = chosen.mapInArrow(gather, "rep long, print binary, shingles binary")
-    whole_sets = sets.join(reps.select("rep", "print", "copies", "size"), ["rep", "print"]).dropDuplicates(["rep", "print"]).drop("print")
+    sets = chosen.mapInArrow(gather, "low long, print binary, shingles binary")
+    whole_sets = sets.join(asked, ["low", "print"]).dropDuplicates(["low", "print"]).drop("low", "print")
     ready = likely.join(belongs.groupBy("rep").agg(F.array_sort(F.collect_set("ball")).alias("balls")), "rep").join(whole_sets, "rep")
     found = stored(_meet(ready, part, 1, _verify(threshold), "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per = reps.select("print", "rep", "copies").join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    per = per.select(F.col("print").alias("p2"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("class_id"))
-    out = signed.select("doc_id", "print", "size").join(per, F.col("doc_id").isNotNull() & (F.col("size") > 0) & (F.col("print") == F.col("p2")), "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    # Of each class the least id and, if that has several texts, the least of their hashes.
+    first = least_values(comps, reps.select(F.col("rep").alias("node"), F.struct("low", "print").alias("value")))
+    per = reps.select("print", "low", "rep", "copies").join(links, "rep", "left").join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    leads = F.coalesce(F.col("least.print") == F.col("print"), F.lit(True))
+    per = per.select(F.col("print").alias("p2"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("least.low", "low").alias("class_id"), leads.alias("leads"))
+    out = signed.select("doc_id", "mark", "print", "size").join(per, F.col("doc_id").isNotNull() & (F.col("size") > 0) & (F.col("print") == F.col("p2")), "left")
+    kept = F.coalesce(F.col("leads") & (F.col("class_id") == F.col("doc_id")), F.lit(True))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), kept.alias("kept"), "mark")
 
 
 def _words(text: str) -> list[str]:
@@ -302,7 +308,7 @@ def oracle(threshold: float = 0.8, n: int = 5) -> str:
     """DuckDB SQL over all pairs of distinct texts that share a shingle."""
     return f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
-texts AS (SELECT words, min(doc_id) AS rep, count(*) AS copies FROM w WHERE len(words) > 0 GROUP BY words),
+texts AS (SELECT words, row_number() OVER (ORDER BY min(doc_id), words) AS rep, min(doc_id) AS low, count(*) AS copies FROM w WHERE len(words) > 0 AND doc_id IS NOT NULL GROUP BY words),
 s AS (SELECT DISTINCT rep, copies, unnest(CASE WHEN len(words) <= {n} THEN [array_to_string(words, chr(0))]
         ELSE list_transform(range(1, len(words) - {n} + 2), lambda i: array_to_string(words[i:i + {n - 1}], chr(0))) END) AS shingle FROM texts),
 z AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
@@ -311,5 +317,5 @@ links AS (SELECT c.a, c.b, c.copies FROM c JOIN z x ON x.rep = c.a JOIN z y ON y
 reach AS (SELECT rep AS a, rep AS r FROM texts UNION SELECT l.a, reach.r FROM links l JOIN reach ON l.b = reach.a),
 comp AS (SELECT a, min(r) AS c FROM reach GROUP BY a),
 k AS (SELECT a, sum(copies) AS n FROM links GROUP BY a)
-SELECT w.doc_id, coalesce(comp.c, w.doc_id) AS class_id, CAST(coalesce(coalesce(k.n, 0) + t.copies - 1, 0) AS BIGINT) AS n_links, CAST(coalesce(t.copies, 1) AS BIGINT) AS copies
-FROM w LEFT JOIN texts t ON t.words = w.words LEFT JOIN comp ON comp.a = t.rep LEFT JOIN k ON k.a = t.rep"""
+SELECT w.doc_id, coalesce(top.low, w.doc_id) AS class_id, CAST(coalesce(coalesce(k.n, 0) + t.copies - 1, 0) AS BIGINT) AS n_links, CAST(coalesce(t.copies, 1) AS BIGINT) AS copies
+FROM w LEFT JOIN texts t ON t.words = w.words AND w.doc_id IS NOT NULL LEFT JOIN comp ON comp.a = t.rep LEFT JOIN texts top ON top.rep = comp.c LEFT JOIN k ON k.a = t.rep"""

@@ -25,7 +25,7 @@ def _pattern() -> str:
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
 
 
 def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

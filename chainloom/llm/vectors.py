@@ -13,8 +13,9 @@ early: a projection never lengthens a distance, so any sample gives the same res
 
 Links with nothing: vectors that are null, empty, zero, or hold a null or non-finite number,
 and those whose label or id is null; a null id also has a null component and isn't kept.
-Equal vectors are joined once, with their number as weight. Repeated rows with one id count
-as vectors of their own. Empty input gives no rows.
+Equal vectors of a label are joined once, under a number of their own, with their number of
+rows as weight. Repeated rows with one id count as vectors of their own, whether they are
+equal or not. Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import modest_batches, partitions, stored
-from .graph import components, roots
+from .graph import components, least_values, roots
 
 AXES, BLOCK, LEAF = 6, 2048, 64
 #: Blocks end where the cell on so many leading dimensions does.
@@ -93,8 +94,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 4096
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0)
     marked = given.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    distinct = marked.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    distinct = stored(distinct, "vectors")
+    distinct = marked.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    distinct = stored(distinct.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     axes: dict[int, np.ndarray] = {}
     # Only hashes that a sample of this size can need are sorted, so tasks send their share and no more.
     lot, share = F.xxhash64("embedding"), min(1.0, 3 * sample / max(1, distinct.count()))
@@ -183,20 +184,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 4096
     found = stored(met.mapInArrow(compare, "rep long, links long, root long"), "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per_rep = distinct.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("label", "embedding", "rep", "copies", "links", "root")
+    first = least_values(comps, distinct.select(F.col("rep").alias("node"), F.col("low").alias("value")))
+    per_rep = distinct.join(links, "rep", "left").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("label", "embedding", "low", "copies", "links", "least")
     m, d = marked.alias("m"), per_rep.withColumnRenamed("label", "l2").withColumnRenamed("embedding", "e2").alias("d")
     out = m.join(d, F.col("m.sound") & (F.col("m.label") == F.col("d.l2")) & (F.col("m.embedding") == F.col("d.e2")), "left")
-    component = F.coalesce("root", "rep", "vec_id")
+    component = F.coalesce("least", "low", "vec_id")
     return out.select("vec_id", F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 def oracle(cosine: float = 0.98) -> str:
     return f"""
-WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 good AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
-pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {cosine}),
-reach AS (SELECT vec_id AS a, vec_id AS r FROM v UNION SELECT p.a, reach.r FROM pairs p JOIN reach ON p.b = reach.a),
+pairs AS (SELECT a.k AS a, b.k AS b FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.k <> b.k WHERE list_cosine_similarity(a.e, b.e) >= {cosine}),
+reach AS (SELECT k AS a, k AS r FROM v UNION SELECT p.a, reach.r FROM pairs p JOIN reach ON p.b = reach.a),
 comp AS (SELECT a, min(r) AS c FROM reach GROUP BY a),
 n AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
-SELECT vec_id, coalesce(n.n, 0) AS n_links, comp.c AS component_id, coalesce(vec_id = comp.c, false) AS kept
-FROM v LEFT JOIN n ON v.vec_id = n.a LEFT JOIN comp ON v.vec_id = comp.a"""
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, top.vec_id AS component_id, coalesce(v.vec_id = top.vec_id, false) AS kept
+FROM v LEFT JOIN n ON v.k = n.a LEFT JOIN comp ON v.k = comp.a LEFT JOIN v top ON top.k = comp.c"""

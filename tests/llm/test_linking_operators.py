@@ -220,3 +220,47 @@ def test_pipeline_stages(spark):
     counts = [sum(y.doc_id == x.doc_id for y in out["mixture"]) for x in out["private"]]
     assert max(counts) <= 2 and len(out["encoded"]) == len(out["mixture"]) and all(x.n_tokens == len(x.ids) for x in out["encoded"])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "private", "mixture", "encoded"]
+
+
+def by_rows(rows, pairs):
+    """Of each row: its links and the smallest id that it reaches, rows apart even if they share an id."""
+    links, root = [0] * len(rows), plain_components(range(len(rows)), pairs)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        least[root[k]] = min(i, least.get(root[k], i))
+    return sorted((i, links[k], least[root[k]]) for k, (i, *_) in enumerate(rows))
+
+
+def test_ids_of_several_texts_link_text_by_text(spark):
+    r = random.Random(12)
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    near = lambda t: t.rsplit(" ", 1)[0] + " end"
+    four = [(1, a), (5, near(a)), (5, b), (9, near(b))]
+    got = jaccard.near_duplicates(spark.createDataFrame(four, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.class_id, x.n_links, x.kept) for x in got) == [(1, 1, 1, True), (5, 1, 1, False), (5, 5, 1, True), (9, 5, 1, False)]
+    rows = four + [(r.randint(0, 30), t) for _ in range(6) for t in near_copies(r, 8)] + [(r.randint(0, 30), " ".join(f"w{r.randint(0, 900)}" for _ in range(30))) for _ in range(30)]
+    rows += [(3, a), (3, near(a)), *rows[10:20]]
+    words = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for _, t in rows]
+    pairs = [(x, y) for x in range(len(rows)) for y in range(x) if len(words[x] & words[y]) >= 0.8 * len(words[x] | words[y])]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((x.doc_id, x.n_links, x.class_id) for x in got) == by_rows(rows, pairs)
+    # Of a class rows of one id and text are kept, and no others.
+    root = plain_components(range(len(rows)), pairs)
+    kept = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.xxhash64("text")).join(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").select("doc_id", "mark").distinct(), ["doc_id", "mark"]).collect()
+    of = {(i, t): root[k] for k, (i, t) in enumerate(rows)}
+    assert len({of[x.doc_id, x.text] for x in kept}) == len({(x.doc_id, x.text) for x in kept}) == len(set(root.values()))
+
+
+def test_ids_of_several_vectors_link_one_by_one(spark):
+    r = np.random.default_rng(5)
+    base = r.normal(size=(12, 8))
+    rows = [(int(r.integers(0, 40)), (base[k % 12] + r.normal(size=8) * 0.05 * (k % 3)).tolist(), int(k % 2)) for k in range(120)]
+    rows += [(100, [1.0, 0.0], 0), (105, [1.0, 0.01], 0), (105, [0.0, 1.0], 0), (109, [0.01, 1.0], 0), *rows[:9]]
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    pairs = [(x, y) for x in range(len(rows)) for y in range(x) if rows[x][2] == rows[y][2] and len(unit[x]) == len(unit[y]) and unit[x] @ unit[y] >= 0.98]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()
+    assert sorted((x.vec_id, x.n_links, x.component_id) for x in got) == by_rows(rows, pairs)
+    assert all(x.kept == (x.vec_id == x.component_id) for x in got)
