@@ -5,8 +5,10 @@ format by a keyed Feistel network: two halves in turn add a keyed hash of the ot
 their own size. That is a permutation for any key, so equal values get equal pseudonyms in all
 documents and different ones stay different. Mail names and secrets are permuted without
 regard to case and get their capitals back (a secret all or none), so that spellings of one
-value stay linked; dates in the order of month and day are permuted as days, so one that is
-written day first may share its pseudonym's day, not its order.
+value stay linked. Dates that name a day only with the month first, as their day is above 12,
+are permuted among such dates: drawn again from all months and days 13 to 31 until the month
+has the day, which keeps it a permutation. So no two dates of one written form meet, and none
+is read as the other form's; a day keeps one pseudonym in the forms that begin with day or year.
 
 kind      valid if                                   kept of it
 card      13 to 19 digits at once or as printed,     first digit, grouping, a right check digit
@@ -33,6 +35,9 @@ from pyspark.sql import functions as F
 
 ROUNDS, SEGMENT = 8, 16
 EPOCH, DAYS = "1890-01-01", 256 * 300
+#: The epoch's year, the months that begin in its days and have days above 12 among them, and how often one is drawn
+#: again at most: one in thirty pairs of month and day is none, so that nothing is left after so many.
+YEAR, MONTHS, WALK = 1890, 2523, 32
 LETTERS, BASE_26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 #: Fixed patterns, tried in this order at each place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
@@ -149,10 +154,25 @@ def is_date(m: Column) -> Column:
     return F.coalesce(_day(m).between(0, DAYS - 1), F.lit(False))
 
 
+def _shown(month: Column, day: Column) -> Column:
+    """The date of a day in the month so many after the epoch's."""
+    return F.make_date((F.floor(month / 12) + YEAR).cast("int"), (F.pmod(month, F.lit(12)) + 1).cast("int"), day)
+
+
+def _late_day(m: Column, key: str) -> Column:
+    """The pseudonym, as a date, of one with the month first and a day above 12."""
+    month = (F.substring(m, 7, 4).cast("int") - YEAR) * 12 + F.substring(m, 1, 2).cast("int") - 1
+    draw = lambda l, r: feistel(l, r, F.lit(MONTHS), F.lit(19), key, F.lit("late"))  # noqa: E731, E741
+    exists = lambda s: s["r"] + 13 <= F.day(F.last_day(_shown(s["l"], F.lit(1))))
+    again = lambda s, i: F.when(exists(s), s).otherwise(draw(s["l"], s["r"]))
+    got = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), draw(month, F.substring(m, 4, 2).cast("int") - 13), again)
+    return _let(got, lambda g: _shown(g["l"], (g["r"] + 13).cast("int")))
+
+
 def _date(m: Column, key: str) -> Column:
     got = _let(_day(m), lambda d: feistel(F.floor(d / 300), d % 300, F.lit(256), F.lit(300), key, F.lit("date")))
     day = F.date_add(F.lit(EPOCH).cast("date"), (got["l"] * 300 + got["r"]).cast("int"))
-    digits = F.when(m.rlike(r"^[0-9]{4}\D"), F.date_format(day, "yyyyMMdd")).when(_month_first(m), F.date_format(day, "MMddyyyy")).otherwise(F.date_format(day, "ddMMyyyy"))
+    digits = F.when(m.rlike(r"^[0-9]{4}\D"), F.date_format(day, "yyyyMMdd")).when(_month_first(m), F.date_format(_late_day(m, key), "MMddyyyy")).otherwise(F.date_format(day, "ddMMyyyy"))
     return refill(m, "[0-9]", digits)
 
 

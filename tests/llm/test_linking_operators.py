@@ -264,3 +264,15 @@ def test_ids_of_several_vectors_link_one_by_one(spark):
     got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()
     assert sorted((x.vec_id, x.n_links, x.component_id) for x in got) == by_rows(rows, pairs)
     assert all(x.kept == (x.vec_id == x.component_id) for x in got)
+
+
+def test_dates_of_each_form_are_permuted(spark):
+    days = spark.range(pii.DAYS).select(F.date_add(F.lit(pii.EPOCH).cast("date"), F.col("id").cast("int")).alias("day"))
+    forms = [F.date_format("day", f) for f in ("dd/MM/yyyy", "yyyy-MM-dd", "MM/dd/yyyy")]
+    late = days.where(F.day("day") > 12).select(forms[2].alias("text"))
+    given = days.select(forms[0].alias("text")).union(days.select(forms[1].alias("text"))).union(late)
+    got = pii.pseudonymize(given.repartition(8).withColumn("old", F.col("text")), "k").select("old", "text").toPandas()
+    assert len(got) == 2 * pii.DAYS + late.count() == got.text.nunique() == got.old.nunique()
+    assert (got.old != got.text).mean() > 0.999
+    month_first = got.old.str.match(r"\d\d/(1[3-9]|[23]\d)/")
+    assert set(got.text[month_first]) == set(got.old[month_first]) and set(got.text) == set(got.old)

@@ -80,6 +80,15 @@ def test_mixture_of_repeated_rows(spark):
     assert corpus_pipeline.mixture(spark, docs.limit(0), "").count() == 0
 
 
+def test_other_texts_of_an_id_stay(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    near = lambda t: t.rsplit(" ", 1)[0] + " end"
+    texts = [(1, a), (5, near(a)), (5, b), (9, near(b)), (12, "lone"), (12, "other"), (None, a), (13, None), (13, "")]
+    docs = spark.createDataFrame([(*x, "en", "s", 1) for x in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs.repartition(3), "").collect()
+    assert sorted((str(x.doc_id), x.text or "") for x in got if x.text) == sorted([("1", a), ("5", b), ("12", "lone"), ("12", "other"), ("None", a)])
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
 def test_stages_of_no_documents(spark, stage):
     assert stage(spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), "").count() == 0
