@@ -143,6 +143,22 @@ def lambda_bootstraps(p):
     return dynamic.lambda_status(p.sql("SELECT * FROM " + _INDY)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Captures, arguments and their types' widths, by which the sites are made and their slots counted.
+_SITE = """(SELECT host, pos, quantity % 4 AS c, line % 3 AS s, CASE quantity % 5 WHEN 0 THEN 5 WHEN 1 THEN 8 WHEN 2 THEN 9 ELSE 6 END AS impl_tag, supplier AS impl_owner, callee AS impl_name FROM {calls} WHERE kind <> 'STATIC')"""
+_TYPED = "(SELECT * FROM (VALUES ('c', 1, 0, 1, 'I'), ('c', 2, 0, 2, 'J'), ('c', 2, 1, 1, 'La/B;'), ('c', 3, 0, 2, 'D'), ('c', 3, 1, 1, '[[I'), ('s', 1, 0, 1, 'La/C;'), ('s', 2, 0, 2, 'J'), ('s', 2, 1, 1, 'I')) AS t(part, variant, ord, width, type))"
+_LAMBDAS = """(SELECT host, pos, impl_tag, impl_owner, impl_name, 'RESOLVED' AS status, 'a/I' AS interface, 'run' AS name, '(' || captured || ')La/I;' AS descriptor, '(' || passed || ')V' AS sam_descriptor,
+'(' || CASE WHEN impl_tag NOT IN (5, 9) THEN captured || passed WHEN c = 0 THEN CASE s WHEN 2 THEN 'I' ELSE '' END ELSE CASE c WHEN 1 THEN '' WHEN 2 THEN 'La/B;' ELSE '[[I' END || passed END || ')V' AS impl_descriptor
+FROM (SELECT *, CASE c WHEN 0 THEN '' WHEN 1 THEN 'I' WHEN 2 THEN 'JLa/B;' ELSE 'D[[I' END AS captured, CASE s WHEN 0 THEN '' WHEN 1 THEN 'La/C;' ELSE 'JI' END AS passed FROM """ + _SITE + " x) y)"
+
+
+@query(f"""WITH parts AS (SELECT host, pos, impl_tag, impl_owner, impl_name, part, ord, width, CASE part WHEN 'c' THEN ord ELSE ord + CASE c WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END END AS i FROM {_SITE} x JOIN {_TYPED} t ON variant = CASE part WHEN 'c' THEN c ELSE s END),
+before AS (SELECT *, coalesce(sum(CASE WHEN impl_tag IN (5, 9) AND i = 0 THEN 1 ELSE width END) OVER (PARTITION BY host, pos ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w FROM parts)
+SELECT host, pos, impl_owner || '#' || impl_name AS impl, CASE part WHEN 'c' THEN 'capture' ELSE 'argument' END AS part, ord AS ordinal, CAST(w + CASE impl_tag WHEN 8 THEN 1 ELSE 0 END AS INT) AS slot FROM before""")
+def lambda_slots(p):
+    found = dynamic.lambda_slots(p.sql("SELECT * FROM " + _LAMBDAS))
+    return found.select("host", "pos", F.regexp_extract("impl", r"^([^(]*)\(", 1).alias("impl"), "part", "ordinal", "slot")
+
+
 @query(f"SELECT DISTINCT host AS src, impl_owner || '#' || impl_name AS dst, 'LAMBDA' AS type FROM {_STATUS} s WHERE status = 'RESOLVED'")
 def lambda_edges(p):
     return dynamic.lambda_edges(dynamic.lambda_status(p.sql("SELECT * FROM " + _INDY)))
