@@ -158,6 +158,8 @@ class _Machine:
         elif 46 <= op <= 53:
             drop(1)
             array = pop()
+            if op == 50:
+                self.note(pos, -1, array)
             push(array | own if op == 50 else own, op in (47, 49))
         elif 54 <= op <= 78:
             kind = op - 54 if op <= 58 else (op - 59) // 4
@@ -261,7 +263,7 @@ def _methods(files: DataFrame, schema: str, rows) -> DataFrame:
 
 
 def call_inputs(files: DataFrame) -> DataFrame:
-    """One row per input of every call, field write and array store of class files (content)."""
+    """One row per input of every call, field write and array store, and the array of every array load, of class files (content)."""
 
     def rows(key: str, m: Method) -> Iterator[tuple]:
         for pos, ordinal, origins in interpret(m).inputs:
@@ -282,24 +284,29 @@ def summaries(files: DataFrame) -> DataFrame:
     return _methods(files, METHODS, rows)
 
 
-def flow_edges(inputs: DataFrame, methods: DataFrame, dispatch: DataFrame | None = None) -> DataFrame:
-    """(src, dst, reason): values that flow from one place to another, as edges for a fixpoint.
-
-    Places are ``method|slot`` for parameters, ``method|return``, and fields by owner, name and
-    type. An argument flows to its parameter, a field write to its field, a field's content to
-    where it is used, and a result to where the call's value is used. ``dispatch`` (target,
-    callee) widens calls to more callees; without it a call goes to its own target.
-    """
-    used = inputs.withColumn("origin", F.explode("origins"))
+def placed(used: DataFrame, inputs: DataFrame) -> DataFrame:
+    """``used`` (method, origin and more) with ``src``: the place of each origin that has one, a parameter, a field or a call's result."""
     kind = F.substring("origin", 1, 1)
     slot = F.regexp_extract("origin", "^1:param:([0-9]+)$", 1)
     place = F.when(kind == "1", F.concat_ws("|", "method", slot)).when(kind == "4", F.concat(F.lit("field:"), F.regexp_extract("origin", "^4:field:([^:]+:[^:]+:[^:]+):", 1)))
     callee_pos = F.regexp_extract("origin", "^3:call:([0-9]+)$", 1)
-    calls = inputs.where("op like 'INVOKE%'").select("method", F.col("pos").alias("at"), F.col("target").alias("called")).distinct()
+    calls = inputs.where("op like 'INVOKE%'").select("method", F.col("pos").alias("at"), F.when(F.col("op") != "INVOKEDYNAMIC", F.col("target")).alias("called")).distinct()
     local = used.where(kind.isin("1", "4")).withColumn("src", place)
     result = used.where(kind == "3").withColumn("at", callee_pos.cast("int")).join(calls, ["method", "at"], "left")
-    result = result.withColumn("src", F.concat_ws("|", F.coalesce("called", F.concat_ws("@", "method", "at")), F.lit("return"))).drop("at", "called")
-    both = local.unionByName(result)
+    return local.unionByName(result.withColumn("src", F.concat_ws("|", F.coalesce("called", F.concat_ws("@", "method", "at")), F.lit("return"))).drop("at", "called"))
+
+
+def flow_edges(inputs: DataFrame, methods: DataFrame, dispatch: DataFrame | None = None) -> DataFrame:
+    """(src, dst, reason): values that flow from one place to another, as edges for a fixpoint.
+
+    Places are ``method|slot`` for parameters, ``method|return``, and fields by owner, name and
+    type. An argument flows to its parameter, a field write to its field, a field's content to
+    where it is used, and a result to where the call's value is used. ``dispatch``
+    widens calls to more callees; without it a call goes to its own target. It has target and
+    callee, and where it also has method and pos it is for single calls. A dynamic call's result
+    is a place of its own.
+    """
+    both = placed(inputs.withColumn("origin", F.explode("origins")), inputs)
     static = F.col("op").isin("INVOKESTATIC", "INVOKEDYNAMIC")
     # A parameter's slot follows from the widths of those before it.
     before = F.slice(F.regexp_extract_all(F.regexp_extract("target", r"#[^(]*\(([^)]*)\)", 1), F.lit(r"\[*(?:[BCDFIJSZ]|L[^;]+;)"), F.lit(0)), F.lit(1), F.greatest("ordinal", F.lit(0)))
@@ -307,12 +314,16 @@ def flow_edges(inputs: DataFrame, methods: DataFrame, dispatch: DataFrame | None
     to_slot = F.when(F.col("ordinal") < 0, 0).otherwise(width + F.when(static, 0).otherwise(1))
     to_field = F.concat(F.lit("field:"), F.regexp_replace("target", "#", ":"))
     passed = both.where("op like 'INVOKE%'")
+    more = None
     if dispatch is not None:
-        passed = passed.join(dispatch.select("target", "callee"), "target", "left").withColumn("into", F.coalesce("callee", "target")).drop("callee")
+        by = [c for c in ("method", "pos", "target") if c in dispatch.columns]
+        passed = passed.join(dispatch.select(*by, "callee"), by, "left").withColumn("into", F.coalesce("callee", "target")).drop("callee")
+        more = dispatch.where("callee <> target").select(F.concat_ws("|", "callee", F.lit("return")).alias("src"), F.concat_ws("|", "target", F.lit("return")).alias("dst"), F.lit("return").alias("reason"))
     else:
         passed = passed.withColumn("into", F.col("target"))
     arguments = passed.select("src", F.concat_ws("|", "into", to_slot.cast("string")).alias("dst"), F.lit("argument").alias("reason"))
     writes = both.where("op in ('PUTFIELD', 'PUTSTATIC') and ordinal = 0").select("src", to_field.alias("dst"), F.lit("field").alias("reason"))
-    back = methods.select("method", F.explode("returns").alias("origin")).where("origin like '1:param:%'")
-    returned = back.select(F.concat_ws("|", "method", F.regexp_extract("origin", "([0-9]+)$", 1)).alias("src"), F.concat_ws("|", "method", F.lit("return")).alias("dst"), F.lit("return").alias("reason"))
-    return arguments.unionByName(writes).unionByName(returned).distinct()
+    back = placed(methods.select("method", F.explode("returns").alias("origin")), inputs)
+    returned = back.select("src", F.concat_ws("|", "method", F.lit("return")).alias("dst"), F.lit("return").alias("reason"))
+    found = arguments.unionByName(writes).unionByName(returned)
+    return (found if more is None else found.unionByName(more)).distinct()

@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import entries, fixpoint, hierarchy, report, rules, valueflow
+from ..operators import dynamic, entries, fixpoint, heapfacts, hierarchy, pointsto, report, rules, valueflow
 from ..session import cut, ship
 from ..sources import archive, catalogue, classfile
 
@@ -43,6 +43,27 @@ def dispatch(inputs: DataFrame, methods: DataFrame, pairs: DataFrame) -> DataFra
     return met.where((F.col("at") == F.col("owner")) | hierarchy.overridable(F.col("access"), F.lit(True))).where(~hierarchy.has(F.col("access"), 0x400)).select("target", "callee").distinct()
 
 
+def flows(files: DataFrame, inputs: DataFrame, summaries: DataFrame, methods: DataFrame, pairs: DataFrame, starts: DataFrame) -> tuple[DataFrame, bool]:
+    """(src, dst): how values get from place to place, and whether all objects were found that receivers can hold.
+
+    Which callees a call has follows from the objects in its receiver, if all of them are known,
+    and from the hierarchy else; lambdas are called wherever they are held. Entries, and methods that nothing
+    loaded calls, get arguments from outside.
+    """
+    slots = cut(dynamic.lambda_slots(dynamic.lambda_status(classfile.call_sites(files))))
+    calls = cut(heapfacts.called(inputs, dispatch(inputs, methods, pairs)))
+    lambdas = slots.select(F.col("impl").alias("method")).distinct()
+    entered = starts.select(F.concat(F.col("owner"), F.lit("#"), F.col("name"), F.col("descriptor")).alias("method"))
+    called = calls.select(F.col("callee").alias("method")).union(lambdas).distinct()
+    outside = methods.select("method").join(called, "method", "left_anti").union(entered).distinct()
+    facts = heapfacts.facts(inputs, summaries, classfile.instructions(files), slots, calls, outside)
+    pts, complete = pointsto.solve(facts.allocs, facts.copies, facts.stores, facts.loads)
+    calls = cut(heapfacts.narrowed(calls, pts, facts.sites, pairs, methods))
+    used = valueflow.placed(inputs.withColumn("origin", F.explode("origins")), inputs)
+    edges = valueflow.flow_edges(inputs, summaries, calls).unionByName(heapfacts.lambda_flow(inputs, slots, pts, used))
+    return edges.select("src", "dst").distinct(), complete
+
+
 def sink_places(inputs: DataFrame, catalogue_rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(place, sink, rule_id, category, severity): the argument places that the best sink rule of a call names."""
     calls = inputs.where("op like 'INVOKE%'").select("target", (F.col("op") == "INVOKESTATIC").alias("static")).distinct()
@@ -86,7 +107,7 @@ def scan(spark: SparkSession, path: str, rules_text: str, feature: int = 17, rou
     pairs, closed = fixpoint.closure(classfile.type_edges(files).select("parent", "child"))
     rule_rows = catalogue.rules_table(spark, rules_text)
     starts = cut(entries.entries(methods, pairs))
-    flow = valueflow.flow_edges(inputs, summaries, dispatch(inputs, methods, pairs)).select("src", "dst")
+    flow, objects = flows(files, inputs, summaries, methods, pairs, starts)
     key = F.concat(F.col("owner"), F.lit("#"), F.col("name"), F.col("descriptor"))
     from ..functions import names
 
@@ -98,7 +119,7 @@ def scan(spark: SparkSession, path: str, rules_text: str, feature: int = 17, rou
     findings_ = cut(met.withColumn("chain_key", F.sha2(F.concat_ws("|", "rule_id", "entry", "sink"), 256)).withColumn("fingerprint", F.sha2(F.concat_ws("|", "severity", "path"), 256)))
     problems = found.where("problem is not null").select("origin", "member", "problem").union(headers.where("problem is not null").select("sha256", F.lit(None).cast("string"), F.lit("CLASS_FORMAT")))
     codes = problems.select("problem").union(summaries.select(F.explode("reasons"))).distinct().collect()  # a fixed set of codes
-    reasons = sorted({r[0] for r in codes} | (set() if closed else {"HIERARCHY_BOUND"}) | set(bounds))
+    reasons = sorted({r[0] for r in codes} | (set() if closed else {"HIERARCHY_BOUND"}) | (set() if objects else {"OBJECT_BOUND"}) | set(bounds))
     n = methods.limit(1).count()
     return Scan(findings_, starts, problems, "UNKNOWN" if not n else "PARTIAL" if reasons else "COMPLETE", reasons)
 

@@ -92,3 +92,41 @@ def test_extras_of_alternate_factories():
     assert classfile._extras([*three, "int:7", "int:1", "class:M", "int:2", "type:()V", "type:(I)V"]) == (7, ["M"], ["()V", "(I)V"], True)
     for more in (["string:x"], ["int:2"], ["int:2", "int:2", "class:M"], ["int:2", "int:1", "type:()V"], ["int:1", "int:1"], ["int:4", "int:-1"]):
         assert not classfile._extras([*three, *more])[3], more
+
+
+PROGRAM = """package app;
+import com.sun.net.httpserver.*;
+import java.util.*;
+import java.util.function.*;
+class Exec { static void start(Object o) { } }
+class Captured implements HttpHandler { public void handle(HttpExchange x) { long n = 1; Runnable r = () -> Exec.start(x == null ? n : x); r.run(); } }
+class Passed implements HttpHandler { public void handle(HttpExchange x) { Consumer<Object> c = o -> Exec.start(o); new Passer().pass(c, x); } }
+class Passer { Consumer<Object> kept; void pass(Consumer<Object> c, Object o) { kept = c; later(o); } void later(Object o) { kept.accept(o); } }
+class Returned implements HttpHandler { public void handle(HttpExchange x) { Function<Object, Object> same = o -> o; Exec.start(same.apply(x)); } }
+class Dropped implements HttpHandler { public void handle(HttpExchange x) { Consumer<Object> c = o -> { }; c.accept(x); Consumer<Object> d = o -> Exec.start(o); d.accept("constant"); } }
+class Narrow implements HttpHandler { public void handle(HttpExchange x) { Base b = new Safe(); b.take(x); } }
+class Wide implements HttpHandler { Base b; public void handle(HttpExchange x) { b.take(x); } }
+class Stored implements HttpHandler { public void handle(HttpExchange x) { List<Base> l = new ArrayList<>(); l.add(new Unsafe()); Base[] a = { l.get(0) }; a[0].take(x); } }
+class Apart implements HttpHandler { public void handle(HttpExchange x) { Holder h = new Holder(), g = new Holder(); h.b = new Safe(); g.b = new Unsafe(); h.b.take(x); } }
+class Holder { Base b; }
+class Base { void take(Object o) { } }
+class Safe extends Base { void take(Object o) { } }
+class Unsafe extends Base { void take(Object o) { Exec.start(o); } }
+"""
+RULES = "- {id: exec, kind: sink, category: command, severity: HIGH, match: {owner: app/Exec, name: start}, tainted: [{arg: 0}]}"
+
+
+def test_scan_follows_lambdas_and_narrows_receivers(spark, tmp_path):
+    pytest.importorskip("yaml")
+    from chainloom.plans import scan
+
+    files = compiled(tmp_path, Program=PROGRAM)
+    at = tmp_path / "in"
+    at.mkdir()
+    for name, data in files.items():
+        (at / f"{name}.class").write_bytes(data)
+    done = scan.scan(spark, str(at), RULES)
+    paths = {r.entry.split("#")[0].split("/")[1]: r.path for r in done.findings.collect()}
+    assert set(paths) == {"Captured", "Passed", "Returned", "Wide", "Stored"}, (paths, done.reasons)
+    assert "lambda$handle$0" in paths["Captured"] and "Passer#later" in paths["Passed"]
+    assert done.outcome == "COMPLETE"
