@@ -25,6 +25,7 @@ from ..session import cut
 
 UNKNOWN = "unknown"
 ELEMENT = "[]"
+FEW = 8
 #: Fixed names: methods of the platform's containers by what they do with an element: put the argument
 #: of this ordinal in, take one out, or give a view that has the same elements.
 CONTAINER_METHODS = {
@@ -47,7 +48,7 @@ def solve(allocs: DataFrame, copies: DataFrame, stores: DataFrame, loads: DataFr
     known = cut(named)
     pts = cut(allocs.select("var", "site").distinct())
     new = pts
-    for _ in range(rounds):
+    for n in range(rounds):
         # Copies that the objects added last make, in and out of their cells.
         met = new.join(uses, new.var == uses.base).select(cell(F.col("site"), F.col("field")).alias("cell"), "other", "into", "site")
         made = met.select(F.when(F.col("into"), F.col("other")).otherwise(F.col("cell")).alias("src"), F.when(F.col("into"), F.col("cell")).otherwise(F.col("other")).alias("dst"))
@@ -60,7 +61,9 @@ def solve(allocs: DataFrame, copies: DataFrame, stores: DataFrame, loads: DataFr
         new = cut(along.union(everything).union(source).distinct().join(pts, ["var", "site"], "left_anti"))
         if new.isEmpty():
             return pts, True
-        pts, known = cut(pts.unionByName(new)), cut(known.unionByName(more)) if not more.isEmpty() else known
+        pts, known = pts.unionByName(new), known.unionByName(more)
+        if n % FEW == FEW - 1:  # what all rounds found is read as few tables
+            pts, known = cut(pts), cut(known)
     return pts, False
 
 
