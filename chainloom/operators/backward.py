@@ -35,7 +35,8 @@ def steps_back(args: DataFrame, writes: DataFrame, returns: DataFrame) -> DataFr
 
 def controlled(sinks: DataFrame, steps: DataFrame, entries: DataFrame, depth: int = MOST_DEPTH) -> tuple[DataFrame, bool]:
     """(sink, entry, depth) for every entry place whose value may reach a sink's place, by its least
-    number of steps, and whether no search was cut by ``depth``.
+    number of steps, and whether no search was cut by ``depth`` or went over a place whose
+    steps were left out beyond their bound (``whole`` of ``steps``, if it is there).
 
     ``sinks`` has sink and place, ``entries`` place. Each round sends the frontier of all
     sinks at once; a place is met once for each sink, so cycles end.
@@ -50,6 +51,8 @@ def controlled(sinks: DataFrame, steps: DataFrame, entries: DataFrame, depth: in
             ended = True
             break
         seen = seen.unionByName(frontier)
+    if ended and "whole" in steps.columns:
+        ended = seen.join(steps.where("not whole").select("place"), "place", "left_semi").isEmpty()
     return seen.join(entries.select("place").distinct(), "place", "left_semi").select("sink", F.col("place").alias("entry"), "depth"), ended
 
 

@@ -79,9 +79,11 @@ def declared_targets(calls: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def array_flows(writes: DataFrame, reads: DataFrame) -> DataFrame:
     """(read, value): what an array read may give. A constant index meets equal ones and unknown ones; an unknown one meets all."""
-    w = writes.select("array", F.col("place").alias("written"), "value")
-    met = reads.join(w, "array").where("place is null or written is null or place = written")
-    return met.select("read", "value").distinct()
+    known, every = reads.where("place is not null"), writes.select("array", "value")
+    same = known.join(writes.where("place is not null").select("array", "place", "value").distinct(), ["array", "place"])
+    blind = known.join(writes.where("place is null").select("array", "value").distinct(), "array")
+    free = reads.where("place is null").join(every.distinct(), "array")
+    return same.select("read", "value").union(blind.select("read", "value")).union(free.select("read", "value")).distinct()
 
 
 def unwrapped(views: DataFrame, deep: int = MOST_VIEWS) -> tuple[DataFrame, bool]:

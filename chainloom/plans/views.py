@@ -103,7 +103,7 @@ def _spark_text(sql: str) -> str:
     return sql.replace("regexp_like_(", "regexp_like(")
 
 
-#: Views that many queries join several times: stored once for each application and folder.
+#: Views that many queries join several times: stored once for each application and state of the tables' files.
 STORED = ("best", "chains", "hops")
 _stored: dict[tuple, DataFrame] = {}
 
@@ -121,8 +121,21 @@ class Program:
             self._known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet") if name in TABLES else self._stored(name) if name in STORED else self.sql(VIEWS[name])
         return self._known[name]
 
+    def _files(self) -> tuple:
+        """Paths, sizes and times of the tables' files as they are now; what was stored from others isn't used."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        system = path(self.sf_dir).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = []
+        for name in TABLES:
+            at = path(f"{self.sf_dir}/{name}.parquet")
+            listed = system.listFiles(at, True) if system.exists(at) else None
+            while listed is not None and listed.hasNext():
+                file = listed.next()
+                found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+        return tuple(sorted(found))
+
     def _stored(self, name: str) -> DataFrame:
-        key = self.spark.sparkContext.applicationId, self.sf_dir, name
+        key = self.spark.sparkContext.applicationId, self._files(), name
         if key not in _stored:
             _stored[key] = cut(self.sql(VIEWS[name]))
         return _stored[key]

@@ -68,19 +68,22 @@ def metadata(phases: dict[str, float], metrics: dict[str, int], outcome: str, re
     return json.dumps({"phases_ms": {k: round(v, 3) for k, v in phases.items()}, "metrics": metrics, "outcome": outcome, "reasons": sorted(reasons)}, sort_keys=True)
 
 
+#: Fixed limits of a rule's pattern.
 MOST_QUANTIFIERS, MOST_ALTERNATIVES, MOST_REPEATS = 128, 256, 4096
 
 
 def unsafe_pattern(text: str) -> str | None:
-    """Why a rule's pattern may take too long, or None: back references, looking around, a repetition
-    within a repeated group or right behind another, or more of either than the limits."""
+    """Why a rule's pattern may take too long, or None: back references, looking around, more
+    repetitions or alternatives than the limits, a repetition or alternatives within a
+    repeated group or beside each other in one group, or two repetitions that are neighbours."""
     plain = re.sub(r"\\[^0-9k]", "a", text)
     plain = re.sub(r"\[\^?\]?[^\]]*\]", "a", plain)
     if re.search(r"\\[0-9k]", plain):
         return "back reference"
     if re.search(r"\(\?(?:[=!>]|<[=!])", plain):
         return "looking around"
-    if len(re.findall(r"[*+?]|\{", plain.replace("(?:", "("))) > MOST_QUANTIFIERS:
+    plain = plain.replace("(?:", "(")
+    if len(re.findall(r"[*+?]|\{", plain)) > MOST_QUANTIFIERS:
         return "too many repetitions"
     if plain.count("|") > MOST_ALTERNATIVES:
         return "too many alternatives"
@@ -88,16 +91,21 @@ def unsafe_pattern(text: str) -> str | None:
         return "too long a repetition"
     if re.search(r"[*+}][*+{]", plain):
         return "repetition of a repetition"
-    depth_has = [False]
-    for i, c in enumerate(plain):
-        if c == "(":
-            depth_has.append(False)
-        elif c == ")" and len(depth_has) > 1:
-            inner = depth_has.pop()
-            repeated = plain[i + 1 : i + 2] in ("*", "+", "{")
-            if inner and repeated:
-                return "repetition within a repetition"
-            depth_has[-1] = depth_has[-1] or inner or repeated
-        elif c in "*+{":
-            depth_has[-1] = True
-    return None
+    # One letter stands for an atom, R for a group with a repetition in it, A for one with alternatives.
+    flat = re.sub(r"[^()|*+?]", "a", re.sub(r"\{[0-9, ]*\}", "*", plain))
+    flat = re.sub(r"([*+?])[?+]", r"\1", flat)
+    while True:
+        group = re.search(r"\(([^()]*)\)", flat)
+        body = group[1] if group else flat
+        repeats, splits = bool(re.search(r"[*+?R]", body)), bool(re.search(r"[|A]", body))
+        if re.search(r"A[*+?]", body):
+            return "alternatives within a repetition"
+        if re.search(r"R[*+?]", body):
+            return "repetition within a repetition"
+        if re.search(r"[*+?][aAR][*+?]", body):
+            return "neighbouring repetitions"
+        if not group:
+            return None
+        if repeats and splits:
+            return "alternatives and a repetition in one group"
+        flat = flat[: group.start()] + ("A" if splits else "R" if repeats else "a") + flat[group.end() :]

@@ -1,10 +1,16 @@
 """Column functions on names, and plans of phases."""
 
+import os
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
 from chainloom.functions import names
 from chainloom.plans import phases
+from chainloom.plans.views import Program
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_names(spark):
@@ -42,3 +48,17 @@ def test_failures_are_reasons():
 
     out = phases.run([phases.Operator("f", "ANALYSIS", fail, (), ("x",)), op("g", needs=("x",), gives=("y",)), phases.Operator("w", "ANALYSIS", lambda _: {}, (), ("q",)), op("h", gives=("z",))], {})
     assert out.reasons == {"SOURCE_FAILED:f:RuntimeError", "SKIPPED:g", "WRONG_PRODUCTS:w"} and out.order == ["h"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_stored_views_follow_their_files(spark, tmp_path):
+    at = tmp_path / "sf"
+    shutil.copytree(SF, at)
+    count = lambda: Program(spark, str(at)).chains.count()
+    before = count()
+    assert before > 0 and count() == before
+    orders = spark.read.parquet(f"{SF}/orders.parquet").limit(30).cache()
+    orders.count()
+    os.remove(at / "orders.parquet")
+    orders.write.parquet(str(at / "orders.parquet"))
+    assert count() < before
