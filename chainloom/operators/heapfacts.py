@@ -149,3 +149,48 @@ def lambda_flow(inputs: DataFrame, slots: DataFrame, pts: DataFrame, placed: Dat
     returned = call.join(pts, "var").join(made.select("site", "sam", "impl").distinct(), ["site", "sam"]).select(F.concat(F.col("impl"), F.lit("|return")).alias("src"), F.concat(F.col("target"), F.lit("|return")).alias("dst"))
     edges = capture.select("src", into, F.lit("lambda-capture").alias("reason")).union(passed.select("src", into, F.lit("lambda-argument"))).union(returned.select("src", "dst", F.lit("lambda-result")))
     return edges.distinct()
+
+
+class Labelled(NamedTuple):
+    """Edges between variables for ``matched``: within methods, into callees and back by call site, and global places."""
+
+    flow: DataFrame  # src, dst
+    calls: DataFrame  # site, src, dst
+    returns: DataFrame  # site, src, dst
+    globals_: DataFrame  # node
+
+
+def labelled(inputs: DataFrame, summaries: DataFrame, calls: DataFrame, slots: DataFrame, pts: DataFrame, models: DataFrame) -> Labelled:
+    """How values get from variable to variable, with the site of each call and return.
+
+    ``models`` (target, ordinal, into) says what a call of a method that isn't loaded does: the
+    input of this ordinal goes into its result (``return``) or into another input, by its ordinal.
+    """
+    used = inputs.select("method", "pos", "op", "target", "ordinal", F.explode("origins").alias("origin"))
+    back = summaries.select("method", F.explode("returns").alias("origin"))
+    at = lambda ordinal: input_place(ordinal=ordinal)
+    local = variable(F.col("method"), F.col("origin"))
+    fields = used.select("method", "origin").union(back).where("origin like '4:field:%'").distinct().select(F.concat(F.lit("field:"), F.regexp_extract("origin", "^4:field:([^:]+:[^:]+:[^:]+):", 1)).alias("src"), local.alias("dst"))
+    written = inputs.where("op in ('PUTFIELD', 'PUTSTATIC') and ordinal = 0").select(at(0).alias("src"), F.concat(F.lit("field:"), F.regexp_replace("target", "#", ":")).alias("dst"))
+    modelled = inputs.where("op like 'INVOKE%'").select("method", "pos", "target", "ordinal").join(models, ["target", "ordinal"])
+    given = modelled.where("into = 'return'").select(at(F.col("ordinal")).alias("src"), _result().alias("dst"))
+    # What a call puts into another input is in all that this input may be.
+    put = modelled.where("into <> 'return'").select("method", "pos", at(F.col("ordinal")).alias("src"), F.col("into").cast("int").alias("ordinal"))
+    put = put.join(used.select("method", "pos", "ordinal", "origin"), ["method", "pos", "ordinal"]).select("src", local.alias("dst"))
+    known = F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != pointsto.UNKNOWN) & (F.col("dst") != pointsto.UNKNOWN)
+    flow = used.select(local.alias("src"), at(F.col("ordinal")).alias("dst")).union(back.select(local, F.concat(F.col("method"), F.lit("|return")))).union(fields).union(written).union(given).union(put).where(known)
+    site = F.concat(F.col("method"), F.lit("@"), F.col("pos").cast("string")).alias("site")
+    arguments = inputs.where("op like 'INVOKE%' and op <> 'INVOKEDYNAMIC'").select("method", "pos", "ordinal").join(calls, ["method", "pos"])
+    slot = F.when(F.col("ordinal") < 0, 0).otherwise(names.slot_of(F.regexp_extract("callee", r"(\(.*)$", 1), F.greatest("ordinal", F.lit(0)), F.col("op") == "INVOKESTATIC"))
+    into = F.concat(F.col("impl"), F.lit("|"), F.col("slot").cast("string")).alias("dst")
+    captured = slots.where("part = 'capture'").select(F.col("host").alias("method"), "pos", "ordinal", "impl", "slot")
+    made = slots.select(F.concat(F.col("host"), F.lit("@"), F.col("pos").cast("string")).alias("made"), "sam", "impl", "part", "ordinal", "slot")
+    call = inputs.where("op in ('INVOKEINTERFACE', 'INVOKEVIRTUAL') and ordinal = -1").select("method", "pos", input_place().alias("var"), F.substring_index("target", "#", -1).alias("sam"))
+    held = call.join(pts.select("var", F.col("site").alias("made")), "var").join(made, ["made", "sam"])
+    ins = (
+        arguments.select(site, at(F.col("ordinal")).alias("src"), F.concat(F.col("callee"), F.lit("|"), slot.cast("string")).alias("dst"))
+        .union(captured.select(site, at(F.col("ordinal")), into))
+        .union(held.where("part = 'argument'").select(site, at(F.col("ordinal")), into))
+    )
+    outs = calls.select(site, F.concat(F.col("callee"), F.lit("|return")).alias("src"), _result().alias("dst")).union(held.select(site, F.concat(F.col("impl"), F.lit("|return")), _result()))
+    return Labelled(flow.distinct(), ins.distinct(), outs.distinct(), fields.select(F.col("src").alias("node")).union(written.select("dst")).distinct())

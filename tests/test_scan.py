@@ -73,9 +73,14 @@ def test_scan_follows_fields_interfaces_and_returns(spark, tmp_path, monkeypatch
     assert done.outcome == "PARTIAL" and done.reasons == ["CLASS_FORMAT"]
     (tmp_path / "rules.yaml").write_text(RULES)
     monkeypatch.setattr(spark, "stop", lambda: None)
+    monkeypatch.setattr(scan, "scan", lambda *_: done)
     assert scan.main(["scan", str(at), "--rules", str(tmp_path / "rules.yaml"), "--output", str(tmp_path / "out")]) == 2
     assert scan.main(["diff", str(tmp_path / "out"), str(tmp_path / "out")]) == 0
     assert "UNCHANGED 1" in capsys.readouterr().out
+    assert scan.main(["scan", str(at), "--rules", str(tmp_path / "rules.yaml"), "--output", str(tmp_path / "again"), "--baseline", str(tmp_path / "out")]) == 2
+    read = lambda name: [r.asDict() for r in spark.read.json(f"{tmp_path}/again/{name}").collect()]
+    assert [r["n"] for r in read("baseline_counts")] == [1] and [r["findings"] for r in read("evidence") if r["findings"]] == [1]
+    assert {r["problem"] for r in read("problems")} == {"CLASS_FORMAT"} and sorted(x.name for x in tmp_path.iterdir() if "draft" in x.name or "before" in x.name) == []
 
 
 def test_performance_gates():
