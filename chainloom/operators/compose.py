@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fixpoint import positions
+
 BRIDGES = ("INVOKE", "TRIGGER", "TEMPLATE", "DESER", "JNDI_RMI", "JDBC_XML")
 MOST_HOPS, MOST_CHAINS = 64, 400
+#: Turns that each front has, and chains that it makes of them.
+TURNS, PER_FRONT = 8, 2
 
 
 def bridge_kind(category: Column, entry_kind: Column) -> Column:
@@ -61,3 +65,60 @@ def reroot(chains: DataFrame, containers: DataFrame, per_chain: int = 20) -> Dat
     met = chains.select("chain_key", F.col("entry_class").alias("held")).join(containers.select("held", "root"), "held")
     order = Window.partitionBy("chain_key").orderBy("root")
     return met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_chain).select("chain_key", "root")
+
+
+def by_turns(fronts: DataFrame, backs: DataFrame, hops: DataFrame, turns: int = TURNS, per_front: int = PER_FRONT, most: int = MOST_CHAINS, most_hops: int = MOST_HOPS) -> tuple[DataFrame, bool]:
+    """(front, back, reason, turn, n_hops) of the chains that are joined, and whether no bound left one out.
+
+    Fronts and backs meet in a region, both in order of length and key. In turn t the front at
+    place i is offered the back at place (t + i) modulo the region's backs, so that no front and no
+    back takes all: a front's place and turn name one back, which makes each offer a row and an
+    equal join. An offer is taken if there is a bridge, it isn't too long, and the back's
+    entry isn't on the front's way already. A front keeps its first ``per_front``; of all, the
+    first ``most`` by turn, region and place stay. ``hops`` has chain_key, from_name, to_name.
+    """
+    column = lambda df: df.select("chain_key", "region", "category", "entry_kind", "entry_method", "n_hops")
+    f = positions(column(fronts), ["region"], ["n_hops"], ["chain_key"], "i").select(F.col("chain_key").alias("front"), "region", "category", F.col("n_hops").alias("fn"), (F.col("i") - 1).alias("i"))
+    b = positions(column(backs), ["region"], ["n_hops"], ["chain_key"], "j").select(F.col("chain_key").alias("back"), "region", "entry_kind", F.col("entry_method").alias("entered"), F.col("n_hops").alias("bn"), (F.col("j") - 1).alias("j"))
+    sizes = backs.groupBy("region").agg(F.count(F.lit(1)).cast("int").alias("nb"))
+    offered = f.join(sizes, "region").withColumn("turn", F.explode(F.sequence(F.lit(0), F.least(F.col("nb"), F.lit(turns)) - 1))).withColumn("j", F.pmod(F.col("turn") + F.col("i"), F.col("nb")))
+    met = offered.join(b, ["region", "j"]).where("front <> back").withColumn("bridge", bridge_kind(F.col("category"), F.col("entry_kind"))).withColumn("n_hops", F.col("fn") + F.col("bn"))
+    met = met.where("bridge is not null").where(F.col("n_hops") <= most_hops)
+    on_way = hops.select(F.col("chain_key").alias("front"), F.explode(F.array("from_name", "to_name")).alias("entered")).distinct()
+    met = met.join(on_way, ["front", "entered"], "left_anti")
+    first = met.withColumn("rn", F.row_number().over(Window.partitionBy("front").orderBy("turn"))).where(F.col("rn") <= per_front)
+    ranked = first.select("front", "back", F.concat(F.lit("bridge-"), F.lower("bridge")).alias("reason"), "turn", "n_hops", "region", "i").orderBy("turn", "region", "i").limit(most + 1)
+    # At most one row more than are kept: a sort of so few that any session has room for it.
+    kept = ranked.withColumn("place", F.row_number().over(Window.orderBy("turn", "region", "i")))
+    whole = sizes.where(F.col("nb") > turns).isEmpty() and kept.where(F.col("place") > most).isEmpty()
+    return kept.where(F.col("place") <= most).drop("place", "region", "i"), whole
+
+
+def spliced(pairs: DataFrame, hops: DataFrame) -> DataFrame:
+    """(chain_key, ord, from_name, to_name, kind, reason): the hops of joined chains, 0 at the sink, as of all chains.
+
+    The back keeps its hops but for the one at its entry, whose place the bridge takes: it
+    leads from the front's sink to where that hop led. The front's hops come behind it.
+    """
+    top = hops.groupBy("chain_key").agg(F.max("ord").alias("top"))
+    key = F.concat_ws("+", "front", "back").alias("chain_key")
+    ends = pairs.join(top.withColumnRenamed("chain_key", "back"), "back").select(key, "front", "back", "top", F.col("reason").alias("bridge"))
+    of = lambda c: hops.select(F.col("chain_key").alias(c), "ord", "from_name", "to_name", "kind", "reason")
+    behind = ends.join(of("back"), "back")
+    kept = behind.where("ord < top").select("chain_key", "ord", "from_name", "to_name", "kind", "reason")
+    sink = of("front").where("ord = 0").select("front", F.col("to_name").alias("sink"))
+    across = behind.where("ord = top").join(sink, "front").select("chain_key", "ord", F.col("sink").alias("from_name"), "to_name", "kind", F.col("bridge").alias("reason"))
+    ahead = ends.join(of("front"), "front").select("chain_key", (F.col("ord") + F.col("top") + 1).alias("ord"), "from_name", "to_name", "kind", "reason")
+    return kept.union(across).union(ahead)
+
+
+def overlapped(pairs: DataFrame, hops: DataFrame) -> DataFrame:
+    """(chain_key, ord, from_name, to_name, kind, reason): chains that meet in a method (``overlaps``: front, back, spot, cut).
+
+    The back's hops from its entry to the spot come first, then the front's from the spot to its sink.
+    """
+    key = F.concat_ws("&", "front", "back").alias("chain_key")
+    of = lambda c: hops.select(F.col("chain_key").alias(c), "ord", "from_name", "to_name", "kind", "reason")
+    last = pairs.join(of("front").where("ord = 0"), "front").select(key, "ord", "from_name", "to_name", "kind", "reason")
+    first = pairs.join(of("back"), "back").where("ord >= cut").select(key, (F.col("ord") - F.col("cut") + 1).alias("ord"), "from_name", "to_name", "kind", "reason")
+    return last.union(first)

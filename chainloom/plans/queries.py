@@ -698,3 +698,4 @@ from . import program_queries  # noqa: E402, F401  registers its queries here
 from . import typed_queries  # noqa: E402, F401
 from . import flow_queries  # noqa: E402, F401
 from . import object_queries  # noqa: E402, F401
+from . import compose_queries  # noqa: E402, F401
