@@ -86,3 +86,27 @@ def runs(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
             end = cut.start() if cut else len(data)
         yield data[at:end].split()
         at = end
+
+
+#: Bits of a screen, which is broadcast: 4 MB, however many keys there are.
+SCREEN_BITS = 1 << 25
+
+
+def screened(rows: DataFrame, keys: DataFrame, key: str, bits: int = SCREEN_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` may be among ``keys`` (a table of that column), and those for which it can't be.
+
+    A bitmap of hashed keys decides, so no row that is among them is missed, and whatever comes
+    behind needs to shuffle only the first of both. With very many keys it lets more rows through, at
+    last all. A null key is among none.
+    """
+    new = "_" * max(map(len, rows.columns))  # no column begins with it and goes on
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(bits)) + 1
+    marks = keys.where(F.col(key).isNotNull()).select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias(f"{new}bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias(f"{new}bits"))
+    marks = F.broadcast(stored(marks, "screen"))
+    own = rows.withColumn(f"{new}slot", slot)
+    at = F.bitmap_bit_position(f"{new}slot")
+    byte = F.conv(F.hex(F.substring(F.col(f"{new}bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pow(F.lit(2), at % 8).cast("int")
+    met = own.join(marks, F.bitmap_bucket_number(f"{new}slot") == F.col(f"{new}bucket"), "left")
+    met = met.withColumn(f"{new}hit", F.coalesce(F.col(key).isNotNull() & (byte.bitwiseAND(bit) != 0), F.lit(False)))
+    return met.where(F.col(f"{new}hit")).select(*rows.columns), met.where(~F.col(f"{new}hit")).select(*rows.columns)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, modest_batches, partitions, stored, whole
+from .common import WORD, modest_batches, partitions, screened, stored, whole
 from .exchange import trim
 from .graph import components, least_values, roots
 
@@ -196,7 +196,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees:
     members = belongs.join(balls, "rep").join(reps.drop("labels", "print", "low"), "rep")
     likely = stored(_meet(members, part, 64, _likely(threshold, trees * length), "rep long, ball long"), "likely").distinct()
     asked = reps.select("rep", "low", "print", "copies", "size").join(likely.select("rep"), "rep", "left_semi")
-    chosen = given.join(asked.select(F.col("low").alias("doc_id")), "doc_id", "left_semi")
+    ids = asked.select(F.col("low").alias("doc_id"))
+    chosen = screened(given, ids, "doc_id")[0].join(ids, "doc_id", "left_semi")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chainloom.llm import graph, jaccard, pii, vectors
+from chainloom.llm import common, graph, jaccard, pii, vectors
 
 
 def plain_components(ids, pairs):
@@ -276,3 +276,13 @@ def test_dates_of_each_form_are_permuted(spark):
     assert (got.old != got.text).mean() > 0.999
     month_first = got.old.str.match(r"\d\d/(1[3-9]|[23]\d)/")
     assert set(got.text[month_first]) == set(got.old[month_first]) and set(got.text) == set(got.old)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_screens_miss_nothing(spark, bits):
+    rows = spark.createDataFrame([(i if i % 10 else None, f"t{i}") for i in range(3000)], "doc_id long, _bits string")
+    keys = spark.range(0, 6000, 7).selectExpr("id AS doc_id").union(spark.createDataFrame([(None,)], "doc_id long"))
+    near, clear = (x.collect() for x in common.screened(rows, keys, "doc_id", bits))
+    assert len(near) + len(clear) == 3000 and not [r for r in clear if r.doc_id is not None and r.doc_id % 7 == 0]
+    assert len({tuple(r) for r in near + clear}) == 3000 and all(r.doc_id is not None for r in near)
+    assert bits == 64 or len(near) < 1.2 * len([r for r in near if r.doc_id % 7 == 0])
