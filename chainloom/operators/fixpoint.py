@@ -138,6 +138,73 @@ def k_simple_paths(seeds: DataFrame, edges: DataFrame, rounds: int, k: int) -> t
     return found, not _more(frontier, full, hops)
 
 
+def deviating_paths(seeds: DataFrame, targets: DataFrame, edges: DataFrame, rounds: int, k: int) -> DataFrame:
+    """(node, rank, hops, path): the k best simple paths from a seed to each target, of ``rounds`` hops at most.
+
+    The next best path leaves one of the better ones at some node: it has that one's beginning,
+    which it doesn't meet again, and goes on by an edge that no better path with this beginning
+    took. So each path that is taken asks one search for each of its nodes, from where it itself left
+    another on, and the best of all that the searches found is taken next. What is kept for a
+    target is k paths and a path for each of their nodes, whatever cycles there are; a search
+    holds one path for each node that may still lead to its target in time.
+    """
+    hops = cut(edges.select(F.col("src").cast("string"), F.col("dst").cast("string")).distinct())
+    starts = cut(seeds.select(F.col("node").cast("string").alias("next")).distinct())
+    near = _distances(targets, hops, rounds)
+    none = F.array().cast("array<string>")
+    asked = near.select("target").distinct().select("target", none.alias("prefix"), none.alias("banned"))
+    taken, open_ = None, None
+    order = Window.partitionBy("target").orderBy(F.size("nodes"), F.concat_ws(">", "nodes"))
+    for rank in range(1, k + 1):
+        found = _completions(asked, starts, hops, near, rounds)
+        ranked = cut((found if open_ is None else open_.unionByName(found)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k - rank + 1))
+        best_, open_ = ranked.where("place = 1").drop("place"), ranked.where("place > 1").drop("place")
+        now = best_.select(F.col("target").alias("node"), F.lit(rank).alias("rank"), (F.size("nodes") - 1).alias("hops"), F.concat_ws(">", "nodes").alias("path"))
+        taken = now if taken is None else taken.unionByName(now)
+        if rank == k or best_.isEmpty():
+            break
+        left = F.explode(F.sequence(F.size("prefix"), F.size("nodes") - 1)).alias("i")
+        at = best_.select("*", left).withColumn("next", F.try_element_at("nodes", F.col("i") + 1))
+        banned = F.when(F.col("i") == F.size("prefix"), F.concat("banned", F.array("next"))).otherwise(F.array("next"))
+        asked = cut(at.select("target", F.slice("nodes", F.lit(1), F.col("i")).alias("prefix"), banned.alias("banned")))
+    return taken
+
+
+def _distances(targets: DataFrame, hops: DataFrame, rounds: int) -> DataFrame:
+    """(target, node, left): hops that a node needs to a target, if ``rounds`` are enough."""
+    seen = new = cut(targets.select(F.col("node").cast("string").alias("target")).distinct().select("target", F.col("target").alias("node"), F.lit(0).alias("left")))
+    for n in range(1, rounds + 1):
+        met = new.join(hops, new.node == hops.dst).select("target", F.col("src").alias("node")).distinct()
+        new = cut(met.join(seen, ["target", "node"], "left_anti").withColumn("left", F.lit(n)))
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+    return cut(seen)
+
+
+def _completions(asked: DataFrame, starts: DataFrame, hops: DataFrame, near: DataFrame, rounds: int) -> DataFrame:
+    """(target, prefix, banned, nodes): of each search the shortest, then first by text, path that begins with its
+    prefix, goes on by no banned node and meets none twice."""
+    begun = near.join(starts.withColumnRenamed("next", "node"), "node").select("target", F.col("node").alias("next"))
+    first = asked.where("size(prefix) = 0").join(begun, "target")
+    on = asked.where("size(prefix) > 0").withColumn("src", F.try_element_at("prefix", F.lit(-1))).join(hops, "src").drop("src").withColumnRenamed("dst", "next")
+    grown = first.select("target", "prefix", "banned", "next").unionByName(on.select("target", "prefix", "banned", "next"))
+    ahead = grown.where(~F.array_contains("banned", F.col("next")) & ~F.array_contains("prefix", F.col("next"))).withColumn("nodes", F.concat("prefix", F.array("next")))
+    done = None
+    while True:
+        in_time = ahead.join(near.withColumnRenamed("node", "next"), ["target", "next"]).where(F.size("nodes") - 1 + F.col("left") <= rounds)
+        text = F.concat_ws(">", "nodes")
+        level = cut(in_time.groupBy("target", F.size("prefix").alias("i"), "next").agg(F.min_by(F.struct("prefix", "banned", "nodes"), text).alias("of")))
+        if level.isEmpty():
+            break
+        ended = level.where("next = target")
+        row = ended.select("target", "of.prefix", "of.banned", "of.nodes")
+        done = row if done is None else done.unionByName(row)
+        rest = level.join(ended.select("target", "i"), ["target", "i"], "left_anti")
+        ahead = rest.join(hops, rest.next == hops.src).where(~F.array_contains("of.nodes", F.col("dst"))).select("target", "of.prefix", "of.banned", F.col("dst").alias("next"), F.concat("of.nodes", F.array("dst")).alias("nodes"))
+    return done if done is not None else ahead.select("target", "prefix", "banned", "nodes").limit(0)
+
+
 def _more(frontier: DataFrame, full: DataFrame, hops: DataFrame) -> bool:
     """Whether paths beyond the bound could be among the best: at their node or, further on, at one that isn't full."""
     ahead, seen = frontier.select("node").distinct(), None

@@ -22,12 +22,12 @@ chosen AS (SELECT front, back, 'bridge-' || lower(bridge) AS reason, CAST(turn A
 
 def _chosen(p):
     x = p.sql("SELECT * FROM " + _ENDS)
-    return compose.by_turns(x.withColumnRenamed("sink_region", "region"), x.withColumnRenamed("entry_region", "region"), p.hops)
+    return p.shared("compose_turns", lambda: compose.by_turns(x.withColumnRenamed("sink_region", "region"), x.withColumnRenamed("entry_region", "region"), p.hops)[0])
 
 
 @query(_TURNS + " SELECT * FROM chosen")
 def compose_turns(p):
-    return _chosen(p)[0]
+    return _chosen(p)
 
 
 _SPLICED = """, k AS (SELECT chain_key, max(ord) AS top FROM h GROUP BY chain_key),
@@ -39,12 +39,12 @@ UNION ALL SELECT key, ord + top + 1, from_name, to_name, kind, reason FROM e JOI
 
 @query(_TURNS + _SPLICED + " SELECT * FROM s")
 def composed_hops(p):
-    return compose.spliced(cut(_chosen(p)[0]), p.hops)
+    return compose.spliced(_chosen(p), p.hops)
 
 
 @query(_TURNS + _SPLICED + " SELECT chain_key, count(*) AS n, true AS unbroken FROM s GROUP BY chain_key")
 def composed_connectivity(p):
-    found = compose.spliced(cut(_chosen(p)[0]), p.hops)
+    found = compose.spliced(_chosen(p), p.hops)
     before = F.lag("from_name").over(Window.partitionBy("chain_key").orderBy("ord"))
     return found.withColumn("ok", F.coalesce(F.col("to_name") == before, F.lit(True))).groupBy("chain_key").agg(F.count(F.lit(1)).alias("n"), F.min("ok").alias("unbroken"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cycles, matched
+from ..operators import cycles, fixpoint, matched
 from .queries import query
 
 # Orders of a customer follow each other, some lead back, and suppliers stand in a ring with chords.
@@ -19,14 +19,14 @@ c AS (SELECT n.node, least(n.node, coalesce(min(r.b), n.node)) AS component FROM
 
 @query(_REACH + " SELECT node, component FROM c")
 def cycle_components(p):
-    return cycles.strong_components(p.sql("SELECT * FROM " + _GRAPH + " g"))
+    return p.shared("cycle_components", lambda: cycles.strong_components(p.sql("SELECT * FROM " + _GRAPH + " g")))
 
 
 @query(_REACH + """, up AS (SELECT DISTINCT x.component AS src, y.component AS dst FROM e JOIN c x ON x.node = e.src JOIN c y ON y.node = e.dst WHERE x.component <> y.component),
 l AS (SELECT DISTINCT component, 0 AS level FROM c UNION SELECT up.src, l.level + 1 FROM l JOIN up ON up.dst = l.component)
 SELECT node, c.component, m.level FROM c JOIN (SELECT component, max(level) AS level FROM l GROUP BY component) m ON m.component = c.component""")
 def component_levels(p):
-    return cycles.levels(p.sql("SELECT * FROM " + _GRAPH + " g"))
+    return cycles.levels(p.sql("SELECT * FROM " + _GRAPH + " g"), cycle_components(p))
 
 
 # An order is a method with a value before and after each of its calls, a part returns what it gets and asks its
@@ -71,3 +71,14 @@ _TURNED = ["(SELECT dst AS src, src AS dst FROM {t} x)", "(SELECT site, dst AS s
 def matched_control(p):
     found, complete = matched.backward(p.sql("SELECT * FROM " + _ASKED + " s"), *_edges(p))
     return found.withColumn("complete", F.lit(complete))
+
+
+_FIRST = "(SELECT src AS node FROM {followers} WHERE src NOT IN (SELECT dst FROM {followers}) UNION SELECT 'S0')"
+_LAST = "(SELECT dst AS node FROM {followers} WHERE CAST(substr(dst, 2) AS INT) % 11 = 3 UNION SELECT 'S' || CAST(s_suppkey AS STRING) FROM {supplier} WHERE s_suppkey % 3 = 1)"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT src, dst FROM {_GRAPH} g WHERE src <> dst), w AS (SELECT node, 0 AS hops, node AS path, [node] AS met FROM {_FIRST} f
+UNION ALL SELECT e.dst, w.hops + 1, w.path || '>' || e.dst, list_append(w.met, e.dst) FROM w JOIN e ON e.src = w.node WHERE w.hops < 6 AND NOT list_contains(w.met, e.dst))
+SELECT node, CAST(rank AS INT) AS rank, hops, path FROM (SELECT w.node, hops, path, row_number() OVER (PARTITION BY w.node ORDER BY hops, path) AS rank FROM w JOIN {_LAST} l ON l.node = w.node) x WHERE rank <= 3""")
+def target_paths(p):
+    return fixpoint.deviating_paths(p.sql("SELECT * FROM " + _FIRST + " f"), p.sql("SELECT * FROM " + _LAST + " l"), p.sql("SELECT * FROM " + _GRAPH + " g WHERE src <> dst"), 6, 3)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pointsto
-from ..session import cut
 from .queries import query
 
 # Orders are variables; a third of them allocate. What follows an order of a customer is copied, stored or loaded.
@@ -26,24 +25,26 @@ UNION SELECT 'e', p.b || '.' || l.field, l.dst FROM known p JOIN loads l ON l.ba
 
 
 def _solved(p):
-    facts = [p.sql(_FACTS[name]) for name in ("allocs", "copies", "stores", "loads")]
-    return pointsto.solve(*facts)
+    """(var, site, complete)."""
+
+    def build():
+        pts, complete = pointsto.solve(*(p.sql(_FACTS[name]) for name in ("allocs", "copies", "stores", "loads")))
+        return pts.withColumn("complete", F.lit(complete))
+
+    return p.shared("points_to", build)
 
 
 @query(_SOLVED + "SELECT a AS var, b AS site, true AS complete FROM known WHERE kind = 'p'")
 def points_to(p):
-    pts, complete = _solved(p)
-    return pts.withColumn("complete", F.lit(complete))
+    return _solved(p)
 
 
 @query(_SOLVED + "SELECT split_part(a, '.', 1) AS container, b AS content, type FROM known JOIN sites ON site = b WHERE kind = 'p' AND a LIKE '%.[]'")
 def element_contents(p):
-    pts, _ = _solved(p)
-    held = pts.where(F.endswith("var", F.lit("." + pointsto.ELEMENT))).select(F.substring_index("var", ".", 1).alias("container"), F.col("site").alias("content"))
+    held = _solved(p).where(F.endswith("var", F.lit("." + pointsto.ELEMENT))).select(F.substring_index("var", ".", 1).alias("container"), F.col("site").alias("content"))
     return held.join(p.sql(_SITES).withColumnRenamed("site", "content"), "content").select("container", "content", "type")
 
 
 @query(_SOLVED + "SELECT DISTINCT a AS var, type, min(type) OVER (PARTITION BY a) = max(type) OVER (PARTITION BY a) AS exact FROM known JOIN sites ON site = b WHERE kind = 'p' AND a LIKE 'O%'")
 def receiver_types(p):
-    pts, _ = _solved(p)
-    return pointsto.types_of(cut(pts.where("var like 'O%'")), p.sql(_SITES))
+    return pointsto.types_of(_solved(p).where("var like 'O%'").select("var", "site"), p.sql(_SITES))

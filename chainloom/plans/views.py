@@ -135,9 +135,13 @@ class Program:
         return tuple(sorted(found))
 
     def _stored(self, name: str) -> DataFrame:
+        return self.shared(name, lambda: self.sql(VIEWS[name]))
+
+    def shared(self, name: str, build) -> DataFrame:
+        """What ``build`` gives, stored under a name for all queries over the same files."""
         key = self.spark.sparkContext.applicationId, self._files(), name
         if key not in _stored:
-            _stored[key] = cut(self.sql(VIEWS[name]))
+            _stored[key] = cut(build())
         return _stored[key]
 
     def sql(self, text: str) -> DataFrame:

@@ -34,6 +34,17 @@ def test_k_simple_paths_are_exact_with_cycles(spark, seed):
     assert {(x.node, x["rank"], x.hops, x.path) for x in got.collect()} == want and complete
 
 
+@pytest.mark.parametrize(("seed", "rounds"), [(0, 9), (1, 4)])
+def test_deviating_paths_are_those_of_full_enumeration(spark, seed, rounds):
+    r = random.Random(seed)
+    edges = sorted({(r.choice("abcdefg"), r.choice("abcdefg")) for _ in range(18)} | {("s", "a"), ("t", "b"), ("c", "y"), ("y", "z")})
+    targets = ["z", "c", "g", "s", "nowhere"]
+    frame = lambda nodes: spark.createDataFrame([(n,) for n in nodes], "node string")
+    got = fixpoint.deviating_paths(frame(["s", "t", "a"]), frame(targets), spark.createDataFrame(edges, "src string, dst string"), rounds, 4)
+    paths = every_path(["s", "t", "a"], edges, rounds)
+    assert {(x.node, x["rank"], x.hops, x.path) for x in got.collect()} == {(n, i + 1, h, p) for n in targets for i, (h, p) in enumerate(sorted(paths.get(n, []))[:4])}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_path_queries_reach_the_bounds(spark):
     p = Program(spark, SF)

@@ -25,7 +25,7 @@ def solved(spark, allocs, copies, stores, loads, **more):
     return {(r.var, r.site) for r in pts.collect()}, complete, pts
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_facts(spark, seed):
     r = random.Random(seed)
     v = [f"v{i}" for i in range(9)]
