@@ -699,3 +699,4 @@ from . import typed_queries  # noqa: E402, F401
 from . import flow_queries  # noqa: E402, F401
 from . import object_queries  # noqa: E402, F401
 from . import compose_queries  # noqa: E402, F401
+from . import string_queries  # noqa: E402, F401

@@ -14,7 +14,7 @@ from chainloom.operators import dynamic
 from chainloom.sources import classfile
 
 
-def compiled(folder, **sources):
+def compiled(folder, release="11", **sources):
     """Class files of Java sources."""
     javac = shutil.which("javac")
     if not javac:
@@ -25,7 +25,7 @@ def compiled(folder, **sources):
         path.parent.mkdir(exist_ok=True)
         path.write_text(text)
         paths.append(str(path))
-    subprocess.run([javac, "--release", "11", "-d", str(folder / "out"), *paths], check=True, capture_output=True, timeout=120)
+    subprocess.run([javac, "--release", release, "-d", str(folder / "out"), *paths], check=True, capture_output=True, timeout=120)
     return {os.path.basename(p)[:-6]: open(p, "rb").read() for p in glob.glob(f"{folder}/out/**/*.class", recursive=True)}
 
 
