@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import dynamic, entries, fixpoint, heapfacts, hierarchy, matched, pointsto, report, rules, valueflow
+from ..operators import constants, dynamic, entries, fixpoint, heapfacts, hierarchy, matched, pointsto, report, rules, valueflow
 from ..session import cut, ship
 from ..sources import archive, catalogue, classfile, reports
 
@@ -77,29 +77,36 @@ def model_flow(inputs: DataFrame, found: DataFrame) -> DataFrame:
 class Flows(NamedTuple):
     edges: DataFrame  # src, dst
     labelled: heapfacts.Labelled
-    complete: bool  # all objects were found that receivers can hold
+    inputs: DataFrame  # those of places that can be reached
+    bounds: list[str]  # bounds that were met
 
 
-def flows(files: DataFrame, inputs: DataFrame, summaries: DataFrame, methods: DataFrame, pairs: DataFrame, starts: DataFrame, catalogue_rows: DataFrame) -> Flows:
+def flows(files: DataFrame, headers: DataFrame, inputs: DataFrame, summaries: DataFrame, methods: DataFrame, pairs: DataFrame, starts: DataFrame, catalogue_rows: DataFrame) -> Flows:
     """How values get from place to place, and by which calls.
 
     Which callees a call has follows from the objects in its receiver, if all of them are known,
     and from the hierarchy else; lambdas are called wherever they are held. Entries, and methods that nothing
-    loaded calls, get arguments from outside.
+    loaded calls, get arguments from outside. What constants rule out, those of callers included, is left out.
     """
     slots = cut(dynamic.lambda_slots(dynamic.lambda_status(classfile.call_sites(files))))
-    calls = cut(heapfacts.called(inputs, dispatch(inputs, methods, pairs)))
+    targets = cut(dispatch(inputs, methods, pairs))
+    calls = cut(heapfacts.called(inputs, targets))
     lambdas = slots.select(F.col("impl").alias("method")).distinct()
     entered = starts.select(F.concat(F.col("owner"), F.lit("#"), F.col("name"), F.col("descriptor")).alias("method"))
     called = calls.select(F.col("callee").alias("method")).union(lambdas).distinct()
     outside = methods.select("method").join(called, "method", "left_anti").union(entered).distinct()
+    unseen = constants.open_slots(methods, outside.union(lambdas), pairs, headers)
+    pruned = constants.prune(files.join(headers.where("name is not null").select("sha256", "name"), "sha256"), constants.call_targets(classfile.instructions(files), targets), unseen)
+    inputs, calls = (cut(t.join(pruned.dead, ["method", "pos"], "left_anti").select(t.columns)) for t in (inputs, calls))
+    slots = cut(slots.join(pruned.dead.withColumnRenamed("method", "host"), ["host", "pos"], "left_anti").select(slots.columns))
     facts = heapfacts.facts(inputs, summaries, classfile.instructions(files), slots, calls, outside)
     pts, complete = pointsto.solve(facts.allocs, facts.copies, facts.stores, facts.loads)
     calls = cut(heapfacts.narrowed(calls, pts, facts.sites, pairs, methods))
     used = valueflow.placed(inputs.withColumn("origin", F.explode("origins")), inputs)
     modelled = cut(models(inputs, catalogue_rows, pairs).join(summaries.select(F.col("method").alias("target")), "target", "left_anti"))
     edges = valueflow.flow_edges(inputs, summaries, calls).unionByName(heapfacts.lambda_flow(inputs, slots, pts, used)).unionByName(model_flow(inputs, modelled))
-    return Flows(edges.select("src", "dst").distinct(), heapfacts.labelled(inputs, summaries, calls, slots, pts, modelled), complete)
+    bounds = ([] if complete else ["OBJECT_BOUND"]) + ([] if pruned.complete else ["CONSTANT_BOUND"])
+    return Flows(edges.select("src", "dst").distinct(), heapfacts.labelled(inputs, summaries, calls, slots, pts, modelled), inputs, bounds)
 
 
 def sink_places(inputs: DataFrame, catalogue_rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -143,13 +150,13 @@ def scan(spark: SparkSession, path: str, rules_text: str, feature: int = 17, rou
     pairs, closed = fixpoint.closure(classfile.type_edges(files).select("parent", "child"))
     rule_rows = catalogue.rules_table(spark, rules_text)
     starts = cut(entries.entries(methods, pairs))
-    flow = flows(files, inputs, summaries, methods, pairs, starts, rule_rows)
+    flow = flows(files, headers, inputs, summaries, methods, pairs, starts, rule_rows)
     key = F.concat(F.col("owner"), F.lit("#"), F.col("name"), F.col("descriptor"))
     first = F.sequence(F.lit(0), F.size(names.parameter_types(F.col("descriptor"))))
     seeds = starts.where("controlled").join(methods.select("owner", "name", "descriptor", "access"), ["owner", "name", "descriptor"]).select(key.alias("m"), F.explode(first).alias("i"), "descriptor", hierarchy.has(F.col("access"), 8).alias("static"))
     seeds = seeds.where("i < size(regexp_extract_all(regexp_extract(descriptor, '^\\\\(([^)]*)\\\\)', 1), '\\\\[*(?:[BCDFIJSZ]|L[^;]+;)', 0))").select(F.concat_ws("|", "m", names.slot_of(F.col("descriptor"), F.col("i"), F.col("static")).cast("string")).alias("node"))
     entry = F.substring_index("node", "|", 1)
-    seeds, places = cut(seeds.select(entry.alias("entry"), "node").distinct()), cut(sink_places(inputs, rule_rows, pairs))
+    seeds, places = cut(seeds.select(entry.alias("entry"), "node").distinct()), cut(sink_places(flow.inputs, rule_rows, pairs))
     met, bounds = findings(seeds, flow.edges, places, rounds)
     # Of these only what gets there by calls that return to where they came from.
     reached, whole = matched.reach(seeds.withColumnRenamed("entry", "key"), *flow.labelled)
@@ -158,7 +165,7 @@ def scan(spark: SparkSession, path: str, rules_text: str, feature: int = 17, rou
     findings_ = cut(met.withColumn("chain_key", F.sha2(F.concat_ws("|", "rule_id", "entry", "sink"), 256)).withColumn("fingerprint", F.sha2(F.concat_ws("|", "severity", "path"), 256)))
     problems = found.where("problem is not null").select("origin", "member", "problem").union(headers.where("problem is not null").select("sha256", F.lit(None).cast("string"), F.lit("CLASS_FORMAT")))
     codes = problems.select("problem").union(summaries.select(F.explode("reasons"))).distinct().collect()  # a fixed set of codes
-    reasons = sorted({r[0] for r in codes} | (set() if closed else {"HIERARCHY_BOUND"}) | (set() if flow.complete else {"OBJECT_BOUND"}) | set(bounds))
+    reasons = sorted({r[0] for r in codes} | (set() if closed else {"HIERARCHY_BOUND"}) | set(flow.bounds) | set(bounds))
     n = methods.limit(1).count()
     return Scan(findings_, starts, problems, "UNKNOWN" if not n else "PARTIAL" if reasons else "COMPLETE", reasons)
 
