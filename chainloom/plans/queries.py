@@ -701,3 +701,4 @@ from . import object_queries  # noqa: E402, F401
 from . import compose_queries  # noqa: E402, F401
 from . import string_queries  # noqa: E402, F401
 from . import constant_queries  # noqa: E402, F401
+from . import generic_queries  # noqa: E402, F401
