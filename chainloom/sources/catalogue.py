@@ -64,7 +64,7 @@ def parse_rules(text: str) -> list[tuple]:
             if mode == "regex" and (why := unsafe_pattern(pattern)):
                 raise CatalogueError(f"{rule['id']}: {why} in {pattern[:80]}")
         tainted = ["this" if t.get("receiver") else f"arg{t['arg']}" for t in rule.get("tainted") or []]
-        actions = {str(k): [str(x) for x in v] for k, v in (rule.get("actions") or {}).items()}
+        actions = {str(k): [str(x) for x in ([v] if isinstance(v, str) else v)] for k, v in (rule.get("actions") or {}).items()}
         rows.append((str(rule["id"]), rule["kind"], rule.get("category"), rule.get("severity"), (rule.get("role") or "terminal").upper() if rule["kind"] == "sink" else None, *owner, *name, match.get("descriptor"), tainted, actions, rule.get("bridge")))
     return rows
 

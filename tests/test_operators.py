@@ -229,10 +229,10 @@ def test_manifest_continuations():
 
 def test_rule_catalogue(spark):
     pytest.importorskip("yaml")
-    text = "- {id: r1, kind: sink, category: c, match: {owner: +a/B, name: ~run.*}, tainted: [{arg: 1}, {receiver: true}]}\n- {id: r2, kind: model, match: {owner: x, name: y}, actions: {return: [this, arg0]}}"
+    text = "- {id: r1, kind: sink, category: c, match: {owner: +a/B, name: ~run.*}, tainted: [{arg: 1}, {receiver: true}]}\n- {id: r2, kind: model, match: {owner: x, name: y}, actions: {return: [this, arg0], arg1: this}}"
     got = {r.rule_id: r for r in catalogue.rules_table(spark, text).collect()}
     assert (got["r1"].owner_mode, got["r1"].owner_pat, got["r1"].name_mode, got["r1"].tainted, got["r1"].role) == ("subtype", "a/B", "regex", ["arg1", "this"], "TERMINAL")
-    assert got["r2"].actions == {"return": ["this", "arg0"]}
+    assert got["r2"].actions == {"return": ["this", "arg0"], "arg1": ["this"]}
     for bad in ("- {id: a, kind: nope}", "- {kind: sink}", "- {id: a, kind: sink}\n- {id: a, kind: sink}", "a: 1", "- &x {id: a, kind: sink}\n- *x", "- {id: a, kind: sink, m: " + "[" * 40 + "]" * 40 + "}"):
         with pytest.raises(catalogue.CatalogueError):
             catalogue.parse_rules(bad)
