@@ -31,19 +31,21 @@ def unserializable_fields(hops: DataFrame, serializable: DataFrame, pairs: DataF
 def contradictions(constraints: DataFrame, classes: DataFrame, pairs: DataFrame, least: int = 3) -> DataFrame:
     """(chain_key, reason): of chains with ``least`` field constraints or more, the first one between two
     classes, not interfaces, of which neither is below the other and that have no type below both."""
-    many = constraints.groupBy("chain_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("chain_key")
-    own = classes.where("not interface").select("name")
-    asked = constraints.join(many, "chain_key", "left_semi").where("field_type <> source_type")
+    own = classes.where("not interface").select("name").distinct()
+    two = constraints.where("field_type <> source_type").select("field_type", "source_type").distinct()
     for c in ("field_type", "source_type"):
-        asked = asked.join(own.select(F.col("name").alias(c)), c, "left_semi")
-    two = asked.select("field_type", "source_type").distinct()
-    reflexive = pairs.select("ancestor", "descendant").union(classes.select(F.col("name").alias("ancestor"), F.col("name").alias("descendant"))).distinct()
-    below = lambda c: reflexive.select(F.col("ancestor").alias(c), "descendant")
-    # A type below both covers the case that one is below the other.
-    joint = two.join(below("field_type"), "field_type").join(below("source_type"), ["source_type", "descendant"]).select("field_type", "source_type").distinct()
-    bad = asked.join(joint, ["field_type", "source_type"], "left_anti")
+        two = two.join(own.select(F.col("name").alias(c)), c, "left_semi")
+    named = two.select(F.explode(F.array("field_type", "source_type")).alias("ancestor")).distinct()
+    reflexive = pairs.select("ancestor", "descendant").union(classes.select(F.col("name").alias("ancestor"), F.col("name").alias("descendant")))
+    # A type below both covers the case that one is below the other. A type has few above it, however many
+    # are below those, so pairs come from what is above each type; types with the same above them count once.
+    above = reflexive.join(named, "ancestor", "left_semi").groupBy("descendant").agg(F.array_sort(F.collect_set("ancestor")).alias("above")).where(F.size("above") > 1).select("above").distinct()
+    joint = above.select("above", F.explode("above").alias("field_type")).select("field_type", F.explode("above").alias("source_type")).distinct()
+    bad = two.join(joint, ["field_type", "source_type"], "left_anti").withColumn("bad", F.lit(True))
     text = F.concat(F.lit("constraint-cycle:"), "field_type", F.lit("-x-"), "source_type")
-    return bad.groupBy("chain_key").agg(F.min(F.struct("ord", text.alias("r"))).alias("m")).select("chain_key", F.col("m.r").alias("reason"))
+    met = constraints.join(bad, ["field_type", "source_type"], "left")
+    found = met.groupBy("chain_key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("bad"), F.struct("ord", text.alias("r")))).alias("m"))
+    return found.where((F.col("n") >= least) & F.col("m").isNotNull()).select("chain_key", F.col("m.r").alias("reason"))
 
 
 def equals_guards(chains: DataFrame, hops: DataFrame, aliased: DataFrame, longer_than: int = 4) -> DataFrame:
