@@ -60,9 +60,16 @@ def fragments(anchors: DataFrame, present: DataFrame) -> DataFrame:
     return need.join(got, "fragment", "left").select("fragment", "need", F.coalesce("got", F.lit(0)).alias("got"), (F.col("need") == F.coalesce("got", F.lit(0))).alias("active"))
 
 
-def reroot(chains: DataFrame, containers: DataFrame, per_chain: int = 20) -> DataFrame:
-    """(chain_key, root): holders of the entry class, the first ``per_chain`` in order."""
-    met = chains.select("chain_key", F.col("entry_class").alias("held")).join(containers.select("held", "root"), "held")
+def reroot(chains: DataFrame, members: DataFrame, holders: DataFrame, per_chain: int = 20) -> DataFrame:
+    """(chain_key, root): holders of the entry class, the first ``per_chain`` in order.
+
+    ``members`` has held and region, ``holders`` region and root: a class may be held by all
+    holders of its regions. Only a region's first few meet its classes, and only those of chains.
+    """
+    first = lambda df, by: df.distinct().withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy("root"))).where(F.col("rn") <= per_chain).drop("rn")
+    entered = chains.select("chain_key", F.col("entry_class").alias("held"))
+    own = members.select("held", "region").join(entered.select("held").distinct(), "held", "left_semi").distinct()
+    met = entered.join(first(own.join(first(holders.select("region", "root"), "region"), "region").select("held", "root"), "held"), "held")
     order = Window.partitionBy("chain_key").orderBy("root")
     return met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_chain).select("chain_key", "root")
 
