@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sharing
+
 MOST_CANDIDATES, MOST_VIEWS = 10_000, 8
 
 
@@ -100,9 +102,11 @@ def element_sources(adds: DataFrame, takes: DataFrame, views: DataFrame, deep: i
     up = unwrapped(views, deep)[0].select("view", "container")
     nodes = adds.select(F.col("container").alias("view")).union(takes.select("container")).distinct()
     roots = up.union(nodes.select("view", F.col("view").alias("container"))).distinct()
-    added = adds.join(roots.withColumnRenamed("container", "root"), F.col("container") == F.col("view")).select("root", "value")
-    taken = takes.join(roots.withColumnRenamed("container", "root"), F.col("container") == F.col("view")).select("root", "take")
-    return taken.join(added, "root").select("take", "value").distinct()
+    of = roots.select(F.col("view").alias("container"), F.col("container").alias("root"))
+    added = adds.select("container", "value").distinct().join(of, "container").select("root", "value").distinct()
+    # What each container gives is worked out once, however many take from it.
+    given = takes.select("container").distinct().join(of, "container").join(added, "root").select("container", "value").distinct()
+    return sharing.through(takes, given, "take", "container", "value")
 
 
 def method_slices(insns: DataFrame, kinds: dict[str, tuple[str, ...]]) -> DataFrame:
