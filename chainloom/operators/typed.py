@@ -30,18 +30,25 @@ def meetings(producers: DataFrame, consumers: DataFrame) -> DataFrame:
 def bridges(producers: DataFrame, consumers: DataFrame) -> DataFrame:
     """(consumer, producer, status): PROVED where a consumer's value comes from one producer of its artifact, PARTIAL where the
     artifact differs or several do, UNKNOWN without a producer; the first producer stands for all."""
-    p = producers.select("identity", F.col("call").alias("producer"), F.col("artifact").alias("of"))
+    # Whether there is one producer, and of which artifact, is told by the least and the greatest of an identity: no pair is made.
+    of = F.col("artifact")
+    p = producers.groupBy("identity").agg(F.min("call").alias("producer"), F.max("call").alias("last"), F.when(F.count(F.lit(1)) == F.count(of), F.min(of)).alias("of"), F.max(of).alias("to"))
     met = consumers.select("identity", F.col("call").alias("consumer"), "artifact").join(p, "identity", "left")
-    out = met.groupBy("consumer").agg(F.min("producer").alias("producer"), F.countDistinct("producer").alias("n"), F.min(F.coalesce((F.col("of") == F.col("artifact")).cast("int"), F.lit(0))).alias("same"))
-    return out.select("consumer", "producer", F.when(F.col("n") == 0, "UNKNOWN").when((F.col("n") == 1) & (F.col("same") == 1), "PROVED").otherwise("PARTIAL").alias("status"))
+    same = F.coalesce((F.col("of") == of) & (F.col("to") == of), F.lit(False))
+    out = met.groupBy("consumer").agg(F.min("producer").alias("producer"), F.max("last").alias("last"), F.min(same).alias("same"))
+    return out.select("consumer", "producer", F.when(F.col("producer").isNull(), "UNKNOWN").when((F.col("producer") == F.col("last")) & F.col("same"), "PROVED").otherwise("PARTIAL").alias("status"))
 
 
 def factory_constraints(references: DataFrame, loads: DataFrame) -> DataFrame:
     """(reference, load, status): class loads by the name that a reference gives for its factory. PROVED by the identity
     of the name's value, PARTIAL by equal text only."""
-    same = references.join(loads.select("load", F.col("identity").alias("i")), F.col("identity") == F.col("i")).select("reference", "load", F.lit("PROVED").alias("status"))
-    text = references.where("name is not null").join(loads.select("load", "name"), "name").select("reference", "load", F.lit("PARTIAL").alias("status"))
-    return same.unionByName(text).groupBy("reference", "load").agg(F.max("status").alias("status"))
+    # References that have the same identities and names are met once for all, and so are loads; then each kind is replaced by its own.
+    alike = lambda df, key: df.groupBy(key).agg(F.struct(*(F.array_sort(F.collect_set(c)).alias(c) for c in ("identity", "name"))).alias(f"{key}s"))
+    refs, met = alike(references, "reference"), alike(loads, "load")
+    kinds = lambda df, kind, c: df.select(kind).distinct().select(kind, F.explode(f"{kind}.{c}").alias(c))
+    both = [kinds(refs, "references", c).join(kinds(met, "loads", c), c).select("references", "loads", F.lit(status).alias("status")) for c, status in (("identity", "PROVED"), ("name", "PARTIAL"))]
+    found = both[0].unionByName(both[1]).groupBy("references", "loads").agg(F.max("status").alias("status"))
+    return sharing.dealt(refs.join(found, "references").drop("references"), met, "loads").select("reference", "load", "status")
 
 
 def remote_proxies(references: DataFrame, addresses: DataFrame, creations: DataFrame) -> DataFrame:
