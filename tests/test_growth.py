@@ -2,7 +2,7 @@
 
 import pytest
 
-from chainloom.operators import compose, conditions, dynamic, sharing, typed
+from chainloom.operators import backward, compose, conditions, dynamic, matched, sharing, typed
 
 
 def joined(spark, df):
@@ -126,3 +126,26 @@ def test_factories_and_loads_are_paired_without_a_shuffle_of_pairs(spark, frame)
 def test_heavy_keys_are_dealt_to_parts(spark, frame):
     got, _ = joined(spark, sharing.dealt(frame([(i, "k") for i in range(50)], "a int, k string"), frame([("k", 1), ("k", 2), ("l", 3)], "k string, b int"), "k"))
     assert sorted(got, key=str) == sorted((("k", i, b) for i in range(50) for b in (1, 2)), key=str)
+
+
+def test_control_goes_only_where_an_entry_is_in_reach(spark, frame, monkeypatch):
+    steps = [("s", f"x{i}") for i in range(50)] + [(f"x{i}", f"y{i}") for i in range(50)] + [("y7", "e"), ("s", "e2"), ("e2", "e"), ("x9", "e3"), ("e3", "late")]
+    frames = [frame([("S", "s")], "sink string, place string"), frame(steps, "place string, source string"), frame([("e",), ("e2",), ("late",)], "place string")]
+    want = sorted(tuple(r) for r in backward.controlled(*frames, 2)[0].collect())
+    sizes, plain = [], backward.cut
+
+    def counted(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(backward, "cut", counted)
+    assert sorted(tuple(r) for r in backward.entered(*frames, 2).collect()) == want == [("S", "e", 2), ("S", "e2", 1)]
+    assert max(sizes) == 1
+
+
+def test_long_methods_take_few_rounds(spark, frame):
+    flow = frame([(f"m|{i:03}", f"m|{i + 1:03}") for i in range(60)], "src string, dst string")
+    none = frame([], "site string, src string, dst string")
+    got, complete = matched.reach(frame([("k", "m|000")], "key string, node string"), flow, none, none, rounds=10)
+    assert complete and sorted(r.node for r in got.collect()) == [f"m|{i:03}" for i in range(61)]
