@@ -20,7 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, held
+
+#: Doublings of the edges within methods, and leaps of one length that a node has at most.
+DOUBLINGS, MOST_LEAPS = 5, 4
 
 
 def summaries(flow: DataFrame, calls: DataFrame, returns: DataFrame, globals_: DataFrame | None = None, rounds: int = 200) -> tuple[DataFrame, bool]:
@@ -52,23 +55,42 @@ def reach(seeds: DataFrame, flow: DataFrame, calls: DataFrame, returns: DataFram
     known, whole = summaries(flow, calls, returns, globals_, rounds)
     level = cut(flow.select("src", "dst").unionByName(known).distinct())
     reset = None if globals_ is None else cut(globals_.select("node").distinct())
-    same = level.select("src", "dst", F.explode(F.array(F.lit(0), F.lit(1))).alias("phase"), F.lit(None).cast("int").alias("to"))
-    up = returns.select("src", "dst", F.lit(0).alias("phase"), F.lit(0).alias("to"))
-    down = calls.select("src", "dst", F.explode(F.array(F.lit(0), F.lit(1))).alias("phase"), F.lit(1).alias("to"))
-    edges = cut(same.union(up).union(down).distinct())
+    # ``most``: the last phase in which an edge is taken; ``to``: the phase that it leads to, none if it stays.
+    same = _leaps(level).select("src", "dst", F.lit(1).alias("most"), F.lit(None).cast("int").alias("to"))
+    up = returns.select("src", "dst", F.lit(0).alias("most"), F.lit(0).alias("to"))
+    down = calls.select("src", "dst", F.lit(1).alias("most"), F.lit(1).alias("to"))
+    edges, ended = held(same.union(up).union(down), "src"), False
     seen = new = cut(seeds.select("key", "node").distinct().withColumn("phase", F.lit(0)))
     for _ in range(rounds):
-        met = new.withColumnRenamed("node", "src").join(edges, ["src", "phase"]).select("key", F.col("dst").alias("node"), F.coalesce("to", "phase").alias("phase"))
+        met = new.withColumnRenamed("node", "src").join(edges, "src").where("phase <= most").select("key", F.col("dst").alias("node"), F.coalesce("to", "phase").alias("phase"))
         if reset is not None:
             met = met.join(reset.withColumn("free", F.lit(True)), "node", "left").select("key", "node", F.when(F.col("free"), 0).otherwise(F.col("phase")).alias("phase"))
         # What the first phase reaches needs no second.
         met = met.groupBy("key", "node").agg(F.min("phase").alias("phase"))
-        before = seen.groupBy("key", "node").agg(F.min("phase").alias("had"))
-        new = cut(met.join(before, ["key", "node"], "left").where("had is null or phase < had").select("key", "node", "phase"))
+        had = (F.col("m.key") == F.col("s.key")) & (F.col("m.node") == F.col("s.node")) & (F.col("s.phase") <= F.col("m.phase"))
+        new = cut(met.alias("m").join(seen.alias("s"), had, "left_anti"))
         if new.isEmpty():
-            return seen.select("key", "node").distinct(), whole
-        seen = cut(seen.unionByName(new))
-    return seen.select("key", "node").distinct(), False
+            ended = True
+            break
+        seen = seen.unionByName(new)
+    edges.unpersist()
+    return seen.select("key", "node").distinct(), ended and whole
+
+
+def _leaps(level: DataFrame, most: int = MOST_LEAPS, doublings: int = DOUBLINGS) -> DataFrame:
+    """``level`` and, beside it, what lies 2, 4, 8 ... of its edges ahead, so that long methods take few rounds.
+
+    They say nothing that the edges don't; so a node with more than ``most`` of one length has none of that.
+    """
+    out = long = level
+    for _ in range(doublings):
+        two = long.alias("a").join(long.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").where("src <> dst").distinct()
+        few = two.groupBy("src").agg(F.collect_set("dst").alias("dsts")).where(F.size("dsts") <= most)
+        long = cut(few.select("src", F.explode("dsts").alias("dst")))
+        if long.isEmpty():
+            break
+        out = out.unionByName(long)
+    return out
 
 
 def backward(seeds: DataFrame, flow: DataFrame, calls: DataFrame, returns: DataFrame, globals_: DataFrame | None = None, rounds: int = 200) -> tuple[DataFrame, bool]:
