@@ -84,3 +84,26 @@ def test_registered_paths_have_up_to_twenty_hops(spark):
     assert [x.sink for x in queries.bounded_call_path_full(p).collect()] == ["n15"]
     far = {x.node: x.depth for x in queries.sink_distance_full(p).collect()}
     assert far["n16"] == 33 and far["n10"] == 5 and far["n09"] == 6
+
+
+@pytest.mark.parametrize(("seed", "rounds"), [(0, 3), (2, 5)])
+def test_k_simple_paths_are_exact_where_cycles_are_longer_than_the_bound(spark, seed, rounds):
+    r = random.Random(seed)
+    ring = [f"r{i}" for i in range(8)]
+    edges = sorted({*zip(ring, ring[1:] + ring[:1]), ("s", "r0"), ("t", "r3"), ("r5", "x"), *((r.choice(ring[:4]), r.choice(["x", "y", "r6"])) for _ in range(3)), ("x", "y")})
+    got, complete = fixpoint.k_simple_paths(spark.createDataFrame([("s",), ("t",)], "node string"), spark.createDataFrame(edges, "src string, dst string"), rounds, 2)
+    best = lambda n: {(v, i + 1, h, p) for v, paths in every_path(["s", "t"], edges, n).items() for i, (h, p) in enumerate(sorted(paths)[:2])}
+    assert {(x.node, x["rank"], x.hops, x.path) for x in got.collect()} == best(rounds)
+    assert not complete or best(rounds) == best(20)
+
+
+def test_paths_into_full_nodes_are_not_worked_out(spark, monkeypatch):
+    """A ring of 60 nodes with 40 ways into each and 12 hops: a node has k paths in the second round, and no set of ring nodes is kept."""
+    ring = [(f"r{i}", f"r{(i + 1) % 60}") for i in range(60)]
+    into = [(f"p{j}", f"r{i}") for i in range(60) for j in range(i, i + 40)]
+    starts = [(f"o{j}", f"p{j}") for j in range(100)]
+    rows, kept = [], fixpoint.cut
+    monkeypatch.setattr(fixpoint, "cut", lambda df: (rows.append(out.count()) if "path" in df.columns and "rank" in df.columns else None, out)[1] if (out := kept(df)) is not None else None)
+    got, _ = fixpoint.k_simple_paths(spark.createDataFrame([(a,) for a, _ in starts], "node string"), spark.createDataFrame(ring + into + starts, "src string, dst string"), 12, 2)
+    assert got.where("node = 'r7'").count() == 2 and got.count() == 100 + 100 + 120
+    assert sum(rows) <= 2 * got.count()
