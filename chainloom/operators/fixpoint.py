@@ -43,21 +43,31 @@ def closure(edges: DataFrame, rounds: int = 64) -> tuple[DataFrame, bool]:
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, component): the least node reachable over src-dst edges in either direction.
 
-    A round hangs every node on the least label around it and then on that label's own
-    label, so the number of rounds grows with the logarithm of the longest path.
+    A round hangs every node on the one around it with the lowest hash, and then on what that one
+    hangs on, and goes on with the edges between what nodes hang on. Hashes are anew in each round,
+    so a share of the nodes goes whatever their order, and all rounds together send a few times the edges.
     """
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    labels = cut(both.groupBy("src").agg(F.min("dst").alias("near")).select(F.col("src").alias("node"), F.least("src", "near").alias("label")))
-    for _ in range(rounds):
-        near = both.join(labels, both.dst == labels.node).groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"))
-        up = lower.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        after = cut(lower.join(up, "label").select("node", F.least("label", "top").alias("label")))
-        changed = not after.join(labels, ["node", "label"], "left_anti").isEmpty()
-        labels = after
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    given = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    left, levels = given.where("src <> dst"), []
+    while not left.isEmpty():
+        if len(levels) == rounds:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        at = lambda c, turn=len(levels): F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("to"))
+        both = left.select("src", "dst").union(left.select("dst", "src"))
+        near = cut(both.groupBy("src").agg(F.min(at("dst")).alias("low")).select(F.col("src").alias("node"), F.least("low", at("src")).getField("to").alias("to")))
+        hung = cut(near.join(near.select(F.col("node").alias("to"), F.col("to").alias("label")), "to").select("node", "label"))
+        levels.append(hung)
+        end = lambda c, hung=hung: hung.select(F.col("node").alias(c), F.col("label").alias(f"{c}_l"))
+        met = left.join(end("src"), "src").join(end("dst"), "dst").where("src_l <> dst_l")
+        left = cut(met.select(F.least("src_l", "dst_l").alias("src"), F.greatest("src_l", "dst_l").alias("dst")).distinct())
+    of = given.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("label"))
+    if levels:
+        top = levels[-1]
+        for hung in reversed(levels[:-1]):
+            top = cut(hung.join(top.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+        of = top.unionByName(of.join(top, "node", "left_anti"))
+    least = of.groupBy("label").agg(F.min("node").alias("component"))
+    return of.join(least, "label").select("node", "component")
 
 
 def k_paths(seeds: DataFrame, edges: DataFrame, rounds: int, k: int) -> DataFrame:

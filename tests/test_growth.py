@@ -2,7 +2,7 @@
 
 import pytest
 
-from chainloom.operators import backward, compose, conditions, dynamic, matched, sharing, typed
+from chainloom.operators import backward, compose, conditions, dynamic, fixpoint, matched, sharing, typed
 
 
 def joined(spark, df):
@@ -149,3 +149,25 @@ def test_long_methods_take_few_rounds(spark, frame):
     none = frame([], "site string, src string, dst string")
     got, complete = matched.reach(frame([("k", "m|000")], "key string, node string"), flow, none, none, rounds=10)
     assert complete and sorted(r.node for r in got.collect()) == [f"m|{i:03}" for i in range(61)]
+
+
+@pytest.mark.parametrize("order", ["rising", "mixed"])
+def test_components_write_a_few_times_their_edges(spark, monkeypatch, order):
+    rows, kept = [], fixpoint.cut
+
+    def counted(df):
+        out = kept(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(fixpoint, "cut", counted)
+    n = 1500
+    place = list(range(n)) if order == "rising" else [i * 701 % n for i in range(n)]
+    edges = [(f"n{place[i]:04}", f"n{place[i + 1]:04}") for i in range(n - 1) if i % 500 != 499] + [("x", "x"), ("n0000", "n0000")]
+    got = {r.node: r.component for r in fixpoint.components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    want = {"x": "x"}
+    for at in range(0, n, 500):
+        own = [f"n{place[i]:04}" for i in range(at, at + 500)]
+        want |= dict.fromkeys(own, min(own))
+    assert got == want
+    assert sum(rows) < 9 * n  # with all edges and labels in each round it was more
