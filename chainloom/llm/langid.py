@@ -1,9 +1,11 @@
 """Language identification by a small byte convolutional network.
 
 Bytes of the lower-cased text are embedded, filters of several widths slide over them, each filter's largest answer
-in a window is kept, and a linear layer with softmax gives the languages. The network is
-trained in numpy on the driver, on windows of a sample of at most ``sample`` labelled
-documents. It is applied to every window of every text: the texts of a batch lie one after
+in a window is kept, and a linear layer with softmax gives the languages. The languages are
+all that labelled rows have. The network's first weights come from windows of at most about
+``sample`` labelled documents, as many of each language as there are; from there every task
+trains it on all windows of all its labelled texts, and the mean of the tasks' weights, by
+their windows, is the network. It is applied to every window of every text: the texts of a batch lie one after
 another in one byte array, each padded to whole windows, and the embedding and filters are
 folded into tables that are looked up by byte pairs. A text's answer is the softmax of the
 mean over its windows, weighted by their bytes.
@@ -16,11 +18,14 @@ from) the label are read.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import modest_batches, whole
@@ -71,9 +76,10 @@ class Network:
             d = dh[:, k * FILTERS : (k + 1) * FILTERS]
             g[f"b{w}"], g[f"w{w}"] = d.sum(0), np.empty_like(p[f"w{w}"])
             for i in range(w):
-                byte = x[rows, where[k] + i]
+                byte = x[rows, where[k] + i].astype(np.intp)
                 g[f"w{w}"][i] = np.einsum("nfe,nf->ef", p["embed"][byte], d)
-                np.add.at(g["embed"], byte, d[:, :, None] * p[f"w{w}"][i].T[None])
+                met = np.bincount((byte * FILTERS + np.arange(FILTERS)).ravel(), d.ravel(), 256 * FILTERS).reshape(256, FILTERS)
+                g["embed"] += (met @ p[f"w{w}"][i].T).astype(np.float32)
         return g
 
     def fit(self, windows: list[bytes], labels: list[int], steps: int = 900, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
@@ -96,13 +102,41 @@ class Network:
                 for row, keep in enumerate(r.integers(12, WINDOW * 2, len(own))):  # some windows are short, as short texts are
                     part[row, keep:] = 0
                 step += 1
-                now = rate * (1 - step / (total + 1))
-                for k, g in self._step(part, y[own], weight[own]).items():
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.01 * (g * g - v[k])
-                    self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                self._move(self._step(part, y[own], weight[own]), m, v, step, rate * (1 - step / (total + 1)))
         return self
 
+    def _move(self, gradients: dict[str, np.ndarray], m: dict, v: dict, step: int, rate: float) -> None:
+        for k, g in gradients.items():
+            m[k] += 0.1 * (g - m[k])
+            v[k] += 0.01 * (g * g - v[k])
+            self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+
+    def fit_all(self, texts: Iterator[tuple[list[bytes], list[int]]], weight: np.ndarray, batch: int = 64, chunk: int = 4096, rate: float = 0.001, seed: int = 5) -> int:
+        """Trains on every window of all texts once, in mixed order within chunks, and returns how many there were."""
+        r = np.random.default_rng(seed)
+        m, v = ({k: np.zeros_like(u) for k, u in self.p.items()} for _ in range(2))
+        step = n = 0
+        for x, y in _chunks(texts, chunk):
+            order, n = r.permutation(len(x)), n + len(x)
+            for i in range(0, len(x), batch):
+                own = order[i : i + batch]
+                part = x[own]
+                for row, keep in enumerate(r.integers(12, WINDOW * 2, len(own))):
+                    part[row, keep:] = 0
+                step += 1
+                self._move(self._step(part, y[own], weight[y[own]]), m, v, step, rate / np.sqrt(1 + step / 50))
+        return n
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def set(self, flat: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.p):
+            self.p[k] = flat[at : at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
+            at += self.p[k].size
+        self.tables = None
+
     def _folded(self) -> dict:
         """For each width the tables of byte pairs (and of the odd byte) that give its filters' answers."""
         if self.tables is None:
@@ -159,38 +193,84 @@ class Network:
         return names, scores
 
 
+def _chunks(texts: Iterator[tuple[list[bytes], list[int]]], chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The windows of texts and their classes, by arrays of at most ``chunk`` windows."""
+    held: list[tuple[bytes, int]] = []
+    for data, classes in texts:
+        for b, y in zip(data, classes, strict=True):
+            for at in range(0, len(b), WINDOW):
+                held.append((b[at : at + WINDOW], y))
+                if len(held) == chunk:
+                    yield _windows([w for w, _ in held]), np.array([c for _, c in held])
+                    held = []
+    if held:
+        yield _windows([w for w, _ in held]), np.array([c for _, c in held])
+
+
+def _windows(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for w in parts), np.uint8).reshape(-1, WINDOW)
+
+
 class Familiar:
     """Whether a text is written like those that were learned: the mean logarithm of its letters' chances.
 
     The network can only choose among its languages. This one has the chance of a letter after
-    two others over all languages together, learned from four in five of the ``crops``. The
-    fifth, which it hasn't seen, and the same with its letters shuffled, give the least score
+    two others over all languages together, learned from four in five of the labelled texts as wholes. All
+    windows of the fifth, which it hasn't seen, and the same with their letters shuffled, give the least score
     for each size of text: a quarter of the way down from what 99 % of texts reach to gibberish.
     """
 
     KINDS = 155  # anything else, a to z, and bytes of other letters
     SIZES = tuple(2**i for i in range(3, 9))
+    STEP = 1 / 4096  # scores are counted by this unit
 
-    def __init__(self, crops: list[bytes], seed: int = 9):
-        n, r = self.KINDS, np.random.default_rng(seed)
-        kinds = [self._kinds(c) for c in crops]
-        three = np.zeros(n**3)
-        for i, k in enumerate(kinds):
-            if i % 5 < 4:
-                np.add.at(three, self._places(k), 1)
-        three = three.reshape(n, n, n)
+    def __init__(self, three: np.ndarray):
+        """``three`` has the count of each three kinds in a row."""
+        n = self.KINDS
+        self.total, three = int(three.sum()), three.reshape(n, n, n).astype(float)
         two, one = three.sum(0), three.sum((0, 1))
         p = (one + 1) / (one.sum() + n)
         p = (two + p) / (two.sum(1, keepdims=True) + 1)
         self.table = np.log((three + p) / (three.sum(2, keepdims=True) + 1)).astype(np.float16).ravel()
-        held = kinds[4::5]
-        mixed = [self._mixed(k, r) for k in held]
         self.least = np.full(len(self.SIZES), -np.inf)
-        for j, size in enumerate(self.SIZES):
-            clean, wild = ([x for k in ks if len(k) >= size for x, m in [self._score(k[:size])] if m] for ks in (held, mixed))
-            if clean:
-                low, gibberish = np.quantile(clean, 0.01), np.median(wild)
+
+    def count(self, texts: list[bytes], three: np.ndarray) -> None:
+        """Adds the threes of whole texts to ``three``."""
+        k = np.concatenate([[0], self._kinds(b"\0\0".join(texts)), [0]]).astype(np.int32)  # no three of letters spans two texts
+        for at in range(0, len(k) - 2, 1 << 20):
+            np.add.at(three, self._threes(k[at : at + (1 << 20) + 2]), 1)
+
+    def bars(self, texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """For each size (its number) and kind (0: as written, 1: shuffled) the scores, in units, of the windows that have it."""
+        parts = [b[at : at + WINDOW] for b in texts for at in range(0, len(b), WINDOW)]
+        for start in range(0, len(parts), 1024):
+            own = parts[start : start + 1024]
+            kinds, sizes = _KINDS[_windows(own)], np.array([len(w) for w in own])
+            mixed = np.stack([self._mixed(k, np.random.default_rng(zlib.crc32(w))) for k, w in zip(kinds, own, strict=True)])
+            for wild, x in enumerate((kinds, mixed)):
+                x = np.concatenate([np.zeros((len(x), 1), np.int32), x, np.zeros((len(x), 1), np.int32)], 1)
+                some = (x[:, :-2] > 0).astype(np.int8) + (x[:, 1:-1] > 0) + (x[:, 2:] > 0) >= 2
+                found = np.where(some, self.table[(x[:, :-2] * self.KINDS + x[:, 1:-1]) * self.KINDS + x[:, 2:]].astype(float), 0).cumsum(1)
+                n = some.cumsum(1)
+                for j, size in enumerate(self.SIZES):
+                    a, b = x[:, size - 1], x[:, size]  # the last three of a prefix ends in what is no letter
+                    last = (a > 0) & (b > 0)
+                    total = found[:, size - 2] + np.where(last, self.table[(a * self.KINDS + b) * self.KINDS].astype(float), 0)
+                    m = n[:, size - 2] + last
+                    fits = (sizes >= size) & (m > 0)
+                    yield j, wild, np.floor(total[fits] / m[fits] / self.STEP).astype(np.int64)
+
+    def settle(self, bars: dict[tuple[int, int], list[tuple[int, int]]]) -> Familiar:
+        """Sets the least scores from the counts (unit, count) of ``bars`` over all texts."""
+        for j in range(len(self.SIZES)):
+            if (j, 0) in bars and (j, 1) in bars:
+                low, gibberish = (self._reached(bars[j, wild], part) for wild, part in ((0, 0.01), (1, 0.5)))
                 self.least[j] = low - (low - gibberish) / 4 if gibberish < low else -np.inf
+        return self
+
+    def _reached(self, counted: list[tuple[int, int]], part: float) -> float:
+        units, counts = np.array(sorted(counted)).T
+        return float(units[np.searchsorted(counts.cumsum(), part * counts.sum())] * self.STEP)
 
     @staticmethod
     def _kinds(data: bytes) -> np.ndarray:
@@ -205,7 +285,9 @@ class Familiar:
 
     def _places(self, k: np.ndarray) -> np.ndarray:
         """Places in the table of each three in a row of which two at least are letters."""
-        k = np.concatenate([[0], k, [0]]).astype(np.int32)
+        return self._threes(np.concatenate([[0], k, [0]]).astype(np.int32))
+
+    def _threes(self, k: np.ndarray) -> np.ndarray:
         a, b, c = k[:-2], k[1:-1], k[2:]
         return ((a * self.KINDS + b) * self.KINDS + c)[(a > 0).astype(np.int8) + (b > 0) + (c > 0) >= 2]
 
@@ -230,27 +312,104 @@ _KINDS = np.array([0] * 97 + list(range(1, 27)) + [0] * 5 + list(range(27, 155))
 
 
 def train(docs: DataFrame, may_learn: Column, sample: int = 6000, crops: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """Fits the network on ``crops`` windows of each of the ``sample`` labelled documents with the lowest hashes."""
-    return learn(docs, may_learn, sample, crops, id_col, text_col, lang_col)[0]
+    """The network, trained on all windows of all labelled texts; ``crops`` windows of each document of the sample give its first weights."""
+    return learn(docs, may_learn, sample, crops, id_col, text_col, lang_col, familiar=False)[0]
 
 
-def learn(docs: DataFrame, may_learn: Column, sample: int = 6000, crops: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[Network | None, Familiar | None]:
-    """The network, and what tells texts that are like the same sample from others."""
+def learn(docs: DataFrame, may_learn: Column, sample: int = 6000, crops: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", familiar: bool = True) -> tuple[Network | None, Familiar | None]:
+    """The network, and what tells texts that are like all the labelled ones from others."""
     spot = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.greatest(F.length(text_col) - WINDOW, F.lit(0)) + 1)
     again = F.pmod(F.xxhash64(F.lit(4), F.col(id_col)), F.greatest(F.length(text_col) - WINDOW, F.lit(0)) + 1)
-    labelled = docs.where(may_learn & F.col(lang_col).isNotNull())
+    labelled = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     lot = F.xxhash64(F.lit(1), F.col(id_col))
-    # Only hashes that a sample of this size can need are sorted, so tasks send their share and no more.
-    share = min(1.0, 3 * sample / max(1, labelled.count()))
-    own = labelled.where((lot <= min(2**63 - 1, int(share * 2**64) - 2**63)) & F.col(text_col).rlike(r"\p{L}"))
-    cut = [F.substring(F.col(text_col), (s + 1).cast("int"), F.lit(WINDOW)).alias(f"crop{i}") for i, s in enumerate((spot, again)[:crops])]
-    rows = own.select(lot.alias("lot"), F.col(lang_col).alias("lang"), *cut).orderBy("lot", "lang", "crop0").limit(sample).collect()
-    languages = sorted({r["lang"] for r in rows})
-    if not languages:
+    sums = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text_col))).alias("size")).orderBy("lang").collect()
+    if not sums:
         return None, None
+    languages = sorted(r["lang"] for r in sums)
     number = {x: i for i, x in enumerate(languages)}
+    quota = max(1, sample // len(languages))
+    # Only hashes that a language's part of the sample can need are sorted, so tasks send their share and no more.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(2**63 - 1, int(min(1.0, (3 * quota + 60) / r["n"]) * 2**64) - 2**63)) for r in sums], "lang string, most long")
+    cut = [F.substring(F.col(text_col), (s + 1).cast("int"), F.lit(WINDOW)).alias(f"crop{i}") for i, s in enumerate((spot, again)[:crops])]
+    own = labelled.select(lot.alias("lot"), F.col(lang_col).alias("lang"), *cut).join(F.broadcast(shares), "lang").where("lot <= most")
+    first = own.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("lot", "crop0"))).where(F.col("place") <= quota)
+    rows = first.orderBy("lang", "place").select("lang", *(f"crop{k}" for k in range(crops))).collect()
     crop = [(r[f"crop{k}"].lower().encode("utf-8", "ignore")[:WINDOW], number[r["lang"]]) for k in range(crops) for r in rows]
-    return Network(languages).fit([b for b, _ in crop], [y for _, y in crop]), Familiar([b for b, _ in crop[: len(rows)]])
+    network = Network(languages).fit([b for b, _ in crop], [y for _, y in crop])
+    size = {r["lang"]: r["size"] for r in sums}
+    weight = 1 / np.sqrt(np.array([-(-size[x] // WINDOW) for x in languages]) + 1)
+    modest_batches(docs.sparkSession, 500)
+    part = F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(5)).cast("int").alias("part")
+    texts = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), part)
+    known = Familiar(np.zeros(Familiar.KINDS**3)) if familiar else None
+    found = _summed(texts, lambda batches: _trained(batches, network, number, weight, known))
+    moved = np.zeros(len(network.flat()))
+    three = np.zeros(Familiar.KINDS**3, np.int64)
+    at, value = found["at"].to_numpy(), found["value"].to_numpy()
+    for kind, into in (("weights", moved), ("threes", three)):
+        own_ = (found["kind"] == kind).to_numpy()
+        into[at[own_]] = value[own_]
+    network.set(moved / found.loc[found["kind"] == "windows", "value"].sum() * UNIT)
+    if known is None:
+        return network, None
+    known = Familiar(three)
+    bars: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for kind, unit, count in _summed(texts.where("part = 4"), lambda batches: _scored(batches, known)).itertuples(index=False):
+        bars.setdefault(tuple(map(int, kind.split("-"))), []).append((unit, count))
+    return network, known.settle(bars)
+
+
+#: Weights are summed as whole numbers of this unit, so their sum doesn't depend on the order of tasks.
+UNIT = 2.0**-24
+
+
+def _summed(texts: DataFrame, run) -> pd.DataFrame:
+    """The sums over all tasks of what ``run`` counts: kind, at, value."""
+    return texts.mapInArrow(run, "kind string, at long, value long").groupBy("kind", "at").agg(F.sum("value").alias("value")).toPandas()
+
+
+def _counts(kind: str, at: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(value, pa.int64())], ["kind", "at", "value"])
+
+
+def _bytes(batch: pa.RecordBatch) -> list[bytes]:
+    return [t.lower().encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
+
+
+def _trained(batches: Iterator[pa.RecordBatch], network: Network, number: dict[str, int], weight: np.ndarray, familiar: Familiar | None) -> Iterator[pa.RecordBatch]:
+    """A task's weights, times its windows, and the threes of letters of the texts that ``familiar`` learns from."""
+    three = np.zeros(Familiar.KINDS**3, np.int64) if familiar else None
+
+    def texts() -> Iterator[tuple[list[bytes], list[int]]]:
+        for batch in batches:
+            data = _bytes(batch)
+            if three is not None:
+                familiar.count([b for b, p in zip(data, batch.column(2).to_pylist(), strict=True) if p < 4], three)
+            yield data, [number[x] for x in batch.column(1).to_pylist()]
+
+    n = network.fit_all(texts(), weight)
+    if n:
+        flat = np.rint(network.flat().astype(float) / UNIT).astype(np.int64) * n
+        yield _counts("weights", np.arange(len(flat)), flat)
+        yield _counts("windows", np.array([0]), np.array([n]))
+    if three is not None:
+        at = np.flatnonzero(three)
+        yield _counts("threes", at, three[at])
+    trim()
+
+
+def _scored(batches: Iterator[pa.RecordBatch], familiar: Familiar) -> Iterator[pa.RecordBatch]:
+    """How many windows of a task have each score, by ``size-shuffled``."""
+    bars: dict[tuple[int, int], Counter] = {}
+    for batch in batches:
+        for j, wild, units in familiar.bars(_bytes(batch)):
+            unit, n = np.unique(units, return_counts=True)
+            own = bars.setdefault((j, wild), Counter())
+            for u, c in zip(unit.tolist(), n.tolist(), strict=True):
+                own[u] += c
+    for (j, wild), own in bars.items():
+        yield _counts(f"{j}-{wild}", np.array(list(own)), np.array(list(own.values())))
+    trim()
 
 
 def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", familiar: Familiar | None = None) -> DataFrame:

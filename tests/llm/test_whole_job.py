@@ -126,3 +126,19 @@ def test_model_scores_of_null_and_short_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id short, text string").selectExpr("*", "1 AS learn", "'x' AS id")
     got = lm.score(docs.unionByName(docs), F.lit(False)).collect()
     assert len(got) == 10 and len({r.score for r in got if r.n_tokens == 4}) == 2
+
+
+def test_languages_outside_the_sample_are_learned(spark):
+    # Rows lie by language, as files of a source do; the sample is smaller than the rows of the others.
+    r = random.Random(4)
+    words = {**WORDS, "fi": FINNISH.split()}
+    say = lambda x, n: " ".join(r.choice(words[x]) for _ in range(n))
+    rows = [(i, say("en" if i < 300 else "de", 60), "en" if i < 300 else "de") for i in range(600)] + [(1000 + i, say("fi", 60), "fi") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    network, familiar = langid.learn(docs, F.lit(True), sample=60)
+    assert network.languages == ["de", "en", "fi"]
+    got = langid.identify(docs, network).collect()
+    assert sum(x.lang_pred == x.lang for x in got) >= 0.97 * len(got) and all(x.lang_pred == "fi" for x in got if x.lang == "fi")
+    # Counts are of all texts: a three of letters that one row in five hundred has is known.
+    threes = lambda texts: sum(len(familiar._places(familiar._kinds(t.lower().encode()))) for t in texts)
+    assert familiar.total <= threes(t for _, t, _ in rows) and familiar.total >= 0.7 * threes(t for _, t, _ in rows)
