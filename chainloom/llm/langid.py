@@ -224,21 +224,31 @@ class Familiar:
     SIZES = tuple(2**i for i in range(3, 9))
     STEP = 1 / 4096  # scores are counted by this unit
 
-    def __init__(self, three: np.ndarray):
-        """``three`` has the count of each three kinds in a row."""
+    def __init__(self, at: np.ndarray, value: np.ndarray):
+        """``value`` has the counts of the threes of kinds in a row whose places are ``at``; the rest weren't met.
+
+        The table is made by the threes of one first kind after another, as the driver's memory is small.
+        """
         n = self.KINDS
-        self.total, three = int(three.sum()), three.reshape(n, n, n).astype(float)
-        two, one = three.sum(0), three.sum((0, 1))
-        p = (one + 1) / (one.sum() + n)
+        order = np.argsort(at, kind="stable")
+        at, value, self.total = at[order], value[order], int(value.sum())
+        two = np.bincount(at % (n * n), value, n * n).reshape(n, n)
+        p = (two.sum(0) + 1) / (two.sum() + n)
         p = (two + p) / (two.sum(1, keepdims=True) + 1)
-        self.table = np.log((three + p) / (three.sum(2, keepdims=True) + 1)).astype(np.float16).ravel()
+        self.table = np.empty(n**3, np.float16)
+        ends = np.searchsorted(at, np.arange(n + 1) * n * n)
+        for first in range(n):
+            own = slice(ends[first], ends[first + 1])
+            three = np.bincount(at[own] - first * n * n, value[own], n * n).reshape(n, n)
+            self.table[first * n * n : (first + 1) * n * n] = np.log((three + p) / (three.sum(1, keepdims=True) + 1)).ravel()
         self.least = np.full(len(self.SIZES), -np.inf)
 
-    def count(self, texts: list[bytes], three: np.ndarray) -> None:
+    @classmethod
+    def count(cls, texts: list[bytes], three: np.ndarray) -> None:
         """Adds the threes of whole texts to ``three``."""
-        k = np.concatenate([[0], self._kinds(b"\0\0".join(texts)), [0]]).astype(np.int32)  # no three of letters spans two texts
+        k = np.concatenate([[0], cls._kinds(b"\0\0".join(texts)), [0]]).astype(np.int32)  # no three of letters spans two texts
         for at in range(0, len(k) - 2, 1 << 20):
-            np.add.at(three, self._threes(k[at : at + (1 << 20) + 2]), 1)
+            np.add.at(three, cls._threes(k[at : at + (1 << 20) + 2]), 1)
 
     def bars(self, texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
         """For each size (its number) and kind (0: as written, 1: shuffled) the scores, in units, of the windows that have it."""
@@ -287,9 +297,10 @@ class Familiar:
         """Places in the table of each three in a row of which two at least are letters."""
         return self._threes(np.concatenate([[0], k, [0]]).astype(np.int32))
 
-    def _threes(self, k: np.ndarray) -> np.ndarray:
+    @classmethod
+    def _threes(cls, k: np.ndarray) -> np.ndarray:
         a, b, c = k[:-2], k[1:-1], k[2:]
-        return ((a * self.KINDS + b) * self.KINDS + c)[(a > 0).astype(np.int8) + (b > 0) + (c > 0) >= 2]
+        return ((a * cls.KINDS + b) * cls.KINDS + c)[(a > 0).astype(np.int8) + (b > 0) + (c > 0) >= 2]
 
     def _score(self, kinds: np.ndarray) -> tuple[float, int]:
         total, n = 0.0, 0
@@ -336,26 +347,27 @@ def learn(docs: DataFrame, may_learn: Column, sample: int = 6000, crops: int = 2
     rows = first.orderBy("lang", "place").select("lang", *(f"crop{k}" for k in range(crops))).collect()
     crop = [(r[f"crop{k}"].lower().encode("utf-8", "ignore")[:WINDOW], number[r["lang"]]) for k in range(crops) for r in rows]
     network = Network(languages).fit([b for b, _ in crop], [y for _, y in crop])
+    del rows, crop
+    trim()
     size = {r["lang"]: r["size"] for r in sums}
     weight = 1 / np.sqrt(np.array([-(-size[x] // WINDOW) for x in languages]) + 1)
     modest_batches(docs.sparkSession, 500)
     part = F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(5)).cast("int").alias("part")
     texts = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), part)
-    known = Familiar(np.zeros(Familiar.KINDS**3)) if familiar else None
-    found = _summed(texts, lambda batches: _trained(batches, network, number, weight, known))
+    found = _summed(texts, lambda batches: _trained(batches, network, number, weight, familiar))
     moved = np.zeros(len(network.flat()))
-    three = np.zeros(Familiar.KINDS**3, np.int64)
-    at, value = found["at"].to_numpy(), found["value"].to_numpy()
-    for kind, into in (("weights", moved), ("threes", three)):
-        own_ = (found["kind"] == kind).to_numpy()
-        into[at[own_]] = value[own_]
+    (at, value), (threes, counts) = (found.loc[found["kind"] == kind, ["at", "value"]].to_numpy().T for kind in ("weights", "threes"))
+    moved[at] = value
     network.set(moved / found.loc[found["kind"] == "windows", "value"].sum() * UNIT)
-    if known is None:
+    if not familiar:
         return network, None
-    known = Familiar(three)
+    known = Familiar(threes, counts)
+    del found, at, value, threes, counts
+    trim()
     bars: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for kind, unit, count in _summed(texts.where("part = 4"), lambda batches: _scored(batches, known)).itertuples(index=False):
         bars.setdefault(tuple(map(int, kind.split("-"))), []).append((unit, count))
+    trim()
     return network, known.settle(bars)
 
 
@@ -376,15 +388,15 @@ def _bytes(batch: pa.RecordBatch) -> list[bytes]:
     return [t.lower().encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
 
 
-def _trained(batches: Iterator[pa.RecordBatch], network: Network, number: dict[str, int], weight: np.ndarray, familiar: Familiar | None) -> Iterator[pa.RecordBatch]:
-    """A task's weights, times its windows, and the threes of letters of the texts that ``familiar`` learns from."""
+def _trained(batches: Iterator[pa.RecordBatch], network: Network, number: dict[str, int], weight: np.ndarray, familiar: bool) -> Iterator[pa.RecordBatch]:
+    """A task's weights, times its windows, and, if asked for, the threes of letters of the texts that ``Familiar`` learns from."""
     three = np.zeros(Familiar.KINDS**3, np.int64) if familiar else None
 
     def texts() -> Iterator[tuple[list[bytes], list[int]]]:
         for batch in batches:
             data = _bytes(batch)
             if three is not None:
-                familiar.count([b for b, p in zip(data, batch.column(2).to_pylist(), strict=True) if p < 4], three)
+                Familiar.count([b for b, p in zip(data, batch.column(2).to_pylist(), strict=True) if p < 4], three)
             yield data, [number[x] for x in batch.column(1).to_pylist()]
 
     n = network.fit_all(texts(), weight)

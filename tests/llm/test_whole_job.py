@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_text_operators import plain_scores
@@ -142,3 +144,20 @@ def test_languages_outside_the_sample_are_learned(spark):
     # Counts are of all texts: a three of letters that one row in five hundred has is known.
     threes = lambda texts: sum(len(familiar._places(familiar._kinds(t.lower().encode()))) for t in texts)
     assert familiar.total <= threes(t for _, t, _ in rows) and familiar.total >= 0.7 * threes(t for _, t, _ in rows)
+
+
+def test_letters_are_learned_within_the_drivers_memory():
+    r, n = np.random.default_rng(3), langid.Familiar.KINDS
+    at = r.choice(n**3, 20_000, replace=False)
+    value = r.integers(1, 9, len(at))
+    tracemalloc.start()
+    known = langid.Familiar(at, value)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # all counts of threes at once, as whole numbers, take 30 MB
+    three = np.zeros(n**3)
+    three[at] = value
+    three = three.reshape(n, n, n)
+    p = (three.sum((0, 1)) + 1) / (three.sum() + n)
+    p = (three.sum(0) + p) / (three.sum((0, 2))[:, None] + 1)
+    assert known.total == value.sum() and (known.table.reshape(n, n, n) == np.log((three + p) / (three.sum(2, keepdims=True) + 1)).astype(np.float16)).all()
