@@ -56,3 +56,28 @@ def test_cyclic_structures_end_and_bounds_are_told(spark):
     got, complete, _ = solved(spark, [("v0", "O")], chain, [], [], rounds=4)
     assert not complete and got < plain([("v0", "O")], chain, [], [])
     assert solved(spark, [], [], [], [])[:2] == (set(), True)
+
+
+@pytest.mark.parametrize("small", [0, 12, pointsto.SMALL])
+def test_small_and_large_parts_give_what_rounds_give(spark, monkeypatch, small):
+    # Four programs, the last one with names that go on from objects of the others; one part is larger than 12 facts.
+    r = random.Random(7)
+    allocs, copies, stores, loads = [], [], [], []
+    for k, n in enumerate((3, 4, 9)):
+        v = [f"v{k}.{i}" for i in range(n)]
+        allocs += [(r.choice(v), f"o{k}-{i}") for i in range(n // 2 + 1)]
+        copies += [(r.choice(v), r.choice(v)) for _ in range(n)]
+        stores += [(r.choice(v), r.choice("fg"), r.choice(v)) for _ in range(n)]
+        loads += [(r.choice(v), r.choice("fg"), r.choice(v)) for _ in range(n)]
+    copies += [(f"o{k}-{i}.f", "z") for k in range(2) for i in range(2)]
+    monkeypatch.setattr(pointsto, "SMALL", small)
+    got, complete, _ = solved(spark, allocs, copies, stores, loads)
+    assert complete and got == plain(allocs, copies, stores, loads)
+
+
+def test_many_small_parts_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(pointsto, "_solve", None)
+    allocs = [(f"v{k}.0", f"o{k}") for k in range(40)]
+    copies = [(f"v{k}.{i}", f"v{k}.{i + 1}") for k in range(40) for i in range(k)]
+    got, complete, _ = solved(spark, allocs, copies, [], [])
+    assert complete and got == {(f"v{k}.{i}", f"o{k}") for k in range(40) for i in range(k + 1)}
