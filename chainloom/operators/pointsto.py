@@ -84,8 +84,8 @@ def _parted(facts: DataFrame) -> DataFrame:
     steps = F.split("name", r"\.")
     begins = dotted.distinct().select("src", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "."))).alias("site"))
     cells = begins.join(facts.where(F.col("kind") == ALLOC).select(F.col("b").alias("site")).distinct(), "site").select("src", site(F.col("site")).alias("dst"))
-    of = fixpoint.components(facts.select(var("a").alias("src"), other.alias("dst")).union(cells))
-    return facts.withColumn("node", var("a")).join(of.withColumnRenamed("component", "part"), "node").drop("node")
+    of = fixpoint.parts(facts.select(var("a").alias("src"), other.alias("dst")).union(cut(cells)))
+    return facts.withColumn("node", var("a")).join(of, "node", "left").withColumn("part", F.coalesce("part", "node")).drop("node")
 
 
 def _ended(batches: Iterator[pa.RecordBatch], rounds: int) -> Iterator[pa.RecordBatch]:

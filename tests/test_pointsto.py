@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from chainloom.operators import pointsto
+from chainloom.operators import fixpoint, pointsto
 
 
 def plain(allocs, copies, stores, loads):
@@ -81,3 +81,12 @@ def test_many_small_parts_need_no_rounds(spark, monkeypatch):
     copies = [(f"v{k}.{i}", f"v{k}.{i + 1}") for k in range(40) for i in range(k)]
     got, complete, _ = solved(spark, allocs, copies, [], [])
     assert complete and got == {(f"v{k}.{i}", f"o{k}") for k in range(40) for i in range(k + 1)}
+
+
+def test_parts_hold_what_components_hold(spark):
+    r = random.Random(9)
+    edges = [(r.getrandbits(62) if i % 5 == 0 else i, i + 1) for i in range(60) if i % 9] + [(70, 70)] + [(200, 201)] * 3
+    df = spark.createDataFrame(edges, "src long, dst long")
+    sets = lambda rows: {frozenset(n for n, q in rows if q == p) for _, p in rows}
+    got = sets([tuple(x) for x in fixpoint.parts(df).collect()])
+    assert got == sets([tuple(x) for x in fixpoint.components(df).collect()]) - {frozenset([70])}
