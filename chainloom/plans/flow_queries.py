@@ -54,14 +54,16 @@ FROM w JOIN step e ON e.src = w.node WHERE e.closed IS NULL OR w.stack = '' OR w
 SELECT DISTINCT key, node, true AS complete FROM w"""
 
 
-def _edges(p):
-    return [p.sql(f"SELECT * FROM {t} x") for t in (_FLOW, _INTO, _OUT)]
+def _matched(p, search, seeds):
+    """The search over the edges; repeated rows don't matter to it, so it does without the unions' comparing of rows."""
+    p.store("calls")
+    found, complete = search(p.sql(f"SELECT * FROM {seeds} s"), *(p.sql(f"SELECT * FROM {t.replace('UNION', 'UNION ALL')} x") for t in (_FLOW, _INTO, _OUT)))
+    return found.withColumn("complete", F.lit(complete))
 
 
 @query(_strings(_SEEDS, _FLOW, _INTO, _OUT))
 def matched_reach(p):
-    found, complete = matched.reach(p.sql("SELECT * FROM " + _SEEDS + " s"), *_edges(p))
-    return found.withColumn("complete", F.lit(complete))
+    return _matched(p, matched.reach, _SEEDS)
 
 
 _TURNED = ["(SELECT dst AS src, src AS dst FROM {t} x)", "(SELECT site, dst AS src, src AS dst FROM {t} x)"]
@@ -69,8 +71,7 @@ _TURNED = ["(SELECT dst AS src, src AS dst FROM {t} x)", "(SELECT site, dst AS s
 
 @query(_strings(_ASKED, _TURNED[0].replace("{t}", _FLOW), _TURNED[1].replace("{t}", _OUT), _TURNED[1].replace("{t}", _INTO)))
 def matched_control(p):
-    found, complete = matched.backward(p.sql("SELECT * FROM " + _ASKED + " s"), *_edges(p))
-    return found.withColumn("complete", F.lit(complete))
+    return _matched(p, matched.backward, _ASKED)
 
 
 _FIRST = "(SELECT src AS node FROM {followers} WHERE src NOT IN (SELECT dst FROM {followers}) UNION SELECT 'S0')"

@@ -137,6 +137,10 @@ class Program:
     def _stored(self, name: str) -> DataFrame:
         return self.shared(name, lambda: self.sql(VIEWS[name]))
 
+    def store(self, name: str) -> None:
+        """From here on a view is read as stored, for a query that reads it several times."""
+        self._known[name] = self.shared(name, lambda: getattr(self, name))
+
     def shared(self, name: str, build) -> DataFrame:
         """What ``build`` gives, stored under a name for all queries over the same files."""
         key = self.spark.sparkContext.applicationId, self._files(), name

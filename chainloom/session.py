@@ -50,11 +50,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def held(df: DataFrame, by: str) -> DataFrame:
-    """The distinct rows of ``df``, dealt out and sorted by a column and kept so on the executors' disks until
-    ``unpersist``: rounds that join them by it shuffle what they bring, not these rows again and again."""
+def held(df: DataFrame, *by: str) -> DataFrame:
+    """The distinct rows of ``df``, dealt out and sorted by columns and kept so on the executors' disks until
+    ``unpersist``: rounds that join them by these shuffle what they bring, not these rows again and again."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, by).distinct().sortWithinPartitions(by).persist(StorageLevel.DISK_ONLY)
+    return df.repartition(n, *by).distinct().sortWithinPartitions(*by).persist(StorageLevel.DISK_ONLY)
 
 
 def _remove(spark: SparkSession, at: str) -> None:
