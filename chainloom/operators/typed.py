@@ -42,13 +42,18 @@ def bridges(producers: DataFrame, consumers: DataFrame) -> DataFrame:
 def factory_constraints(references: DataFrame, loads: DataFrame) -> DataFrame:
     """(reference, load, status): class loads by the name that a reference gives for its factory. PROVED by the identity
     of the name's value, PARTIAL by equal text only."""
-    # References that have the same identities and names are met once for all, and so are loads; then each kind is replaced by its own.
-    alike = lambda df, key: df.groupBy(key).agg(F.struct(*(F.array_sort(F.collect_set(c)).alias(c) for c in ("identity", "name"))).alias(f"{key}s"))
+    # References that have the same identities and names are met once for all, and so are loads; then each kind, which is
+    # named by its first member, is replaced by its own. Nothing is broadcast: by their files all of these look small.
+    alike = lambda df, key: df.groupBy(key).agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in ("identity", "name")))
     refs, met = alike(references, "reference"), alike(loads, "load")
-    kinds = lambda df, kind, c: df.select(kind).distinct().select(kind, F.explode(f"{kind}.{c}").alias(c))
-    both = [kinds(refs, "references", c).join(kinds(met, "loads", c), c).select("references", "loads", F.lit(status).alias("status")) for c, status in (("identity", "PROVED"), ("name", "PARTIAL"))]
+    first = lambda df, key, kind: df.groupBy("identity", "name").agg(F.min(key).alias(kind))
+    ref_kinds, load_kinds = first(refs, "reference", "references"), first(met, "load", "loads")
+    held = lambda kinds, kind, c: kinds.select(kind, F.explode(c).alias(c))
+    both = [held(ref_kinds, "references", c).join(held(load_kinds, "loads", c).hint("merge"), c).select("references", "loads", F.lit(status).alias("status")) for c, status in (("identity", "PROVED"), ("name", "PARTIAL"))]
     found = both[0].unionByName(both[1]).groupBy("references", "loads").agg(F.max("status").alias("status"))
-    return sharing.dealt(refs.join(found, "references").drop("references"), met, "loads").select("reference", "load", "status")
+    own = lambda df, key, kinds, kind: df.join(kinds.hint("merge"), ["identity", "name"]).select(key, kind)
+    refs, met = own(refs, "reference", ref_kinds, "references"), own(met, "load", load_kinds, "loads")
+    return sharing.dealt(refs.join(found.hint("merge"), "references").drop("references"), met, "loads").select("reference", "load", "status")
 
 
 def remote_proxies(references: DataFrame, addresses: DataFrame, creations: DataFrame) -> DataFrame:
