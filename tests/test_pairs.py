@@ -1,6 +1,6 @@
 """Pairs through kinds: no side is broadcast, however small its files look, and members of a kind are all met."""
 
-from chainloom.operators import dynamic, typed
+from chainloom.operators import dynamic, sharing, typed
 
 
 def plan(df):
@@ -30,3 +30,23 @@ def test_targets_of_dealt_keys_are_not_broadcast(spark):
     joins = [line for line in plan(got).splitlines() if "Join" in line and "_part" in line]
     assert joins and not any("Broadcast" in line for line in joins)
     assert got.count() == 50 * 30
+
+
+def test_a_screen_keeps_all_rows_of_its_keys(spark):
+    rows = spark.createDataFrame([(i % 500 if i % 50 else None, i) for i in range(2000)], "k long, v int")
+    keys = spark.createDataFrame([(i,) for i in range(3, 500, 10)] * 2 + [(None,), (9999,)], "k long")
+    got = {tuple(r) for r in sharing.screened(rows, keys, "k").collect()}
+    want = {(i % 500 if i % 50 else None, i) for i in range(2000) if i % 50 == 0 or i % 500 % 10 == 3}
+    assert got == want
+    assert {tuple(r) for r in sharing.screened(rows, keys, "k", 8).collect()} >= want  # few bits let more through
+    none = sharing.screened(rows, keys.limit(0), "k").collect()
+    assert {r.v for r in none} == {i for i in range(2000) if i % 50 == 0}
+
+
+def test_only_hosts_of_such_calls_are_dealt_out(spark):
+    from chainloom.plans.queries import QUERIES
+
+    df = QUERIES["interface_lambda_targets"](spark, "/root/testdata/sf0.001")
+    windows = plan(df).split("Window", 1)[1].split("FileScan parquet", 1)[0]
+    assert "_bucket" in windows  # the screen comes before the calls of a host are counted
+
